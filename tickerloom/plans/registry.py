@@ -87,3 +87,8 @@ def pf(v: str) -> str:
         f"(coalesce(sum({v}) FILTER (WHERE {v} > 0), 0) / "
         f"nullif(abs(coalesce(sum({v}) FILTER (WHERE {v} < 0), 0)), 0))"
     )
+
+
+def r4(x: str) -> str:
+    """Round half up on the shortest decimal text of a double, as Spark does."""
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 18)), 4) AS DOUBLE)"
