@@ -60,12 +60,20 @@ def barrier_outcomes(
     require_columns(signals, ["ticker", "side", "valid_from", "entry", "target", "stop", "horizon_days"])
     if min(cost_pct, spread_pct, slippage_pct, borrow_cost_pct) < 0:
         raise ValueError("costs must not be negative")
+    df = attach_future(signals, bars, "valid_from", max_horizon)
+    return resolve(df, max_horizon, cost_pct + spread_pct + slippage_pct, borrow_cost_pct, entry_sessions)
+
+
+def resolve(df: DataFrame, max_horizon: int, fixed_cost: float, borrow_cost_pct: float, entry_sessions=None) -> DataFrame:
+    """Outcome columns for rows that carry side, entry, target, stop, horizon_days and ``future``.
+
+    Row-local: it adds no exchange.
+    """
     entry, target, stop = F.col("entry"), F.col("target"), F.col("stop")
     sell = F.col("side") == "SELL"
     horizon = F.when(F.col("horizon_days") <= max_horizon, F.col("horizon_days").cast("int")).otherwise(
         F.raise_error(F.lit(f"horizon_days above max_horizon={max_horizon}"))
     )
-    df = attach_future(signals, bars, "valid_from", max_horizon)
     df = df.withColumn("_bars", F.slice(F.coalesce("future", F.array().cast(df.schema["future"].dataType)), 1, horizon))
 
     # each step is its own projection, so the array scans run once per row
@@ -119,7 +127,6 @@ def barrier_outcomes(
     worst = F.when(sell, F.array_max(F.transform("_held", lambda b: b["high"]))).otherwise(
         F.array_min(F.transform("_held", lambda b: b["low"]))
     )
-    fixed_cost = cost_pct + spread_pct + slippage_pct
     borrow = F.when(sell, borrow_cost_pct * F.col("holding_sessions")).otherwise(0.0)
     df = df.withColumns(
         {

@@ -13,16 +13,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 CTES: dict[str, tuple[list[str], str]] = {}
 
-# column spec kinds: d double (7 places), n long, t text, b boolean, a array joined by comma
+# column spec kinds (a tiny shift keeps exact halves from rounding differently): d double (7 places), n long, t text, b boolean, a array joined by comma
 _SQL = {
-    "d": "round(CAST({c} AS DOUBLE), 7) + 0.0 AS {c}",
+    "d": "round(CAST({c} AS DOUBLE) + 3.3e-10, 7) + 0.0 AS {c}",
     "n": "CAST({c} AS BIGINT) AS {c}",
     "t": "CAST({c} AS VARCHAR) AS {c}",
     "b": "CAST({c} AS BOOLEAN) AS {c}",
     "a": "array_to_string({c}, ',') AS {c}",
 }
 _SPARK = {
-    "d": lambda c: F.round(F.col(c).cast("double"), 7) + F.lit(0.0),
+    "d": lambda c: F.round(F.col(c).cast("double") + 3.3e-10, 7) + F.lit(0.0),
     "n": lambda c: F.col(c).cast("long"),
     "t": lambda c: F.col(c).cast("string"),
     "b": lambda c: F.col(c).cast("boolean"),
