@@ -8,6 +8,7 @@ from ..operators import indicators as ind
 from ..operators import quality as ql
 from .quality_queries import coverage_of
 from .registry import cte, query, sdiv
+from .shared import shared
 from .tables import Tables
 
 cte(
@@ -87,6 +88,7 @@ cte(
 )
 
 
+@shared
 def features_of(t: Tables):
     return ind.daily_features(t.daily, ql.research_universe(coverage_of(t)))
 

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import dataset as ds
 from ..operators import evidence as ev
+from ..operators import governance as gv
 from ..operators import indicators as ind
 from .registry import cte, query, sdiv
 from .signal_queries import barrier_sql, barrier_walk, trades_of
+from .shared import shared
 from .tables import Tables
 
 CFG = ds.LabelConfig(cost_pct=0.001, borrow_cost_pct=0.0001)
@@ -29,6 +31,7 @@ cte(
 )
 
 
+@shared
 def clean_bars(t: Tables):
     return ind.dedup_daily(t.daily)
 
@@ -76,6 +79,7 @@ cte(
 )
 
 
+@shared
 def dataset_of(t: Tables):
     return ds.training_dataset(clean_bars(t), t.holidays, CFG)
 
@@ -253,6 +257,7 @@ cte(
 )
 
 
+@shared
 def champion_dataset(t: Tables):
     return ds.attach_champion(dataset_of(t), trades_of(t), "champion")
 
@@ -285,6 +290,7 @@ cte(
 KEYS = ["family", "seed"]
 
 
+@shared
 def evidence_of(t: Tables):
     """Decisions of two families with two seeds each, with hashed probabilities."""
     tk, idx, seed, fam = (F.col(c) for c in ("tk", "idx", "seed", "family"))
@@ -315,6 +321,7 @@ TRIAL_KEYS = ["family", "seed", "dataset_split"]
 DECISION = "family:n seed:n dataset_split ticker reference_date predicted_label"
 
 
+@shared
 def decided(t: Tables):
     rows = evidence_of(t).where("dataset_split IN ('validation', 'test')")
     return ev.directional_labels(rows, 0.40, 0.05)
@@ -443,6 +450,7 @@ cte(
 )
 
 
+@shared
 def folds_of(t: Tables):
     return ev.model_economics_job(
         evidence_of(t), KEYS, p_min=0.40, margin=0.05, max_trades=60, blocked=["S00002", "S00008"],
@@ -570,6 +578,7 @@ cte(
 )
 
 
+@shared
 def returns_of(t: Tables):
     return ev.daily_return_rows(ev.fold_trade_budget(decided(t), TRIAL_KEYS, 60), TRIAL_KEYS)
 
@@ -585,8 +594,6 @@ def returns_of(t: Tables):
     "champion_dataset",
 )
 def _sanity(t: Tables):
-    from ..operators import governance as gv
-
     return gv.champion_snapshot_sanity(champion_dataset(t))
 
 
@@ -604,8 +611,6 @@ def _sanity(t: Tables):
     "traded",
 )
 def _overlap(t: Tables):
-    from ..operators import governance as gv
-
     return gv.champion_overlap(returns_of(t), champion_dataset(t), ["family"])
 
 
@@ -621,8 +626,6 @@ def _overlap(t: Tables):
     "traded",
 )
 def _regime_averages(t: Tables):
-    from ..operators import governance as gv
-
     return gv.champion_regime_averages(returns_of(t), champion_dataset(t), ["family"])
 
 
@@ -633,6 +636,4 @@ def _regime_averages(t: Tables):
     "traded",
 )
 def _worst(t: Tables):
-    from ..operators import governance as gv
-
     return gv.champion_worst_rows(returns_of(t), champion_dataset(t), 50)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import calendar as cal
 from ..operators import candles as cdl
 from .registry import cte, query
+from .shared import shared
 from .tables import Tables
 
 CANDLE = "ticker candle_at open:d high:d low:d close:d volume:d"
@@ -124,6 +125,7 @@ def _valid(t: Tables):
     return cdl.validate_candles(t.daily)[0]
 
 
+@shared
 def calendar_of(t: Tables):
     return cal.trading_calendar(cal.date_span(t.daily, "session_date"), t.holidays)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import quality as ql
 from .registry import cte, query, sdiv
+from .shared import shared
 from .tables import Tables
 
 DAY = dt.date(2024, 3, 4)  # a session with duplicates, see tables.py
@@ -51,6 +52,7 @@ cte(
 )
 
 
+@shared
 def coverage_of(t: Tables):
     return ql.ticker_coverage(t.daily, t.tickers, t.holidays)
 
