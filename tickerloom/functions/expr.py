@@ -83,7 +83,7 @@ def flag_list(flags: Iterable[tuple[str, Column]]) -> Column:
 
 def normalise_flags(flags: str | Column) -> Column:
     """Trim, drop NULL and blank, de-duplicate and sort a flag array."""
-    trimmed = F.transform(F.array_compact(col(flags)), F.trim)
+    trimmed = F.transform(F.array_compact(col(flags)), lambda f: F.trim(f))
     return F.array_sort(F.array_distinct(F.filter(trimmed, lambda f: f != "")))
 
 

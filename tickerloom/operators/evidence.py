@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import clean_ticker, failed_criteria, safe_div
 from ..functions.frames import equity_path, exact_median, top_n_by
+from ..sources.io import cut
 
 # fixed values: class order of the probability vector, protocol names
 LABELS = ("down", "neutral", "up")
@@ -125,6 +126,7 @@ def fold_drawdown_stop(df: DataFrame, keys: Sequence[str], limit: float | None)
         return df
     if not 0 < limit < 1:
         raise ValueError("limit must be between 0 and 1")
+    df = cut(df, "drawdown-stop")  # read three times below
     path = equity_path(_realised(df), keys, "reference_date", ["ticker"], "model_net_return")
     peak = F.greatest(F.lit(1.0), "peak")
     at = F.struct(*ROW)
@@ -136,9 +138,11 @@ def fold_economics(df: DataFrame, keys: Sequence[str], cost_multipliers: Sequenc
     """Economic metrics per trial. The multiplier labels the scenario; returns are already net."""
     if min(cost_multipliers) <= 0:
         raise ValueError("cost multipliers must be positive")
-    rows = _realised(df).withColumns(
-        {"_trade": _is_trade(), "_champion": F.coalesce("champion_net_return", F.lit(0.0))}
-    )
+    rows = _realised(df).select(
+        *keys, *ROW, "model_net_return", _is_trade().alias("_trade"),
+        F.coalesce("champion_net_return", F.lit(0.0)).alias("_champion"),
+    )
+    rows = cut(rows, "fold-rows")  # totals, median and equity path all read these few columns
     r = F.when(F.col("_trade"), F.col("model_net_return"))
     zero = F.lit(0.0)
     base = rows.groupBy(*keys).agg(
@@ -201,6 +205,9 @@ def model_economics_job(df: DataFrame, keys: Sequence[str], split: str = "datase
     """
     rows = df.where(F.col(split).isin("validation", "test", "research"))
     keys = [*keys, split]
+    needed = ["prob_down", "prob_neutral", "prob_up", "buy_net_return", "sell_net_return", "champion_net_return",
+              "return_5d", "financial_volume_z20", "volume_ratio_20d", "volatility_20d"]
+    rows = cut(rows.select(*keys, *ROW, *[c for c in needed if c in rows.columns]), "evidence")
     rows = directional_labels(rows, policy.get("p_min", 0.45), policy.get("margin", 0.05))
     rows = fold_trade_budget(rows, keys, policy.get("max_trades"))
     rows = ticker_blocklist(rows, policy.get("blocked", ()))

@@ -133,9 +133,9 @@ def candidate_score(df: DataFrame, max_layers: int = 4) -> DataFrame:
 
 def parameter_count(units: str = "hidden_units", features: int = 30, classes: int = 3) -> Column:
     """Weights and biases of a dense network with these hidden layers."""
-    previous = F.concat(F.array(F.lit(features)), F.slice(units, 1, F.greatest(F.size(units) - 1, F.lit(0))))
+    previous = F.slice(F.concat(F.array(F.lit(features)), F.col(units)), 1, F.size(units))
     inner = F.aggregate(F.zip_with(previous, units, lambda p, u: (p + 1) * u), F.lit(0), lambda a, x: a + x)
-    last = F.when(F.size(units) > 0, F.element_at(units, -1)).otherwise(F.lit(features))
+    last = F.coalesce(F.try_element_at(units, F.lit(-1)), F.lit(features))
     return inner + (last + 1) * classes
 
 

@@ -345,7 +345,7 @@ def daily_evaluation(ranking: DataFrame, robustness: DataFrame, paper: DataFrame
             "_blocking": ~strong & (corr <= 0),
         }
     )
-    alerts = F.filter(F.transform(F.split(F.coalesce("overfitting_alerts", F.lit("")), ","), F.trim), lambda a: a != "")
+    alerts = F.filter(F.transform(F.split(F.coalesce("overfitting_alerts", F.lit("")), ","), lambda a: F.trim(a)), lambda a: a != "")
     robust = robustness.withColumns({"_score": nz("robustness_score"), "_reasons": alerts})
     robust = robust.withColumn("_blocking", (F.size("_reasons") > 0) & (F.col("_score") < PAPER))
     newest = paper.orderBy(F.desc("reference_date")).limit(1)

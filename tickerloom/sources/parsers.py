@@ -200,7 +200,7 @@ def _text(html: Column) -> Column:
 
 
 def _first_text(parts: Column) -> Column:
-    return F.get(F.filter(F.transform(parts, _text), lambda p: p != ""), F.lit(0))
+    return F.get(F.filter(F.transform(parts, lambda p: _text(p)), lambda p: p != ""), F.lit(0))
 
 
 def page_price(html: Column) -> Column:
@@ -229,7 +229,7 @@ def extract_page_price(pages: DataFrame) -> DataFrame:
 def rpc_price(payload: Column, rpc_id: str) -> Column:
     """Price inside a batched RPC reply: the framed line of ``rpc_id`` holds a JSON text."""
     frames = F.filter(
-        F.transform(F.split(payload, "\n"), F.trim),
+        F.transform(F.split(payload, "\n"), lambda line: F.trim(line)),
         lambda line: line.startswith('[["wrb.fr"') & (F.get_json_object(line, "$[0][1]") == rpc_id),
     )
     blob = F.get_json_object(F.get(frames, F.lit(0)), "$[0][2]")
