@@ -40,26 +40,30 @@ class LabelConfig:
             raise ValueError("horizon_days must be positive")
 
 
-def barrier_labels(candles: DataFrame, cfg: LabelConfig = LabelConfig()) -> DataFrame:
-    """Label every bar (but a ticker's last) by the better side's barrier outcome.
-
-    One window per ticker brings the next bars; both sides are resolved on the same row.
-    """
+def with_next_bars(candles: DataFrame, horizon: int) -> DataFrame:
+    """Add ``valid_for`` (the ticker's next session) and ``future`` (its next bars)."""
     w = W.partitionBy("ticker").orderBy("session_date")
     bar = F.struct("session_date", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in BAR[1:]])
-    df = (
-        candles.select("ticker", "session_date", "high", "low", "close")
-        .withColumn("future", F.collect_list(bar).over(w.rowsBetween(1, cfg.horizon_days)))
-        .where(F.size("future") > 0)
-        .select(
-            "ticker",
-            F.col("session_date").alias("reference_date"),
-            "close",
-            F.col("future")[0]["session_date"].alias("valid_for"),
-            F.lit(cfg.horizon_days).alias("horizon_days"),
-            "future",
-        )
+    return candles.withColumns(
+        {
+            "valid_for": F.lead("session_date").over(w),
+            "future": F.collect_list(bar).over(w.rowsBetween(1, horizon)),
+        }
     )
+
+
+def barrier_labels(candles: DataFrame, cfg: LabelConfig = LabelConfig()) -> DataFrame:
+    """Label every bar (but a ticker's last) by the better side's barrier outcome."""
+    rows = with_next_bars(candles.select("ticker", "session_date", "high", "low", "close"), cfg.horizon_days)
+    return label_rows(rows.withColumnRenamed("session_date", "reference_date"), cfg, ["ticker", "reference_date"])
+
+
+def label_rows(df: DataFrame, cfg: LabelConfig, keep: list[str]) -> DataFrame:
+    """Label columns beside ``keep`` for rows with close, valid_for and future.
+
+    Both sides are resolved on the same row, without an exchange.
+    """
+    df = df.where("valid_for IS NOT NULL").withColumn("horizon_days", F.lit(cfg.horizon_days))
     cost = cfg.cost_pct + cfg.spread_pct + cfg.slippage_pct
     for side, sgn in (("BUY", 1.0), ("SELL", -1.0)):
         name = side.lower()
@@ -87,7 +91,7 @@ def barrier_labels(candles: DataFrame, cfg: LabelConfig = LabelConfig()) -> Data
     defaults = {"entry_filled": F.lit(False), "gross_return": F.lit(0.0), "net_return": F.lit(0.0)}
     picked = [F.coalesce(chosen(c), defaults[c]).alias(c) if c in defaults else chosen(c).alias(c) for c in OUTCOME]
     return df.select(
-        "ticker", "reference_date", "valid_for",
+        *keep, "valid_for",
         F.lit(cfg.version).alias("label_version"),
         "label_class",
         F.greatest(buy, sell).alias("future_return"),
@@ -220,9 +224,12 @@ def training_dataset(
     candles: DataFrame, holidays: DataFrame | None = None, cfg: LabelConfig = LabelConfig(),
     min_history: int = 20, train: float = 0.65, validation: float = 0.175, embargo: int | None = None,
 ) -> DataFrame:
-    """Features joined with labels, without holiday dates, split in time."""
-    features = eod_feature_table(candles, min_history)
-    data = features.join(barrier_labels(candles, cfg), ["ticker", "reference_date"])
+    """Features and labels, without holiday dates, split in time.
+
+    Both come from the same windows over a ticker, so there is one exchange and no join.
+    """
+    rows = eod_feature_table(with_next_bars(candles, cfg.horizon_days), min_history, keep=["valid_for", "future"])
+    data = label_rows(rows, cfg, [c for c in rows.columns if c not in ("valid_for", "future")])
     if holidays is not None:
         closed = F.broadcast(holidays.where("active").select("holiday_date"))
         for day in ("reference_date", "valid_for"):

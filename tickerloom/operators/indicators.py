@@ -110,11 +110,12 @@ def _log_ratio(num: Column, den: Column) -> Column:
     return F.when(ratio > 0, F.ln(ratio))
 
 
-def eod_feature_table(candles: DataFrame, min_history: int = 20) -> DataFrame:
+def eod_feature_table(candles: DataFrame, min_history: int = 20, keep: list[str] | None = None) -> DataFrame:
     """Versioned model features per (ticker, session).
 
     Rolling values stay NULL until their window is full of non-NULL inputs.
-    ``candles`` needs one row per (ticker, session); see ``dedup_daily``.
+    ``candles`` needs one row per (ticker, session); see ``dedup_daily``. ``keep`` names
+    further input columns to pass through.
     """
     if min_history < 1:
         raise ValueError("min_history must be positive")
@@ -178,7 +179,7 @@ def eod_feature_table(candles: DataFrame, min_history: int = 20) -> DataFrame:
         .select(
             "ticker", F.col("session_date").alias("reference_date"), "feature_version",
             "open", "high", "low", "close", "volume", "financial_volume", *FEATURES,
-            "has_missing_ohlcv", "has_zero_volume", "is_suspicious_candle", "history_days",
+            "has_missing_ohlcv", "has_zero_volume", "is_suspicious_candle", "history_days", *(keep or []),
         )
     )
 

@@ -8,6 +8,7 @@ from ..operators import dataset as ds
 from ..operators import evidence as ev
 from ..operators import governance as gv
 from ..operators import indicators as ind
+from ..sources import io
 from .registry import cte, query, sdiv
 from .signal_queries import barrier_sql, barrier_walk, trades_of
 from .shared import shared
@@ -262,6 +263,12 @@ def champion_dataset(t: Tables):
     return ds.attach_champion(dataset_of(t), trades_of(t), "champion")
 
 
+@shared
+def stored_champion(t: Tables):
+    """The stored training dataset that evidence and diagnostics read."""
+    return io.cut(champion_dataset(t), "dataset")
+
+
 @query(
     "attach_champion",
     "ticker reference_date dataset_split champion_strategy_id champion_signal_side champion_net_return:d champion_trade_active:b",
@@ -298,7 +305,7 @@ def evidence_of(t: Tables):
     down = (idx * 7 + tk * 3 + seed * 13 + fam * 29) % 50
     up = (idx * 11 + tk * 5 + seed * 17 + fam * 31) % 50
     return (
-        champion_dataset(t)
+        stored_champion(t)
         .join(bars, ["ticker", "reference_date"])
         .withColumn("family", F.explode(F.array(F.lit(1), F.lit(2))))
         .withColumn("seed", F.explode(F.array(F.lit(11), F.lit(12))))
@@ -594,7 +601,7 @@ def returns_of(t: Tables):
     "champion_dataset",
 )
 def _sanity(t: Tables):
-    return gv.champion_snapshot_sanity(champion_dataset(t))
+    return gv.champion_snapshot_sanity(stored_champion(t))
 
 
 @query(
@@ -611,7 +618,7 @@ def _sanity(t: Tables):
     "traded",
 )
 def _overlap(t: Tables):
-    return gv.champion_overlap(returns_of(t), champion_dataset(t), ["family"])
+    return gv.champion_overlap(returns_of(t), stored_champion(t), ["family"])
 
 
 @query(
@@ -626,7 +633,7 @@ def _overlap(t: Tables):
     "traded",
 )
 def _regime_averages(t: Tables):
-    return gv.champion_regime_averages(returns_of(t), champion_dataset(t), ["family"])
+    return gv.champion_regime_averages(returns_of(t), stored_champion(t), ["family"])
 
 
 @query(
@@ -636,4 +643,4 @@ def _regime_averages(t: Tables):
     "traded",
 )
 def _worst(t: Tables):
-    return gv.champion_worst_rows(returns_of(t), champion_dataset(t), 50)
+    return gv.champion_worst_rows(returns_of(t), stored_champion(t), 50)

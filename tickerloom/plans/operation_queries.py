@@ -12,7 +12,7 @@ from .learning_queries import clean_bars, dataset_of
 from .market_queries import cdl
 from .registry import cte, query, sdiv
 from .research_queries import dashboard_of, exposure_of, ranking_of, rk
-from .signal_queries import METRICS_AS_OF, bar, baseline_of, eod_signals, eod_trades, metrics_of, trades_of
+from .signal_queries import AS_OF, METRICS_AS_OF, bar, baseline_of, eod_signals, eod_trades, stored_trades, trades_of
 from .shared import shared
 from .tables import Tables
 
@@ -524,7 +524,7 @@ cte(
 def paper_orders(t: Tables):
     """Paper orders out of the baseline trades."""
     still_open = F.col("days_in_trade") % 7 == 0
-    return trades_of(t).withColumns(
+    return stored_trades(t).withColumns(
         {
             "paper_order_id": F.concat(F.lit("paper:"), "signal_id"),
             "opened_at": F.col("entry_timestamp"),
@@ -744,7 +744,8 @@ def checklist(t: Tables):
     "bmetrics dashboard paper_orders",
 )
 def _committee(t: Tables):
-    return tr.strategy_committee(metrics_of(t), dashboard_of(t), paper_orders(t), checklist(t), risk_config(t))
+    metrics = bar.baseline_metrics(stored_trades(t), AS_OF)
+    return tr.strategy_committee(metrics, dashboard_of(t), paper_orders(t), checklist(t), risk_config(t))
 
 
 cte(
