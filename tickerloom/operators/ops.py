@@ -157,6 +157,11 @@ def collection_messages(messages: DataFrame, severity: str | None = None, collec
     return ordered.limit(limit) if limit and limit > 0 else ordered
 
 
+def latest_message(messages: DataFrame, dataset: str) -> DataFrame:
+    """Newest message about one dataset; at most one row."""
+    return collection_messages(messages.where(F.lower("dataset") == dataset), limit=1)
+
+
 def message_day_totals(messages: DataFrame, dataset: str, since: dt.date, limit: int) -> DataFrame:
     """Records reported per day by the messages of one dataset."""
     rows = messages.where((F.lower("dataset") == dataset) & (F.to_date("created_at") >= F.lit(since)))

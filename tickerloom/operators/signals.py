@@ -337,6 +337,11 @@ def hybrid_signals(
     return prediction_signals(blended.drop("_heuristic"), cfg, min_buy, min_sell, "hybrid_confidence_v1")
 
 
+def liquid_rows(daily: DataFrame, minimum: float) -> DataFrame:
+    """Rows with at least ``minimum`` financial volume; a missing volume counts as 0."""
+    return daily.where(F.coalesce(number(daily, "financial_volume"), F.lit(0.0)) >= minimum)
+
+
 def source_snapshot(daily: DataFrame) -> DataFrame:
     """Content hash of a day's inputs.
 

@@ -265,8 +265,11 @@ def champion_dataset(t: Tables):
 
 @shared
 def stored_champion(t: Tables):
-    """The stored training dataset that evidence and diagnostics read."""
-    return io.cut(champion_dataset(t), "dataset")
+    """The part of the stored training dataset that evidence and diagnostics read."""
+    cols = ["ticker", "reference_date", "dataset_split", "label_class", "buy_net_return", "sell_net_return",
+            "return_5d", "log_return_5d", "volatility_20d", "financial_volume_z20", "volume_ratio_20d",
+            "champion_strategy_id", "champion_signal_side", "champion_net_return", "champion_trade_active"]
+    return io.cut(champion_dataset(t).select(*cols), "dataset")
 
 
 @query(
@@ -334,6 +337,11 @@ def decided(t: Tables):
     return ev.directional_labels(rows, 0.40, 0.05)
 
 
+@shared
+def budgeted(t: Tables):
+    return ev.fold_trade_budget(io.cut(decided(t), "decided"), TRIAL_KEYS, 60)
+
+
 @query("directional_labels", DECISION, "SELECT * FROM decided", "decided")
 def _directional(t: Tables):
     return decided(t)
@@ -353,7 +361,7 @@ cte(
 
 @query("fold_trade_budget", DECISION, "SELECT * FROM budgeted", "budgeted")
 def _budget(t: Tables):
-    return ev.fold_trade_budget(decided(t), TRIAL_KEYS, 60)
+    return budgeted(t)
 
 
 def _neutralised(pred: str) -> str:
@@ -415,7 +423,7 @@ def _path(src: str) -> str:
     "budgeted",
 )
 def _stop(t: Tables):
-    return ev.fold_drawdown_stop(ev.fold_trade_budget(decided(t), TRIAL_KEYS, 60), TRIAL_KEYS, 0.35)
+    return ev.fold_drawdown_stop(budgeted(t), TRIAL_KEYS, 0.35)
 
 
 _t = "FILTER (WHERE predicted_label <> 'neutral'"
@@ -441,7 +449,7 @@ def economics_sql(src: str) -> str:
 
 @query("fold_economics", f"family:n seed:n dataset_split {ECON}", economics_sql("budgeted"), "budgeted")
 def _economics(t: Tables):
-    return ev.fold_economics(ev.fold_trade_budget(decided(t), TRIAL_KEYS, 60), TRIAL_KEYS)
+    return ev.fold_economics(budgeted(t), TRIAL_KEYS)
 
 
 cte(
@@ -480,7 +488,7 @@ def _job(t: Tables):
     "budgeted",
 )
 def _returns(t: Tables):
-    return ev.daily_return_rows(ev.fold_trade_budget(decided(t), TRIAL_KEYS, 60), TRIAL_KEYS)
+    return ev.daily_return_rows(budgeted(t), TRIAL_KEYS)
 
 
 D = "delta_expectancy_vs_champion"
@@ -587,7 +595,7 @@ cte(
 
 @shared
 def returns_of(t: Tables):
-    return ev.daily_return_rows(ev.fold_trade_budget(decided(t), TRIAL_KEYS, 60), TRIAL_KEYS)
+    return ev.daily_return_rows(budgeted(t), TRIAL_KEYS)
 
 
 @query(

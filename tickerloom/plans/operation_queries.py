@@ -423,6 +423,16 @@ def _messages(t: Tables):
     return ops.collection_messages(messages(t), "critical", "collector3 ", 100)
 
 
+@query(
+    "latest_message",
+    "message_id:n dataset records:n created_at",
+    "SELECT * FROM messages WHERE dataset = 'intraday' ORDER BY created_at DESC, message_id DESC LIMIT 1",
+    "messages",
+)
+def _latest_message(t: Tables):
+    return ops.latest_message(messages(t), "intraday")
+
+
 @query(
     "message_day_totals",
     "data_ref total_rows:n",

@@ -13,6 +13,7 @@ from ..streaming import quotes as sq
 from .learning_queries import clean_bars, dataset_of
 from .registry import cte, query
 from .shared import shared
+from .signal_queries import baseline_of
 from .tables import Tables
 
 
@@ -150,6 +151,16 @@ def _quote_rows(t: Tables):
     return parsers.quote_rows(t.quotes.withColumn("quote_time", F.substring("quote_time", 1, 5)))
 
 
+@query(
+    "latest_occurrence",
+    "ticker session_date close:d",
+    "SELECT * FROM daily QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY updated_at DESC) = 1",
+    "daily",
+)
+def _latest_occurrence(t: Tables):
+    return parsers.latest_occurrence(t.daily, ["ticker"], "updated_at")
+
+
 # ------------------------------------------------------------------ slices and sinks
 
 
@@ -173,6 +184,28 @@ def _upsert(t: Tables):
     return merged
 
 
+@query(
+    "seed_config",
+    "strategy_id status created_at updated_at",
+    """SELECT strategy_id, CASE WHEN strategy_id LIKE '%gap%' THEN 'pausada' ELSE 'em_teste' END AS status,
+              CASE WHEN n > 200 OR strategy_id NOT LIKE '%gap%' THEN 'first' ELSE 'second' END AS created_at,
+              CASE WHEN strategy_id LIKE '%gap%' THEN 'second' ELSE 'first' END AS updated_at
+       FROM (SELECT strategy_id, count(*) AS n FROM bsignals GROUP BY 1)
+       WHERE n > 200 OR strategy_id LIKE '%gap%'""",
+    "bsignals",
+)
+def _seed(t: Tables):
+    """Configuration rows seeded twice: an update keeps the first creation time."""
+    found = baseline_of(t).groupBy("strategy_id").agg(F.count(F.lit(1)).alias("n"))
+
+    def seeded(df, status: str, stamp: str):
+        return df.select("strategy_id", F.lit(status).alias("status"), F.lit(stamp).alias("created_at"), F.lit(stamp).alias("updated_at"))
+
+    first = seeded(found.where("n > 200"), "em_teste", "first")
+    second = seeded(found.where(F.contains("strategy_id", F.lit("gap"))), "pausada", "second")
+    return io.upsert(first, second, ["strategy_id"], keep_from_target=["created_at"])
+
+
 @query(
     "replace_slice",
     "session_date rows:n volume:d",
