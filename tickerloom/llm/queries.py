@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash
+from . import html_text, mixing, packing, simhash
 from .shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,60 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
+
+
+@query
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+#: Weights of the registered mix; a name that is not listed has the weight of "*".
+MIX_WEIGHTS = ({"d0": 2, "d1": 3, "*": 4}, {"en": 6, "de": 2, "fr": 2, "*": 1}, {"*": 1})
+MIX_EPOCHS, MIX_SEED = 4, 17
+
+
+def mix_levels() -> dict:
+    """Domain (source number modulo 4), language, source."""
+    number = F.regexp_extract("source", r"(\d{1,9})$", 1)
+    domain = F.when(number.isNull() | (number == ""), F.lit("(none)")).otherwise(F.concat(F.lit("d"), (number.cast("long") % 4).cast("string")))
+    return {"domain": domain, "language": mixing.named("lang"), "origin": mixing.named("source")}
+
+
+@query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir), mix_levels(), MIX_WEIGHTS, None, MIX_EPOCHS, MIX_SEED)
+
+
+def mix_sql(docs: str = "documents") -> str:
+    """DuckDB: rows (doc_id, domain, language, origin, epoch, n_tokens, taken); the budgets level by level with brute-force windows."""
+    level = """
+    {n}0 AS (SELECT {keys}, sum(cap) AS cap, max({w}) AS w, max({b}) AS b FROM {src} WHERE cap > 0 GROUP BY {keys}),
+    {n}1 AS (SELECT *, sum(cap) OVER (PARTITION BY {parent} ORDER BY cap::DOUBLE / w, {own}) - cap AS pre,
+        sum(w) OVER (PARTITION BY {parent} ORDER BY cap::DOUBLE / w DESC, {own} DESC) AS rest FROM {n}0),
+    {n}2 AS (SELECT {cols}, (SELECT min_by(struct_pack(l := o.b - o.pre, r := o.rest, at := o.cap::DOUBLE / o.w, nm := o.{own}), row(o.cap::DOUBLE / o.w, o.{own}))
+        FROM {n}1 o WHERE o.cap * o.rest >= (o.b - o.pre) * o.w {same}) AS cut FROM {n}1 m),
+    {n} AS (SELECT {src}.* EXCLUDE ({drop}), CASE WHEN cut IS NULL OR row(m.cap::DOUBLE / m.w, m.{own}) < row(cut.at, cut.nm) THEN m.cap ELSE least(m.cap, (cut.l * m.w) // cut.r) END AS {out}
+        FROM {src} JOIN {n}2 m USING ({keys}))"""
+    case = lambda col, w: "CASE " + " ".join(f"WHEN {col} = '{k}' THEN {v}" for k, v in w.items() if k != "*") + (" ELSE " if len(w) > 1 else "WHEN true THEN ") + f"{w['*']} END"
+    w1, w2, w3 = (case(c, w) for c, w in zip(("domain", "language", "origin"), MIX_WEIGHTS))
+    steps = [
+        level.format(n="a", keys="domain", w="w1", b="total", src="base", parent="1", own="domain", cols="domain, cap, w, b", same="", drop="total", out="b1"),
+        level.format(n="b", keys="domain, language", w="w2", b="b1", src="a", parent="domain", own="language", cols="domain, language, cap, w, b", same="AND o.domain = m.domain", drop="b1", out="b2"),
+        level.format(n="c", keys="domain, language, origin", w="w3", b="b2", src="b", parent="domain, language", own="origin", cols="domain, language, origin, cap, w, b", same="AND o.domain = m.domain AND o.language = m.language", drop="b2", out="b3"),
+    ]
+    return f"""
+WITH slim AS (SELECT doc_id, CASE WHEN coalesce(regexp_extract(source, '([0-9]{{1,9}})$', 1), '') = '' THEN '(none)' ELSE 'd' || (regexp_extract(source, '([0-9]{{1,9}})$', 1)::BIGINT % 4) END AS domain,
+        coalesce(lang, '(none)') AS language, coalesce(source, '(none)') AS origin,
+        len(list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS n FROM {docs} WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+    held AS (SELECT * FROM slim WHERE n > 0),
+    leaf AS (SELECT domain, language, origin, sum(n)::BIGINT AS tokens, sum(n)::BIGINT * {MIX_EPOCHS} AS cap, {w1} AS w1, {w2} AS w2, {w3} AS w3 FROM held GROUP BY ALL),
+    base AS (SELECT *, least(sum(tokens) OVER (), sum(cap) OVER ())::BIGINT AS total FROM leaf),
+    {",".join(steps)},
+    budget AS (SELECT domain, language, origin, tokens, b3::BIGINT // tokens AS whole, b3::BIGINT % tokens AS rest FROM c),
+    ordered AS (SELECT held.*, whole, rest, coalesce(sum(n) OVER (PARTITION BY domain, language, origin ORDER BY md5('{MIX_SEED}:' || whole || ':' || doc_id), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+        FROM held JOIN budget USING (domain, language, origin)),
+    taken AS (SELECT doc_id, domain, language, origin, n, whole, unnest(range(whole + CASE WHEN start < rest THEN 1 ELSE 0 END)) AS epoch, least(n, rest - start) AS part FROM ordered)
+SELECT doc_id, domain, language, origin, epoch::BIGINT AS epoch, n::BIGINT AS n_tokens, CASE WHEN epoch = whole THEN part ELSE n END::BIGINT AS taken FROM taken"""
+
+
+ORACLES["op9_mixing"] = mix_sql()
