@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, mixing, packing, simhash
+from . import html_text, mixing, packing, quality, simhash
 from .shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,8 @@ SELECT doc_id, domain, language, origin, epoch::BIGINT AS epoch, n::BIGINT AS n_
 
 
 ORACLES["op9_mixing"] = mix_sql()
+
+
+@query
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(documents(spark, sf_dir))
