@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, mixing, packing, quality, simhash
+from . import html_text, mixing, packing, quality, simhash, suffix_automaton, suffix_sort
 from .shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,18 @@ ORACLES["op9_mixing"] = mix_sql()
 @query
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents(spark, sf_dir))
+
+
+def _digest(left: DataFrame, size: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["length"])
+    return left.select("doc_id", F.col("n_units").alias(size), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(suffix_automaton.drop_repeated_words(documents(spark, sf_dir)), "n_words")
+
+
+@query
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(suffix_sort.drop_repeated_bytes(documents(spark, sf_dir)), "n_bytes")
