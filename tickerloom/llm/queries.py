@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, mixing, packing, quality, simhash, suffix_automaton, suffix_sort
+from . import embedding, html_text, mixing, packing, quality, simhash, suffix_automaton, suffix_sort
 from .shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,8 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(suffix_sort.drop_repeated_bytes(documents(spark, sf_dir)), "n_bytes")
+
+
+@query
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
