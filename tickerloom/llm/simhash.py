@@ -73,37 +73,36 @@ def ball(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in bits) for k in range(radius + 1) for bits in combinations(range(width), k)]
 
 
-def links(fps: DataFrame, radius: int = 4, segments: int = 3, block: int = 512) -> DataFrame:
+def links(fps: DataFrame, radius: int = 4, segments: int = 3, large: int = 256, block: int = 512) -> DataFrame:
     """Edges (a, b), a < b, between distinct fingerprints, that connect what lies within ``radius`` bits.
 
-    The members of a bucket (a segment value with all that ask for it) are split into blocks of about ``block``
-    rows, and each pair of blocks is one small unit of work that compares all its pairs but returns a
-    spanning forest of the links found. So a large bucket makes many equal units, no list of all pairs is ever
-    made, and no connection is lost. ``fps`` has one column fp without repeats. ``segments`` sets the cost only:
-    3 is right up to some ten million fingerprints, 2 (longer keys, more probes) beyond.
+    Every fingerprint asks for all values of its segments' balls. In a bucket (a segment value) with at most ``large``
+    that ask, they meet the owners in a join that verifies the whole distance. The members of a larger bucket are
+    split into blocks of about ``block`` rows, and each pair of blocks is one small unit of work that compares all
+    its pairs but returns a spanning forest of the links found. So a large bucket makes many equal units, no list of
+    all pairs is ever made, and no connection is lost. ``fps`` has one column fp without repeats. ``segments`` sets the
+    cost only: 3 is right up to some ten million fingerprints, 2 (longer keys, more probes) beyond.
     """
     plan = plan_segments(radius, segments)
-    value = lambda shift, width: F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
-    table = fps.select("fp", F.inline(F.array(*[F.struct(F.lit(i).alias("seg"), value(s, w).alias("key")) for i, (s, w, _) in enumerate(plan)])))
+
     def probes(i: int, shift: int, width: int, radius: int):
-        masks = F.array(*[F.lit(m).cast("long") for m in ball(width, radius) if m])
-        return F.transform(masks, lambda m: F.struct(F.lit(i).alias("seg"), value(shift, width).bitwiseXOR(m).alias("key")))
-
-    balls = [probes(i, *p) for i, p in enumerate(plan) if p[2]]
-    # buckets in which anything can be found: two owners, or an owner and one that asks
-    owned = table.groupBy("seg", "key").agg(F.count(F.lit(1)).alias("owners"))
-    asked = fps.select("fp", F.inline(F.concat(*balls))) if balls else table.limit(0)
-    asks = asked.join(owned, ["seg", "key"])
-    asks = stored(asks.select("seg", "key", "owners", "fp", F.lit(False).alias("owner")), "probes")
-    size = asks.groupBy("seg", "key").agg(F.count(F.lit(1)).alias("askers"))
-    live = owned.join(size, ["seg", "key"], "left").where("owners > 1 OR askers > 0").withColumn("askers", F.coalesce("askers", F.lit(0)))
-    n_owner = F.ceil(F.col("owners") / block).cast("int")
-    n_all = F.ceil((F.col("owners") + F.col("askers")) / block).cast("int")
-    members = table.join(live, ["seg", "key"]).select("seg", "key", "fp", F.lit(True).alias("owner"), n_owner.alias("no"), n_all.alias("na"))
-    members = members.unionByName(
-        asks.drop("owners").join(live, ["seg", "key"]).select("seg", "key", "fp", "owner", n_owner.alias("no"), n_all.alias("na"))
+        value = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
+        masks = F.array(*[F.lit(m).cast("long") for m in ball(width, radius)])
+        return F.transform(masks, lambda m: F.struct(F.lit(i).alias("seg"), value.bitwiseXOR(m).alias("key"), (m == 0).alias("owner")))
+
+    asked = fps.select("fp", F.inline(F.concat(*[probes(i, *p) for i, p in enumerate(plan)])))
+    owned = asked.where("owner").groupBy("seg", "key").agg(F.count(F.lit(1)).alias("owners"))
+    asks = stored(asked.join(owned, ["seg", "key"]), "probes")
+    hot = asks.groupBy("seg", "key").agg(F.count(F.lit(1)).alias("askers")).where(F.col("askers") > large)
+    hot = stored(hot, "buckets")
+    found = asks.join(hot, ["seg", "key"], "left_anti").select("seg", "key", F.col("fp").alias("a"))
+    table = asks.where("owner").select("seg", "key", F.col("fp").alias("b"))
+    near = (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+    direct = found.join(table, (found["seg"] == table["seg"]) & (found["key"] == table["key"]) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # block x of the owners meets block y of all that ask, owners among them
+    members = asks.join(hot, ["seg", "key"]).select(
+        "seg", "key", "fp", "owner", F.ceil(F.col("owners") / block).cast("int").alias("no"), F.ceil(F.col("askers") / block).cast("int").alias("na")
     )
-    # block x of the owners meets block y of owners and askers together
     to_x = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("no")).cast("int")
     to_y = F.pmod(F.xxhash64("fp", F.lit(2)), F.col("na")).cast("int")
     as_y = members.select("seg", "key", "fp", F.lit(False).alias("left"), F.explode(F.expr("sequence(0, no - 1)")).alias("x"), to_y.alias("y"))
@@ -111,7 +110,7 @@ def links(fps: DataFrame, radius: int = 4, segments: int = 3, block: int = 512)
     units = as_x.unionByName(as_y).groupBy("seg", "key", "x", "y").agg(
         F.collect_list(F.when(F.col("left"), F.col("fp"))).alias("owners"), F.collect_list(F.when(~F.col("left"), F.col("fp"))).alias("others")
     )
-    units = units.where(F.size("owners") * F.size("others") > 0).where("NOT (size(owners) = 1 AND owners = others)")
+    units = units.where("size(owners) > 0 AND size(others) > 0")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def forest(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +122,7 @@ def links(fps: DataFrame, radius: int = 4, segments: int = 3, block: int = 512)
                 a, b = zip(*sorted(found))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
-    return units.select("owners", "others").mapInArrow(forest, "a long, b long").distinct()
+    return direct.unionByName(units.select("owners", "others").mapInArrow(forest, "a long, b long")).distinct()
 
 
 def spanning(left: np.ndarray, right: np.ndarray, radius: int) -> list[tuple[int, int]]:
