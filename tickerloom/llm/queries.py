@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding, html_text, mixing, packing, quality, simhash, suffix_automaton, suffix_sort
+from . import embedding, html_text, language_id, mixing, packing, pitman_yor, quality, simhash, suffix_automaton, suffix_sort
 from .shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,10 +31,13 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def packed_rows(packed: DataFrame) -> DataFrame:
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
+
+
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
-    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
+    return packed_rows(packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json")))
 
 
 @query
@@ -117,3 +120,17 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def _crc(column: str, divisor: int):
+    return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
+
+
+@query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir), _crc("doc_id", 3) == 1)
+
+
+@query
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(documents(spark, sf_dir), _crc("doc_id", 7) == 2)

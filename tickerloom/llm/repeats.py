@@ -15,7 +15,7 @@ first of their kind; every other window of a repeated anchor is a repeat. The st
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -167,17 +167,18 @@ def classes_of(rows: DataFrame) -> DataFrame:
     return rows.groupBy("h", "c").agg(first).select("h", "c", "f.*")
 
 
-def drop_repeats(docs: DataFrame, units: Units, kernel: Kernel, portion: int, most_classes: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_units, spans, kept) per row of ``docs``: what is left of each text.
+def drop_repeats(docs: DataFrame, units: Units, kernel: Kernel, portion: int, most_classes: int = 20_000, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, n_units, spans, kept, text, row) per row of ``docs``: what is left of each text.
 
     A unit goes if a window covers it whose units also occur in a row earlier: at a smaller doc_id, or in the same
     document at an earlier place. Windows are judged on the input. ``spans`` are the removed stretches (start,
-    length) in units; ``kept`` is the rest (words joined by a space, or bytes). Null text has no units; a null id
-    is neither compared nor cut. Rows that repeat a doc_id count as that document: none of them is earlier than the
-    other. An empty table gives no rows; other columns are not read.
+    length) in units; ``kept`` is the rest (words joined by a space, or bytes), and ``text`` the same as characters,
+    without the parts of any that a cut went through (null where the text was null, or ``keep`` is empty). Null text
+    has no units; a null id is neither compared nor cut. Rows that repeat a doc_id count as that document: none of them
+    is earlier than the other. An empty table gives no rows. Of other columns, ``keep`` are returned in ``row``.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    whole = source.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *keep).alias("row"))
+    whole = source.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
 
     def find(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batch_iter:
@@ -243,7 +244,7 @@ def drop_repeats(docs: DataFrame, units: Units, kernel: Kernel, portion: int, mo
     span = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 
     def clear(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_units", "spans", "kept"]
+        names = ["doc_id", "n_units", "spans", "kept", "text", "row"]
         for whole_batch in batch_iter:
             for at in range(0, whole_batch.num_rows, 1000):
                 batch = whole_batch.slice(at, 1000)
@@ -260,10 +261,12 @@ def drop_repeats(docs: DataFrame, units: Units, kernel: Kernel, portion: int, mo
                     spans.append([{"start": a, "length": b - a} for a, b in zip(edges[::2], edges[1::2])])
                     left = list(zip([0, *edges[1::2]], [*edges[::2], cut.n]))
                     kept.append((b" " if units.words else b"").join([cut.piece(a, b - a) for a, b in left if b > a]))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=names)
+                texts = [k.decode("utf-8", "ignore") if keep and known else None for k, known in zip(kept, batch.column("text").is_valid().to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()), pa.array(texts, pa.string()), batch.column("row")], names=names)
 
-    fields = "doc_id long, n_units long, spans array<struct<start:bigint,length:bigint>>, kept binary"
-    return source.join(notes, "doc_id", "left").mapInArrow(clear, fields)
+    out = source.join(notes, "doc_id", "left").select("doc_id", "text", "hs", "firsts", "row")
+    fields = f"doc_id long, n_units long, spans array<struct<start:bigint,length:bigint>>, kept binary, text string, row {dict(source.dtypes)['row']}"
+    return out.mapInArrow(clear, fields)
 
 
 def covered(cut: Cut, units: Units, repeated: np.ndarray, firsts: pa.Scalar) -> np.ndarray:

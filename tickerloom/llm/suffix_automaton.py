@@ -9,7 +9,7 @@ removed.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -106,11 +106,11 @@ def first_of_kind(length: int):
     return kernel
 
 
-def drop_repeated_words(docs: DataFrame, length: int = 20, gram: int = 5, portion: int = 300_000, most_classes: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_units, spans, kept): texts as words without what a repeated sequence of ``length`` words covers.
+def drop_repeated_words(docs: DataFrame, length: int = 20, gram: int = 5, portion: int = 300_000, most_classes: int = 20_000, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, n_units, spans, kept, text, row): texts as words without what a repeated sequence of ``length`` words covers.
 
     See ``repeats.drop_repeats`` for the order, null and repeated rows. An automaton of the whole corpus could not
     be sent to every task, so shards hold the passages of a range of anchors, at most about ``portion`` bytes, and
     go to the task that streams the passages with these anchors.
     """
-    return drop_repeats(docs, Units(True, length, gram), first_of_kind(length), portion, most_classes, id_col, text_col)
+    return drop_repeats(docs, Units(True, length, gram), first_of_kind(length), portion, most_classes, id_col, text_col, keep)

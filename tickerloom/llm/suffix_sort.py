@@ -8,6 +8,8 @@ the equal windows, and all but its earliest are repeats.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import DataFrame
 
@@ -66,9 +68,9 @@ def first_of_kind(length: int):
     return kernel
 
 
-def drop_repeated_bytes(docs: DataFrame, length: int = 100, gram: int = 24, portion: int = 2_000_000, most_classes: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_units, spans, kept): texts as bytes without what a repeated string of ``length`` bytes covers.
+def drop_repeated_bytes(docs: DataFrame, length: int = 100, gram: int = 24, portion: int = 2_000_000, most_classes: int = 20_000, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, n_units, spans, kept, text, row): texts as bytes without what a repeated string of ``length`` bytes covers.
 
     See ``repeats.drop_repeats`` for the order, null and repeated rows. ``kept`` may end inside a character.
     """
-    return drop_repeats(docs, Units(False, length, gram), first_of_kind(length), portion, most_classes, id_col, text_col)
+    return drop_repeats(docs, Units(False, length, gram), first_of_kind(length), portion, most_classes, id_col, text_col, keep)
