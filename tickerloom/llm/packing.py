@@ -8,8 +8,10 @@ of one length form a bucket, from which a trainer draws batches of equal shape.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,20 +20,55 @@ from .shared import raw_texts
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
 #: Words whose ids a worker keeps; beyond, the memory is emptied and filled anew. Does not change results.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 1_000_000
+#: Words of these characters, without an apostrophe, consist of the runs below, whatever stands beside them.
+SIMPLE = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
+RUNS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-zÀ-ÖØ-öø-ÿ0-9]+")
 _open: dict = {}
 
 
 def tokenizer(path: str):
-    """(Tokenizer, ids by word) of this worker."""
+    """(Tokenizer, whether an id ends a run of characters, ids by word) of this worker."""
     if path not in _open:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _open[path] = (Tokenizer.from_file(path), {})
+        model = Tokenizer.from_file(path)
+        ends = np.zeros(model.get_vocab_size() + 1, bool)
+        ends[[i for token, i in model.get_vocab().items() if token.endswith("</w>")]] = True
+        _open[path] = (model, ends, {})
     return _open[path]
 
 
+def learn(path: str, words: list[bytes]) -> None:
+    """Put the ids of these words into the worker's memory.
+
+    Simple words are encoded many at a time, and the ids are dealt out by the marks at the ends of runs; where
+    that does not come out even, and for all other words, each is encoded by itself.
+    """
+    model, ends, known = tokenizer(path)
+    alone = []
+    simple = []
+    for word in words:
+        text = word.decode("utf-8", "replace")
+        (simple if SIMPLE.fullmatch(text) and "<|" not in text else alone).append((word, text))
+    for at in range(0, len(simple), 1000):
+        part = simple[at : at + 1000]
+        ids = np.array(model.encode_batch_fast([" ".join([t for _, t in part])], add_special_tokens=False)[0].ids, np.uint32)
+        over = np.flatnonzero(ends[ids]) + 1
+        runs = np.cumsum([len(RUNS.findall(t)) for _, t in part])
+        if len(over) != runs[-1] or over[-1] != len(ids):
+            alone += part
+            continue
+        code, cuts = ids.astype("<u4").tobytes(), (4 * over[runs - 1]).tolist()
+        for (word, _), a, b in zip(part, [0, *cuts], cuts):
+            known[word] = code[a:b]
+    for at in range(0, len(alone), 1000):
+        part = alone[at : at + 1000]
+        for (word, _), code in zip(part, model.encode_batch_fast([t for _, t in part], add_special_tokens=False)):
+            known[word] = np.array(code.ids, "<u4").tobytes()
+
+
 def pieces_of(n: int, longest: int) -> list[tuple[int, int]]:
     """(start, length) of the binary pieces of n tokens; ``longest`` is a power of two."""
     out = [(i * longest, longest) for i in range(n // longest)]
@@ -49,16 +86,13 @@ def token_bytes(path: str, texts: list[bytes]) -> Iterator[bytes]:
     The tokenizer drops white space and never merges across it, so a text's ids are those of its
     white-space separated parts in order, and each distinct part is encoded once per worker.
     """
-    model, known = tokenizer(path)
+    known = tokenizer(path)[2]
     split = [t.split() for t in texts]
-    missing = list({w for words in split for w in words}.difference(known))
+    missing = {w for words in split for w in words}.difference(known)
     if len(known) + len(missing) > WORDS_KEPT:
         known.clear()
-        missing = list({w for words in split for w in words})
-    for at in range(0, len(missing), 5000):
-        part = missing[at : at + 5000]
-        for word, code in zip(part, model.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-            known[word] = pa.array(code.ids, pa.uint32()).buffers()[1].to_pybytes()[: 4 * len(code.ids)] if code.ids else b""
+        missing = {w for words in split for w in words}
+    learn(path, list(missing))
     for words in split:
         yield b"".join([known[w] for w in words])
 
