@@ -21,15 +21,30 @@ def latest_by(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Colum
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def top_n_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, out: str = "rank") -> DataFrame:
-    """First ``n`` rows per key with their position in ``out``."""
+def top_n_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int | None, out: str = "rank") -> DataFrame:
+    """First ``n`` rows per key (None: all) with their position in ``out``."""
     w = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= n)
+    ranked = df.withColumn(out, F.row_number().over(w))
+    return ranked if n is None else ranked.where(F.col(out) <= n)
+
+
+def first_rows(df: DataFrame, order: Sequence[Column | str], limit: int | None) -> DataFrame:
+    """The first ``limit`` rows (None: all) in ``order``."""
+    ordered = df.orderBy(*order)
+    return ordered if limit is None else ordered.limit(limit)
+
+
+#: A configuration that is attached to every row has at most so many rows; more is an error.
+MOST_CONFIG_ROWS = 10_000
 
 
 def with_one_row(df: DataFrame, row: DataFrame) -> DataFrame:
-    """Attach a one-row (or config-sized) frame to every row."""
-    return df.crossJoin(F.broadcast(row))
+    """Attach a one-row (or config-sized) frame to every row. Fails when it has more than ``MOST_CONFIG_ROWS`` rows."""
+    n = F.count(F.lit(1)).over(W.partitionBy())
+    small = row.limit(MOST_CONFIG_ROWS + 1).withColumn("_n", n)
+    message = F.lit(f"more than {MOST_CONFIG_ROWS} rows to attach to every row")
+    checked = small.where(F.when(F.col("_n") <= MOST_CONFIG_ROWS, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
+    return df.crossJoin(F.broadcast(checked.drop("_n")))
 
 
 def sequence_in_groups(

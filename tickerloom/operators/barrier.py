@@ -212,11 +212,14 @@ def baseline_trade_outcomes(signals: DataFrame, bars: DataFrame, max_horizon: in
 
     Bars count within ``max_horizon_days`` bars and ``max_horizon_days + 10`` calendar days
     after the signal; excursions cover all of them. A signal that neither hits a level nor
-    has its full number of bars has no outcome.
+    has its full number of bars has no outcome. A horizon above ``max_horizon``, the longest of
+    ``signals``, is an error.
     """
     side_buy = F.col("side") == "BUY"
     entry, target, stop = F.col("expected_entry_price"), F.col("target_price"), F.col("stop_price")
-    horizon = F.col("max_horizon_days").cast("int")
+    horizon = F.when(F.col("max_horizon_days") <= max_horizon, F.col("max_horizon_days").cast("int")).otherwise(
+        F.raise_error(F.lit(f"max_horizon_days above max_horizon={max_horizon}"))
+    )
     df = attach_future(signals.withColumn("_from", F.date_add("reference_date", 1)), bars, "_from", max_horizon)
     until = F.date_add("reference_date", horizon + 10)
     df = df.withColumn("_bars", F.filter(F.slice("future", 1, horizon), lambda b: b["session_date"] <= until))

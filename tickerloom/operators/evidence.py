@@ -223,12 +223,13 @@ def model_economics_job(df: DataFrame, keys: Sequence[str], split: str = "datase
 def family_evaluation(folds: DataFrame, family: Sequence[str]) -> DataFrame:
     """Evidence per family over all folds, seeds and cost scenarios.
 
-    Stable means at least two seeds, each with a positive upper median delta. Group sizes
+    Rows without a seed count for no seed. Stable means at least two seeds, each with a positive upper median delta. Group sizes
     are folds x seeds x costs, a handful of rows.
     """
     delta = F.col("delta_expectancy_vs_champion")
     per_seed = (
-        folds.groupBy(*family, F.coalesce("seed", F.lit(0)).alias("seed"))
+        folds.where("seed IS NOT NULL")
+        .groupBy(*family, "seed")
         .agg(F.sort_array(F.collect_list(delta)).alias("_d"))
         .withColumn("_upper", F.get("_d", F.floor(F.size("_d") / 2).cast("int")))
         .groupBy(*family)
@@ -248,7 +249,8 @@ def family_evaluation(folds: DataFrame, family: Sequence[str]) -> DataFrame:
         F.sort_array(F.collect_set("cost_multiplier")).alias("cost_multipliers"),
     )
     stable = (F.col("seeds") >= 2) & (F.col("_worst_seed") > 0)
-    return base.join(per_seed, list(family)).withColumn("stable_across_seeds", stable).drop("_worst_seed")
+    known = base.join(per_seed, list(family), "left").withColumn("seeds", F.coalesce("seeds", F.lit(0)).cast("long"))
+    return known.withColumn("stable_across_seeds", F.coalesce(stable, F.lit(False))).drop("_worst_seed")
 
 
 def research_gate(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import avg_if, failed_criteria, status_chain
-from ..functions.frames import latest_by, sequence_in_groups, top_n_by, with_one_row
+from ..functions.frames import first_rows, latest_by, sequence_in_groups, top_n_by, with_one_row
 from .evidence import PROTOCOL, research_gate
 
 
@@ -75,11 +75,11 @@ def champion_regime_averages(returns: DataFrame, dataset: DataFrame, keys: Seque
     )
 
 
-def champion_worst_rows(returns: DataFrame, dataset: DataFrame, limit: int = 50) -> DataFrame:
+def champion_worst_rows(returns: DataFrame, dataset: DataFrame, limit: int | None = 50) -> DataFrame:
     """The rows with the worst result against the champion; context is joined to these only."""
     ties = [c for c in ("ticker", "family", "seed") if c in returns.columns]
     order = ["delta_net_return", "reference_date", *ties]
-    worst = returns.orderBy(*order).limit(limit)
+    worst = first_rows(returns, order, limit)
     return _with_context(dataset=dataset, returns=worst).orderBy(*order)
 
 
@@ -177,9 +177,9 @@ def evolution_leaderboard(evaluations: DataFrame, configs: DataFrame, runs: Data
     return ranked_by_score(joined, ["evolution_run_id"], "rank_in_run")
 
 
-def leaderboard_parents(leaderboard: DataFrame, limit: int) -> DataFrame:
+def leaderboard_parents(leaderboard: DataFrame, limit: int | None) -> DataFrame:
     kept = leaderboard.where("decision <> 'reject'")
-    return kept.orderBy(F.desc("score_total"), F.desc("score_directional_precision"), "candidate_id").limit(limit)
+    return first_rows(kept, [F.desc("score_total"), F.desc("score_directional_precision"), "candidate_id"], limit)
 
 
 def evolution_activity(runs: DataFrame, configs: DataFrame, decisions: DataFrame, since) -> DataFrame:
@@ -236,7 +236,7 @@ def _status_totals(df: DataFrame) -> list[Column]:
     ]
 
 
-def training_runs(registry: DataFrame, decisions: DataFrame, limit: int = 1000) -> DataFrame:
+def training_runs(registry: DataFrame, decisions: DataFrame, limit: int | None = 1000) -> DataFrame:
     """Newest registry rows, each with the totals over the whole registry.
 
     A decision belongs to a model by version or by the family hash in its metrics: two
@@ -268,7 +268,7 @@ def training_runs(registry: DataFrame, decisions: DataFrame, limit: int = 1000)
         F.count_if("is_phase3").alias("phase3_runs"),
         F.count_if(pending).alias("pending_gate_candidate_runs"),
     )
-    newest = marked.orderBy(F.desc("trained_at"), F.desc("created_at"), "model_version").limit(limit)
+    newest = first_rows(marked, [F.desc("trained_at"), F.desc("created_at"), "model_version"], limit)
     return with_one_row(newest, totals)
 
 
@@ -284,7 +284,7 @@ FAMILY_FACTS = ["folds", "seeds", "positive_folds", "positive_fold_ratio", "medi
                 "median_expectancy_net", "max_drawdown", "total_trades", "stable_across_seeds"]
 
 
-def gate_decisions(decisions: DataFrame, families: DataFrame, limit: int = 1000) -> DataFrame:
+def gate_decisions(decisions: DataFrame, families: DataFrame, limit: int | None = 1000) -> DataFrame:
     """Newest decisions with their family's newest evaluation and the totals."""
     rejected = (F.col("decision_status") == "rejected") | ~F.col("passed")
     passed = (F.col("decision_status") == "passed") | F.col("passed")
@@ -293,7 +293,7 @@ def gate_decisions(decisions: DataFrame, families: DataFrame, limit: int = 1000)
         F.count_if(rejected).alias("rejected_decisions"),
         F.count_if(passed).alias("passed_decisions"),
     )
-    newest = decisions.orderBy(F.desc("decided_at"), "decision_id").limit(limit)
+    newest = first_rows(decisions, [F.desc("decided_at"), "decision_id"], limit)
     facts = latest_by(families, FAMILY_KEY, [F.desc("created_at")]).select(*FAMILY_KEY, *FAMILY_FACTS)
     shown = newest.withColumn("failed_criteria", F.array_join("failed_criteria", ", "))
     return with_one_row(shown.join(facts, FAMILY_KEY, "left"), totals)
@@ -312,23 +312,19 @@ def predictions_latest(predictions: DataFrame) -> DataFrame:
     return latest_by(predictions, keys, [F.desc("created_at"), F.desc("job_run_id")])
 
 
-def champion_predictions(predictions: DataFrame, model_version: str, limit: int = 100) -> DataFrame:
+def champion_predictions(predictions: DataFrame, model_version: str, limit: int | None = 100) -> DataFrame:
     mine = predictions.where(F.col("model_version") == model_version)
     newest = mine.agg(F.max("reference_date").alias("reference_date"))
     today = mine.join(F.broadcast(newest), "reference_date")
     keys = ["reference_date", "valid_for", "ticker", "model_version"]
     one = latest_by(today, keys, [F.desc("created_at"), F.desc("job_run_id")])
-    return one.orderBy(F.desc("confidence"), "ticker").limit(limit)
+    return first_rows(one, [F.desc("confidence"), "ticker"], limit)
 
 
-def champion_signals(signals: DataFrame, model_version: str, limit: int = 100) -> DataFrame:
+def champion_signals(signals: DataFrame, model_version: str, limit: int | None = 100) -> DataFrame:
     mine = signals.where(F.col("model_version").isin(model_version, f"neural:{model_version}"))
     newest = mine.agg(F.max("reference_date").alias("reference_date"))
-    return (
-        mine.join(F.broadcast(newest), "reference_date")
-        .orderBy(F.asc_nulls_last("rank"), F.desc_nulls_last("score"), "ticker")
-        .limit(limit)
-    )
+    return first_rows(mine.join(F.broadcast(newest), "reference_date"), [F.asc_nulls_last("rank"), F.desc_nulls_last("score"), "ticker"], limit)
 
 
 def registry_rows(manifests: DataFrame) -> DataFrame:
@@ -587,12 +583,15 @@ def legacy_fold_rekey(folds: DataFrame, configs: DataFrame, targets: DataFrame,
 
 
 def merge_fold_rows(*groups: DataFrame) -> DataFrame:
-    """Fold rows of all groups, one per trial; later groups win."""
+    """Fold rows of all groups, one per trial; later groups win. A row without a trial id stands for itself."""
     merged = None
     for i, g in enumerate(groups):
         part = g.withColumn("_priority", F.lit(i))
         merged = part if merged is None else merged.unionByName(part, allowMissingColumns=True)
-    return latest_by(merged, ["trial_id"], [F.desc("_priority")]).drop("_priority")
+    own = F.sha2(F.to_json(F.struct(*[c for c in merged.columns if c != "_priority"])), 256)
+    named = F.nullif(F.col("trial_id").cast("string"), F.lit(""))
+    merged = merged.withColumns({"_row": own, "_key": F.coalesce(F.concat(F.lit("id:"), named), F.concat(F.lit("row:"), own))})
+    return latest_by(merged, ["_key"], [F.desc("_priority"), F.col("_row")]).drop("_priority", "_row", "_key")
 
 
 FOLD_SCHEMA = "struct<fold_id:string,trial_id:string,seed:long,trades:long,expectancy_net:double,max_drawdown:double,delta_expectancy_vs_champion:double,cost_multiplier:double>"

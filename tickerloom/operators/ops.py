@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import status_chain
-from ..functions.frames import with_one_row
+from ..functions.frames import first_rows, with_one_row
 from .calendar import next_open_day
 
-LIMIT = 200
+#: Default page of the reads below; None reads all.
+PAGE = 200
 
 
 def ops_job_status(runs: DataFrame, config: DataFrame, now: dt.datetime) -> DataFrame:
@@ -57,22 +58,18 @@ def _since(df: DataFrame, day: str, as_of: dt.date, days: int) -> DataFrame:
     return df.where(F.col(day) >= F.lit(as_of - dt.timedelta(days=days)))
 
 
-def ops_dq_latest(checks: DataFrame, as_of: dt.date, days: int = 7) -> DataFrame:
-    return _since(checks, "check_date", as_of, days).orderBy(F.desc("created_at"), "check_name", "check_date").limit(LIMIT)
+def ops_dq_latest(checks: DataFrame, as_of: dt.date, days: int = 7, limit: int | None = PAGE) -> DataFrame:
+    return first_rows(_since(checks, "check_date", as_of, days), [F.desc("created_at"), "check_name", "check_date"], limit)
 
 
 def ops_signals_history(signals: DataFrame, as_of: dt.date, days: int = 365) -> DataFrame:
     return _since(signals, "reference_date", as_of, days).orderBy(F.desc("reference_date"), "rank")
 
 
-def ops_incidents_open(incidents: DataFrame) -> DataFrame:
+def ops_incidents_open(incidents: DataFrame, limit: int | None = PAGE) -> DataFrame:
     unresolved = F.col("status").isin("OPEN", "INVESTIGATING") | F.col("resolved_at").isNull()
-    return (
-        incidents.where(unresolved)
-        .withColumn("source", F.coalesce("job_name", "check_name", F.lit("unknown")))
-        .orderBy(F.desc("created_at"), "incident_id")
-        .limit(LIMIT)
-    )
+    shown = incidents.where(unresolved).withColumn("source", F.coalesce("job_name", "check_name", F.lit("unknown")))
+    return first_rows(shown, [F.desc("created_at"), "incident_id"], limit)
 
 
 def _trading_days(daily: DataFrame, holidays: DataFrame, today: dt.date) -> DataFrame:

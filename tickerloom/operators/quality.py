@@ -43,7 +43,7 @@ def component_status(daily, quotes, signals, metrics, checks, today: dt.date) ->
             F.concat(F.lit("Entradas avaliadas: "), text(F.sum("signals")))),
         one(checks, "dq_checks_daily", "check_date", "created_at",
             (F.col("status") == "FAIL") & (F.col("check_date") == day),
-            F.concat(F.lit("Último status: "), F.any_value("status"))),
+            F.concat(F.lit("Último status: "), F.max_by("status", F.struct("created_at", "status")))),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -42,9 +42,10 @@ def ranking_config(spark: SparkSession, models: list[RankingModel]) -> DataFrame
     return spark.createDataFrame([asdict(m) for m in models])
 
 
-def ranking_factors(features: DataFrame) -> DataFrame:
+def ranking_factors(features: DataFrame, min_volume: float = 1_000_000.0) -> DataFrame:
     """Seven factors per asset and day, the 5-day forward return and the market regime label.
 
+    Assets trade at least ``min_volume`` (the published default); a model's own minimum above it applies later.
     Day averages are windows over ``reference_date``: the same exchange also serves the
     percent ranks, so the market summary needs no join.
     """
@@ -68,7 +69,7 @@ def ranking_factors(features: DataFrame) -> DataFrame:
             "market_return_5d": F.avg("return_5d").over(day),
             "market_volatility_20d": F.avg("volatility_20d").over(day),
         }
-    ).where("financial_volume >= 1000000")
+    ).where(F.col("financial_volume") >= min_volume)
     breadth, move = F.col("breadth_above_sma_20"), F.col("market_return_5d")
     return market.withColumns(
         {
@@ -147,7 +148,7 @@ def top_n_portfolios(ranking: DataFrame, sizes: tuple[int, ...] = (3, 5, 10)) ->
             F.avg("final_score").alias("avg_score"),
             F.avg("forward_return_5d").alias("avg_forward_return_5d"),
             F.avg("estimated_risk").alias("avg_estimated_risk"),
-            F.slice(F.sort_array(picked), 1, 10)["ticker"].alias("selected_tickers"),
+            F.sort_array(picked)["ticker"].alias("selected_tickers"),
         )
     )
 

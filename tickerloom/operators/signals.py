@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 from ..functions.expr import clean_ticker, failed_criteria, status_chain
 from ..functions.frames import latest_by, require_columns, top_n_by
 
-MAX_SIGNALS_PER_DAY = 5
+#: Default number of signals per day; ``top_n`` sets another, None keeps all.
+SIGNALS_PER_DAY = 5
 
 
 # ---------------------------------------------------------------- baseline rules
@@ -169,7 +170,7 @@ def strategy_detail_alerts(status: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class SignalConfig:
-    top_n: int = MAX_SIGNALS_PER_DAY
+    top_n: int | None = SIGNALS_PER_DAY
     x_pct: float = 0.02
     target_pct: float = 0.07
     stop_pct: float = 0.07
@@ -183,8 +184,8 @@ class SignalConfig:
             raise ValueError("target_pct, stop_pct and horizon_days must be positive")
 
     @property
-    def limit(self) -> int:
-        return min(max(0, self.top_n), MAX_SIGNALS_PER_DAY)
+    def limit(self) -> int | None:
+        return None if self.top_n is None else max(0, self.top_n)
 
 
 def number(df: DataFrame, c: str) -> Column:
@@ -265,8 +266,12 @@ def conditional_candidates(daily: DataFrame, metrics: DataFrame | None, cfg: Sig
             clean_ticker("side").alias("side"),
             F.coalesce(number(metrics, "win_rate"), F.lit(0.0)).alias("win_rate"),
             F.coalesce(number(metrics, "profit_factor"), F.lit(0.0)).alias("profit_factor"),
+            *[c for c in ("as_of_date", "created_at") if c in metrics.columns],
         )
-        both = both.join(known, ["ticker", "side"], "left")
+        # repeated metrics of one side: the newest, as far as the table says which that is
+        newest = [F.desc(c) for c in ("as_of_date", "created_at") if c in metrics.columns]
+        known = latest_by(known, ["ticker", "side"], [*newest, F.desc("profit_factor"), F.desc("win_rate")])
+        both = both.join(known.select("ticker", "side", "win_rate", "profit_factor"), ["ticker", "side"], "left")
     preferred = F.when(F.col("close") > F.col("open"), "SELL").otherwise("BUY")
     return _levels(
         both.withColumns(
@@ -286,9 +291,9 @@ def conditional_signals(
     daily: DataFrame, metrics: DataFrame | None = None, cfg: SignalConfig = SignalConfig(),
     ranking_key: str = "score_v1",
 ) -> DataFrame:
-    """Ranked conditional entries per day, at most five tickers.
+    """Ranked conditional entries per day, at most ``cfg.top_n`` tickers.
 
-    ``metrics`` (one row per ticker and side) feeds the score where present.
+    ``metrics`` feeds the score where present; of several rows per ticker and side the newest counts.
     """
     ranked = conditional_candidates(daily, metrics, cfg).withColumn("ranking_key", F.lit(ranking_key))
     return _pick(ranked, cfg, [F.desc("score"), F.col("priority"), F.col("ticker"), F.col("side")])
@@ -316,22 +321,23 @@ def prediction_signals(
 
 def hybrid_signals(
     predictions: DataFrame, metrics: DataFrame | None = None, cfg: SignalConfig = SignalConfig(),
-    min_buy: float = 0.60, min_sell: float = 0.60, model_weight: float = 0.7,
+    min_buy: float = 0.60, min_sell: float = 0.60, model_weight: float = 0.7, heuristic_cap: int | None = SIGNALS_PER_DAY,
 ) -> DataFrame:
     """Prediction signals whose confidence is blended with the heuristic score.
 
-    Only the day's five best heuristic signals carry a score; others count as 0.
+    The day's ``heuristic_cap`` best heuristic signals (None: all) carry a score; others count as 0, and so does a
+    missing confidence.
     """
-    heuristic = conditional_signals(predictions, metrics, cfg).select(
+    heuristic = conditional_signals(predictions, metrics, replace(cfg, top_n=heuristic_cap)).select(
         "reference_date", "ticker", F.col("side").alias("suggested_action"), F.col("score").alias("_heuristic")
     )
     blended = (
         predictions.withColumn("ticker", clean_ticker("ticker"))
         .withColumn("suggested_action", clean_ticker("suggested_action"))
-        .join(F.broadcast(heuristic), ["reference_date", "ticker", "suggested_action"], "left")
+        .join(heuristic, ["reference_date", "ticker", "suggested_action"], "left")
         .withColumn(
             "confidence",
-            model_weight * F.col("confidence") + (1 - model_weight) * F.coalesce("_heuristic", F.lit(0.0)),
+            model_weight * F.coalesce(number(predictions, "confidence"), F.lit(0.0)) + (1 - model_weight) * F.coalesce("_heuristic", F.lit(0.0)),
         )
     )
     return prediction_signals(blended.drop("_heuristic"), cfg, min_buy, min_sell, "hybrid_confidence_v1")

@@ -30,9 +30,9 @@ def active(config: DataFrame, key: str, status: str) -> DataFrame:
     return latest_by(config.where(F.col("status") == status), [key], [F.desc("updated_at")]).drop("status", "updated_at")
 
 
-def paper_candidate_signals(signals: DataFrame, exposure: DataFrame, config: DataFrame, as_of: dt.date) -> DataFrame:
-    """Signals of the last ten days with the regime verdict on trading them."""
-    recent = signals.where(F.col("reference_date") >= F.lit(as_of - dt.timedelta(days=10)))
+def paper_candidate_signals(signals: DataFrame, exposure: DataFrame, config: DataFrame, as_of: dt.date, days: int = 10) -> DataFrame:
+    """Signals of the last ``days`` days with the regime verdict on trading them."""
+    recent = signals.where(F.col("reference_date") >= F.lit(as_of - dt.timedelta(days=days)))
     by_day = exposure.select(
         "reference_date", F.col("market_regime").alias("regime_label"), "exposure_action",
         F.col("max_exposure_pct").alias("recommended_exposure_pct"), "max_trades",
@@ -252,9 +252,9 @@ def strategy_committee(
     )
 
 
-def risk_limits(snapshots: DataFrame, risk_config: DataFrame, as_of: dt.date) -> DataFrame:
-    """Newest risk snapshot of the last week per strategy / ticker / sector against the limits."""
-    week = snapshots.where(F.col("reference_date") >= F.lit(as_of - dt.timedelta(days=7)))
+def risk_limits(snapshots: DataFrame, risk_config: DataFrame, as_of: dt.date, days: int = 7) -> DataFrame:
+    """Newest risk snapshot of the last ``days`` days per strategy / ticker / sector against the limits."""
+    week = snapshots.where(F.col("reference_date") >= F.lit(as_of - dt.timedelta(days=days)))
     keys = [F.coalesce(F.col(c), F.lit("_ALL_")) for c in ("strategy_id", "ticker", "sector")]
     newest = latest_by(week, keys, [F.desc("snapshot_timestamp"), F.col("snapshot_id")])
     breached = F.col("breached_limit").isNotNull()

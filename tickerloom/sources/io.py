@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether Spark finds a table at ``path``."""
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+    return True
+
+
 def append(df: DataFrame, path: str, partition_by: Sequence[str], cluster_by: Sequence[str] = ()) -> None:
     """Append; rows are sorted inside files so that parquet statistics prune ``cluster_by``."""
     if cluster_by:
@@ -96,21 +108,7 @@ def json_safe(df: DataFrame, integers: Sequence[str] = ()) -> DataFrame:
     return df.select(*cols)
 
 
-def partition_scan(df: DataFrame, day: str, first, last=None) -> DataFrame:
-    """One date, or an inclusive range; prunes partitions of a table partitioned by ``day``."""
-    return df.where(F.col(day) == F.lit(first) if last is None else F.col(day).between(F.lit(first), F.lit(last)))
-
-
-def key_scan(df: DataFrame, column: str, keys: Sequence[str] | DataFrame) -> DataFrame:
-    """Rows whose key is in a short literal list or in a table of keys."""
-    if isinstance(keys, DataFrame):
-        return df.join(keys.select(column), column, "left_semi")
-    return df.where(F.col(column).isin(list(keys)))
-
 
-def when_set(column: str, value) -> Column:
-    """Predicate that is true for every row when the parameter is not set."""
-    return F.lit(True) if value is None else F.col(column) == F.lit(value)
 
 
 def latest_snapshot(df: DataFrame, snapshot: str | None = None) -> DataFrame:
@@ -134,27 +132,21 @@ def latest_complete_snapshot(df: DataFrame) -> DataFrame:
     return ready.orderBy(F.desc("max_reference_date"), F.desc("rows_count"), "dataset_snapshot").limit(1)
 
 
-def active_universe(tickers: DataFrame, benchmarks: Sequence[str], cap: int = 50) -> DataFrame:
-    """Active tickers (first ones in order) plus the benchmarks, at most ``cap`` in all."""
+def active_universe(tickers: DataFrame, benchmarks: Sequence[str], cap: int | None = None) -> DataFrame:
+    """Active tickers plus the benchmarks; with ``cap`` at most so many in all, the first in order."""
     names = list(dict.fromkeys(b.strip().upper() for b in benchmarks if b.strip()))[:cap]
     listed = (
         tickers.where("active")
         .select(clean_ticker("ticker").alias("ticker"))
         .where((F.col("ticker") != "") & ~F.col("ticker").isin(names))
         .distinct()
-        .orderBy("ticker")
-        .limit(max(0, cap - len(names)))
-        .withColumn("is_benchmark", F.lit(False))
     )
+    if cap is not None:
+        listed = listed.orderBy("ticker").limit(max(0, cap - len(names)))
+    listed = listed.withColumn("is_benchmark", F.lit(False))
     extra = tickers.sparkSession.createDataFrame([(n, True) for n in names], "ticker string, is_benchmark boolean")
     return listed.unionByName(extra)
 
 
 def has_rows(df: DataFrame, pred: Column) -> bool:
     return not df.where(pred).limit(1).isEmpty()
-
-
-def newest_config(df: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
-    return latest_by(df, [key], list(order))
-
-

@@ -185,6 +185,10 @@ PRICE_DIV = r"""(?s)<div[^>]*class=(['"])(?=[^'"]*\bfxKbKc\b)(?:[^'"]*\s)?YMlKec
 ANY_DIV = r"""(?s)<div[^>]*class=(['"])(?:[^'"]*\s)?YMlKec(?:\s[^'"]*)?\1[^>]*>(.*?)</div>"""
 
 
+# fixed values: named characters of HTML that occur in prices
+ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&"}
+
+
 def parse_number(text: Column) -> Column:
     """``R$ 10,50`` -> 10.5: a lone comma is the decimal point, otherwise commas group thousands."""
     kept = F.regexp_replace(text, "[^0-9.,-]", "")
@@ -195,8 +199,18 @@ def parse_number(text: Column) -> Column:
 
 
 def _text(html: Column) -> Column:
-    """Visible text: tags and character entities removed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(html, "<[^>]+>", ""), "&#?[A-Za-z0-9]+;", ""))
+    """Visible text: character entities decoded (those of no known character dropped), tags removed."""
+
+    def decoded(text: Column, pattern: str, base: int) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+        code = lambda e: F.conv(F.regexp_extract(e, pattern, 1), base, 10).cast("long")
+        sign = lambda e: F.when(code(e).between(1, 255), F.char(code(e))).otherwise("")
+        return F.aggregate(found, text, lambda t, e: F.replace(t, e, sign(e)))
+
+    text = decoded(decoded(html, "&#([0-9]{1,7});", 10), "&#[xX]([0-9A-Fa-f]{1,6});", 16)
+    for name, sign in ENTITIES.items():
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(sign))
+    return F.trim(F.regexp_replace(F.regexp_replace(text, "<[^>]+>", ""), "&#?[A-Za-z0-9]+;", ""))
 
 
 def _first_text(parts: Column) -> Column:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import flag_list
 from ..operators.candles import build_intraday_candles, candle_rows, prepare_quotes
-from ..sources.io import append, replace_partitions, upsert_partitions
+from ..functions.frames import latest_by
+from ..sources.io import append, replace_partitions, table_exists, upsert_partitions
 from ..sources.parsers import normalize_klines
 
 
@@ -78,17 +79,20 @@ def rebuild_days(raw_path: str, candle_path: str) -> Callable[[DataFrame, int],
 
 
 def upsert_klines(path: str, now: Callable[[], dt.datetime]) -> Callable[[DataFrame, int], None]:
-    """Batch handler: closed klines upserted by (symbol, event_time) into a table by event date."""
+    """Batch handler: closed klines upserted into a table by event date.
+
+    The key is exchange, symbol, interval and event time, as far as the batch has these columns; of several rows
+    with one key the one that closed last stays, in the first batch as in later ones.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         good, _ = normalize_klines(batch, now())
         rows = good.withColumn("event_date", F.to_date("event_time"))
-        keys = ["symbol", "event_time"]
-        try:
-            upsert_partitions(batch.sparkSession, path, rows, keys, "event_date", [F.desc("close_time")])
-        except Exception as missing:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            replace_partitions(rows.dropDuplicates(keys), path, ["event_date"])
+        keys = [c for c in ("exchange", "symbol", "interval", "event_time") if c in rows.columns]
+        order = [F.desc("close_time"), *[F.col(c) for c in sorted(set(rows.columns) - set(keys) - {"close_time"})]]
+        if table_exists(batch.sparkSession, path):
+            upsert_partitions(batch.sparkSession, path, rows, keys, "event_date", order)
+        else:
+            replace_partitions(latest_by(rows, keys, order), path, ["event_date"])
 
     return handle
