@@ -141,6 +141,25 @@ def equity_path(df: DataFrame, keys: Sequence[str], day: str, order: Sequence[st
     )
 
 
+def daily_growth(df: DataFrame, keys: Sequence[str], day: str, order: Sequence[str], ret: str) -> DataFrame:
+    """One row per (key, day) with ``max_drawdown`` of the day's part of the equity path, see ``equity_path``.
+
+    A row's drawdown is measured from the peak within its day or from the peak before it, whichever is deeper, so
+    the day's lowest level and its deepest fall within are all that later days need: no row is joined back.
+    """
+    w = W.partitionBy(*keys, day).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    inside = df.withColumn("_p", F.product(1 + F.col(ret)).over(w)).withColumn("_m", F.max("_p").over(w))
+    fall = F.when(F.col("_m") != 0, (F.col("_m") - F.col("_p")) / F.col("_m"))
+    days = inside.groupBy(*keys, day).agg(
+        F.product(1 + F.col(ret)).alias("_growth"), F.max("_m").alias("_top"), F.min("_p").alias("_low"), F.max(fall).alias("_inner")
+    )
+    before = W.partitionBy(*keys).orderBy(day).rowsBetween(W.unboundedPreceding, -1)
+    days = days.withColumn("_start", F.coalesce(F.product("_growth").over(before), F.lit(1.0)))
+    days = days.withColumn("_peak", F.max(F.col("_start") * F.col("_top")).over(before))
+    outer = F.when(F.col("_peak") != 0, (F.col("_peak") - F.col("_start") * F.col("_low")) / F.col("_peak"))
+    return days.select(*keys, day, F.greatest("_inner", outer).alias("max_drawdown"))
+
+
 def add_missing_columns(df: DataFrame, schema) -> DataFrame:
     """Additive schema evolution: append absent columns of ``schema`` as typed NULLs."""
     present = set(df.columns)

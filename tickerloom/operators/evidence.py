@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import clean_ticker, failed_criteria, safe_div
-from ..functions.frames import equity_path, exact_median, top_n_by
+from ..functions.frames import daily_growth, equity_path, exact_median, top_n_by
 from ..sources.io import cut
 
 # fixed values: class order of the probability vector, protocol names
@@ -126,12 +126,13 @@ def fold_drawdown_stop(df: DataFrame, keys: Sequence[str], limit: float | None)
         return df
     if not 0 < limit < 1:
         raise ValueError("limit must be between 0 and 1")
-    df = cut(df, "drawdown-stop")  # read three times below
     path = equity_path(_realised(df), keys, "reference_date", ["ticker"], "model_net_return")
     peak = F.greatest(F.lit(1.0), "peak")
     at = F.struct(*ROW)
     breach = path.where((peak - F.col("equity")) / peak >= limit).groupBy(*keys).agg(F.min(at).alias("_breach"))
-    return _neutral_where(df.join(breach, list(keys), "left"), at > F.col("_breach")).drop("_breach")
+    # the rows come from the path itself, so its exchange serves both sides
+    out = _neutral_where(path.join(breach, list(keys), "left"), at > F.col("_breach"))
+    return out.select(*df.columns)
 
 
 def fold_economics(df: DataFrame, keys: Sequence[str], cost_multipliers: Sequence[float] = (1.0, 1.5)) -> DataFrame:
@@ -142,7 +143,7 @@ def fold_economics(df: DataFrame, keys: Sequence[str], cost_multipliers: Sequenc
         *keys, *ROW, "model_net_return", _is_trade().alias("_trade"),
         F.coalesce("champion_net_return", F.lit(0.0)).alias("_champion"),
     )
-    rows = cut(rows, "fold-rows")  # totals, median and equity path all read these few columns
+    rows = cut(rows, "fold-rows")  # the one stored stage: totals, median and daily growth read these few columns
     r = F.when(F.col("_trade"), F.col("model_net_return"))
     zero = F.lit(0.0)
     base = rows.groupBy(*keys).agg(
@@ -156,8 +157,8 @@ def fold_economics(df: DataFrame, keys: Sequence[str], cost_multipliers: Sequenc
         F.count_if(r > 0).alias("_wins"),
     )
     median = exact_median(rows.where("_trade"), keys, "model_net_return", "median_net_return")
-    path = equity_path(rows, keys, "reference_date", ["ticker"], "model_net_return")
-    drawdown = path.groupBy(*keys).agg(F.max(safe_div(F.col("peak") - F.col("equity"), "peak")).alias("max_drawdown"))
+    days = daily_growth(rows, keys, "reference_date", ["ticker"], "model_net_return")
+    drawdown = days.groupBy(*keys).agg(F.max("max_drawdown").alias("max_drawdown"))
     infinite = F.when(F.col("_gain") > 0, F.lit(float("inf"))).otherwise(zero)
     return (
         base.join(median, list(keys), "left")
@@ -207,7 +208,7 @@ def model_economics_job(df: DataFrame, keys: Sequence[str], split: str = "datase
     keys = [*keys, split]
     needed = ["prob_down", "prob_neutral", "prob_up", "buy_net_return", "sell_net_return", "champion_net_return",
               "return_5d", "financial_volume_z20", "volume_ratio_20d", "volatility_20d"]
-    rows = cut(rows.select(*keys, *ROW, *[c for c in needed if c in rows.columns]), "evidence")
+    rows = rows.select(*keys, *ROW, *[c for c in needed if c in rows.columns])
     rows = directional_labels(rows, policy.get("p_min", 0.45), policy.get("margin", 0.05))
     rows = fold_trade_budget(rows, keys, policy.get("max_trades"))
     rows = ticker_blocklist(rows, policy.get("blocked", ()))

@@ -264,12 +264,12 @@ def champion_dataset(t: Tables):
 
 
 @shared
-def stored_champion(t: Tables):
-    """The part of the stored training dataset that evidence and diagnostics read."""
+def narrow_champion(t: Tables):
+    """The part of the training dataset that evidence and diagnostics read."""
     cols = ["ticker", "reference_date", "dataset_split", "label_class", "buy_net_return", "sell_net_return",
             "return_5d", "log_return_5d", "volatility_20d", "financial_volume_z20", "volume_ratio_20d",
             "champion_strategy_id", "champion_signal_side", "champion_net_return", "champion_trade_active"]
-    return io.cut(champion_dataset(t).select(*cols), "dataset")
+    return champion_dataset(t).select(*cols)
 
 
 @query(
@@ -308,7 +308,7 @@ def evidence_of(t: Tables):
     down = (idx * 7 + tk * 3 + seed * 13 + fam * 29) % 50
     up = (idx * 11 + tk * 5 + seed * 17 + fam * 31) % 50
     return (
-        stored_champion(t)
+        narrow_champion(t)
         .join(bars, ["ticker", "reference_date"])
         .withColumn("family", F.explode(F.array(F.lit(1), F.lit(2))))
         .withColumn("seed", F.explode(F.array(F.lit(11), F.lit(12))))
@@ -339,7 +339,7 @@ def decided(t: Tables):
 
 @shared
 def budgeted(t: Tables):
-    return ev.fold_trade_budget(io.cut(decided(t), "decided"), TRIAL_KEYS, 60)
+    return ev.fold_trade_budget(decided(t), TRIAL_KEYS, 60)
 
 
 @query("directional_labels", DECISION, "SELECT * FROM decided", "decided")
@@ -609,7 +609,7 @@ def returns_of(t: Tables):
     "champion_dataset",
 )
 def _sanity(t: Tables):
-    return gv.champion_snapshot_sanity(stored_champion(t))
+    return gv.champion_snapshot_sanity(narrow_champion(t))
 
 
 @query(
@@ -626,7 +626,7 @@ def _sanity(t: Tables):
     "traded",
 )
 def _overlap(t: Tables):
-    return gv.champion_overlap(returns_of(t), stored_champion(t), ["family"])
+    return gv.champion_overlap(returns_of(t), narrow_champion(t), ["family"])
 
 
 @query(
@@ -641,7 +641,7 @@ def _overlap(t: Tables):
     "traded",
 )
 def _regime_averages(t: Tables):
-    return gv.champion_regime_averages(returns_of(t), stored_champion(t), ["family"])
+    return gv.champion_regime_averages(returns_of(t), narrow_champion(t), ["family"])
 
 
 @query(
@@ -651,4 +651,4 @@ def _regime_averages(t: Tables):
     "traded",
 )
 def _worst(t: Tables):
-    return gv.champion_worst_rows(returns_of(t), stored_champion(t), 50)
+    return gv.champion_worst_rows(returns_of(t), narrow_champion(t), 50)

@@ -12,7 +12,7 @@ from .learning_queries import clean_bars, dataset_of
 from .market_queries import cdl
 from .registry import cte, query, sdiv
 from .research_queries import dashboard_of, exposure_of, ranking_of, rk
-from .signal_queries import AS_OF, METRICS_AS_OF, bar, baseline_of, eod_signals, eod_trades, stored_trades, trades_of
+from .signal_queries import AS_OF, METRICS_AS_OF, bar, baseline_of, eod_signals, eod_trades, trades_of
 from .shared import shared
 from .tables import Tables
 
@@ -534,7 +534,7 @@ cte(
 def paper_orders(t: Tables):
     """Paper orders out of the baseline trades."""
     still_open = F.col("days_in_trade") % 7 == 0
-    return stored_trades(t).withColumns(
+    return trades_of(t).withColumns(
         {
             "paper_order_id": F.concat(F.lit("paper:"), "signal_id"),
             "opened_at": F.col("entry_timestamp"),
@@ -754,7 +754,7 @@ def checklist(t: Tables):
     "bmetrics dashboard paper_orders",
 )
 def _committee(t: Tables):
-    metrics = bar.baseline_metrics(stored_trades(t), AS_OF)
+    metrics = bar.baseline_metrics(trades_of(t), AS_OF)
     return tr.strategy_committee(metrics, dashboard_of(t), paper_orders(t), checklist(t), risk_config(t))
 
 
