@@ -134,3 +134,43 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score(documents(spark, sf_dir), _crc("doc_id", 7) == 2)
+
+
+def repeats_sql(words: bool) -> str:
+    """DuckDB: every window spelled out and ranked by where it starts; what a later equal covers goes."""
+    if words:
+        size, length, split, join = "n_words", 20, "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')", "string_agg(unit, ' ' ORDER BY place)"
+        cut = f"array_to_string(units[k + 1 : k + {length}], ' ')"
+    else:
+        size, length, split, join = "n_bytes", 100, "hex(encode(coalesce(text, '')))", "string_agg(unit, '' ORDER BY place)"
+        cut = f"substr(units, 2 * k + 1, {2 * length})"
+    count = "len(units)" if words else "len(units) // 2"
+    unit = "units[k + 1]" if words else "substr(units, 2 * k + 1, 2)"
+    digest = f"sha256(coalesce({join}, ''))" if words else f"sha256(unhex(coalesce({join}, '')))"
+    return f"""
+WITH texts AS (SELECT doc_id, {split} AS units FROM documents),
+    sized AS (SELECT doc_id, units, {count}::BIGINT AS n FROM texts),
+    windows AS (SELECT doc_id, unnest(range(n - {length - 1})) AS place, unnest(list_transform(range(n - {length - 1}), lambda k: {cut})) AS content FROM sized WHERE n >= {length}),
+    later AS (SELECT doc_id, place FROM windows QUALIFY row_number() OVER (PARTITION BY content ORDER BY doc_id, place) > 1),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(place, place + {length})) AS place FROM later),
+    spans AS (SELECT doc_id, count(*)::BIGINT AS n_removed, count(*) FILTER (WHERE before IS NULL OR before < place - 1)::BIGINT AS n_spans
+        FROM (SELECT doc_id, place, lag(place) OVER (PARTITION BY doc_id ORDER BY place) AS before FROM gone) GROUP BY doc_id),
+    parts AS (SELECT doc_id, unnest(range(n)) AS place, unnest(list_transform(range(n), lambda k: {unit})) AS unit FROM sized),
+    kept AS (SELECT doc_id, {digest} AS kept_sha256 FROM parts ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+SELECT doc_id, n AS {size}, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM sized LEFT JOIN spans USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
+ORACLES["op1_substring_dedup"] = repeats_sql(True)
+ORACLES["op4_suffix_array_dedup"] = repeats_sql(False)
+ORACLES["op7_embedding_near_dedup"] = """
+WITH RECURSIVE usable AS (
+        SELECT vec_id, label, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))) AS norm FROM embeddings
+        WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.embedding) = len(b.embedding)
+        AND list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (a.norm * b.norm) >= 0.93),
+    reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+    roots AS (SELECT a AS vec_id, least(a, min(b)) AS root FROM reach GROUP BY a),
+    degree AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(root, vec_id) AS component_id, coalesce(vec_id = coalesce(root, vec_id), false) AS kept
+FROM embeddings LEFT JOIN degree USING (vec_id) LEFT JOIN roots USING (vec_id)"""
