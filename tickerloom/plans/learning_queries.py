@@ -576,7 +576,14 @@ def _classes(t: Tables):
     return ev.classification_metrics(evidence_of(t).where("dataset_split IS NOT NULL"), TRIAL_KEYS)
 
 
-@query("trial_key", "family:n seed:n fold_id trial_id")
+@query(
+    "trial_key",
+    "family:n seed:n fold_id trial_id",
+    f"""SELECT family, seed, fold_id, 'trial_' || left(sha256(format(
+               '{{{{"candidate_family_hash":"{{}}","code_commit":"commit","dataset_snapshot":"snap_1","fold_id":"{{}}","protocol_version":"{ev.PROTOCOL}","seed":{{}}}}}}',
+               family, fold_id, seed)), 32) AS trial_id FROM job_folds""",
+    "job_folds",
+)
 def _trial(t: Tables):
     key = ev.trial_key(F.lit(ev.PROTOCOL), F.lit("snap_1"), F.col("family").cast("string"), F.col("fold_id"),
                        F.col("seed"), F.lit("commit"))

@@ -302,7 +302,14 @@ def _stream_candles(t: Tables):
     return _run(t, sq.finish_candles(sq.stream_candles(sq.stream_quotes(_stream(t)))), "candles")
 
 
-@query("stream_rollup_1h", "ticker candle_at open:d high:d low:d close:d")
+@query(
+    "stream_rollup_1h",
+    "ticker candle_at open:d high:d low:d close:d",
+    """SELECT ticker, date_trunc('hour', candle_at) AS candle_at, arg_min(open, c.candle_at) AS open, max(high) AS high, min(low) AS low,
+              arg_max(close, c.candle_at) AS close FROM candles_15m AS c GROUP BY ticker, date_trunc('hour', c.candle_at)
+       HAVING date_trunc('hour', c.candle_at) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM ticks) - INTERVAL 15 MINUTE""",
+    "candles_15m ticks",
+)
 def _stream_rollup(t: Tables):
     hours = sq.stream_rollup(sq.stream_candles(sq.stream_quotes(_stream(t))))
     return _run(t, sq.finish_candles(hours), "rollup")
