@@ -583,20 +583,24 @@ def _candidates(t: Tables):
     return tr.paper_candidate_signals(baseline_of(t), exposure_of(t), paper_config(t), DAY)
 
 
+_STATES = "('aberta', 1, 0), ('entrada_simulada', 1, 0), ('encerrada', 0, 1), ('stop', 0, 1), ('target', 0, 1), ('expire', 0, 1), ('time_stop', 0, 1)"
+cte(
+    "order_states",
+    f"""SELECT p.*, coalesce(is_open, 0) AS is_open, coalesce(is_closed, 0) AS is_closed, (simulated_entry_price IS NOT NULL)::INT AS filled
+        FROM paper_orders AS p LEFT JOIN (VALUES {_STATES}) AS s(order_status, is_open, is_closed) USING (order_status)""",
+    "paper_orders",
+)
 cte(
     "paper_days",
-    f"""
-    SELECT *, sum(daily_net_pnl_pct) OVER (ORDER BY reference_date) AS accumulated_net_pnl_pct,
-           CASE WHEN avg_abs_divergence_pct > 0.03 THEN 'divergencia_alta' WHEN execution_rate < 0.8
-                THEN 'baixa_execucao' ELSE 'aderente' END AS adherence_status
-    FROM (SELECT reference_date, count(*) FILTER (WHERE {OPEN_}) AS open_orders,
-                 count(*) FILTER (WHERE {CLOSED_}) AS closed_orders, count(*) AS total_orders,
-                 sum(coalesce(paid, 0)) AS daily_net_pnl_pct, avg(slippage_pct) AS avg_slippage_pct,
-                 avg(abs(divergence_pct)) AS avg_abs_divergence_pct,
-                 {sdiv('count(simulated_entry_price)', 'count(*)')} AS execution_rate
-          FROM paper_orders GROUP BY 1)
+    """
+    SELECT d.*, (SELECT sum(coalesce(paid, 0)) FROM order_states AS o WHERE o.reference_date <= d.reference_date) AS accumulated_net_pnl_pct,
+           coalesce((SELECT min_by(name, place) FROM (VALUES (1, 'divergencia_alta', avg_abs_divergence_pct > 0.03), (2, 'baixa_execucao', execution_rate < 0.8))
+                         AS r(place, name, holds) WHERE holds), 'aderente') AS adherence_status
+    FROM (SELECT reference_date, sum(is_open) AS open_orders, sum(is_closed) AS closed_orders, count(*) AS total_orders, sum(coalesce(paid, 0)) AS daily_net_pnl_pct,
+                 avg(slippage_pct) AS avg_slippage_pct, avg(abs(divergence_pct)) AS avg_abs_divergence_pct, avg(filled) AS execution_rate
+          FROM order_states GROUP BY 1) AS d
     """,
-    "paper_orders",
+    "order_states",
 )
 PAPER_DAY = """reference_date open_orders:n closed_orders:n total_orders:n daily_net_pnl_pct:d avg_slippage_pct:d
                avg_abs_divergence_pct:d execution_rate:d accumulated_net_pnl_pct:d adherence_status"""
@@ -631,18 +635,14 @@ def _closed_today(t: Tables):
     "paper_adherence",
     """strategy_id ticker paper_trades:n expected_backtest_pnl_pct:d realized_paper_pnl_pct:d avg_divergence_pct:d
        avg_abs_divergence_pct:d execution_rate:d adherence_status""",
-    f"""
-    SELECT *, CASE WHEN paper_trades < 20 THEN 'amostra_paper_insuficiente'
-                   WHEN realized_paper_pnl_pct > 0 AND avg_abs_divergence_pct <= 0.5 THEN 'aderente_positivo'
-                   WHEN avg_abs_divergence_pct > 0.5 THEN 'divergencia_explicar' ELSE 'paper_negativo' END
-               AS adherence_status
-    FROM (SELECT strategy_id, ticker, count(*) AS paper_trades,
-                 avg(expected_backtest_pnl_pct) AS expected_backtest_pnl_pct, avg(paid) AS realized_paper_pnl_pct,
-                 avg(divergence_pct) AS avg_divergence_pct, avg(abs(divergence_pct)) AS avg_abs_divergence_pct,
-                 {sdiv('count(simulated_entry_price)', 'count(*)')} AS execution_rate
-          FROM paper_orders WHERE {CLOSED_} GROUP BY 1, 2)
+    """
+    SELECT *, coalesce((SELECT min_by(name, place) FROM (VALUES (1, 'amostra_paper_insuficiente', paper_trades < 20), (2, 'divergencia_explicar', avg_abs_divergence_pct > 0.5),
+                            (3, 'aderente_positivo', realized_paper_pnl_pct > 0 AND avg_abs_divergence_pct IS NOT NULL)) AS r(place, name, holds) WHERE holds), 'paper_negativo') AS adherence_status
+    FROM (SELECT strategy_id, ticker, len(q) AS paper_trades, list_avg([x.b for x in q]) AS expected_backtest_pnl_pct, list_avg([x.p for x in q]) AS realized_paper_pnl_pct,
+                 list_avg([x.d for x in q]) AS avg_divergence_pct, list_avg([abs(x.d) for x in q]) AS avg_abs_divergence_pct, list_avg([x.f for x in q]) AS execution_rate
+          FROM (SELECT strategy_id, ticker, list({'b': expected_backtest_pnl_pct, 'p': paid, 'd': divergence_pct, 'f': filled}) AS q FROM order_states WHERE is_closed = 1 GROUP BY 1, 2))
     """,
-    "paper_orders",
+    "order_states",
 )
 def _adherence(t: Tables):
     return tr.paper_adherence(paper_orders(t))
@@ -726,32 +726,23 @@ def checklist(t: Tables):
     """strategy_id approval_status trades:n expectancy_net_pct:d max_drawdown_pct:d robustness_score:d paper_days:n
        paper_trades:n paper_expectancy_net_pct:d min_sample_ok:b positive_expectancy_ok:b drawdown_ok:b
        oos_validation_ok:b robustness_ok:b paper_trading_ok:b risk_limits_ok:b manual_decision recommended_status""",
-    f"""
-    SELECT *, CASE WHEN manual_decision = 'reprovar' THEN 'reprovada' WHEN manual_decision = 'pausar' THEN 'pausada'
-                   WHEN manual_decision = 'aprovar' AND min_sample_ok AND positive_expectancy_ok AND drawdown_ok
-                        AND oos_validation_ok AND robustness_ok AND paper_trading_ok AND risk_limits_ok THEN 'piloto'
-                   WHEN coalesce(paper_days, 0) > 0 THEN 'paper_trading'
-                   WHEN coalesce(robustness_score, 0) > 0 THEN 'validacao' ELSE 'pesquisa' END AS recommended_status
-    FROM (
-        SELECT m.strategy_id, m.trades, m.expectancy_net_pct, m.max_drawdown_pct, r.robustness_score, p.paper_days,
-               p.paper_trades, p.paper_expectancy_net_pct, coalesce(c.approval_status, 'pesquisa') AS approval_status,
-               m.trades >= 30 AS min_sample_ok, m.expectancy_net_pct > 0 AS positive_expectancy_ok,
-               m.max_drawdown_pct >= -0.2 AS drawdown_ok, r.oos_status = 'aprovado_oos' AS oos_validation_ok,
-               r.robustness_score >= 40 AS robustness_ok,
-               coalesce(p.paper_days >= 20 AND p.paper_trades >= 30 AND p.paper_expectancy_net_pct > 0, FALSE)
-                   AS paper_trading_ok,
-               coalesce(c.risk_limits_ok, FALSE) AS risk_limits_ok, coalesce(c.manual_decision, 'pendente')
-                   AS manual_decision
-        FROM bmetrics AS m LEFT JOIN dashboard AS r USING (strategy_id)
-        LEFT JOIN (SELECT strategy_id, count(DISTINCT reference_date) AS paper_days, count(*) AS paper_trades,
-                          avg(paid) AS paper_expectancy_net_pct FROM paper_orders WHERE {CLOSED_} GROUP BY 1) AS p
-             USING (strategy_id)
-        LEFT JOIN (VALUES ('baseline_daily_momentum_v1', 'piloto', 'aprovar', TRUE),
-                          ('baseline_gap_fade_v1', 'paper', 'reprovar', TRUE))
-             AS c(strategy_id, approval_status, manual_decision, risk_limits_ok) USING (strategy_id)
-    )
+    """
+    SELECT *, (SELECT min_by(name, place) FROM (VALUES (1, 'reprovada', manual_decision = 'reprovar'), (2, 'pausada', manual_decision = 'pausar'),
+                   (3, 'piloto', manual_decision = 'aprovar' AND list_bool_and(checks)), (4, 'paper_trading', paper_days > 0), (5, 'validacao', robustness_score > 0),
+                   (6, 'pesquisa', TRUE)) AS r(place, name, holds) WHERE holds) AS recommended_status,
+           checks[1] AS min_sample_ok, checks[2] AS positive_expectancy_ok, checks[3] AS drawdown_ok, checks[4] AS oos_validation_ok, checks[5] AS robustness_ok,
+           checks[6] AS paper_trading_ok, checks[7] AS risk_limits_ok
+    FROM (SELECT m.*, r.robustness_score AS robustness, p.* EXCLUDE (strategy_id), coalesce(state, 'pesquisa') AS approval_status, coalesce(decision, 'pendente') AS manual_decision,
+                 [m.trades >= 30, m.expectancy_net_pct > 0, m.max_drawdown_pct >= -0.2, r.oos_status = 'aprovado_oos', r.robustness_score >= 40,
+                  coalesce(len(days) >= 20 AND paper_trades >= 30 AND paper_expectancy_net_pct > 0, FALSE), coalesce(within, FALSE)] AS checks, len(days) AS paper_days
+          FROM (SELECT * EXCLUDE (robustness_score) FROM bmetrics) AS m LEFT JOIN dashboard AS r USING (strategy_id)
+          LEFT JOIN (SELECT strategy_id, list(DISTINCT reference_date) AS days, count(*) AS paper_trades, avg(paid) AS paper_expectancy_net_pct
+                     FROM order_states WHERE is_closed = 1 GROUP BY 1) AS p USING (strategy_id)
+          LEFT JOIN (VALUES ('baseline_daily_momentum_v1', 'piloto', 'aprovar', TRUE), ('baseline_gap_fade_v1', 'paper', 'reprovar', TRUE))
+               AS c(strategy_id, state, decision, within) USING (strategy_id)) AS j,
+         LATERAL (SELECT j.robustness AS robustness_score)
     """,
-    "bmetrics dashboard paper_orders",
+    "bmetrics dashboard order_states",
 )
 def _committee(t: Tables):
     metrics = bar.baseline_metrics(trades_of(t), AS_OF)
@@ -793,17 +784,18 @@ def risk_snapshots(t: Tables):
     )
 
 
+# place, risk status, action
+_RISKS = """(1, 'limite_violado', 'pausar_estrategia_imediatamente', breached_limit IS NOT NULL), (2, 'perto_limite_diario', 'reduzir_exposicao', daily_pnl_pct <= -0.8::DOUBLE * 0.02::DOUBLE),
+            (3, 'perto_limite_semanal', 'monitorar', weekly_pnl_pct <= -0.8::DOUBLE * 0.04::DOUBLE), (4, 'limite_posicoes_atingido', 'monitorar', open_positions >= 10),
+            (5, 'dentro_dos_limites', 'monitorar', TRUE)"""
 cte(
     "limits",
     f"""
-    SELECT *, CASE WHEN breached_limit IS NOT NULL THEN 'limite_violado' WHEN daily_pnl_pct <= -0.8::DOUBLE * 0.02::DOUBLE THEN
-                   'perto_limite_diario' WHEN weekly_pnl_pct <= -0.8::DOUBLE * 0.04::DOUBLE THEN 'perto_limite_semanal'
-                   WHEN open_positions >= 10 THEN 'limite_posicoes_atingido' ELSE 'dentro_dos_limites' END AS risk_status,
-           CASE WHEN breached_limit IS NOT NULL THEN 'pausar_estrategia_imediatamente'
-                WHEN daily_pnl_pct <= -0.8::DOUBLE * 0.02::DOUBLE THEN 'reduzir_exposicao' ELSE 'monitorar' END AS recommended_action
-    FROM risk_snapshots WHERE reference_date >= DATE '{DAY}' - 7
-    QUALIFY row_number() OVER (PARTITION BY coalesce(strategy_id, ''), coalesce(ticker, ''), sector
-                               ORDER BY snapshot_timestamp DESC, snapshot_id) = 1
+    SELECT n.*, (SELECT min_by(name, place) FROM (VALUES {_RISKS}) AS r(place, name, action, holds) WHERE holds) AS risk_status,
+           (SELECT min_by(action, place) FROM (VALUES {_RISKS}) AS r(place, name, action, holds) WHERE holds) AS recommended_action
+    FROM risk_snapshots AS n
+    JOIN (SELECT arg_max(snapshot_id, row(snapshot_timestamp, -snapshot_id)) AS snapshot_id FROM risk_snapshots WHERE reference_date >= DATE '{DAY}' - 7
+          GROUP BY coalesce(strategy_id, ''), coalesce(ticker, ''), sector) USING (snapshot_id)
     """,
     "risk_snapshots",
 )
