@@ -150,7 +150,7 @@ cte(
                                              'strategy' || CAST(n_regionkey AS VARCHAR) AS strategy,
                                              CASE WHEN n_nationkey % 4 = 0 THEN 'failed' ELSE 'completed' END
                                                  AS evolution_status
-                                      FROM nation WHERE n_nationkey < 20) AS r USING (evolution_run_id))
+                                      FROM nation) AS r USING (evolution_run_id))
     """,
     "scored",
 )
@@ -159,7 +159,7 @@ cte(
 @shared
 def evolution_runs(t: Tables):
     k = F.col("n_nationkey")
-    rows = t.read("nation").where("n_nationkey < 20").select(
+    rows = t.read("nation").select(
         F.concat(F.lit("run"), k.cast("string")).alias("evolution_run_id"),
         F.concat(F.lit("strategy"), F.col("n_regionkey").cast("string")).alias("strategy"),
         F.explode(F.array(F.lit("running"), F.when(k % 4 == 0, "failed").otherwise("completed"))).alias("status"),
@@ -220,7 +220,7 @@ cte(
            CASE WHEN k % 6 = 0 THEN 'passed' ELSE 'rejected' END AS decision_status,
            CASE WHEN k % 6 = 0 THEN [] ELSE ['trades_insuficientes', 'seeds_instaveis'] END AS failed_criteria,
            created_at AS decided_at, k
-    FROM models WHERE k % 2 = 0
+    FROM models
     """,
     "models",
 )
@@ -231,7 +231,7 @@ def decisions(t: Tables):
     k = F.col("k")
     family = F.when(k % 4 == 0, F.concat(F.lit("fam"), (k % 45).cast("string"))).otherwise(F.col("model_version"))
     none = F.array().cast("array<string>")
-    return models(t).where("k % 2 = 0").select(
+    return models(t).select(
         F.concat(F.lit("gate_"), k.cast("string")).alias("decision_id"),
         F.lit("neural_eod_protocol_v1").alias("protocol_version"),
         F.col("training_dataset_snapshot").alias("dataset_snapshot"),
@@ -259,8 +259,7 @@ def decisions(t: Tables):
                  'strategy' || CAST(n_regionkey AS VARCHAR) AS strategy,
                  DATE '2024-02-01' + CAST(n_nationkey % 6 AS INTEGER) AS activity_date
           FROM nation, LATERAL (SELECT unnest(['running', CASE WHEN n_nationkey % 4 = 0 THEN 'failed'
-                                                               ELSE 'completed' END]) AS status) AS s
-          WHERE n_nationkey < 20) AS r
+                                                               ELSE 'completed' END]) AS status) AS s) AS r
     LEFT JOIN (SELECT evolution_run_id, count(DISTINCT decision_id) AS g,
                       count(DISTINCT CASE WHEN passed THEN decision_id END) AS p
                FROM models AS m JOIN decisions AS d ON lower(d.candidate_family_hash) = lower(m.dedupe_hash)

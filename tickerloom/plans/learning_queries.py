@@ -161,16 +161,16 @@ def _scaler(t: Tables):
     return ds.scaler_rows(ds.fit_scaler(dataset_of(t).where("dataset_split = 'train'")))
 
 
-SCALED = ["return_5d", "volatility_60d", "financial_volume_z20"]
+SCALED = list(ds.FEATURES)
 
 
 @query(
     "apply_scaler",
     "ticker reference_date " + " ".join(f"{f}:d" for f in SCALED),
     "SELECT ticker, reference_date, "
-    + ", ".join(f"(coalesce({f}, m_{f}) - m_{f}) / s_{f} AS {f}" for f in SCALED)
+    + ", ".join(f"(coalesce({f}::DOUBLE, m_{f}) - m_{f}) / s_{f} AS {f}" for f in SCALED)
     + " FROM dataset, (SELECT "
-    + ", ".join(f"avg({f}) AS m_{f}, stddev_samp({f}) AS s_{f}" for f in SCALED)
+    + ", ".join(f"avg({f}::DOUBLE) AS m_{f}, coalesce(nullif(stddev_samp({f}::DOUBLE), 0), 1) AS s_{f}" for f in SCALED)
     + " FROM dataset WHERE dataset_split = 'train')",
     "dataset",
 )
@@ -192,7 +192,7 @@ def _scaled(t: Tables):
     "dataset",
 )
 def _sequences(t: Tables):
-    out = ind.sequence_windows(dataset_of(t), 20, ["return_1d", "volatility_5d"])
+    out = ind.sequence_windows(dataset_of(t), 20, ["return_1d", *[f for f in ds.FEATURES if f != "return_1d"]])
     return out.withColumns(
         {
             "steps": F.size("sequence"),

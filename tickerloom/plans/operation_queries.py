@@ -374,7 +374,7 @@ def _latest_quotes(t: Tables):
     "table_name session_date total_rows:n",
     """
     SELECT n.table_name, r.session_date, coalesce(c, 0) AS total_rows
-    FROM (SELECT DISTINCT session_date FROM daily WHERE session_date <= DATE '2024-02-06'
+    FROM (SELECT DISTINCT session_date FROM daily
           ORDER BY session_date DESC LIMIT 10) AS r
     CROSS JOIN (VALUES ('candles_diarios'), ('candles_intraday_15m')) AS n(table_name)
     LEFT JOIN (SELECT 'candles_diarios' AS table_name, session_date, count(*) AS c FROM daily GROUP BY 2
@@ -386,7 +386,7 @@ def _latest_quotes(t: Tables):
 def _grid(t: Tables):
     quarter = cdl.candle_rows(cdl.build_intraday_candles(t.quotes))
     tables = {"candles_diarios": (t.daily, "session_date"), "candles_intraday_15m": (quarter, "reference_date")}
-    return ops.candles_table_daily_counts(tables, t.daily.where("session_date <= DATE '2024-02-06'"), 10)
+    return ops.candles_table_daily_counts(tables, t.daily, 10)
 
 
 cte(
