@@ -48,10 +48,12 @@ def test_empty_table(spark):
 
 def test_automaton_statistics():
     shard = suffix_automaton.SuffixAutomaton()
-    shard.add("abcabx", 1, 0)
-    shard.add("zabc", 2, 10)
+    shard.add("abcabx", 100)
+    shard.add("zabc", 210)
     shard.settle()
-    assert list(shard.statistics("qabcz", 2)) == [(0, None), (1, None), (2, (1, 1)), (3, (1, 2)), (1, None)]
+    assert [m for m, _ in shard.statistics("qabcz")] == [0, 1, 2, 3, 1]
+    assert list(shard.origins("qabcz", 2)) == [None, None, 101, 102, None]
+    assert list(shard.origins("zabcabx", 4)) == [None, None, None, 213, 103, 104, 105]
 
 
 def test_long_runs_are_cut():

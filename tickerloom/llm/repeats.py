@@ -167,7 +167,7 @@ def classes_of(rows: DataFrame) -> DataFrame:
     return rows.groupBy("h", "c").agg(first).select("h", "c", "f.*")
 
 
-def drop_repeats(docs: DataFrame, units: Units, kernel: Kernel, portion: int, most_classes: int = 20_000, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+def drop_repeats(docs: DataFrame, units: Units, kernel: Kernel, portion: int, most_classes: int = 20_000, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), keep_anchors: bool = False) -> DataFrame:
     """(doc_id, n_units, spans, kept, text, row) per row of ``docs``: what is left of each text.
 
     A unit goes if a window covers it whose units also occur in a row earlier: at a smaller doc_id, or in the same
@@ -176,6 +176,7 @@ def drop_repeats(docs: DataFrame, units: Units, kernel: Kernel, portion: int, mo
     without the parts of any that a cut went through (null where the text was null, or ``keep`` is empty). Null text
     has no units; a null id is neither compared nor cut. Rows that repeat a doc_id count as that document: none of them
     is earlier than the other. An empty table gives no rows. Of other columns, ``keep`` are returned in ``row``.
+    ``keep_anchors`` stores the anchors instead of finding them twice: less time, more disk.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *keep).alias("row"))
     whole = source.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -194,9 +195,10 @@ def drop_repeats(docs: DataFrame, units: Units, kernel: Kernel, portion: int, mo
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(counts).astype(np.int32))], names=["h", "doc_id", "n"])
 
     found = whole.mapInArrow(find, "h long, doc_id long, n int")
+    found = stored(found, "anchors") if keep_anchors else found
     repeated = found.groupBy("h").agg(F.sum("n").alias("places")).where("places > 1").select("h")
     own = found.select("h", "doc_id").join(repeated, "h").groupBy("doc_id").agg(F.collect_set("h").alias("hs"))
-    own = stored(own, "anchors")
+    own = stored(own, "repeated")
 
     def cut_out(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["h", "c", "doc_id", "start", "n", "context"]
