@@ -68,7 +68,7 @@ def first_of_kind(length: int):
     return kernel
 
 
-def drop_repeated_bytes(docs: DataFrame, length: int = 100, gram: int = 24, portion: int = 2_000_000, most_classes: int = 20_000, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+def drop_repeated_bytes(docs: DataFrame, length: int = 100, gram: int = 24, portion: int = 150_000, most_classes: int = 20_000, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """(doc_id, n_units, spans, kept, text, row): texts as bytes without what a repeated string of ``length`` bytes covers.
 
     See ``repeats.drop_repeats`` for the order, null and repeated rows. ``kept`` may end inside a character.
