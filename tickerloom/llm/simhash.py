@@ -92,7 +92,8 @@ def links(fps: DataFrame, radius: int = 4, segments: int = 3, large: int = 256,
 
     asked = fps.select("fp", F.inline(F.concat(*[probes(i, *p) for i, p in enumerate(plan)])))
     owned = asked.where("owner").groupBy("seg", "key").agg(F.count(F.lit(1)).alias("owners"))
-    asks = stored(asked.join(owned, ["seg", "key"]), "probes")
+    # Spark takes the probes for as small as the fingerprints they come from and might send them to every task
+    asks = stored(asked.hint("merge").join(owned, ["seg", "key"]), "probes")
     hot = asks.groupBy("seg", "key").agg(F.count(F.lit(1)).alias("askers")).where(F.col("askers") > large)
     hot = stored(hot, "buckets")
     found = asks.join(hot, ["seg", "key"], "left_anti").select("seg", "key", F.col("fp").alias("a"))
