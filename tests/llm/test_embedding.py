@@ -65,3 +65,15 @@ def test_null_id_and_empty_table(spark):
     # a row without an id is not a vector that others link to; the repeated rows link each other
     assert [g[:1] + g[2:] for g in got] == [(0, 4, False), (4, 4, True), (4, 4, True)] and got[1][1] == got[2][1] == 1
     assert embedding.near_duplicates(frame.limit(0)).count() == 0
+
+
+def groups_of(rows, spark):
+    got = embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    return {r.component_id for r in got}, {r.n_links for r in got}, sum(r.kept for r in got)
+
+
+def test_a_tight_group_larger_than_two_blocks_is_one_component(spark):
+    rng = random.Random(7)
+    centre = [rng.gauss(0, 1) for _ in range(16)]
+    rows = [(i, [x + rng.gauss(0, 1e-4) for x in centre], 0) for i in range(1300)]
+    assert groups_of(rows, spark) == ({0}, {1299}, 1)

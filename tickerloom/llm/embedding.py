@@ -36,17 +36,38 @@ def classes(vectors: DataFrame) -> DataFrame:
     return good.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")).withColumn("dim", F.size("embedding"))
 
 
-def blocked(rows: DataFrame, keys: list[str], block: int) -> DataFrame:
-    """``rows`` with the number ``nb`` of blocks of their group, and their block ``x`` (by hash of id)."""
+def blocked(rows: DataFrame, keys: list[str], block: int, *salt) -> DataFrame:
+    """``rows`` with the number ``nb`` of blocks of their group, and their block ``x`` (by hash of id and ``salt``)."""
     size = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").withColumn("nb", F.ceil(F.col("_n") / block).cast("int")).drop("_n")
-    return rows.join(size, keys).withColumn("x", F.pmod(F.xxhash64("id", F.lit(5)), F.col("nb")).cast("int"))
-
-
-def first_neighbours(vectors: DataFrame, tables: range, k: int, least: float, seed: int, bucket: int = 128, block: int = 512) -> DataFrame:
+    return rows.join(size, keys).withColumn("x", F.pmod(F.xxhash64("id", F.lit(5), *salt), F.col("nb")).cast("int"))
+
+
+def forest(link: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(from, to, roots): a spanning forest of a symmetric link matrix, and the place each of its trees grew from."""
+    unseen, a, b, roots = np.ones(len(link), bool), [], [], []
+    for start in range(len(link)):
+        if not unseen[start]:
+            continue
+        unseen[start], stack = False, [start]
+        roots.append(start)
+        while stack:
+            x = stack.pop()
+            new = np.flatnonzero(link[x] & unseen)
+            unseen[new] = False
+            stack.extend(new)
+            a.append(np.full(len(new), x))
+            b.append(new)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b]), np.array(roots, np.int64)
+
+
+def first_neighbours(vectors: DataFrame, tables: range, k: int, least: float, threshold: float, seed: int, bucket: int = 128, block: int = 512) -> DataFrame:
     """Edges of at least ``least`` among vectors on the same side of all hyperplanes of a table.
 
     The number of hyperplanes follows the label's size, so buckets keep their size; a larger bucket is split into
-    blocks, which meet through other tables and the refinement. Each vector reports its ``k`` nearest of a block.
+    blocks, other ones in each table. Each vector reports its ``k`` nearest of a block, and each block a spanning
+    forest of its links, so that no link between groups is lost to nearer vectors. One vector of every tree stands for
+    it among the trees of the bucket's other blocks, level by level for as long as their number falls.
     """
 
     def codes(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,25 +88,45 @@ def first_neighbours(vectors: DataFrame, tables: range, k: int, least: float, se
     size = vectors.groupBy("label", "dim").agg(F.greatest(F.lit(0), F.least(F.lit(CODE_BITS), F.ceil(F.log2(F.count(F.lit(1)) / bucket)))).cast("int").alias("bits"))
     keyed = coded.join(size, ["label", "dim"]).withColumn("code", F.expr("code & (shiftleft(1L, bits) - 1)")).drop("bits")
     keyed = stored(keyed, "codes")
-    groups = blocked(keyed, ["label", "dim", "t", "code"], block).groupBy("label", "dim", "t", "code", "x").agg(F.collect_list("id").alias("ids"), F.collect_list("embedding").alias("vs")).where("size(ids) > 1")
 
     def nearest(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batch_iter:
-            a, b, s = [], [], []
-            for ids, vs in zip(batch.column("ids"), batch.column("vs")):
+            a, b, s, t = [], [], [], []
+            for table, nb, ids, vs in zip(batch.column("t").to_pylist(), batch.column("nb").to_pylist(), batch.column("ids"), batch.column("vs")):
                 ids, v = ids.values.to_numpy(), unit(vs.values)
                 sims = v @ v.T
                 np.fill_diagonal(sims, -2)
-                top = np.argpartition(-sims, min(k, len(ids) - 1) - 1, axis=1)[:, : min(k, len(ids) - 1)]
-                near = np.take_along_axis(sims, top, 1)
-                row, col = np.nonzero(near >= least)
+                row, col, trees = forest(sims >= threshold)
                 a.append(ids[row])
-                b.append(ids[top[row, col]])
-                s.append(near[row, col])
+                b.append(ids[col])
+                s.append(sims[row, col])
+                if len(ids) > 1:
+                    top = np.argpartition(-sims, min(k, len(ids) - 1) - 1, axis=1)[:, : min(k, len(ids) - 1)]
+                    near = np.take_along_axis(sims, top, 1)
+                    row, col = np.nonzero(near >= least)
+                    a.append(ids[row])
+                    b.append(ids[top[row, col]])
+                    s.append(near[row, col])
+                t.append(np.full(sum(map(len, a)) - sum(map(len, t)), -1, np.int32))
+                if nb > 1:  # what stands for the trees of this block
+                    a.append(ids[trees])
+                    b.append(ids[trees])
+                    s.append(np.full(len(trees), 1.0))
+                    t.append(np.full(len(trees), table, np.int32))
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, s)], names=["a", "b", "sim"])
-
-    return groups.select("ids", "vs").mapInArrow(nearest, EDGE)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, s, t)], names=["a", "b", "sim", "t"])
+
+    found, rows, before = None, keyed, None
+    for level in range(CODE_BITS):
+        groups = blocked(rows, ["label", "dim", "t", "code"], block, F.col("t"), F.lit(level)).groupBy("label", "dim", "t", "code", "x").agg(F.max("nb").alias("nb"), F.collect_list("id").alias("ids"), F.collect_list("embedding").alias("vs"))
+        out = stored(groups.select("t", "nb", "ids", "vs").mapInArrow(nearest, f"{EDGE}, t int"), "nearest")
+        edges, trees = out.where("t < 0").drop("t"), out.where("t >= 0").select("t", F.col("a").alias("id"))
+        found = edges if found is None else found.unionByName(edges)
+        left = trees.count()
+        if left == 0 or (before is not None and left > 0.75 * before):
+            break
+        rows, before = keyed.join(trees, ["t", "id"], "left_semi"), left
+    return found
 
 
 def lists(edges: DataFrame, k: int) -> DataFrame:
@@ -112,6 +153,17 @@ def similarity(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
     return pairs.join(va, "a").join(vb, "b").select("a", "b", "va", "vb").mapInArrow(run, EDGE)
 
 
+def merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root) of the components after ``edges`` (a, b) join those of ``roots``."""
+    ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    ends = edges.join(ra, "a", "left").join(rb, "b", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
+    ends = stored(ends, "ends")
+    joined = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    fresh = ends.select(F.col("a").alias("node"), F.col("ra").alias("root")).unionByName(ends.select(F.col("b").alias("node"), F.col("rb").alias("root")))
+    every = roots.unionByName(fresh).distinct()
+    return stored(every.join(joined.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
+
+
 def refine(edges: DataFrame, vectors: DataFrame, k: int, least: float, rounds: int) -> DataFrame:
     """Neighbours of neighbours, ``rounds`` times or until nothing new is near enough."""
     known = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").distinct(), "edges")
@@ -126,6 +178,24 @@ def refine(edges: DataFrame, vectors: DataFrame, k: int, least: float, rounds: i
     return known
 
 
+def links_between(vectors: DataFrame, roots: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
+    """(a, b): a link for every two components that have one, found by comparing all blocks of each label."""
+    members = vectors.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("label", "dim", "id", F.coalesce("root", "id").alias("root"), "embedding")
+    members = blocked(members, ["label", "dim"], block)
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda y: F.struct(F.least("x", y).alias("x"), F.greatest("x", y).alias("y"))))
+    units = members.withColumn("p", pair).groupBy("label", "dim", "p").agg(*[F.collect_list(c).alias(c) for c in ("id", "root", "embedding")])
+
+    def between(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batch_iter:
+            for ids, own, vs in zip(*[batch.column(c) for c in ("id", "root", "embedding")]):
+                ids, own, v = ids.values.to_numpy(), own.values.to_numpy(), unit(vs.values)
+                row, col = np.nonzero((v @ v.T >= threshold) & (own[:, None] < own[None, :]))
+                one = np.unique(np.stack([own[row], own[col]]), axis=1, return_index=True)[1]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row[one]]), pa.array(ids[col[one]])], names=["a", "b"])
+
+    return units.select("id", "root", "embedding").mapInArrow(between, "a long, b long")
+
+
 def count_links(vectors: DataFrame, roots: DataFrame, threshold: float, block: int = 512) -> DataFrame:
     """(id, links): for every vector of a component, how many vectors of it (copies counted) are links."""
     members = vectors.join(roots.select(F.col("node").alias("id"), "root"), "id").select("root", "id", "copies", "embedding")
@@ -182,17 +252,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, k: int = 16, ta
     Vectors are compared when their labels and dimensions are equal; equal vectors are one class and never paired. Null,
     zero or non-finite vectors, and rows with a null label or id, have no link and are their own component (a null id: a
     null component, not kept). ``promising`` is the least cosine that the refinement follows. ``sample`` bounds the
-    audit; below ``target``, as many tables again are added, up to ``repeats`` times. Repeated rows count as vectors.
+    audit; below ``target``, as many tables again are added, up to ``repeats`` times, and if that is not enough, all
+    components of a label are compared. Repeated rows count as vectors.
     """
     source = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("embedding"))
     distinct = stored(classes(source), "vectors")
     edges = None
     for step in range(repeats + 1):
-        more = first_neighbours(distinct, range(step * tables, (step + 1) * tables), k, promising, seed)
+        more = first_neighbours(distinct, range(step * tables, (step + 1) * tables), k, promising, threshold, seed)
         edges = refine(more if edges is None else edges.unionByName(more), distinct, k, promising, rounds)
         roots = components(edges.where(F.col("sim") >= threshold))
         if audit(distinct, roots, threshold, sample) >= target:
             break
+    else:
+        missed = stored(links_between(distinct, roots, threshold), "missed")
+        roots = merged(roots, missed)
     links = stored(count_links(distinct, roots, threshold), "links")
     known = distinct.join(links, "id", "left").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
     known = known.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("root"))
