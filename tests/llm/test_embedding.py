@@ -77,3 +77,24 @@ def test_a_tight_group_larger_than_two_blocks_is_one_component(spark):
     centre = [rng.gauss(0, 1) for _ in range(16)]
     rows = [(i, [x + rng.gauss(0, 1e-4) for x in centre], 0) for i in range(1300)]
     assert groups_of(rows, spark) == ({0}, {1299}, 1)
+
+
+def test_groups_that_fill_their_own_lists_are_linked(spark):
+    rng = random.Random(4)
+    rows = [(i, [1.0, 0.3 * (i % 2), *[rng.gauss(0, 1e-3) for _ in range(6)]], 0) for i in range(60)]
+    assert 0.93 < cosine(rows[0][1], rows[1][1]) < 0.97
+    assert groups_of(rows, spark) == ({0}, {59}, 1)
+
+
+def test_links_between_components_and_audit_of_small_groups(spark):
+    rng = random.Random(5)
+    # a hot group that is whole, and 40 pairs that are apart
+    rows = [(i, [1.0, *[rng.gauss(0, 1e-3) for _ in range(47)]], 0) for i in range(100)]
+    rows += [(100 + i, [0.0] * (2 + i // 2) + [1.0] + [0.001 * (i % 2)] + [0.0] * (44 - i // 2), 0) for i in range(80)]
+    vectors = embedding.classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    roots = spark.createDataFrame([(i, 0) for i in range(100)], "node long, root long")
+    assert embedding.audit(vectors, roots, 0.93, 1024) == 0
+    missed = embedding.links_between(vectors, roots, 0.93, block=31)
+    assert sorted({(min(r), max(r)) for r in missed.collect()}) == [(i, i + 1) for i in range(100, 180, 2)]
+    whole = embedding.merged(roots, missed)
+    assert embedding.audit(vectors, whole, 0.93, 1024) == 1

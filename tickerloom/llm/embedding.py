@@ -1,9 +1,10 @@
 """Near duplicates among embeddings by NN-descent.
 
 Random hyperplanes give every vector first neighbours; rounds of a neighbours-of-neighbours join refine the lists;
-edges above the threshold connect components. Where a list is saturated (every neighbour is a link, so there may be
-more), it is enlarged to all of its component, compared in pairs of blocks that return counts, not pairs. A bounded
-sample of vectors is held against all rows to audit the recall; too low a recall adds hyperplanes and repeats.
+edges above the threshold connect components. Links and nearer neighbours of other groups have lists of their own, so a
+list that is full of links does not end the search; the links of a vector are then counted over all of its component,
+in pairs of blocks that return counts, not pairs. A bounded sample of vectors is held against all rows to audit the
+recall; too low a recall adds hyperplanes and repeats, and at last compares all blocks of a label.
 """
 
 from __future__ import annotations
@@ -129,10 +130,11 @@ def first_neighbours(vectors: DataFrame, tables: range, k: int, least: float, th
     return found
 
 
-def lists(edges: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best neighbours of each vector, of edges read in both directions."""
+def lists(edges: DataFrame, k: int, threshold: float) -> DataFrame:
+    """The ``k`` best links of each vector and its ``k`` best neighbours below ``threshold``, of edges read in both
+    directions: links do not push out the neighbours that lead to other groups."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")).groupBy("a", "b").agg(F.max("sim").alias("sim"))
-    return both.withColumn("_r", F.row_number().over(W.partitionBy("a").orderBy(F.desc("sim"), "b"))).where(F.col("_r") <= k).drop("_r")
+    return both.withColumn("_r", F.row_number().over(W.partitionBy("a", F.col("sim") >= threshold).orderBy(F.desc("sim"), "b"))).where(F.col("_r") <= k).drop("_r")
 
 
 def similarity(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
@@ -164,18 +166,28 @@ def merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
     return stored(every.join(joined.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
 
 
-def refine(edges: DataFrame, vectors: DataFrame, k: int, least: float, rounds: int) -> DataFrame:
-    """Neighbours of neighbours, ``rounds`` times or until nothing new is near enough."""
-    known = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").distinct(), "edges")
-    for _ in range(rounds):
-        near = stored(lists(known, k), "lists")
-        via = near.select(F.col("a").alias("m"), F.col("b").alias("c"))
-        pairs = near.select("a", F.col("b").alias("m")).join(via, "m").where("a <> c").select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct()
+def refine(edges: DataFrame, vectors: DataFrame, k: int, least: float, threshold: float, rounds: int | None) -> tuple[DataFrame, DataFrame]:
+    """(edges, roots) after neighbours of neighbours, ``rounds`` times or (None) until nothing new is near enough.
+
+    Vectors of one component are not proposed to each other: all their links are counted later.
+    """
+    known = stored(edges.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sim").alias("sim")), "edges")
+    roots = components(known.where(F.col("sim") >= threshold))
+    done = 0
+    while rounds is None or done < rounds:
+        near = stored(lists(known, k, threshold), "lists")
+        root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+        via = near.select(F.col("a").alias("m"), F.col("b").alias("c")).join(root("c"), "c", "left").select("m", "c", F.coalesce("rc", "c").alias("rc"))
+        start = near.select("a", F.col("b").alias("m")).join(root("a"), "a", "left").select("a", "m", F.coalesce("ra", "a").alias("ra"))
+        pairs = start.join(via, "m").where("ra <> rc").select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct()
         new = stored(similarity(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), vectors, least), "near")
         if new.limit(1).isEmpty():
-            return known
-        known = known.unionByName(new)
-    return known
+            break
+        known, done = known.unionByName(new), done + 1
+        links = new.where(F.col("sim") >= threshold)
+        if not links.limit(1).isEmpty():
+            roots = merged(roots, links.select("a", "b"))
+    return known, roots
 
 
 def links_between(vectors: DataFrame, roots: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
@@ -222,9 +234,11 @@ def count_links(vectors: DataFrame, roots: DataFrame, threshold: float, block: i
     return units.select("x", "y", "own", "id", "copies", "embedding").mapInArrow(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def audit(vectors: DataFrame, roots: DataFrame, threshold: float, sample: int) -> float:
-    """Share of the true links of at most ``sample`` vectors that lie inside a component. Reads all rows once."""
-    asked = vectors.orderBy(F.xxhash64("id", F.lit(3)), "id").select("id", "label", "embedding").limit(sample).collect()
+def audit(vectors: DataFrame, roots: DataFrame, threshold: float, sample: int, step: int = 0, least_of_class: int = 32) -> float:
+    """Share of a vector's true links that lie inside its component, the mean over those of at most ``sample`` vectors
+    that have links. Vectors of like many links (powers of two) also count by themselves where they are at least
+    ``least_of_class``, and the lowest mean is returned, so large groups do not hide small ones. Reads all rows once."""
+    asked = vectors.orderBy(F.xxhash64("id", F.lit(3 + step)), "id").select("id", "label", "embedding").limit(sample).collect()
     by_key: dict = {}
     for row in asked:
         by_key.setdefault((row["label"], len(row["embedding"])), []).append((row["id"], row["embedding"]))
@@ -242,27 +256,30 @@ def audit(vectors: DataFrame, roots: DataFrame, threshold: float, sample: int) -
 
     pairs = vectors.select("id", "label", "dim", "embedding").mapInArrow(true_links, "a long, b long")
     ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    row = pairs.join(ra, "a", "left").join(rb, "b", "left").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ra") == F.col("rb")).alias("hit")).first()
-    return row["hit"] / row["n"] if row["n"] else 1.0
+    each = pairs.join(ra, "a", "left").join(rb, "b", "left").groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ra") == F.col("rb")).alias("hit")).collect()
+    if not each:
+        return 1.0
+    share, size = np.array([r["hit"] / r["n"] for r in each]), np.array([r["n"].bit_length() for r in each])
+    return min(share.mean(), *(share[size == x].mean() for x in np.unique(size) if (size == x).sum() >= least_of_class), 1.0)
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, k: int = 16, tables: int = 8, rounds: int = 2, promising: float = 0.8, target: float = 0.97, sample: int = 1024, repeats: int = 3, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, k: int = 16, tables: int = 8, rounds: int | None = None, promising: float = 0.8, target: float = 0.97, sample: int = 1024, repeats: int = 3, seed: int = 11, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row.
 
     Vectors are compared when their labels and dimensions are equal; equal vectors are one class and never paired. Null,
     zero or non-finite vectors, and rows with a null label or id, have no link and are their own component (a null id: a
     null component, not kept). ``promising`` is the least cosine that the refinement follows. ``sample`` bounds the
-    audit; below ``target``, as many tables again are added, up to ``repeats`` times, and if that is not enough, all
-    components of a label are compared. Repeated rows count as vectors.
+    audit; below ``target``, as many tables again are added and ``k`` is doubled, up to ``repeats`` times, and if that is
+    not enough, all components of a label are compared. ``rounds`` None refines until nothing new is found. Repeated rows
+    count as vectors.
     """
     source = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("embedding"))
     distinct = stored(classes(source), "vectors")
     edges = None
     for step in range(repeats + 1):
-        more = first_neighbours(distinct, range(step * tables, (step + 1) * tables), k, promising, threshold, seed)
-        edges = refine(more if edges is None else edges.unionByName(more), distinct, k, promising, rounds)
-        roots = components(edges.where(F.col("sim") >= threshold))
-        if audit(distinct, roots, threshold, sample) >= target:
+        more = first_neighbours(distinct, range(step * tables, (step + 1) * tables), k << step, promising, threshold, seed)
+        edges, roots = refine(more if edges is None else edges.unionByName(more), distinct, k << step, promising, threshold, rounds)
+        if audit(distinct, roots, threshold, sample, step) >= target:
             break
     else:
         missed = stored(links_between(distinct, roots, threshold), "missed")
