@@ -45,3 +45,28 @@ def test_query(spark, tmp_path):
     assert all(len(r.text) == r.n_chars for r in got)
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/none/pages.parquet")
     assert queries.QUERIES["op3_html_extraction"](spark, f"{tmp_path}/none").count() == 0
+
+
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "layout has-sidebar", "main no-sidebar", "post with-comments", "side-by-side"])
+def test_a_wrapper_with_a_doubtful_name_keeps_the_article(name):
+    side = f"<div class=sidebar><p>{P2}</p></div>"
+    assert html_text.main_text(f"<body><div class='{name}'><article>{ARTICLE}</article>{side}</div></body>") == WANT
+    assert html_text.main_text(f"<body><div class='{name}'><div class=text>{ARTICLE}</div>{side}</div></body>") == WANT
+    assert html_text.main_text(f"<body><div class='{name}'>{ARTICLE}</div></body>") == WANT
+
+
+def test_a_form_around_the_page_and_an_article_of_doubtful_parts():
+    assert html_text.main_text(f"<body><form action=/><nav>n</nav><div>{ARTICLE}</div></form></body>") == WANT
+    parts = "".join(f"<div class='side-by-side'><p>{p}</p></div>" for p in (P1, P2))
+    assert html_text.main_text(f"<body><div>{parts}</div></body>") == f"{P1}\n{P2}"
+
+
+def test_longer_comments_are_still_not_the_article():
+    said = "".join(f"<article class=comment-body><p>{P2} says {i}</p></article>" for i in range(3))
+    assert html_text.main_text(f"<main><article>{ARTICLE}</article><div id=comments>{said}</div></main>") == WANT
+    assert html_text.main_text(f"<body><div>{ARTICLE}</div><div id=comments><p>{P2} says a reader</p></div></body>") == WANT
+
+
+def test_formulas_belong_to_the_article():
+    page = f"<article><p>{P1}<p>The sum is <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math>, as shown, above.</article>"
+    assert html_text.main_text(page) == f"{P1}\nThe sum is x=2, as shown, above."

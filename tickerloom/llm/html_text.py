@@ -2,6 +2,8 @@
 
 Text blocks pass points for their length and commas to the elements around them, less with each level and
 discounted by the share of link text. The best container is kept with those siblings that read like text.
+Names that pages give to what is not the article lower the points of what stands inside; such an element goes
+only after that, and stays where it holds the best container together with the article or most of the text.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ IMPLIED = {
     "tr": (frozenset({"tr"}), frozenset({"table"})), "td": (frozenset({"td", "th"}), frozenset({"tr", "table"})), "th": (frozenset({"td", "th"}), frozenset({"tr", "table"})),
     "option": (frozenset({"option"}), frozenset({"select"})),
 }
-DROPPED = frozenset("nav aside footer form script style noscript template head button select menu dialog iframe object svg canvas audio video search textarea title math map".split())
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar tablist status".split())
+DROPPED = frozenset("nav aside footer script style noscript template head button select menu dialog iframe object svg canvas audio video search textarea title map annotation annotation-xml".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar tablist status".split())
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot adbox adunit sponsor sponsored sponsors promo promos promotion promoted banner "
     "cookie cookies consent gdpr privacy notice notices alert alerts warning announcement disclaimer newsletter subscribe subscription signup login register paywall popup "
@@ -56,9 +58,18 @@ class Page:
     def __init__(self, source: str):
         self.tag, self.up, self.off, self.first, self.last = ["#"], [-1], [False], [0], [0]
         self.in_article = [False]
+        self.doubtful, self.depth = [False], [0]  # by its name not the article; how many such elements it stands in
         self.events: list[tuple[int, str]] = []  # (element, text); the text of a break is ""
         self.stack = [0]
         self.build(source)
+        self.hard = self.off
+
+    def drop_doubtful(self, keep: set[int] | None) -> None:
+        """From now on doubtful elements other than ``keep`` are off; None: none of them is."""
+        self.off = list(self.hard)
+        if keep is not None:
+            for n in range(1, len(self.tag)):
+                self.off[n] = self.hard[n] or self.off[self.up[n]] or (self.doubtful[n] and n not in keep)
 
     def open(self, tag: str, attrs: str) -> None:
         n, up = len(self.tag), self.stack[-1]
@@ -66,29 +77,35 @@ class Page:
         self.up.append(up)
         inside = self.in_article[up] or tag in ("article", "main")
         self.in_article.append(inside)
-        self.off.append(self.off[up] or tag in DROPPED or (tag == "header" and not inside) or (len(attrs) > 1 and self.unwanted(tag, attrs, inside)))
+        gone, doubt = self.unwanted(tag, attrs, inside) if len(attrs) > 1 else (False, False)
+        self.off.append(self.off[up] or tag in DROPPED or (tag == "header" and not inside) or gone)
+        self.doubtful.append(doubt or tag == "form")
+        self.depth.append(self.depth[up] + self.doubtful[n])
         self.first.append(len(self.events))
         self.last.append(-1)
         if tag in BLOCK:
             self.events.append((n, ""))
         self.stack.append(n)
 
-    def unwanted(self, tag: str, attrs: str, inside: bool) -> bool:
+    def unwanted(self, tag: str, attrs: str, inside: bool) -> tuple[bool, bool]:
+        """(whether the element is hidden or has another role, whether it has the name of such a one)."""
+        doubt = False
         for name, a, b, c in _ATTR.findall(attrs):
             name, value = name.lower(), a or b or c
             if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-                return True
+                return True, doubt
             if name == "role":
+                doubt = doubt or value.lower() == "form"
                 if value.lower() in ROLES:
-                    return True
+                    return True, doubt
             elif name == "style":
                 if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                    return True
+                    return True, doubt
             elif tag not in ("html", "body", "article", "main", "p") and tag not in HEADINGS:
                 parts = {x.lower() for x in _NAME.findall(value)}
                 if parts & NAMES or (not inside and parts & PAGE_HEAD and not parts & {"article", "entry", "post", "story", "content"}):
-                    return True
-        return False
+                    doubt = True
+        return False, doubt
 
     def close(self, depth: int) -> None:
         """Close all elements from ``depth`` of the stack upwards."""
@@ -181,24 +198,23 @@ class Page:
         return n
 
 
-def main_text(source: str, min_block: int = 25, levels: int = 5) -> str:
-    """Text of the article in ``source``; blocks are joined by a line feed. Nothing found: empty."""
-    page = Page(source)
+def scores(page: Page, min_block: int, levels: int) -> tuple[list[float], list[int], list[int], list[float]]:
+    """(score, letters, letters in links, text) of every element, from the blocks that are not off; ``text`` counts
+    the letters of running text. Within doubtful elements points are halved, once for each."""
     size = len(page.tag)
-    score, letters, linked = [0.0] * size, [0] * size, [0] * size
-    seen = list(page.blocks())
-    if not seen:
-        return ""
-    for n, line, in_links in seen:
+    score, letters, linked, text = [0.0] * size, [0] * size, [0] * size, [0] * size
+    for n, line, in_links in page.blocks():
         element = page.block_element(n)
+        in_links = min(in_links, len(line))
         x = element
         while x >= 0:
             letters[x] += len(line)
-            linked[x] += min(in_links, len(line))
+            linked[x] += in_links
+            text[x] += len(line) - in_links if len(line) >= min_block else 0
             x = page.up[x]
         if len(line) < min_block:
             continue
-        points = (1 + sum(map(line.count, ",،、，")) + min(len(line) / 100, 3)) * (1 - min(in_links, len(line)) / len(line))
+        points = (1 + sum(map(line.count, ",،、，")) + min(len(line) / 100, 3)) * (1 - in_links / len(line)) * 0.5 ** page.depth[element]
         x, share = page.up[element] if page.tag[element] in LEAF_BLOCKS else element, 1.0
         for level in range(levels):
             if x < 0:
@@ -206,8 +222,56 @@ def main_text(source: str, min_block: int = 25, levels: int = 5) -> str:
             score[x] += points * share
             share = 1 / (2 if level == 0 else 3 * (level + 1))
             x = page.up[x]
+    return score, letters, linked, text
+
+
+def ranked(score: list[float], letters: list[int], linked: list[int]) -> list[float]:
+    return [s * (1 - l / n) if n else -1.0 for s, n, l in zip(score, letters, linked)]
+
+
+def main_text(source: str, min_block: int = 25, levels: int = 5) -> str:
+    """Text of the article in ``source``; blocks are joined by a line feed. Nothing found: empty.
+
+    A doubtful element is kept where it is or holds the best container of the page and holds <main>, the longest
+    <article> or most of the text. If what is left is empty or not a tenth of the best container, none is dropped.
+    """
+    page = Page(source)
+    if not any(page.doubtful):
+        return chosen_text(page, min_block, levels)
+    page.drop_doubtful(None)
+    score, letters, linked, text = scores(page, min_block, levels)
+    rank = ranked(score, letters, linked)
+    best = max(range(len(rank)), key=lambda x: (rank[x], -x))
+    if rank[best] <= 0:
+        best = max(range(len(rank)), key=lambda x: (letters[x], x))
+    whole = [x for x in range(len(rank)) if page.tag[x] in ("article", "main") and not page.off[x] and letters[x]]
+    longest = max((x for x in whole if page.tag[x] == "article"), key=lambda x: (text[x], -x), default=-1)
+    holders = set()
+    for x in [longest, *(x for x in whole if page.tag[x] == "main")]:
+        while x > 0:
+            holders.add(x)
+            x = page.up[x]
+    keep, x = set(), best
+    while x > 0:
+        if page.doubtful[x] and (x in holders and page.tag[x] not in ("article", "main") or text[x] > 0.5 * text[0]):
+            keep.add(x)
+        x = page.up[x]
+    page.drop_doubtful(keep)
+    out = chosen_text(page, min_block, levels)
+    if len(out) < 0.1 * letters[best] * 0.5 ** page.depth[best]:
+        page.drop_doubtful(None)
+        out = chosen_text(page, min_block, levels)
+    return out
+
+
+def chosen_text(page: Page, min_block: int, levels: int) -> str:
+    """Text of the best container and its siblings, of the blocks that are not off."""
+    size = len(page.tag)
+    score, letters, linked, _ = scores(page, min_block, levels)
+    if not letters[0]:
+        return ""
     density = lambda x: linked[x] / letters[x] if letters[x] else 0.0
-    rank = [score[x] * (1 - density(x)) if letters[x] else -1.0 for x in range(size)]
+    rank = ranked(score, letters, linked)
     best = max(range(size), key=lambda x: (rank[x], -x))
     if rank[best] <= 0:
         whole = [x for x in range(size) if page.tag[x] in ("article", "main", "body") and letters[x]]
