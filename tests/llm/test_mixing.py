@@ -63,3 +63,10 @@ def test_awkward_tables(spark):
     assert mixing.mix(cases.documents(spark, []), levels, [{}]).count() == 0
     got = mixing.mix(cases.documents(spark, [(None, "a b"), (1, None), (2, " "), (3, "a b c"), (3, "a b c")]), levels, [{}]).collect()
     assert [(r.doc_id, r.taken) for r in got] == [(3, 3), (3, 3)]
+
+
+def test_totals_need_no_window_over_all_leaves(spark):
+    leaves = spark.createDataFrame([("a", "x", 10), ("a", "y", 30), ("b", "x", 60)], "domain string, origin string, tokens long")
+    got = mixing.leaf_budgets(leaves, ["domain", "origin"], [{"*": 1}, {"*": 1}], None, 4)
+    assert "windowspecdefinition(specifiedwindowframe" not in got._jdf.queryExecution().analyzed().toString()
+    assert sorted(map(tuple, got.collect())) == [("a", "x", 10, 25), ("a", "y", 30, 25), ("b", "x", 60, 50)]

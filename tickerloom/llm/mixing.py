@@ -68,8 +68,9 @@ def leaf_budgets(leaves: DataFrame, levels: Sequence[str], weights: Sequence[Map
     for level, w in zip(levels, weights):
         nodes = nodes.withColumn(f"w_{level}", weight(level, w))
     nodes = nodes.withColumn("cap", F.when(F.least(*[F.col(f"w_{c}") for c in levels], F.lit(1)) > 0, F.col("cap")).otherwise(0))
-    wanted = F.sum("tokens").over(W.partitionBy()) if total is None else F.lit(int(total)).cast("long")
-    nodes = nodes.withColumn("budget", F.least(wanted, F.sum("cap").over(W.partitionBy())))
+    sums = nodes.agg(F.sum("tokens").alias("_tokens"), F.sum("cap").alias("_cap"))
+    wanted = F.col("_tokens") if total is None else F.lit(int(total)).cast("long")
+    nodes = nodes.crossJoin(F.broadcast(sums)).withColumn("budget", F.least(wanted, "_cap")).drop("_tokens", "_cap")
     for depth, level in enumerate(levels):
         parent, own = list(levels[:depth]), list(levels[: depth + 1])
         here = nodes.where("cap > 0").groupBy(*own).agg(F.sum("cap").alias("cap"), F.max(f"w_{level}").alias("weight"), F.max("budget").alias("budget"))
