@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding, html_text, language_id, mixing, packing, pitman_yor, quality, simhash, suffix_automaton, suffix_sort
+from . import embedding, html_text, language_id, mixing, packing, pitman_yor, quality, simhash, suffix_automaton, suffix_sort, url_rules
 from .shared import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,6 +136,26 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score(documents(spark, sf_dir), _crc("doc_id", 7) == 2)
 
 
+#: The registered rules: verdict, host and path.
+URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+
+
+@query
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return url_rules.judge(pages, url_rules.rule_table(spark, URL_RULES)).drop("url")
+
+
+ORACLES["op12_url_filters"] = f"""
+WITH rules(verdict, rule) AS (VALUES {", ".join(map(str, URL_RULES))}),
+    rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    parts AS (SELECT page_id, row_number() OVER () AS n, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+    fits AS (SELECT n, max_by(struct_pack(rule := rule, verdict := verdict), length(rule)) AS best FROM parts JOIN rules
+        ON ('.' || host).ends_with('.' || split_part(rule, '/', 1)) AND path.starts_with(rule[instr(rule, '/'):]) GROUP BY n)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM parts LEFT JOIN fits USING (n)"""
+
+
 def repeats_sql(words: bool) -> str:
     """DuckDB: every window spelled out and ranked by where it starts; what a later equal covers goes."""
     if words:
