@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from .shared import stored
 
 #: Text bytes and documents of a block; units and their characters that a worker remembers before it starts anew.
-BLOCK_BYTES, BLOCK_DOCS, UNITS_KEPT, CHARS_KEPT = 8 << 20, 4096, 300_000, 32 << 20
+BLOCK_BYTES, BLOCK_DOCS, UNITS_KEPT, CHARS_KEPT = 4 << 20, 4096, 200_000, 16 << 20
+#: Documents of a block that are looked at together.
+STEP_DOCS = 256
 #: White space beside white space or at the end: there the places of the units are looked at one by one.
 ODD = re.compile(r"\s\s|\s$")
 _open: dict = {}
@@ -125,7 +127,11 @@ class Memory:
         return self._sizes[0], self._off[0], self._codes[0], self._weights[0]
 
     def learn(self, units: list[str]) -> None:
-        """Encode and align units that are not known yet."""
+        """Encode and align units that are not known yet, some at a time: the tokenizers' own results are large."""
+        for at in range(0, len(units), 2048):
+            self._learn(units[at : at + 2048])
+
+    def _learn(self, units: list[str]) -> None:
         voc = self.voc
         a_ids = [e.ids for e in voc.a.encode_batch_fast(units, add_special_tokens=False)]
         b_ids = voc.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
@@ -143,7 +149,7 @@ class Memory:
         counts = np.zeros(len(units), np.int64)
         counts[which] = np.bincount(owner, minlength=len(which))
         self._sizes.append(every)
-        self._off.append(self.tables()[1][-1] + np.cumsum(counts))
+        self._off.append(self._off[-1][-1] + np.cumsum(counts))
         self._codes.append(codes)
         self._weights.append(weights)
         text = iter(texts)
@@ -221,9 +227,9 @@ def block_row(memory: Memory, docs: list[tuple], counted: np.ndarray) -> tuple:
     if len(memory.groups) > UNITS_KEPT or memory.chars > CHARS_KEPT:
         memory.clear()
     rows, held, times = [], [], []
-    for at in range(0, len(docs), 256):
+    for at in range(0, len(docs), STEP_DOCS):
         part = []
-        for doc, raw in docs[at : at + 256]:
+        for doc, raw in docs[at : at + STEP_DOCS]:
             try:
                 text = (raw or b"").decode()
             except UnicodeDecodeError:
@@ -254,12 +260,16 @@ def block_row(memory: Memory, docs: list[tuple], counted: np.ndarray) -> tuple:
     per_unit = off[used + 1] - off[used]
     take = np.repeat(off[used], per_unit) + _spans(per_unit)
     distinct, places = np.unique(codes[take], return_inverse=True)
-    # documents that hold each pair: their units' pairs, each once
-    first = np.cumsum(per_unit) - per_unit
-    spread = per_unit[local]
-    owner = np.repeat(np.repeat(np.arange(len(docs)), doc_sizes), spread)
-    once = np.unique(owner * max(len(distinct), 1) + places[np.repeat(first[local], spread) + _spans(spread)])
-    n_docs = np.bincount(once % max(len(distinct), 1), minlength=len(distinct))
+    # documents that hold each pair: their units' pairs, each once, some documents at a time
+    first, n_docs = np.cumsum(per_unit) - per_unit, np.zeros(len(distinct), np.int64)
+    ends = np.cumsum(doc_sizes)
+    for at in range(0, len(docs), STEP_DOCS):
+        own = local[ends[at] - doc_sizes[at] : ends[min(at + STEP_DOCS, len(docs)) - 1]]
+        spread = per_unit[own]
+        owner = np.repeat(np.repeat(np.arange(len(doc_sizes[at : at + STEP_DOCS])), doc_sizes[at : at + STEP_DOCS]), spread)
+        once = np.unique(owner * len(distinct) + places[np.repeat(first[own], spread) + _spans(spread)])
+        if len(once):
+            n_docs += np.bincount(once % len(distinct), minlength=len(distinct))
     a, b = distinct >> 32, distinct & 0xFFFFFFFF
     identical = voc.same[a] == b
     counted[a[identical]] += n_docs[identical]
@@ -347,7 +357,7 @@ def align_documents(
     ``groups_sha256``. Null and repeated ids are kept row by row; a repeated row counts as a document of its own.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kept = stored(source.mapInArrow(_blocks(path_a, path_b, block_bytes, block_docs), BLOCKS_DDL), "aligned")
+    kept = stored(source.mapInArrow(_blocks(path_a, path_b, block_bytes, block_docs), BLOCKS_DDL), "aligned", {"parquet.block.size": 16 << 20})
     blocks = kept.where("block IS NOT NULL")
     odd = blocks.select("block", F.explode("pairs").alias("p")).select("block", "p.at", "p.code", "p.docs")
     counts = stored(odd.groupBy("code").agg(F.sum("docs").alias("n")), "pairs")
