@@ -275,6 +275,17 @@ def _complete(t: Tables):
 
 # ------------------------------------------------------------------ streaming
 
+# one quote for each ticker and time: the newest
+cte("newest_ticks", "SELECT * FROM ticks QUALIFY row_number() OVER (PARTITION BY ticker, ts ORDER BY seq DESC) = 1", "ticks")
+cte(
+    "newest_candles",
+    """SELECT ticker, time_bucket(INTERVAL 15 MINUTE, ts) AS candle_at, arg_min(price, ts) AS open, max(price) AS high, min(price) AS low,
+              arg_max(price, ts) AS close, count(*) AS samples,
+              CASE WHEN count(*) = 1 THEN ['NO_VOLUME_SOURCE', 'SINGLE_QUOTE_BUCKET'] ELSE ['NO_VOLUME_SOURCE'] END AS flags
+       FROM newest_ticks GROUP BY ALL""",
+    "newest_ticks",
+)
+
 
 def _stream(t: Tables):
     """The quote table as a stream of files."""
@@ -285,34 +296,37 @@ def _stream(t: Tables):
     return streamed.quotes
 
 
-def _run(t: Tables, df, name: str):
-    base = io.checkpoint_dir(t.spark)
-    run = f"{base}/{name}-{dt.datetime.now():%Y%m%d%H%M%S%f}"
+def _run(t: Tables, plan, name: str):
+    """Everything there is, then a heartbeat after the last quote, which closes the open buckets."""
+    run = f"{io.checkpoint_dir(t.spark)}/{name}-{dt.datetime.now():%Y%m%d%H%M%S%f}"
+    df = plan(sq.stream_quotes(_stream(t), beats=sq.clock(t.spark, f"{run}/clock")))
     sq.run_to_table(df, f"{run}/out", f"{run}/state")
+    last = t.quotes.agg(F.max("captured_at")).first()[0]
+    if last is not None:
+        sq.heartbeat(t.spark, f"{run}/clock", last.replace(tzinfo=dt.timezone.utc) + dt.timedelta(days=1))
+        sq.run_to_table(df, f"{run}/out", f"{run}/state")
     return t.spark.read.schema(df.schema).parquet(f"{run}/out")
 
 
 @query(
     "stream_candles_15m",
     "ticker candle_at open:d high:d low:d close:d samples:n flags:a",
-    """SELECT * FROM candles_15m WHERE candle_at + INTERVAL 15 MINUTE <= (SELECT max(ts) FROM ticks) - INTERVAL 15 MINUTE""",
-    "candles_15m ticks",
+    "SELECT * FROM newest_candles",
+    "newest_candles",
 )
 def _stream_candles(t: Tables):
-    return _run(t, sq.finish_candles(sq.stream_candles(sq.stream_quotes(_stream(t)))), "candles")
+    return _run(t, lambda ticks: sq.finish_candles(sq.stream_candles(ticks)), "candles")
 
 
 @query(
     "stream_rollup_1h",
     "ticker candle_at open:d high:d low:d close:d",
-    """SELECT ticker, date_trunc('hour', candle_at) AS candle_at, arg_min(open, c.candle_at) AS open, max(high) AS high, min(low) AS low,
-              arg_max(close, c.candle_at) AS close FROM candles_15m AS c GROUP BY ticker, date_trunc('hour', c.candle_at)
-       HAVING date_trunc('hour', c.candle_at) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM ticks) - INTERVAL 15 MINUTE""",
-    "candles_15m ticks",
+    """SELECT ticker, date_trunc('hour', c.candle_at) AS candle_at, arg_min(open, c.candle_at) AS open, max(high) AS high, min(low) AS low,
+              arg_max(close, c.candle_at) AS close FROM newest_candles AS c GROUP BY ticker, date_trunc('hour', c.candle_at)""",
+    "newest_candles",
 )
 def _stream_rollup(t: Tables):
-    hours = sq.stream_rollup(sq.stream_candles(sq.stream_quotes(_stream(t))))
-    return _run(t, sq.finish_candles(hours), "rollup")
+    return _run(t, lambda ticks: sq.finish_candles(sq.stream_rollup(sq.stream_candles(ticks))), "rollup")
 
 
 # ------------------------------------------------------------------ classifier

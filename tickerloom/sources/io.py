@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -15,14 +17,26 @@ from ..functions.frames import latest_by
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``; a local one only when it is unset."""
+    """Shared folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset a temporary folder is taken in local mode only, as one machine is all there is; on a cluster
+    executors would not see it, so that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a stored intermediate that is not needed any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate result to the shared folder and read it back.
 
@@ -45,6 +59,45 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
+def partition_scan(table: DataFrame, partition: str, value, columns: Sequence[str] | None = None) -> DataFrame:
+    """Rows of one partition; a NULL value finds the rows without one. Only that folder is listed and read."""
+    found = table.where(F.col(partition).isNull() if value is None else F.col(partition) == F.lit(value))
+    return found.select(*columns) if columns else found
+
+
+def range_scan(table: DataFrame, partition: str, first=None, last=None, columns: Sequence[str] | None = None) -> DataFrame:
+    """Rows of the partitions from ``first`` to ``last``, both included; an end that is None is open."""
+    if first is not None:
+        table = table.where(F.col(partition) >= F.lit(first))
+    if last is not None:
+        table = table.where(F.col(partition) <= F.lit(last))
+    return table.select(*columns) if columns else table
+
+
+def key_scan(table: DataFrame, keys: DataFrame | Sequence, on: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """Rows whose ``on`` is among the keys; NULL keys find nothing.
+
+    A sequence becomes a literal list, which reaches the scan. A frame is semi-joined; where ``on`` is a partition
+    column and the keys come out of a filter, Spark prunes the partitions at run time by the keys it has found.
+    """
+    if isinstance(keys, DataFrame):
+        found = table.join(keys.select(on), on, "left_semi")
+    else:
+        found = table.where(F.col(on).isin([k for k in keys if k is not None]))
+    return found.select(*columns) if columns else found
+
+
+#: Partitions of a batch that are named in the plan; if it touches more, they are found by a join.
+MOST_NAMED_PARTITIONS = 5_000
+
+
+def touched(table: DataFrame, batch: DataFrame, partition: str) -> DataFrame:
+    """Rows of the partitions that ``batch`` has rows of; their names, if not too many, prune the scan beforehand."""
+    days = batch.select(partition).where(F.col(partition).isNotNull()).distinct()
+    names = [r[0] for r in days.limit(MOST_NAMED_PARTITIONS + 1).collect()]
+    return key_scan(table, names if len(names) <= MOST_NAMED_PARTITIONS else days, partition)
+
+
 def append(df: DataFrame, path: str, partition_by: Sequence[str], cluster_by: Sequence[str] = ()) -> None:
     """Append; rows are sorted inside files so that parquet statistics prune ``cluster_by``."""
     if cluster_by:
@@ -84,17 +137,37 @@ def upsert(
     return kept.unionByName(source, allowMissingColumns=True)
 
 
-def upsert_partitions(spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str], partition: str, order: Sequence[Column] | None = None) -> None:
+def upsert_partitions(
+    spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str], partition: str, order: Sequence[Column] | None = None,
+    keep_from_target: Sequence[str] = (), first=None,
+) -> None:
     """Upsert into a partitioned table, rewriting only the partitions that ``source`` touches.
 
-    The merged rows go to the shared folder first, since a table cannot be overwritten
-    while it is read.
+    With ``first``, older partitions are not even listed. The merged rows go to the shared folder first, since a table
+    cannot be overwritten while it is read.
+    """
+    target = range_scan(spark.read.parquet(path), partition, first)
+    current = touched(target, source, partition)
+    merged = upsert(current, source, keys, order, keep_from_target)
+    held = f"{checkpoint_dir(spark)}/upsert-{uuid.uuid4().hex}"
+    merged.write.parquet(held)
+    replace_partitions(spark.read.schema(merged.schema).parquet(held), path, [partition])
+    discard(spark, held)
+
+
+def merge_recent(
+    spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str], partition: str, as_of: dt.date, days: int | None = 365,
+    order: Sequence[Column] | None = None, keep_from_target: Sequence[str] = (),
+) -> None:
+    """Merge the rows of ``source`` from the last ``days`` days before ``as_of`` into a table by date (None: all rows).
+
+    Rows with the keys and date of a stored row replace it (but for ``keep_from_target``), others are added; later
+    rows than ``as_of`` are merged too. Partitions older than the window are neither read nor written, nor are
+    those that no source row falls into. The keys have to determine the date, as ids made of it do.
     """
-    target = spark.read.parquet(path)
-    touched = source.select(partition).distinct()
-    current = target.join(F.broadcast(touched), partition, "left_semi")
-    merged = cut(upsert(current, source, keys, order), "upsert")
-    replace_partitions(merged, path, [partition])
+    first = None if days is None else as_of - dt.timedelta(days=days)
+    recent = range_scan(source, partition, first)
+    upsert_partitions(spark, path, recent, [*keys, partition], partition, order, keep_from_target, first)
 
 
 def json_safe(df: DataFrame, integers: Sequence[str] = ()) -> DataFrame:
@@ -108,9 +181,6 @@ def json_safe(df: DataFrame, integers: Sequence[str] = ()) -> DataFrame:
     return df.select(*cols)
 
 
-
-
-
 def latest_snapshot(df: DataFrame, snapshot: str | None = None) -> DataFrame:
     """Rows of the given snapshot, or of the newest one that has split rows."""
     if snapshot is not None:

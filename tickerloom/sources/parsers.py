@@ -130,11 +130,18 @@ def split_symbol(symbol: Column) -> tuple[Column, Column]:
     return F.when(hit, F.regexp_extract(symbol, pattern, 1)), F.when(hit, F.regexp_extract(symbol, pattern, 2))
 
 
-def normalize_klines(raw: DataFrame, now: dt.datetime) -> tuple[DataFrame, DataFrame]:
+def normalize_klines(
+    raw: DataFrame, now: dt.datetime, exchange: str | None = None, interval: str | None = None, source: str | None = None,
+    ingested_at: dt.datetime | None = None, run_id: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(candles, rejects) from ``symbol`` and a JSON array ``kline``; open candles are dropped.
 
-    A row with fewer than 11 fields, an unreadable number or an unknown symbol is rejected.
+    A row with fewer than 11 fields, an unreadable number or an unknown symbol is rejected. ``exchange``,
+    ``interval``, ``source``, ``ingested_at`` and ``job_run_id`` are columns of the candles: those of ``raw`` where
+    it has them (their gaps filled), else the given values.
     """
+    stamps = {"exchange": exchange, "interval": interval, "source": source, "ingested_at": ingested_at, "job_run_id": run_id}
+    stamp = {c: F.lit(v) if c not in raw.columns else F.coalesce(c, F.lit(v)) for c, v in stamps.items() if v is not None}
     base, quote = split_symbol(F.col("symbol"))
     rows = raw.withColumns({"_a": F.from_json("kline", "array<string>"), "base_asset": base, "quote_asset": quote})
 
@@ -170,7 +177,7 @@ def normalize_klines(raw: DataFrame, now: dt.datetime) -> tuple[DataFrame, DataF
         ]
     )
     limit = F.lit(now.replace(tzinfo=dt.timezone.utc) if now.tzinfo is None else now)
-    good = typed.where(whole & (F.col("close_time") <= limit)).withColumn("flags", flags).drop("_a", "kline")
+    good = typed.where(whole & (F.col("close_time") <= limit)).withColumns({"flags": flags} | stamp).drop("_a", "kline")
     return good, typed.where(~whole).select(*raw.columns)
 
 
