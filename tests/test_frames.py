@@ -34,7 +34,7 @@ def by_key(rows):
 
 
 def test_exact_median_equals_statistics(frame, rows):
-    got = {r.key: r.m for r in fr.exact_median(frame, ["key"], "value", "m", buckets=16).collect()}
+    got = {r.key: r.m for r in fr.exact_median(frame, ["key"], "value", "m", accuracy=16).collect()}
     want = {k: statistics.median(x[3] for x in g) for k, g in by_key(rows).items()}
     assert got == pytest.approx(want)
 

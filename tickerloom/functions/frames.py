@@ -78,23 +78,20 @@ def sequence_in_groups(
     )
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str, buckets: int = 1024) -> DataFrame:
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str, accuracy: int = 2048) -> DataFrame:
     """Exact median per key without bringing a group into one task.
 
-    Values are counted per bucket of their key's range; only the bucket or two
-    holding the middle ranks are then sorted.
+    Two splitters around the middle come from the data (``percentile_approx``, whose ranks are off by at most
+    1/accuracy), so no spread of the values makes the slice between them large. The slices below, between and above
+    are counted exactly, and only the one or two with the middle ranks are sorted, one row per distinct value.
     """
-    freq = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    span = freq.groupBy(*keys).agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_n").alias("_total")
-    )
-    placed = freq.join(span, list(keys)).withColumn(
-        "_b",
-        F.when(
-            F.col("_hi") > F.col("_lo"),
-            F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets),
-        ).otherwise(F.lit(0)),
-    )
+    margin = 2 / accuracy
+    known = df.where(F.col(value).isNotNull())
+    ends = F.percentile_approx(value, [max(0.0, 0.5 - margin), min(1.0, 0.5 + margin)], accuracy)
+    span = known.groupBy(*keys).agg(ends.alias("_ends"), F.count(F.lit(1)).alias("_total"))
+    freq = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    slice_no = F.when(F.col(value) < F.col("_ends")[0], 0).when(F.col(value) <= F.col("_ends")[1], 1).otherwise(2)
+    placed = freq.join(span, list(keys)).withColumn("_b", slice_no).drop("_ends")
     lower, upper = F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
     running = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
     middle = (

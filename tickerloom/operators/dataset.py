@@ -159,26 +159,27 @@ class WalkForwardConfig:
         )
 
 
-def _checked(sessions: DataFrame, cfg: WalkForwardConfig) -> None:
-    have = sessions.count()
-    if have < cfg.required:
-        raise ValueError(f"not enough sessions for walk-forward: got {have}, require at least {cfg.required}")
+def _enough(total: Column, cfg: WalkForwardConfig) -> Column:
+    """The number of sessions; the plan fails when it runs on too short a history."""
+    have = F.coalesce(total, F.lit(0))
+    message = F.concat(F.lit("not enough sessions for walk-forward: got "), have.cast("string"), F.lit(f", require at least {cfg.required}"))
+    return F.when(have >= cfg.required, have).otherwise(F.raise_error(message).cast("long"))
 
 
 def walk_forward_plan(df: DataFrame, cfg: WalkForwardConfig = WalkForwardConfig(), day: str = "reference_date") -> DataFrame:
     """Expanding train, calibration and outer test windows; the newest sessions stay locked.
 
-    Raises when the history is too short. Windows are index arithmetic on the session list.
+    Fails when it runs on too short a history; an empty table gives no folds. Windows are index arithmetic on the session list; building the plan starts
+    no job.
     """
     index = session_index(df, day)
-    _checked(index, cfg)
     total = F.col("sessions")
     start = (
         total - cfg.locked_holdout_sessions - (cfg.outer_folds - F.col("fold_no")) * cfg.outer_test_sessions
     )
     cal_end = F.col("_test_start") - cfg.embargo_sessions
     folds = (
-        index.agg(F.max("sessions").alias("sessions"))
+        index.agg(_enough(F.max("sessions"), cfg).alias("sessions"))
         .withColumn("fold_no", F.explode(F.sequence(F.lit(0), F.lit(cfg.outer_folds - 1))))
         .withColumn("_test_start", start)
         .withColumns({"_cal_end": cal_end, "_cal_start": cal_end - cfg.calibration_sessions})
@@ -212,10 +213,10 @@ def walk_forward_plan(df: DataFrame, cfg: WalkForwardConfig = WalkForwardConfig(
 
 
 def holdout_split(df: DataFrame, cfg: WalkForwardConfig = WalkForwardConfig(), day: str = "reference_date") -> DataFrame:
-    """Mark rows ``research`` or ``locked_holdout`` (the newest sessions)."""
+    """Mark rows ``research`` or ``locked_holdout`` (the newest sessions). Too short a history fails as above; no rows
+    stay no rows."""
     index = session_index(df, day)
-    _checked(index, cfg)
-    locked = F.col("session_no") >= F.col("sessions") - cfg.locked_holdout_sessions
+    locked = F.col("session_no") >= _enough(F.col("sessions"), cfg) - cfg.locked_holdout_sessions
     by_day = index.select(day, F.when(locked, "locked_holdout").otherwise("research").alias("dataset_split"))
     return df.join(F.broadcast(by_day), day)
 

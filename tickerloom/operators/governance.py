@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import avg_if, failed_criteria, status_chain
+from ..functions.expr import avg_if, failed_criteria, flag_list, status_chain
 from ..functions.frames import first_rows, latest_by, sequence_in_groups, top_n_by, with_one_row
 from .evidence import PROTOCOL, research_gate
 
@@ -596,15 +596,17 @@ def merge_fold_rows(*groups: DataFrame) -> DataFrame:
 
 FOLD_SCHEMA = "struct<fold_id:string,trial_id:string,seed:long,trades:long,expectancy_net:double,max_drawdown:double,delta_expectancy_vs_champion:double,cost_multiplier:double>"
 FAMILY_SCHEMA = "struct<folds:long,seeds:long,median_delta_expectancy_vs_champion:double,mean_delta_expectancy_vs_champion:double,worst_fold_delta_expectancy_vs_champion:double,positive_folds:long,median_expectancy_net:double,max_drawdown:double,total_trades:long,stable_across_seeds:boolean,cost_multipliers:array<double>>"
-ECONOMICS_SCHEMA = f"struct<protocol_version:string,dataset_snapshot:string,candidate_family_hash:string,seed:long,seed_count:long,fold_metrics:array<{FOLD_SCHEMA}>,family_evaluation:{FAMILY_SCHEMA}>"
+DAILY_SCHEMA = "struct<protocol_version:string,dataset_snapshot:string,candidate_family_hash:string,trial_id:string,fold_id:string,seed:long,reference_date:string,ticker:string,model_net_return:double,champion_net_return:double,delta_net_return:double,exposure:double,trades:long>"
+ECONOMICS_SCHEMA = f"struct<protocol_version:string,dataset_snapshot:string,candidate_family_hash:string,seed:long,seed_count:long,fold_metrics:array<{FOLD_SCHEMA}>,family_evaluation:{FAMILY_SCHEMA},daily_returns:array<{DAILY_SCHEMA}>>"
 
 
 def registry_economics(registry: DataFrame) -> DataFrame:
     """Economics of each model with protocol, snapshot and family defaults filled in."""
-    e = F.from_json(F.get_json_object("metrics_json", "$.muen_economics"), ECONOMICS_SCHEMA)
-    rows = registry.withColumn("_e", e)
+    text = F.get_json_object("metrics_json", "$.muen_economics")
+    rows = registry.withColumns({"_e": F.from_json(text, ECONOMICS_SCHEMA), "_keys": F.json_object_keys(text)})
     return rows.select(
         "model_version",
+        nz(F.size("_keys") > 0, False).alias("has_economics"),
         nz("_e.protocol_version", PROTOCOL).alias("protocol_version"),
         F.coalesce("_e.dataset_snapshot", "training_dataset_snapshot").alias("dataset_snapshot"),
         F.coalesce("_e.candidate_family_hash", "model_version").alias("candidate_family_hash"),
@@ -612,9 +614,62 @@ def registry_economics(registry: DataFrame) -> DataFrame:
         F.col("_e.seed").alias("_seed"),
         F.col("_e.fold_metrics").alias("fold_metrics"),
         F.col("_e.family_evaluation").alias("family_evaluation"),
+        F.col("_e.daily_returns").alias("daily_returns"),
     )
 
 
+def _has_folds() -> Column:
+    return nz(F.size("fold_metrics") > 0, False)
+
+
+def registry_daily_returns(registry: DataFrame) -> DataFrame:
+    """One row per daily return found in the registry, for models that have folds.
+
+    Protocol, snapshot and family are filled in as for the folds; empty entries are left out.
+    """
+    base = registry_economics(registry).where(_has_folds())
+    rows = base.select(
+        "model_version", *[F.col(c).alias(f"_{c}") for c in ("protocol_version", "dataset_snapshot", "candidate_family_hash")],
+        F.inline(F.filter("daily_returns", _not_empty)),
+    )
+    filled = {c: F.coalesce(c, f"_{c}") for c in ("protocol_version", "dataset_snapshot", "candidate_family_hash")}
+    return rows.withColumns(filled | {"reference_date": F.col("reference_date").try_cast("date")}).drop(*[f"_{c}" for c in filled])
+
+
+def _not_empty(entry: Column) -> Column:
+    return F.to_json(entry) != "{}"
+
+
+def registry_rejects(registry: DataFrame) -> DataFrame:
+    """What is missing in the registry's evidence: rows (model_version, level, position, reason).
+
+    Levels are ``model`` (no economics, or economics without folds), ``fold`` (no fold id, no trades) and
+    ``daily_return`` (empty entry, no readable date). Positions count from 1; they are 0 for a model.
+    """
+    base = registry_economics(registry)
+    model = F.when(~F.col("has_economics"), "muen_economics_missing").when(~_has_folds(), "fold_metrics_missing")
+    of_fold = lambda f: flag_list([("fold_id_missing", f["fold_id"].isNull()), ("trades_missing", f["trades"].isNull())])
+    of_day = lambda d: F.when(~_not_empty(d), F.array(F.lit("daily_return_empty"))).otherwise(
+        flag_list([("reference_date_missing", d["reference_date"].try_cast("date").isNull())])
+    )
+    levels = [base.select("model_version", F.lit("model").alias("level"), F.lit(0).alias("position"), model.alias("reason")).where("reason IS NOT NULL")]
+    for level, column, reasons in (("fold", "fold_metrics", of_fold), ("daily_return", "daily_returns", of_day)):
+        each = base.select("model_version", F.lit(level).alias("level"), F.posexplode(F.transform(column, reasons)).alias("_at", "_reasons"))
+        levels.append(each.select("model_version", "level", (F.col("_at") + 1).alias("position"), F.explode("_reasons").alias("reason")))
+    return levels[0].unionByName(levels[1]).unionByName(levels[2])
+
+
+def _stored_family() -> Column:
+    """A stored family evaluation with its gaps filled."""
+    m = "family_evaluation"
+    zeros = ["median_delta_expectancy_vs_champion", "mean_delta_expectancy_vs_champion", "worst_fold_delta_expectancy_vs_champion", "median_expectancy_net", "max_drawdown"]
+    parts = {c: nz(f"{m}.{c}", 0) for c in ("folds", "positive_folds", "total_trades")} | {c: nz(f"{m}.{c}") for c in zeros}
+    parts |= {"seeds": nz(f"{m}.seeds", 1), "stable_across_seeds": nz(f"{m}.stable_across_seeds", False)}
+    parts |= {"cost_multipliers": F.coalesce(f"{m}.cost_multipliers", F.array().cast("array<double>"))}
+    order = [f.partition(":")[0] for f in FAMILY_SCHEMA[7:-1].split(",")]
+    return F.when(F.col(m).isNotNull(), F.struct(*[parts[c].alias(c) for c in order]).cast(FAMILY_SCHEMA))
+
+
 def registry_fold_metrics(registry: DataFrame) -> DataFrame:
     """One row per fold found in the registry, with a trial id."""
     folds = registry_economics(registry).select(
@@ -638,8 +693,8 @@ def registry_fold_metrics(registry: DataFrame) -> DataFrame:
 def evaluate_candidate_evidence(registry: DataFrame) -> DataFrame:
     """Research gate on the evidence stored in the registry.
 
-    A stored family evaluation is used as it is, otherwise it is built from the folds.
-    Models without evidence are blocked. Folds of a model are a handful, so array
+    A stored family evaluation is used, its gaps filled, otherwise it is built from the folds.
+    Models without economics and those without folds are blocked, each with its reason. Folds of a model are a handful, so array
     functions on the row do the aggregation without a shuffle.
     """
     base = registry_economics(registry)
@@ -668,17 +723,17 @@ def evaluate_candidate_evidence(registry: DataFrame) -> DataFrame:
         ((F.col("seed_count") > 1) | (n == 1)).alias("stable_across_seeds"),
         F.array_sort(F.array_distinct(F.transform(folds, lambda f: nz(f["cost_multiplier"], 1.0)))).alias("cost_multipliers"),
     )
-    found = nz(n > 0, False)
-    family = F.when(found, F.coalesce(F.col("family_evaluation"), built))
+    found = _has_folds()
+    family = F.when(found, F.coalesce(_stored_family(), built.cast(FAMILY_SCHEMA)))
     out = base.select("model_version", "protocol_version", "dataset_snapshot", "candidate_family_hash",
-                      found.alias("_found"), family.alias("_m"))
+                      "has_economics", found.alias("_found"), family.alias("_m"))
     gated = research_gate(out.select("*", "_m.*").drop("_m"))
     return gated.withColumns(
         {
-            "failed_criteria": F.when(F.col("_found"), F.col("failed_criteria")).otherwise(
-                F.array(F.lit("muen_economics_missing"))
-            ),
+            "failed_criteria": F.when(F.col("_found"), F.col("failed_criteria"))
+            .when(F.col("has_economics"), F.array(F.lit("fold_metrics_missing")))
+            .otherwise(F.array(F.lit("muen_economics_missing"))),
             "decision_status": F.when(F.col("_found"), F.col("decision_status")).otherwise("blocked"),
             "passed": F.col("_found") & F.col("passed"),
         }
-    ).drop("_found")
+    ).drop("_found", "has_economics")

@@ -351,13 +351,12 @@ def liquid_rows(daily: DataFrame, minimum: float) -> DataFrame:
 def source_snapshot(daily: DataFrame) -> DataFrame:
     """Content hash of a day's inputs.
 
-    Row hashes are added up modulo 2^64 in two independent lanes, so the value does not
-    depend on row order and no day's rows are gathered in one place.
+    Row hashes are added up in two independent lanes, so the value does not depend on row order and no day's rows
+    are gathered in one place. Numbers enter as whole millionths.
     """
-    row = F.concat_ws(
-        "|", clean_ticker("ticker"), F.format_string("%.6f", F.col("close")), F.format_string("%.6f", liquidity(daily))
-    )
-    lanes = [F.sum(F.xxhash64(row, F.lit(i)).cast("decimal(38,0)")) for i in (1, 2)]
+    millionths = lambda c: F.floor(c * 1e6 + 0.5).cast("string")
+    row = F.md5(F.concat_ws("|", clean_ticker("ticker"), millionths(F.col("close")), millionths(liquidity(daily))))
+    lanes = [F.sum(F.conv(F.substring(row, i, 15), 16, 10).cast("decimal(38,0)")) for i in (1, 16)]
     return (
         daily.groupBy("reference_date")
         .agg(F.count(F.lit(1)).alias("rows"), lanes[0].alias("_a"), lanes[1].alias("_b"))

@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ..operators import evidence as ev
 from ..operators import governance as gv
 from .registry import cte, query
 from .shared import shared
@@ -837,7 +838,14 @@ def _merge(t: Tables):
     return gv.merge_fold_rows(folds, even.withColumn("trades", F.col("trades") + 100))
 
 
-@query("legacy_fold_rekey", "candidate_family_hash trial_id fold_id")
+@query(
+    "legacy_fold_rekey",
+    "candidate_family_hash trial_id fold_id",
+    """SELECT 'phase3_family_' || substr(sha256('[{"key":"layers","value":"' || layers || '"}]|[{"key":"runtime_minutes","value":"' || runtime_minutes || '"}]'), 1, 24)
+              AS candidate_family_hash, model_version || '_' || fold_id || '_' || CAST(i AS VARCHAR) || '_' || replace(CAST(cost_multiplier AS VARCHAR), '.', '_') AS trial_id, fold_id
+       FROM stored_folds JOIN (SELECT model_version, layers, runtime_minutes FROM models) USING (model_version)""",
+    "stored_folds models",
+)
 def _rekey(t: Tables):
     folds = gv.registry_fold_metrics(registry(t)).withColumn("candidate_family_hash", F.col("model_version"))
     configs = models(t).select(
@@ -850,3 +858,97 @@ def _rekey(t: Tables):
     return gv.legacy_fold_rekey(folds, configs, targets.distinct(), "phase3_family_")
 
 
+
+
+@shared
+def evidence_registry(t: Tables):
+    """Registry rows with daily returns; some have no folds, some a stored family block with gaps, some entries gaps."""
+    k = F.col("k")
+    fold = lambda i: F.struct(
+        F.when((k % 8 != 6) | F.lit(i != 2), F.lit(f"fold_{i}")).alias("fold_id"), F.when((k % 8 != 2) | F.lit(i != 3), (k + 9 * i) % 40).alias("trades"),
+        ((k * (i + 3) % 23 - 7) / 1000).alias("delta_expectancy_vs_champion"), F.lit(1.0 if i % 2 else 1.5).alias("cost_multiplier"),
+    )
+    filled = lambda i: ~((k % 5 == 2) & F.lit(i == 2))
+    day = lambda i: F.struct(
+        F.when(filled(i), F.lit(f"fold_{i}")).alias("fold_id"),
+        F.when(filled(i), F.when((k % 6 == 5) & F.lit(i == 3), "soon").otherwise(f"2024-01-0{i}")).alias("reference_date"),
+        F.when(filled(i), F.concat(F.lit("T"), k.cast("string"))).alias("ticker"),
+        F.when(filled(i), (k * i % 13 - 6) / 1000).alias("model_net_return"),
+        F.when(filled(i) & (k % 2 == 1), F.lit("snap_own")).alias("dataset_snapshot"),
+    )
+    family = F.struct(F.lit(40).alias("total_trades"), F.lit(4).alias("positive_folds"), F.lit(0.01).alias("median_delta_expectancy_vs_champion"))
+    economics = F.struct(
+        F.when(k % 9 != 4, F.array(*[fold(i) for i in range(1, 5)])).otherwise(F.when(k % 2 == 0, F.array().cast("array<struct<fold_id:string,trades:bigint,delta_expectancy_vs_champion:double,cost_multiplier:double>>"))).alias("fold_metrics"),
+        F.lit(2).alias("seed_count"),
+        F.when(k % 9 == 1, family).alias("family_evaluation"),
+        F.array(*[day(i) for i in range(1, 4)]).alias("daily_returns"),
+    )
+    empty = F.when(k % 7 == 5, F.lit('{"muen_economics":{}}')).when(k % 7 == 6, F.lit('{"muen_economics":[1]}'))
+    return models(t).withColumn("metrics_json", F.coalesce(empty, F.to_json(F.struct(F.when(k % 4 != 3, economics).alias("muen_economics")))))
+
+
+cte(
+    "evidence_models",
+    """SELECT model_version, k, training_dataset_snapshot AS snapshot, CASE WHEN k % 7 >= 5 OR k % 4 = 3 THEN 'muen_economics_missing' WHEN k % 9 = 4 THEN 'fold_metrics_missing' END AS missing FROM models""",
+    "models",
+)
+cte("evidence_folds", "SELECT *, (k + 9 * i) % 40 AS n FROM evidence_models, range(1, 5) AS r(i) WHERE missing IS NULL", "evidence_models")
+
+
+@query(
+    "registry_daily_returns",
+    "model_version protocol_version dataset_snapshot candidate_family_hash fold_id reference_date ticker model_net_return:d champion_net_return:d",
+    f"""SELECT model_version, '{ev.PROTOCOL}' AS protocol_version, CASE WHEN k % 2 = 1 THEN 'snap_own' ELSE snapshot END AS dataset_snapshot, model_version AS candidate_family_hash,
+              'fold_' || i AS fold_id, CASE WHEN NOT (k % 6 = 5 AND i = 3) THEN DATE '2024-01-01' + CAST(i - 1 AS INTEGER) END AS reference_date, 'T' || k AS ticker,
+              (k * i % 13 - 6) / 1000.0::DOUBLE AS model_net_return, NULL::DOUBLE AS champion_net_return
+       FROM evidence_models, range(1, 4) AS r(i) WHERE missing IS NULL AND NOT (k % 5 = 2 AND i = 2)""",
+    "evidence_models",
+)
+def _daily_evidence(t: Tables):
+    return gv.registry_daily_returns(evidence_registry(t))
+
+
+@query(
+    "registry_rejects",
+    "model_version level position:n reason",
+    """SELECT model_version, 'model' AS level, 0 AS position, missing AS reason FROM evidence_models WHERE missing IS NOT NULL
+       UNION ALL SELECT model_version, 'fold', i, 'fold_id_missing' FROM evidence_folds WHERE k % 8 = 6 AND i = 2
+       UNION ALL SELECT model_version, 'fold', i, 'trades_missing' FROM evidence_folds WHERE k % 8 = 2 AND i = 3
+       UNION ALL SELECT model_version, 'daily_return', i, CASE WHEN k % 5 = 2 AND i = 2 THEN 'daily_return_empty' ELSE 'reference_date_missing' END
+       FROM evidence_models, range(1, 4) AS r(i) WHERE coalesce(missing, '') <> 'muen_economics_missing' AND ((k % 5 = 2 AND i = 2) OR (k % 6 = 5 AND i = 3))""",
+    "evidence_models evidence_folds",
+)
+def _rejects(t: Tables):
+    return gv.registry_rejects(evidence_registry(t))
+
+
+@query(
+    "candidate_evidence_gaps",
+    "model_version decision_status passed:b failed_criteria:a total_trades:n median_delta_expectancy_vs_champion:d",
+    f"""
+    SELECT *, len(failed_criteria) = 0 AS passed, CASE WHEN len(failed_criteria) = 0 THEN 'passed' ELSE 'rejected' END AS decision_status
+    FROM (SELECT model_version, total_trades, median_delta AS median_delta_expectancy_vs_champion, {crit(_gate_crit)} AS failed_criteria
+          FROM (SELECT model_version, CASE WHEN k % 9 = 1 THEN 1 ELSE 2 END AS seed_count, CASE WHEN k % 9 = 1 THEN 40 ELSE sum(CASE WHEN k % 8 = 2 AND i = 3 THEN 0 ELSE n END) END AS total_trades,
+                       CASE WHEN k % 9 = 1 THEN 4 ELSE count(*) FILTER (WHERE delta > 0) END AS positive_folds, CASE WHEN k % 9 = 1 THEN 0.01 ELSE median(delta) END AS median_delta,
+                       CASE WHEN k % 9 = 1 THEN 0 ELSE min(delta) END AS worst_delta, 0 AS max_drawdown, k % 9 <> 1 AS stressed
+                FROM (SELECT *, (k * (i + 3) % 23 - 7) / 1000.0::DOUBLE AS delta FROM evidence_folds) GROUP BY model_version, k))
+    UNION ALL BY NAME
+    SELECT model_version, NULL AS total_trades, NULL AS median_delta_expectancy_vs_champion, FALSE AS passed, [missing] AS failed_criteria, 'blocked' AS decision_status
+    FROM evidence_models WHERE missing IS NOT NULL
+    """,
+    "evidence_folds evidence_models",
+)
+def _evidence_gaps(t: Tables):
+    return gv.evaluate_candidate_evidence(evidence_registry(t))
+
+
+@query(
+    "gate_decision_id",
+    "model_version decision_id",
+    f"""SELECT model_version, 'gate_' || left(sha256('{{"candidate_family_hash":"' || candidate_family_hash || '","dataset_snapshot":"' || training_dataset_snapshot || '","decided_at":"'
+              || CAST(created_at AS VARCHAR) || '","gate_name":"{ev.RESEARCH_GATE}","protocol_version":"{ev.PROTOCOL}"}}'), 32) AS decision_id FROM models""",
+    "models",
+)
+def _gate_ids(t: Tables):
+    key = ev.gate_decision_id(F.lit(ev.PROTOCOL), F.col("training_dataset_snapshot"), F.col("candidate_family_hash"), F.lit(ev.RESEARCH_GATE), F.col("created_at"))
+    return models(t).select("model_version", key.alias("decision_id"))

@@ -7,7 +7,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..operators import learning
-from ..operators.indicators import eod_feature_table
+from ..operators.dataset import fit_scaler
+from ..operators.indicators import FEATURES, eod_feature_table
 from ..sources import io, parsers
 from ..streaming import quotes as sq
 from .learning_queries import clean_bars, dataset_of
@@ -332,16 +333,95 @@ def _stream_rollup(t: Tables):
 # ------------------------------------------------------------------ classifier
 
 
-@query("train_classifier", "dataset_split suggested_action rows:n mean_confidence:d")
+FIT = ["return_1d", "volatility_20d", "volume_ratio_20d", "distance_sma_20d_pct"]
+STEPS, RATE = 3, 0.5
+_net = lambda x, m: "[" + ", ".join(f"{m}[{c}][5] + " + " + ".join(f"{m}[{c}][{i}] * {x}[{i}]" for i in range(1, 5)) + "" for c in (1, 2, 3)) + "]"
+_soft = "list_transform(z, lambda v: exp(v - list_max(z)) / list_sum(list_transform(z, lambda u: exp(u - list_max(z)))))"
+cte(
+    "fit_scale",
+    "SELECT " + ", ".join(f"avg({f}::DOUBLE) AS m_{f}, coalesce(nullif(stddev_samp({f}::DOUBLE), 0), 1) AS s_{f}" for f in FIT) + " FROM dataset WHERE dataset_split = 'train' AND label_class IS NOT NULL",
+    "dataset",
+)
+cte(
+    "fit_rows",
+    "SELECT ticker, reference_date, dataset_split, label_class, [" + ", ".join(f"coalesce((coalesce({f}::DOUBLE, m_{f}) - m_{f}) / s_{f}, 0)" for f in FIT) + ", 1.0::DOUBLE] AS x FROM dataset, fit_scale",
+    "dataset fit_scale",
+)
+cte(
+    "fit_weights",
+    """SELECT label_class, sum(n) OVER () / (count(*) OVER () * n)::DOUBLE * CASE WHEN label_class = 'neutral' THEN 1 ELSE 1.25 END AS weight, n
+       FROM (SELECT label_class, count(*) AS n FROM dataset WHERE dataset_split = 'train' AND label_class IS NOT NULL GROUP BY 1)""",
+    "dataset",
+)
+cte("fit_0", "SELECT list_transform(range(3), lambda c: [0.0::DOUBLE, 0.0, 0.0, 0.0, 0.0]) AS m", "fit_rows")
+for _n in range(1, STEPS + 1):
+    _cell = "m[{c}][{i}] - " + str(RATE) + "::DOUBLE * sum(weight * ((" + _soft + ")[{c}] - CASE WHEN label_class = ['down', 'neutral', 'up'][{c}] THEN 1 ELSE 0 END) * x[{i}]) / sum(weight)"
+    cte(
+        f"fit_{_n}",
+        "SELECT [" + ", ".join("[" + ", ".join("any_value(" + _cell.format(c=c, i=i).split(" - ", 1)[0] + ") - " + _cell.format(c=c, i=i).split(" - ", 1)[1] for i in range(1, 6)) + "]" for c in (1, 2, 3)) + "] AS m"
+        + f" FROM (SELECT label_class, weight, x, m, {_net('x', 'm')} AS z FROM fit_rows JOIN fit_weights USING (label_class), fit_{_n - 1} WHERE dataset_split = 'train')",
+        f"fit_rows fit_weights fit_{_n - 1}",
+    )
+
+
+@query("class_weights", "label_class weight:d", "SELECT * FROM fit_weights", "fit_weights")
+def _class_weights(t: Tables):
+    return learning.class_weights(dataset_of(t).where("dataset_split = 'train'"))
+
+
+@query(
+    "train_classifier",
+    "dataset_split suggested_action rows:n mean_confidence:d",
+    f"""SELECT dataset_split, suggested_action, count(*) AS rows, avg(confidence) AS mean_confidence
+        FROM (SELECT dataset_split, CASE WHEN p[3] >= 0.35 AND p[3] >= p[1] THEN 'BUY' WHEN p[1] >= 0.35 AND p[1] > p[3] THEN 'SELL' ELSE 'HOLD' END AS suggested_action,
+                     greatest(p[1], p[3]) AS confidence
+              FROM (SELECT dataset_split, {_soft} AS p FROM (SELECT dataset_split, {_net('x', 'm')} AS z FROM fit_rows, fit_{STEPS}))) GROUP BY ALL""",
+    f"fit_rows fit_{STEPS}",
+)
 def _classifier(t: Tables):
+    """Three steps of the class-weighted softmax regression; the network with a hidden layer is held by tests."""
     data = io.cut(dataset_of(t), "dataset")
-    model, scaler = learning.train_classifier(data, max_iter=10)
-    scored = learning.score_predictions(model, scaler, data, threshold=0.45)
+    network, scaler = learning.train_classifier(data, FIT, hidden=(), steps=STEPS, rate=RATE, momentum=0.0)
+    scored = learning.score_predictions(network, scaler, data, learning.ModelCard("eod", "v1", threshold=0.35))
     return scored.groupBy("dataset_split", "suggested_action").agg(
         F.count(F.lit(1)).alias("rows"), F.avg("confidence").alias("mean_confidence")
     )
 
 
+FIXED = [[((7 * j + 3 * c) % 11 - 5) / 10 for j in range(len(FEATURES))] + [(c - 1) / 20] for c in range(3)]
+CARD = learning.ModelCard("eod_linear", "fixed_v1", threshold=0.5, run_id="run-7", created_at=dt.datetime(2024, 12, 20, tzinfo=dt.timezone.utc))
+_z = ", ".join(" + ".join([f"{row[-1]}::DOUBLE", *[f"{w}::DOUBLE * z_{f}" for w, f in zip(row, FEATURES)]]) + f" AS z{c}" for c, row in enumerate(FIXED))
+_snap = "sha256(concat_ws('|', ticker, reference_date::VARCHAR, " + ", ".join(f"coalesce(floor({f}::DOUBLE * 1e6 + 0.5)::BIGINT::VARCHAR, '')" for f in FEATURES) + "))"
+
+
+@query(
+    "score_predictions",
+    """ticker reference_date valid_for model_id model_version feature_version label_version inference_config_version prob_up:d prob_down:d prob_neutral:d
+       suggested_action confidence:d decision_threshold:d close:d financial_volume:d feature_snapshot source_snapshot job_run_id created_at metadata_json""",
+    f"""
+    WITH scale AS (SELECT {", ".join(f"avg({f}::DOUBLE) AS m_{f}, coalesce(nullif(stddev_samp({f}::DOUBLE), 0), 1) AS s_{f}" for f in FEATURES)} FROM dataset WHERE dataset_split = 'train'),
+        scaled AS (SELECT dataset.*, {_snap} AS feature_snapshot, {", ".join(f"(coalesce({f}::DOUBLE, m_{f}) - m_{f}) / s_{f} AS z_{f}" for f in FEATURES)} FROM dataset, scale),
+        logits AS (SELECT *, {_z} FROM scaled),
+        powers AS (SELECT *, exp(z0 - greatest(z0, z1, z2)) AS e0, exp(z1 - greatest(z0, z1, z2)) AS e1, exp(z2 - greatest(z0, z1, z2)) AS e2 FROM logits),
+        probs AS (SELECT *, e0 / (e0 + e1 + e2) AS prob_down, e1 / (e0 + e1 + e2) AS prob_neutral, e2 / (e0 + e1 + e2) AS prob_up FROM powers),
+        days AS (SELECT reference_date, sha256(concat_ws('|', count(*), sum(('0x' || feature_snapshot[1:15])::BIGINT), sum(('0x' || feature_snapshot[16:30])::BIGINT))) AS source_snapshot
+            FROM scaled GROUP BY 1)
+    SELECT ticker, reference_date, valid_for, 'eod_linear' AS model_id, 'fixed_v1' AS model_version, 'feature_eod_tabular_v3' AS feature_version,
+           'label_eod_barrier_v2' AS label_version, 'inference_v1' AS inference_config_version, prob_up, prob_down, prob_neutral,
+           CASE WHEN prob_up >= 0.5 AND prob_up >= prob_down THEN 'BUY' WHEN prob_down >= 0.5 AND prob_down > prob_up THEN 'SELL' ELSE 'HOLD' END AS suggested_action,
+           greatest(prob_up, prob_down) AS confidence, 0.5 AS decision_threshold, close, financial_volume, feature_snapshot, source_snapshot,
+           'run-7' AS job_run_id, TIMESTAMP '2024-12-20 00:00:00' AS created_at,
+           '{{"flags":{{"has_missing_ohlcv":' || has_missing_ohlcv || ',"has_zero_volume":' || has_zero_volume || ',"is_suspicious_candle":' || is_suspicious_candle
+             || '}},"history_days":' || history_days || '}}' AS metadata_json
+    FROM probs JOIN days USING (reference_date)""",
+    "dataset",
+)
+def _score(t: Tables):
+    data = dataset_of(t)
+    scaler = fit_scaler(data.where("dataset_split = 'train'"))
+    return learning.score_predictions(learning.Network.of(FEATURES, [FIXED]), scaler, data, CARD)
+
+
 @query(
     "inference_features",
     "ticker reference_date close:d return_1d:d volatility_20d:d",
