@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,3 +131,17 @@ def candle_rows(candles: DataFrame) -> DataFrame:
             "data_quality_flags": F.when(F.size("flags") > 0, flags),
         }
     ).drop("flags")
+
+
+def daily_candle_rows(candles: DataFrame, source: str, ingested_at: dt.datetime) -> DataFrame:
+    """Storage projection of daily candles: the session at midnight, traded quantity, source and local ingest time."""
+    stamped = candles.withColumns(
+        {
+            "candle_at": F.col("session_date").cast("timestamp_ntz"),
+            "timeframe": F.lit("1D"),
+            "traded_quantity": F.col("volume").cast("long"),
+            "source": F.lit(source),
+            "ingested_at": F.lit(ingested_at.replace(tzinfo=None)).cast("timestamp_ntz"),
+        }
+    )
+    return candle_rows(stamped).drop("session_date")

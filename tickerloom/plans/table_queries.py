@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+import zipfile
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from ..sources import io
+from ..operators import candles as cdl
+from ..sources import archives, io, parsers
 from ..streaming import quotes as sq
 from .registry import query
 from .shared import shared
 from .signal_queries import baseline_of
-from .source_queries import klines
+from .source_queries import daily_lines, klines
 from .tables import Tables
 
 
@@ -129,3 +132,65 @@ def _kline_batches(t: Tables):
         handle = sq.upsert_klines(path, lambda: dt.datetime(2024, 11, 1), source="feed", ingested_at=now, run_id=f"run-{min(n, 1)}")
         handle(part.drop("day"), min(n, 1))
     return t.spark.read.parquet(path).withColumn("ingested_at", F.col("ingested_at").cast("timestamp_ntz"))
+
+
+# ------------------------------------------------------------------ archives
+
+
+def _pack(folder: str):
+    """Function of one session's lines that writes them as an archive, among other members."""
+
+    def pack(key, lines):
+        store, path = archives.store_of(folder)
+        store.create_dir(path, recursive=True)
+        day, month = key[0], key[0][:6]
+        with store.open_output_stream(f"{path}/{day}.zip") as raw, zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as archive:
+            if month != "202405":
+                archive.writestr("A_NOTES.TXT" if month != "202407" else "notes.md", "01 not a price line\r\n")
+            archive.writestr("OTHER.TXT" if month == "202405" else "DAY.TXT", "\r\n".join(lines["value"]) + "\r\n", compresslevel=1)
+        return pd.DataFrame({"day": [day], "lines": [len(lines)]})
+
+    return pack
+
+
+@query(
+    "archive_lines",
+    "month member missing_file ticker session_date open:d close:d volume:d",
+    """SELECT strftime(session_date, '%Y%m') AS month, CASE WHEN strftime(session_date, '%Y%m') = '202405' THEN 'OTHER.TXT' ELSE 'DAY.TXT' END AS member,
+              CASE WHEN strftime(session_date, '%Y%m') = '202405' THEN 'DAY.TXT' END AS missing_file, ticker, session_date, open, close, volume FROM bars""",
+    "bars",
+)
+def _archives(t: Tables):
+    """The daily lines as one archive a session, some with other text first, one without the expected member."""
+    folder = new_path(t, "archives")
+    lines = daily_lines(t).withColumn("day", F.substring("value", 3, 8))
+    lines.groupBy("day").applyInPandas(_pack(folder), "day string, lines long").agg(F.sum("lines")).collect()
+    read = archives.read_archives(t.spark, folder, "DAY.TXT")
+    return parsers.parse_daily_lines(read).withColumn("month", F.regexp_extract("path", r"(\d{6})\d\d\.zip$", 1))
+
+
+# ------------------------------------------------------------------ rows of the daily file
+
+
+@query(
+    "target_date_rows",
+    "on_target:b ticker session_date close:d",
+    "SELECT session_date = DATE '2024-03-05' AS on_target, ticker, session_date, close FROM bars",
+    "bars",
+)
+def _target(t: Tables):
+    """Daily lines split into those of the expected day and the others."""
+    same, others = parsers.split_target_date(parsers.parse_daily_lines(daily_lines(t)), dt.date(2024, 3, 5))
+    return same.withColumn("on_target", F.lit(True)).unionByName(others.withColumn("on_target", F.lit(False)))
+
+
+@query(
+    "daily_storage_rows",
+    "ticker candle_at reference_date timeframe close:d volume:d trades:n financial_volume:d traded_quantity:n source ingested_at data_quality_flags",
+    """SELECT ticker, CAST(session_date AS TIMESTAMP) AS candle_at, session_date AS reference_date, '1D' AS timeframe, close, volume, trades, financial_volume,
+              volume AS traded_quantity, 'daily_file' AS source, TIMESTAMP '2024-12-20 21:00:00' AS ingested_at, CASE WHEN high = low THEN 'NO_RANGE' END AS data_quality_flags
+       FROM bars""",
+    "bars",
+)
+def _daily_storage(t: Tables):
+    return cdl.daily_candle_rows(parsers.parse_daily_lines(daily_lines(t)), "daily_file", dt.datetime(2024, 12, 20, 21))
