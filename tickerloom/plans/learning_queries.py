@@ -320,21 +320,21 @@ def evidence_of(t: Tables):
 _best = "greatest(prob_down, prob_up)"
 LABEL_SQL = f"""CASE WHEN {_best} >= {{p}} AND {_best} - prob_neutral >= {{m}}
                      THEN CASE WHEN prob_down >= prob_up THEN 'down' ELSE 'up' END ELSE 'neutral' END"""
-cte(
-    "decided",
-    f"""SELECT *, {LABEL_SQL.format(p='0.40', m='0.05::DOUBLE')} AS predicted_label FROM evidence
-        WHERE dataset_split IN ('validation', 'test')""",
-    "evidence",
-)
+cte("labelled", f"SELECT *, {LABEL_SQL.format(p='0.40', m='0.05::DOUBLE')} AS predicted_label FROM evidence", "evidence")
+cte("decided", "SELECT * FROM labelled WHERE dataset_split IN ('validation', 'test')", "labelled")
 TRIAL = "family, seed, dataset_split"
 TRIAL_KEYS = ["family", "seed", "dataset_split"]
 DECISION = "family:n seed:n dataset_split ticker reference_date predicted_label"
 
 
 @shared
+def labelled(t: Tables):
+    return ev.directional_labels(evidence_of(t), 0.40, 0.05)
+
+
 def decided(t: Tables):
-    rows = evidence_of(t).where("dataset_split IN ('validation', 'test')")
-    return ev.directional_labels(rows, 0.40, 0.05)
+    """Rows of the research splits, as the economics job takes them."""
+    return labelled(t).where("dataset_split IN ('validation', 'test')")
 
 
 @shared
@@ -342,9 +342,9 @@ def budgeted(t: Tables):
     return ev.fold_trade_budget(decided(t), TRIAL_KEYS, 60)
 
 
-@query("directional_labels", DECISION, "SELECT * FROM decided", "decided")
+@query("directional_labels", DECISION, "SELECT * FROM labelled", "labelled")
 def _directional(t: Tables):
-    return decided(t)
+    return labelled(t)
 
 
 cte(
@@ -365,37 +365,37 @@ def _budget(t: Tables):
 
 
 def _neutralised(pred: str) -> str:
-    return f"SELECT * REPLACE (CASE WHEN {pred} THEN 'neutral' ELSE predicted_label END AS predicted_label) FROM decided"
+    return f"SELECT * REPLACE (CASE WHEN {pred} THEN 'neutral' ELSE predicted_label END AS predicted_label) FROM labelled"
 
 
-@query("ticker_blocklist", DECISION, _neutralised("ticker IN ('S00002', 'S00008')"), "decided")
+@query("ticker_blocklist", DECISION, _neutralised("ticker IN ('S00002', 'S00008')"), "labelled")
 def _block(t: Tables):
-    return ev.ticker_blocklist(decided(t), [" s00002", "S00008"])
+    return ev.ticker_blocklist(labelled(t), [" s00002", "S00008"])
 
 
-@query("champion_activity_filter", DECISION, _neutralised("abs(champion_net_return) <= 1e-12"), "decided")
+@query("champion_activity_filter", DECISION, _neutralised("abs(champion_net_return) <= 1e-12"), "labelled")
 def _active(t: Tables):
-    return ev.champion_activity_filter(decided(t))
+    return ev.champion_activity_filter(labelled(t))
 
 
 @query(
     "regime_liquidity_filter",
     DECISION,
     _neutralised("NOT (coalesce(return_5d >= 0.0, FALSE) AND coalesce(volume_ratio_20d >= 0.8, FALSE))"),
-    "decided",
+    "labelled",
 )
 def _liquid(t: Tables):
-    return ev.regime_liquidity_filter(decided(t), return_5d=0.0, volume_ratio_20d=0.8)
+    return ev.regime_liquidity_filter(labelled(t), return_5d=0.0, volume_ratio_20d=0.8)
 
 
 @query(
     "neutral_extreme_event_filter",
     DECISION,
     _neutralised("coalesce(abs(return_5d) >= 0.02, FALSE) AND coalesce(volatility_20d >= 0.02, FALSE)"),
-    "decided",
+    "labelled",
 )
 def _extreme(t: Tables):
-    return ev.neutral_extreme_event_filter(decided(t), abs_return_5d=0.02, volatility_20d=0.02)
+    return ev.neutral_extreme_event_filter(labelled(t), abs_return_5d=0.02, volatility_20d=0.02)
 
 
 RET = "CASE predicted_label WHEN 'up' THEN buy_net_return WHEN 'down' THEN sell_net_return ELSE 0 END"

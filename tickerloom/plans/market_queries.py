@@ -168,12 +168,13 @@ def _shifts(t: Tables):
     "missing_sessions",
     "session_date",
     """
-    SELECT session_date FROM (SELECT session_date FROM calendar WHERE session_date <= DATE '2024-06-28'
-                              ORDER BY session_date DESC LIMIT 30)
-    WHERE session_date NOT IN (SELECT session_date FROM bars WHERE trades >= 7)
+    SELECT session_date FROM (SELECT session_date FROM calendar WHERE session_date <= DATE '2024-02-29'
+                              ORDER BY session_date DESC LIMIT 40)
+    WHERE session_date NOT IN (SELECT quote_date FROM quotes)
     """,
-    "calendar bars",
+    "calendar quotes",
 )
 def _missing(t: Tables):
-    thin = t.bars.where("trades >= 7")
-    return cal.missing_sessions(thin, calendar_of(t), dt.date(2024, 6, 28), 30)
+    """Sessions that have no quote at all."""
+    days = t.quotes.withColumnRenamed("quote_date", "session_date")
+    return cal.missing_sessions(days, calendar_of(t), dt.date(2024, 2, 29), 40)

@@ -23,9 +23,8 @@ SIG = "reference_date valid_for ticker side entry:d target:d stop:d score:d rank
 # ------------------------------------------------------------------ checks on signals
 
 
-@query(
-    "dq_signal_limits",
-    "check_name status total:n invalid_side:n invalid_levels:n",
+cte(
+    "limit_check",
     f"""
     SELECT 'signals_limits' AS check_name, *, CASE WHEN total = 0 OR total > 5 OR invalid_levels > 0 THEN 'FAIL'
                                                    ELSE 'PASS' END AS status
@@ -37,6 +36,9 @@ SIG = "reference_date valid_for ticker side entry:d target:d stop:d score:d rank
     """,
     "eod_signals",
 )
+
+
+@query("dq_signal_limits", "check_name status total:n invalid_side:n invalid_levels:n", "SELECT * FROM limit_check", "limit_check")
 def _limits(t: Tables):
     return ql.dq_signal_limits(eod_signals(t), DAY)
 
@@ -47,9 +49,8 @@ def stored_metrics(t: Tables):
     return bar.backtest_metrics(eod_trades(t), METRICS_AS_OF).withColumn("created_at", stamp)
 
 
-@query(
-    "dq_deadline_freshness",
-    "check_name status rows:n last_created_at deadline reason",
+cte(
+    "deadline_checks",
     f"""
     SELECT *, CASE WHEN reason IS NULL THEN 'PASS' ELSE 'FAIL' END AS status FROM (
         SELECT *, CASE WHEN rows = 0 THEN missing WHEN last_created_at > deadline THEN late END AS reason FROM (
@@ -62,6 +63,9 @@ def stored_metrics(t: Tables):
     """,
     "eod_signals emetrics",
 )
+
+
+@query("dq_deadline_freshness", "check_name status rows:n last_created_at deadline reason", "SELECT * FROM deadline_checks", "deadline_checks")
 def _deadlines(t: Tables):
     a = ql.dq_deadline_freshness(eod_signals(t), "reference_date", "signals_freshness", "signals",
                                  "missing_signals", "late_generation", DAY, "19:00:00", 30)
@@ -77,6 +81,9 @@ def checks_of(t: Tables):
         ql.dq_daily_uniqueness(t.daily, dt.date(2024, 3, 11)),
         ql.dq_ohlc_validity(t.daily, dt.date(2024, 4, 17)),
         ql.dq_intraday_uniqueness(t.quotes, dt.date(2024, 1, 17), 2),
+        ql.dq_intraday_freshness(t.quotes, t.tickers, dt.date(2024, 1, 17), "22:00:00", 0.1),
+        ql.dq_signal_limits(eod_signals(t), DAY),
+        _deadlines(t),
     ]
     return ql.dq_results(checks, DAY, "run-1")
 
@@ -101,9 +108,15 @@ cte(
         UNION ALL
         SELECT 'intraday_uniqueness', 'intraday', CASE WHEN count(*) FILTER (WHERE c > 1) > 2 THEN 'FAIL'
                ELSE 'PASS' END
-        FROM (SELECT count(*) AS c FROM quotes WHERE quote_date = DATE '2024-01-17' GROUP BY ticker, quote_time))
+        FROM (SELECT count(*) AS c FROM quotes WHERE quote_date = DATE '2024-01-17' GROUP BY ticker, quote_time)
+        UNION ALL
+        SELECT 'intraday_freshness', 'intraday', CASE WHEN e <= 0 THEN 'WARN' WHEN {sdiv('a', 'e')} >= 0.1 THEN 'PASS' ELSE 'FAIL' END
+        FROM (SELECT count(DISTINCT ticker) AS a FROM quotes WHERE quote_date = DATE '2024-01-17' AND quote_time >= '22:00:00'),
+             (SELECT count(*) FILTER (WHERE active) AS e FROM tickers)
+        UNION ALL SELECT check_name, 'signals', status FROM limit_check
+        UNION ALL SELECT check_name, CASE check_name WHEN 'backtest_metrics' THEN 'metrics' ELSE 'signals' END, status FROM deadline_checks)
     """,
-    "daily tickers quotes",
+    "daily tickers quotes limit_check deadline_checks",
 )
 
 
@@ -138,14 +151,14 @@ def _incidents(t: Tables):
            count(*) FILTER (WHERE as_of_date = DATE '{DAY}'),
            'Entradas avaliadas: ' || CAST(CAST(sum(signals) AS BIGINT) AS VARCHAR) FROM emetrics
     UNION ALL SELECT 'dq_checks_daily', max(check_date), TIMESTAMP '2024-09-03 23:00:00',
-           count(*) FILTER (WHERE status = 'FAIL'), 'Último status: FAIL' FROM check_rows WHERE status = 'FAIL'
+           count(*) FILTER (WHERE status = 'FAIL'), 'Último status: ' || max(status) FROM check_rows
     """,
     "daily quotes eod_signals emetrics check_rows",
 )
 def _components(t: Tables):
     stamp = F.lit("2024-09-03 23:00:00").cast("timestamp_ntz")
-    failed = checks_of(t).where("status = 'FAIL'").withColumn("created_at", stamp)
-    return ql.component_status(t.daily, t.quotes, eod_signals(t), stored_metrics(t), failed, DAY)
+    checks = checks_of(t).withColumn("created_at", stamp)
+    return ql.component_status(t.daily, t.quotes, eod_signals(t), stored_metrics(t), checks, DAY)
 
 
 # ------------------------------------------------------------------ operations views

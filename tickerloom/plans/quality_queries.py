@@ -117,7 +117,7 @@ def _incidents(t: Tables):
 @query(
     "incident_texts",
     "incident_type ticker recommendation",
-    """
+    f"""
     SELECT 'daily_duplicate' AS incident_type, ticker,
            'Remover ou consolidar ' || CAST(count(*) AS VARCHAR) || ' candles duplicados para ticker/data.'
                AS recommendation
@@ -125,13 +125,16 @@ def _incidents(t: Tables):
     UNION ALL
     SELECT 'intraday_invalid_price', ticker, 'Preço intraday ausente ou zerado no horário ' || quote_time || '.'
     FROM quotes WHERE price IS NULL OR price <= 0
+    UNION ALL
+    SELECT 'daily_invalid_price', ticker, 'OHLC inválido: ' || concat_ws(' ', {', '.join(f"'{c}=' || coalesce({c}::DOUBLE::VARCHAR, 'NULL')" for c in ('open', 'high', 'low', 'close'))})
+    FROM daily WHERE {BAD}
+    UNION ALL
+    SELECT 'daily_invalid_volume', ticker, 'Volume financeiro ausente ou zerado: ' || coalesce(financial_volume::DOUBLE::VARCHAR, 'NULL') FROM daily WHERE {NOVOL}
     """,
     "daily quotes",
 )
 def _texts(t: Tables):
-    return ql.data_quality_incidents(t.daily, t.quotes).where(
-        F.col("incident_type").isin("daily_duplicate", "intraday_invalid_price")
-    )
+    return ql.data_quality_incidents(t.daily, t.quotes)
 
 
 def _cover(available: str, threshold: float) -> str:

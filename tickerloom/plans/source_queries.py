@@ -245,6 +245,16 @@ def _active_universe(t: Tables):
     return io.active_universe(t.tickers, [" ibov", "SMLL", "IBOV"], 50)
 
 
+@query(
+    "active_universe_all",
+    "ticker is_benchmark:b",
+    "SELECT ticker, FALSE AS is_benchmark FROM tickers WHERE active UNION ALL SELECT * FROM (VALUES ('IBOV', TRUE), ('SMLL', TRUE))",
+    "tickers",
+)
+def _active_universe_all(t: Tables):
+    return io.active_universe(t.tickers, [" ibov", "SMLL", "IBOV"])
+
+
 @shared
 def snapshots(t: Tables):
     """Three snapshots of one dataset; the newest lacks test rows."""
