@@ -142,3 +142,30 @@ def test_evidence_levels(spark):
     assert sorted(daily, key=str) == [("good", "A", None, gv.PROTOCOL, "snap"), ("good", "B", dt.date(2024, 1, 3), "own", "snap")]
     rejects = {(r.model_version, r.level, r.position, r.reason) for r in gv.registry_rejects(registry).collect() if r.model_version in ("good", "no_rows")}
     assert rejects == {("no_rows", "model", 0, "fold_metrics_missing"), ("good", "fold", 2, "fold_id_missing"), ("good", "daily_return", 1, "daily_return_empty"), ("good", "daily_return", 2, "reference_date_missing")}
+
+
+def test_gate_limits(spark):
+    row = {"profit_factor": 1.2, "win_rate": 0.6, "fill_rate": 0.5, "max_drawdown_pct": -0.1, "avg_return_pct": 0.01, "cost_sensitivity_pct": 0.1}
+    df = spark.createDataFrame([{**row, "trade_count": 0, "trades": 40}, {**row, "trade_count": 20, "trades": 90}])
+    assert [r.failed_criteria for r in gv.paper_gate(df).collect()] == [[], ["trade_count"]]
+    assert [r.failed_criteria for r in gv.paper_gate(df, {"trade_count": 10, "profit_factor": 1.5}).collect()] == [["profit_factor"]] * 2
+    assert gv.paper_gate(df.drop("trade_count", "win_rate")).first().failed_criteria == ["win_rate"]
+    with pytest.raises(ValueError, match="no such limits"):
+        gv.paper_gate(df, {"wins": 1})
+    good = {"oos_profit_factor": 1.2, "oos_win_rate": 0.6, "paper_profit_factor": 1.2, "paper_win_rate": 0.6, "paper_days": 130, "paper_max_drawdown_pct": 0.05, "fill_rate": 0.5, "avg_abs_backtest_divergence_pct": 0.01, "trade_count": 60}
+    some = spark.createDataFrame([{**good, "approvals": ["a"]}, {**good, "approvals": [" "]}])
+    assert [r.failed_criteria for r in gv.promotion_gate(some).collect()] == [[], ["explicit_approval"]]
+    assert [r.failed_criteria for r in gv.promotion_gate(some, limits={"paper_days": 140}, require_approval=False).collect()] == [["paper_days"]] * 2
+
+
+def test_named_price_containers(spark):
+    from tickerloom.sources import parsers
+
+    box = '<div jsname="ip75Cb" class="q">{}</div>'
+    pages = [
+        box.format('<span class="a YMlKec b">1&#8211;2 R$ 3,50</span>'), box.format("<i class='YMlKec'> </i>") + box.format("<i class='YMlKec'>7.5</i>"),
+        box.format('<i class="xYMlKec">1</i>'), "<div jsname='other'><i class='YMlKec'>1</i></div>", box.format("<i class='YMlKec\">1</i>"), '<div jsname="ip75Cb"><i class="YMlKec">9', "", None,
+        box.format('<i class="YMlKec"><b>no</b></i><i class="YMlKec">4.25</i>'),
+    ]
+    got = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, h string").orderBy("i").select(parsers._first_text(parsers._named_texts(F.col("h"))).alias("t")).collect()
+    assert [r.t for r in got] == ["1–2 R$ 3,50", "7.5", None, None, None, None, None, None, "4.25"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -413,29 +413,54 @@ def _limits(df: DataFrame, checks: list[tuple[str, str, float]]) -> DataFrame:
     return df.withColumn("failed_criteria", failed_criteria([(c, fails(c, op, limit)) for c, op, limit in checks]))
 
 
-def paper_gate(df: DataFrame) -> DataFrame:
-    """Seven criteria on back-test metrics before paper trading."""
-    checks = [
-        ("profit_factor", "<", 1.10), ("win_rate", "<", 0.50), ("fill_rate", "<", 0.40),
-        ("max_drawdown_pct", ">", 0.15), ("trade_count", "<", 30), ("avg_return_pct", "<=", 0.0),
-        ("cost_sensitivity_pct", ">", 0.25),
-    ]
-    return _gated(_limits(df, checks), "approved_for_paper", "blocked_for_paper")
+#: Published limits of the gates: metric, the comparison that fails, limit. Losses and divergences count by size.
+PAPER_LIMITS = {
+    "profit_factor": ("<", 1.10), "win_rate": ("<", 0.50), "fill_rate": ("<", 0.40), "max_drawdown_pct": (">", 0.15),
+    "trade_count": ("<", 30), "avg_return_pct": ("<=", 0.0), "cost_sensitivity_pct": (">", 0.25),
+}
+PROMOTION_LIMITS = {
+    "oos_profit_factor": ("<", 1.15), "oos_win_rate": ("<", 0.52), "paper_profit_factor": ("<", 1.10), "paper_win_rate": ("<", 0.50),
+    "paper_days": ("<", 120), "paper_trades": ("<", 50), "paper_max_drawdown_pct": (">", 0.12), "fill_rate": ("<", 0.40),
+    "avg_abs_backtest_divergence_pct": (">", 0.05),
+}
 
 
-def promotion_gate(df: DataFrame, min_approvals: int = 1) -> DataFrame:
+def _checks(published: dict[str, tuple[str, float]], own: Mapping[str, float]) -> list[tuple[str, str, float]]:
+    unknown = set(own) - set(published)
+    if unknown:
+        raise ValueError(f"no such limits: {sorted(unknown)}")
+    return [(name, op, own.get(name, limit)) for name, (op, limit) in published.items()]
+
+
+def _either(df: DataFrame, name: str, other: str) -> DataFrame:
+    """``name``, or ``other`` where it is missing or zero; a missing metric is zero."""
+    found = [F.nullif(F.col(c).cast("double"), F.lit(0.0)) for c in (name, other) if c in df.columns]
+    return df.withColumn(name, F.coalesce(*found, F.lit(0.0)))
+
+
+def _with_metrics(df: DataFrame, published: dict) -> DataFrame:
+    return df.withColumns({c: F.lit(0.0) for c in published if c not in df.columns})
+
+
+def paper_gate(df: DataFrame, limits: Mapping[str, float] | None = None) -> DataFrame:
+    """Seven criteria on back-test metrics before paper trading; ``limits`` replace published ones by name.
+
+    The number of trades is ``trade_count``, or ``trades`` where that is missing or zero; other missing metrics are zero.
+    """
+    df = _with_metrics(_either(df, "trade_count", "trades"), PAPER_LIMITS)
+    return _gated(_limits(df, _checks(PAPER_LIMITS, limits or {})), "approved_for_paper", "blocked_for_paper")
+
+
+def promotion_gate(df: DataFrame, min_approvals: int = 1, limits: Mapping[str, float] | None = None, require_approval: bool = True) -> DataFrame:
     """Ten criteria before controlled promotion; never more than a hybrid source with fallback.
 
-    ``approvals`` is an array of approver names.
+    ``approvals`` is an array of approver names, ``limits`` replace published ones by name. The number of trades is
+    ``paper_trades``, or ``trade_count`` where that is missing or zero.
     """
-    checks = [
-        ("oos_profit_factor", "<", 1.15), ("oos_win_rate", "<", 0.52), ("paper_profit_factor", "<", 1.10),
-        ("paper_win_rate", "<", 0.50), ("paper_days", "<", 120), ("paper_trades", "<", 50),
-        ("paper_max_drawdown_pct", ">", 0.12), ("fill_rate", "<", 0.40),
-        ("avg_abs_backtest_divergence_pct", ">", 0.05), ("explicit_approval", "<", min_approvals),
-    ]
+    df = _with_metrics(_either(df, "paper_trades", "trade_count"), PROMOTION_LIMITS)
     named = F.filter(F.coalesce("approvals", F.array().cast("array<string>")), lambda a: F.trim(a) != "")
-    out = _limits(df.withColumn("explicit_approval", F.size(named)), checks)
+    approval = [("explicit_approval", "<", min_approvals)] if require_approval else []
+    out = _limits(df.withColumn("explicit_approval", F.size(named)), _checks(PROMOTION_LIMITS, limits or {}) + approval)
     return _gated(out, "approved_for_controlled_promotion", "blocked_for_promotion").withColumns(
         {
             "effective_signal_source": F.when(F.col("approved"), "hybrid").otherwise("heuristic"),

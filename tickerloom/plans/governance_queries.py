@@ -952,3 +952,18 @@ def _evidence_gaps(t: Tables):
 def _gate_ids(t: Tables):
     key = ev.gate_decision_id(F.lit(ev.PROTOCOL), F.col("training_dataset_snapshot"), F.col("candidate_family_hash"), F.lit(ev.RESEARCH_GATE), F.col("created_at"))
     return models(t).select("model_version", key.alias("decision_id"))
+
+
+@query(
+    "paper_gate_limits",
+    "model_version approved:b failed_criteria:a trade_count:n",
+    f"""SELECT model_version, failed_criteria, len(failed_criteria) = 0 AS approved, trade_count
+        FROM (SELECT *, {crit([("profit_factor", "profit_factor < 1.3::DOUBLE"), ("win_rate", "win_rate < 0.5"), ("fill_rate", "fill_rate < 0.4::DOUBLE"),
+                               ("max_drawdown_pct", "abs(max_drawdown_pct) > 0.2::DOUBLE"), ("trade_count", "trade_count < 40"), ("avg_return_pct", "avg_return_pct <= 0"), ("cost_sensitivity_pct", "cost_sensitivity_pct > 0.25")])} AS failed_criteria
+              FROM (SELECT * REPLACE (CASE WHEN k % 3 = 0 OR trade_count = 0 THEN k % 100 ELSE trade_count END AS trade_count) FROM gate_metrics))""",
+    "gate_metrics",
+)
+def _paper_limits(t: Tables):
+    """Stricter limits; a third of the rows have their trades under the other name."""
+    rows = gate_metrics(t).withColumns({"trades": F.col("k") % 100, "trade_count": F.when(F.col("k") % 3 != 0, F.col("trade_count"))})
+    return gv.paper_gate(rows, {"profit_factor": 1.3, "max_drawdown_pct": 0.2, "trade_count": 40})

@@ -186,8 +186,7 @@ def normalize_klines(
 # fixed values: markup that carries the price, in the order it is trusted
 ATTRIBUTE = r"""(?i)data-last-price=(['"])([^'"]+)\1"""
 PAYLOAD = r'"price"\s*:\s*\{\s*"raw"\s*:\s*(-?[0-9.,]+)'
-CONTAINER = r"""(?s)jsname=(['"])ip75Cb\1[^>]*>(.*?)</div>"""
-INNER = r"""(?s)class=(['"])[^'"]*?\bYMlKec\b[^'"]*\1[^>]*>([^<]+)"""
+CONTAINER_NAME, PRICE_CLASS = "ip75Cb", "YMlKec"
 PRICE_DIV = r"""(?s)<div[^>]*class=(['"])(?=[^'"]*\bfxKbKc\b)(?:[^'"]*\s)?YMlKec(?:\s[^'"]*)?\1[^>]*>(.*?)</div>"""
 ANY_DIV = r"""(?s)<div[^>]*class=(['"])(?:[^'"]*\s)?YMlKec(?:\s[^'"]*)?\1[^>]*>(.*?)</div>"""
 
@@ -211,7 +210,8 @@ def _text(html: Column) -> Column:
     def decoded(text: Column, pattern: str, base: int) -> Column:
         found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
         code = lambda e: F.conv(F.regexp_extract(e, pattern, 1), base, 10).cast("long")
-        sign = lambda e: F.when(code(e).between(1, 255), F.char(code(e))).otherwise("")
+        known = lambda e: code(e).between(1, 0x10FFFF) & ~code(e).between(0xD800, 0xDFFF)
+        sign = lambda e: F.when(known(e), F.decode(F.unhex(F.lpad(F.hex(code(e)), 8, "0")), "UTF-32")).otherwise("")
         return F.aggregate(found, text, lambda t, e: F.replace(t, e, sign(e)))
 
     text = decoded(decoded(html, "&#([0-9]{1,7});", 10), "&#[xX]([0-9A-Fa-f]{1,6});", 16)
@@ -224,15 +224,44 @@ def _first_text(parts: Column) -> Column:
     return F.get(F.filter(F.transform(parts, lambda p: _text(p)), lambda p: p != ""), F.lit(0))
 
 
+def _after(text: Column, mark: str) -> Column:
+    """What follows the first ``mark``; NULL without one."""
+    at = F.instr(text, mark)
+    return F.when(at > 0, F.substring(text, at + len(mark), F.length(text)))
+
+
+def _attribute(piece: Column) -> Column:
+    """Quoted value at the start of ``piece``, which followed an attribute's equals sign; NULL if it is not quoted."""
+    value = F.regexp_extract(piece, r"""^["']([^"']*)["']""", 1)
+    same = F.substring(piece, 1, 1) == F.substring(piece, F.length(value) + 2, 1)
+    return F.when(same & F.substring(piece, 1, 1).isin('"', "'"), value)
+
+
+def _following(html: Column, attribute: str) -> Column:
+    """The pieces of ``html`` that follow each mention of ``attribute=``."""
+    pieces = F.split(html, f"{attribute}=", -1)
+    return F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+
+
+def _named_texts(html: Column) -> Column:
+    """Of each container with the known name, the text right behind the first tag of the price class."""
+    named = F.filter(_following(html, "jsname"), lambda p: F.coalesce(_attribute(p) == CONTAINER_NAME, F.lit(False)) & F.contains(_after(p, ">"), F.lit("</div>")))
+    contents = F.transform(named, lambda p: F.substring_index(_after(p, ">"), "</div>", 1))
+
+    def first_price(content: Column) -> Column:
+        priced = F.filter(_following(content, "class"), lambda p: F.coalesce(F.array_contains(F.split(_attribute(p), r"\W+"), PRICE_CLASS), F.lit(False)))
+        texts = F.transform(priced, lambda p: F.substring_index(_after(p, ">"), "<", 1))
+        return F.get(F.filter(texts, lambda x: F.length(x) > 0), F.lit(0))
+
+    return F.transform(contents, lambda c: F.coalesce(first_price(c), F.lit("")))
+
+
 def page_price(html: Column) -> Column:
     """Price of a quote page: attribute, JSON payload, named container, then price classes."""
-    inner = F.transform(
-        F.regexp_extract_all(html, F.lit(CONTAINER), F.lit(2)), lambda c: F.regexp_extract(c, INNER, 2)
-    )
     return F.coalesce(
         parse_number(F.regexp_extract(html, ATTRIBUTE, 2)),
         parse_number(F.regexp_extract(html, PAYLOAD, 1)),
-        parse_number(_first_text(inner)),
+        parse_number(_first_text(_named_texts(html))),
         parse_number(_first_text(F.regexp_extract_all(html, F.lit(PRICE_DIV), F.lit(2)))),
         parse_number(_first_text(F.regexp_extract_all(html, F.lit(ANY_DIV), F.lit(2)))),
     )
