@@ -78,6 +78,7 @@ class Vocabularies:
             if x not in ids or self.b.is_byte(ids[x]):
                 ids[x] = i
         self.same = np.array([ids.get(x, -1) for x in self.a_bytes], np.int64)
+        self.names = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
         self.lone = self.b.piece_to_id("▁")
         if self.b_bytes[self.b.encode("a")[0]][:1] != b" ":
             raise ValueError("the second tokenizer has to put a space before its text")
@@ -127,11 +128,43 @@ class Memory:
         return self._sizes[0], self._off[0], self._codes[0], self._weights[0]
 
     def learn(self, units: list[str]) -> None:
-        """Encode and align units that are not known yet, some at a time: the tokenizers' own results are large."""
-        for at in range(0, len(units), 2048):
-            self._learn(units[at : at + 2048])
-
-    def _learn(self, units: list[str]) -> None:
+        """Encode and align units that are not known yet, some at a time."""
+        plain = [u for u in units if len(u) > 1 and not u[1].isspace() and not u[-1].isspace() and self.voc.at_line]
+        odd = set(units).difference(plain)
+        for at in range(0, len(plain), 2048):
+            part = plain[at : at + 2048]
+            ids = self._together(part)
+            if ids is None:
+                odd.update(part)
+            else:
+                self._keep(part, np.ones(len(part), bool), ids)
+        odd = list(odd)
+        for at in range(0, len(odd), 512):
+            self._one_by_one(odd[at : at + 512])
+
+    def _together(self, units: list[str]):
+        """Ids of both sides of units that are independent of each other, encoded as one text and dealt out by bytes;
+        None if some unit's bytes differ."""
+        voc = self.voc
+        units = units if units[0][0] == " " else [" .", *units]
+        text = "".join(units)
+        raw, ends = text.encode(), np.cumsum([len(u.encode()) for u in units])
+        sides = []
+        for ids, names, size in (
+            (voc.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, voc.a_bytes, voc.a_size),
+            (voc.b.encode(text[1:]), voc.b_bytes, voc.b_size),
+        ):
+            if b"".join([names[i] for i in ids]) != raw:
+                return None
+            ids = np.array(ids, np.int64)
+            until = np.searchsorted(np.cumsum(size[ids]), ends) + 1
+            if (np.cumsum(size[ids])[until - 1] != ends).any():
+                return None
+            each = np.diff(until, prepend=0)
+            sides.append((ids, each) if units[0] != " ." else (ids[each[0] :], each[1:]))
+        return sides
+
+    def _one_by_one(self, units: list[str]) -> None:
         voc = self.voc
         a_ids = [e.ids for e in voc.a.encode_batch_fast(units, add_special_tokens=False)]
         b_ids = voc.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
@@ -142,8 +175,12 @@ class Memory:
                 b = b_ids[i] = b[1:] if b[:1] == [voc.lone] else []
             raw = u.encode()
             good[i] = b"".join([voc.a_bytes[x] for x in a]) == raw == b"".join([voc.b_bytes[x] for x in b])
+        flat = lambda ids: (np.array([x for i in np.flatnonzero(good) for x in ids[i]], np.int64), np.array([len(ids[i]) for i in np.flatnonzero(good)], np.int64))
+        self._keep(units, good, [flat(a_ids), flat(b_ids)])
+
+    def _keep(self, units: list[str], good: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray]]) -> None:
         which = np.flatnonzero(good)
-        sizes, (owner, codes, weights), texts = align(voc, [a_ids[i] for i in which], [b_ids[i] for i in which])
+        sizes, (owner, codes, weights), texts = align(self.voc, *sides)
         every = np.full((len(units), 4), -1, np.int64)
         every[which] = sizes
         counts = np.zeros(len(units), np.int64)
@@ -153,7 +190,7 @@ class Memory:
         self._codes.append(codes)
         self._weights.append(weights)
         text = iter(texts)
-        for u, ok in zip(units, good):
+        for u, ok in zip(units, good.tolist()):
             self.number[u] = len(self.groups)
             self.groups.append(next(text) if ok else b"")
             self.chars += len(u)
@@ -164,14 +201,14 @@ def _spans(sizes: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-def align(voc: Vocabularies, a_ids: list[list[int]], b_ids: list[list[int]]):
-    """Groups of units whose ids are given: sizes per unit, (unit, pair code, multiplicity) sorted, texts per unit.
+def align(voc: Vocabularies, side_a: tuple[np.ndarray, np.ndarray], side_b: tuple[np.ndarray, np.ndarray]):
+    """Groups of units, given on each side as all ids and the number of ids of each unit: sizes per unit, (unit, pair
+    code, multiplicity) sorted, texts per unit.
 
     A pair's code is A's id in the upper 32 bits and B's in the lower.
     """
-    n = len(a_ids)
-    a_each, b_each = (np.array([len(x) for x in ids], np.int64) for ids in (a_ids, b_ids))
-    a, b = (np.fromiter((x for u in ids for x in u), np.int64, int(each.sum())) for ids, each in ((a_ids, a_each), (b_ids, b_each)))
+    (a, a_each), (b, b_each) = side_a, side_b
+    n = len(a_each)
     a_end, b_end = np.cumsum(voc.a_size[a]), np.cumsum(voc.b_size[b])
     cuts = np.intersect1d(a_end, b_end, assume_unique=True)
     a_group, b_group = np.searchsorted(cuts, a_end), np.searchsorted(cuts, b_end)
@@ -200,8 +237,11 @@ def align(voc: Vocabularies, a_ids: list[list[int]], b_ids: list[list[int]]):
     weight.append(m1[left] * m2[right])
     (owner, codes), weights = _distinct(np.concatenate(of), np.concatenate(code), np.concatenate(weight))
 
-    names_a, names_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-    spelled = [",".join(names_a[i : i + k]) + "|" + ",".join(names_b[j : j + l]) for i, k, j, l in zip(a_first.tolist(), n_a.tolist(), b_first.tolist(), n_b.tolist())]
+    names_a, names_b = [voc.names[i] for i in a.tolist()], [voc.names[i] for i in b.tolist()]
+    spelled = [
+        names_a[i] + "|" + names_b[j] if k == l == 1 else ",".join(names_a[i : i + k]) + "|" + ",".join(names_b[j : j + l])
+        for i, k, j, l in zip(a_first.tolist(), n_a.tolist(), b_first.tolist(), n_b.tolist())
+    ]
     until = np.cumsum(sizes[:, 2]).tolist()
     texts = [";".join(spelled[i:j]).encode() for i, j in zip([0, *until], until)]
     return sizes, (owner, codes, weights), texts
