@@ -14,7 +14,9 @@ SAMPLE = [
     "intraday_candles_15m", "session_shifts", "ticker_coverage", "indicators", "baseline_trade_outcomes",
     "barrier_outcomes", "backtest_metrics", "conditional_signals", "ranking_performance", "oos_summary",
     "barrier_labels", "training_runs", "champion_approval_checks", "evaluate_candidate_evidence", "parse_cotahist",
-    "upsert_daily",
+    "upsert_daily", "stream_candles_15m", "merge_signals", "late_quotes_raw", "late_quotes_candles", "kline_batches", "key_scan",
+    "archive_lines", "score_predictions", "train_classifier", "registry_daily_returns", "registry_rejects", "candidate_evidence_gaps",
+    "gate_decision_id", "legacy_fold_rekey", "source_snapshot", "dq_results", "incident_texts", "paper_gate_limits",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the generated tables")
