@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -10,19 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.io import checkpoint_dir as shared_folder
+
 #: Fixed value: what separates words, as a Java regular expression. ``bytes.split()`` splits at the same characters.
 GAP = r"[\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder that all executors see, from ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def stored(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
     """Write to the shared folder and read back: the lineage ends here, and a lost executor costs a re-read."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
