@@ -1,14 +1,18 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Every context word has a restaurant whose customers are the words that follow it and whose tables are customers of
-the parent restaurant that all contexts share. Seating is sampled by Gibbs: in each sweep the tables of every
-restaurant are seated anew given the parent, and the parent given all tables; predictive probabilities are averaged
-over the sweeps after the first ones.
-
-Sizes: the ``contexts`` and ``dishes`` most frequent words have a restaurant and a dish of their own, all others share
-one, and below the shared dish a word restaurant over all words holds the counts of every one of them. So the sampled
-part is at most contexts x dishes numbers and may be sent to tasks, and counts of all words stay in a table, which
-grows with the corpus; only the ``sent`` most frequent ones are sent, and the rest are joined.
+Every context word has a restaurant whose customers are the words that follow it and whose tables are customers of the
+parent restaurant, which all contexts share and whose own parent is uniform over the vocabulary. Seating is sampled by
+Gibbs: in each sweep the tables of every restaurant are seated anew given its parent, and the parent's given all
+tables; predictive probabilities are averaged over the sweeps after the first ones.
+
+Every word of the training texts is a context and a dish, and every pair of words is counted, in Spark tables that
+grow with the corpus. A pair that occurs once has one table whatever is drawn, so a sweep reads the others only and
+returns tables beyond the first. Draws are functions of words and sweep: a lost task draws the same again, and tables
+need not be kept.
+
+Sent to tasks, each with a bound: the ``sent`` most frequent words with their restaurants' sums, at most ``sent_pairs``
+of the most frequent pairs, and a Bloom filter of ``bits`` bits of the remaining pairs that occur twice or more. What
+these leave open is found by joins. In a training text an open pair that is not in the filter occurs once.
 """
 
 from __future__ import annotations
@@ -24,26 +28,109 @@ from pyspark.sql import functions as F
 
 from .shared import raw_texts, stored
 
+START, END = 11, 13  # what stands for a text's start among contexts, and for its end among dishes
+FAR = 1 << 40  # set in every word's hash, so that a hash is never a rank
+
+
+@dataclass
+class Settings:
+    sent: int = 1_000_000
+    sent_pairs: int = 3_000_000
+    bits: int = 1 << 28
+    sweeps: int = 4
+    burn_in: int = 2
+    discount: float = 0.75
+    strength: float = 1.0
+    seed: int = 23
+
+
+def hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words, A-Z lower-cased."""
+    return np.array(list(map(xxhash.xxh3_64_intdigest, text.lower().split())), np.uint64).view(np.int64) | FAR
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each number."""
+    x = x.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def pair_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """One hash for the hashes of a context and a dish."""
+    return mixed(mixed(u.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) + w.view(np.uint64))
+
+
+def seat(customers: np.ndarray, base: np.ndarray, tables: np.ndarray | float, keys: np.ndarray, sweep: int, s: Settings) -> np.ndarray:
+    """Number of tables per dish: its customers enter in turn, and each opens a table with the restaurant's odds.
+
+    ``base`` is the parent's probability of the dish and ``tables`` the restaurant's number of tables before. The first
+    customer always opens one. Later ones enter in blocks of a sixteenth of those seated, within which the odds hardly
+    change; a block opens its expected number of tables, rounded at random.
+    """
+    t = np.minimum(customers, 1).astype(np.float64)
+    active, k = np.flatnonzero(customers > 1), 1
+    weight = (s.strength + s.discount * tables) * base
+    salt = np.uint64((s.seed * 1_000_003 + sweep) << 20)
+    while len(active):
+        block = np.minimum(max(1, k // 16), customers[active] - k)
+        new = weight[active] / (weight[active] + np.maximum(k - s.discount * t[active], 1e-9))
+        draw = (mixed(keys[active] ^ mixed(np.array([salt + np.uint64(k)]))) >> np.uint64(11)) / float(1 << 53)
+        t[active] += np.floor(block * new + draw)
+        k += max(1, k // 16)
+        active = active[customers[active] > k]
+    return t
+
+
+def root_keys(h: np.ndarray) -> np.ndarray:
+    return mixed(h.view(np.uint64) ^ np.uint64(0xA5A5A5A5))
+
 
 @dataclass
-class Words:
-    """The most frequent words: sorted hashes, with rank and count of each."""
+class Root:
+    """The parent restaurant in one sweep: its customers, its tables and how many kinds of words there are."""
+
+    customers: float
+    tables: float
+    kinds: int
+    sweep: int
+
+    def seated(self, c: np.ndarray, h: np.ndarray, s: Settings) -> np.ndarray:
+        return seat(c, np.full(len(c), 1 / (self.kinds + 1)), self.tables, root_keys(h), self.sweep, s)
+
+    def probability(self, c: np.ndarray, own: np.ndarray, own_sum: float, s: Settings) -> np.ndarray:
+        return (np.maximum(c - s.discount * own, 0) + (s.strength + s.discount * own_sum) / (self.kinds + 1)) / (s.strength + self.customers)
 
-    hashes: np.ndarray
+
+@dataclass
+class Near:
+    """The most frequent words by rank, and after them the start (as a context) or the end (as a dish)."""
+
+    sorted_hashes: np.ndarray
     rank: np.ndarray
-    count: np.ndarray
+    by_rank: np.ndarray
 
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(whether it is among them, its place)."""
-        if not len(self.hashes):
-            return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return self.hashes[at] == h, at
+    def ids(self, h: np.ndarray) -> np.ndarray:
+        """The rank of each word, or its hash."""
+        if not len(self.rank):
+            return h
+        at = np.minimum(np.searchsorted(self.sorted_hashes, h), len(self.rank) - 1)
+        return np.where(self.sorted_hashes[at] == h, self.rank[at], h)
 
+    def keys(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        k = len(self.by_rank)
+        return pair_keys(self._hash(u, k, START), self._hash(w, k, END))
+
+    def _hash(self, ids: np.ndarray, k: int, special: int) -> np.ndarray:
+        near = (ids >= 0) & (ids <= k)
+        return np.where(near, np.append(self.by_rank, special)[np.where(near, ids, k)], ids)
 
-def hashes(text: bytes) -> np.ndarray:
-    """64-bit hashes of the words, A-Z lower-cased."""
-    return np.array(list(map(xxhash.xxh3_64_intdigest, text.lower().split())), np.uint64).view(np.int64)
+
+def steps(near: Near, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(context, dish) of each token of a text, its end included."""
+    ids, k = near.ids(hashes(text)), len(near.by_rank)
+    return np.concatenate(([k], ids)), np.append(ids, k)
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -57,183 +144,385 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def steps(words: Words, h: np.ndarray, contexts: int, dishes: int) -> tuple[np.ndarray, np.ndarray]:
-    """(context, dish) of each token of a text, its end included. The last context is the text's start, the last dish
-    its end; those before them stand for all other words."""
-    known, at = words.find(h)
-    rank = np.where(known, words.rank[at] if len(words.rank) else 0, dishes)
-    dish = np.append(np.minimum(rank, dishes - 2), dishes - 1)
-    before = np.concatenate(([contexts - 1], np.minimum(rank, contexts - 2)))
-    return before, dish
-
+def pair_counts(train: DataFrame, near) -> DataFrame:
+    """(u, w, n): how often dish w follows context u in training texts, for all pairs."""
 
-def pair_counts(train: DataFrame, shared, contexts: int, dishes: int) -> DataFrame:
-    """(u, w, n): how often dish w follows context u in training texts."""
+    def counted(us: list, ws: list) -> pa.RecordBatch:
+        u, w = np.concatenate(us), np.concatenate(ws)
+        order = np.lexsort((w, u))
+        u, w = u[order], w[order]
+        first = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])))
+        n = np.diff(np.append(first, len(u)))
+        return pa.RecordBatch.from_arrays([pa.array(u[first]), pa.array(w[first]), pa.array(n)], names=["u", "w", "n"])
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(contexts * dishes, np.int64)
+        us, ws, held = [], [], 0
         for batch in batch_iter:
-            codes = [np.zeros(0, np.int64)]
             for text in raw_texts(batch, "text"):
-                u, w = steps(shared.value, hashes(text), contexts, dishes)
-                codes.append(u * dishes + w)
-            seen, n = np.unique(np.concatenate(codes), return_counts=True)
-            total[seen] += n
-        found = np.flatnonzero(total)
-        for at in range(0, len(found), 500_000):
-            part = found[at : at + 500_000]
-            yield pa.RecordBatch.from_arrays([pa.array((part // dishes).astype(np.int32)), pa.array((part % dishes).astype(np.int32)), pa.array(total[part])], names=["u", "w", "n"])
+                u, w = steps(near.value, text)
+                us.append(u)
+                ws.append(w)
+                held += len(u)
+                if held > 1_000_000:
+                    yield counted(us, ws)
+                    us, ws, held = [], [], 0
+        if us:
+            yield counted(us, ws)
 
-    return train.select("text").mapInArrow(run, "u int, w int, n long").groupBy("u", "w").agg(F.sum("n").alias("n"))
+    return train.select("text").mapInArrow(run, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n"))
 
 
-def seat(customers: np.ndarray, base: np.ndarray, tables: float, discount: float, strength: float, rng: np.random.Generator) -> np.ndarray:
-    """Number of tables per dish: its customers enter in turn, and each opens a table with the restaurant's odds.
+def by_word(pairs: DataFrame, k: int, wanted: Column | None) -> DataFrame:
+    """(id, contexts, dishes): in how many pairs a word is the context, and in how many the dish."""
 
-    ``tables`` is the restaurant's number of tables in the sweep before. The first customer always opens one. Later ones
-    enter in blocks of a sixteenth of those seated, within which the odds hardly change.
-    """
-    t = np.minimum(customers, 1).astype(np.float64)
-    active, k = np.flatnonzero(customers > 1), 1
-    weight = (strength + discount * tables) * base
-    while len(active):
-        block = np.minimum(max(1, k // 16), customers[active] - k)
-        new = weight[active] / (weight[active] + np.maximum(k - discount * t[active], 1e-9))
-        t[active] += rng.binomial(block, new)
-        k += max(1, k // 16)
-        active = active[customers[active] > k]
-    return t
+    def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = np.zeros((2, k + 1), np.int64)
+        for batch in batch_iter:
+            for side, name in enumerate(("u", "w")):
+                ids = batch.column(name).to_numpy()
+                inside = (ids >= 0) & (ids <= k)
+                near[side] += np.bincount(ids[inside], minlength=k + 1)
+                far, n = np.unique(ids[~inside], return_counts=True)
+                zero = np.zeros(len(far), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(far), pa.array(zero if side else n), pa.array(n if side else zero)], names=["id", "contexts", "dishes"])
+        found = np.flatnonzero(near.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(near[0, found]), pa.array(near[1, found])], names=["id", "contexts", "dishes"])
 
+    rows = pairs.select("u", "w").mapInArrow(run, "id long, contexts long, dishes long")
+    return (rows if wanted is None else rows.where(wanted)).groupBy("id").agg(F.sum("contexts").alias("contexts"), F.sum("dishes").alias("dishes"))
 
-@dataclass
-class Settings:
-    contexts: int = 1024
-    dishes: int = 8192
-    sent: int = 200_000
-    sweeps: int = 6
-    burn_in: int = 2
-    discount: float = 0.75
-    strength: float = 1.0
-    seed: int = 23
 
+@dataclass
+class Sampled:
+    """Restaurants' sums by sweep. ``tables[s]`` are those before sweep s, ``parent[s]`` the dishes' probabilities in it."""
+
+    k: int
+    tables: list[np.ndarray]
+    parent: list[np.ndarray]
+    roots: list[Root]
+    own: list[float]
+
+    def rare(self, sweep: int, c: int, s: Settings) -> float:
+        """The parent's probability of a dish with c = 0 or 1 customers, which has as many tables."""
+        one = np.array([float(c)])
+        return float(self.roots[sweep].probability(one, one, self.own[sweep], s)[0])
+
+
+def is_near(column: str, k: int) -> Column:
+    return F.col(column).between(0, k)
+
+
+def filled(ids: np.ndarray, k: int, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+    inside = (ids >= 0) & (ids <= k)
+    return np.where(inside, near[np.where(inside, ids, k)], far)
+
+
+def numbers(batch: pa.RecordBatch, name: str, size: int) -> np.ndarray:
+    """A column of lists of ``size`` numbers as a matrix with one column per row; null lists become NaN."""
+    column = batch.column(name)
+    out = np.full((size, len(column)), np.nan)
+    there = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+    if len(there):
+        out[:, there] = column.drop_null().flatten().to_numpy().reshape(-1, size).T
+    return out
+
+
+class Model:
+    """Training counts, the sampled sums, and what is sent to tasks."""
+
+    def __init__(self, train: DataFrame, s: Settings):
+        self.s, self.context = s, train.sparkSession.sparkContext
+        self.texts = train.count()
+        self.counts = stored(word_counts(train), "words")
+        total = self.counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+        self.tokens, self.kinds = total["n"] + self.texts, total["v"] + (1 if self.texts else 0)
+        top = self.counts.orderBy(F.desc("n"), "h").limit(s.sent).toArrow()
+        by_rank, self.near_counts = top.column("h").to_numpy(), np.append(top.column("n").to_numpy(), self.texts)
+        order = np.argsort(by_rank)
+        self.k = len(by_rank)
+        self.near = self.context.broadcast(Near(by_rank[order], order.astype(np.int32), by_rank))
+        last = (int(by_rank[-1]), int(self.near_counts[-2])) if self.k else (0, 1 << 62)
+        self.rest = self.counts.where((F.col("n") < last[1]) | ((F.col("n") == last[1]) & (F.col("h") > last[0]))).select(F.col("h").alias("id"), "n")
+        #: whether a word that is not sent may occur more than once
+        self.multi = not self.rest.where("n > 1").limit(1).isEmpty()
+        self.pairs = stored(pair_counts(train, self.near), "pairs")
+        self._sample()
+        self._send()
+
+    def _repeated(self, far: DataFrame | None, columns: dict[str, str]) -> DataFrame:
+        """Pairs that occur twice or more, with these columns (u's, w's) of the words that are not sent."""
+        rows, both = self.pairs.where("n > 1"), is_near("u", self.k) & is_near("w", self.k)
+        none = [F.lit(None).cast(kind).alias(name) for name, kind in columns.items()]
+        if far is None:
+            return rows.select("u", "w", "n", *none)
+        first, second = columns
+        u = far.select(F.col("id").alias("u"), F.col("t").alias(first))
+        w = far.select(F.col("id").alias("w"), F.col("p").alias(second))
+        joined = rows.where(~both).join(u, "u", "left").join(w, "w", "left").select("u", "w", "n", first, second)
+        return rows.where(both).select("u", "w", "n", *none).unionByName(joined)
+
+    def _sample(self) -> None:
+        s, k, near = self.s, self.k, self.near
+        # a word that occurs once is in one pair on either side
+        wanted = None if self.multi else is_near("id", k)
+        first = stored(by_word(self.pairs, k, wanted), "by-word")
+        contexts, dishes = np.zeros(k + 1, np.int64), np.zeros(k + 1, np.int64)
+        got = first.where(is_near("id", k)).toArrow()
+        contexts[got["id"].to_numpy()], dishes[got["id"].to_numpy()] = got["contexts"].to_numpy(), got["dishes"].to_numpy()
+        far = None
+        if self.multi:
+            far = self.rest.where("n > 1").join(first, "id").select(
+                "id", "n", "contexts", "dishes", F.col("contexts").cast("double").alias("t"), F.col("dishes").alias("c"),
+                F.expr("cast(array() as array<double>)").alias("ts"), F.expr("cast(array() as array<double>)").alias("ps"),
+            )
+            far = stored(far, "far")
+        ones = self.rest.where("n = 1").count()
+        word = np.append(near.value.by_rank, END)
+        model = Sampled(k, [contexts.astype(np.float64)], [], [], [])
+        c, root_tables = dishes.copy(), float(self.kinds)
+        for number in range(s.sweeps):
+            held = far.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0] if self.multi else 0
+            root = Root(float(c.sum() + held + ones), root_tables, self.kinds, number)
+            own = root.seated(c, word, s)
+            root_tables = float(own.sum() + ones)
+            if self.multi:
+                far = stored(self._seat_far(far, root), "far")
+                root_tables += far.agg(F.coalesce(F.sum("own"), F.lit(0.0))).first()[0]
+                p = (F.greatest(F.col("c") - s.discount * F.col("own"), F.lit(0.0)) + (s.strength + s.discount * root_tables) / (self.kinds + 1)) / (s.strength + root.customers)
+                far = far.withColumn("p", p)
+            parent = root.probability(c, own, root_tables, s)
+            model.parent.append(parent)
+            model.roots.append(root)
+            model.own.append(root_tables)
+            more = self._sweep(self._repeated(far, {"tu": "double", "pw": "double"}), parent, model.tables[-1], number)
+            if self.multi:
+                more = stored(more, "more")
+            got = more.where(is_near("id", k)).toArrow()
+            extra = np.zeros((2, k + 1), np.int64)
+            extra[0, got["id"].to_numpy()], extra[1, got["id"].to_numpy()] = got["contexts"].to_numpy(), got["dishes"].to_numpy()
+            model.tables.append((contexts + extra[0]).astype(np.float64))
+            c = dishes + extra[1]
+            if self.multi:
+                added = more.where(~is_near("id", k)).select("id", F.col("contexts").alias("mc"), F.col("dishes").alias("md"))
+                far = stored(far.join(added, "id", "left").select(
+                    "id", "n", "contexts", "dishes", (F.col("contexts") + F.coalesce("mc", F.lit(0))).cast("double").alias("t"),
+                    (F.col("dishes") + F.coalesce("md", F.lit(0))).alias("c"), F.concat("ts", F.array("t")).alias("ts"), F.concat("ps", F.array("p")).alias("ps"),
+                ), "far")
+        self.model = model
+        self.far = far.select("id", "n", F.concat("ts", F.array("t")).alias("t"), F.col("ps").alias("p")) if self.multi else None
+
+    def _seat_far(self, far: DataFrame, root: Root) -> DataFrame:
+        s = self.s
 
-def sample(pairs: DataFrame, s: Settings) -> np.ndarray:
-    """Averaged predictive probability of each dish in each context.
+        def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batch_iter:
+                own = root.seated(batch.column("c").to_numpy(), batch.column("id").to_numpy(), s)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own)], names=[*batch.schema.names, "own"])
 
-    Restaurants are tasks' work; the driver sums their tables by dish and samples the parent.
-    """
-    rows = stored(pairs.groupBy("u").agg(F.collect_list("w").alias("ws"), F.collect_list("n").alias("ns")).repartition(64), "restaurants")
-    context = rows.sparkSession.sparkContext
-    rng = np.random.default_rng(s.seed)
-    parent = np.full(s.dishes, 1 / s.dishes)
-    tables: dict[int, float] = {}
-    history = []
+        return far.mapInArrow(run, "id long, n long, contexts long, dishes long, t double, c long, ts array<double>, ps array<double>, own double")
 
-    def sweep(number: int, parent: np.ndarray, before: dict[int, float]):
-        sent = context.broadcast((parent, before))
+    def _sweep(self, rows: DataFrame, parent: np.ndarray, tables: np.ndarray, number: int) -> DataFrame:
+        """(id, contexts, dishes): a word's tables beyond one a pair, as the context and as the dish."""
+        s, k, near = self.s, self.k, self.near
+        sent = self.context.broadcast((parent, tables))
 
         def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            parent, before = sent.value
+            parent, tables = sent.value
+            for batch in batch_iter:
+                u, w = batch.column("u").to_numpy(), batch.column("w").to_numpy()
+                tu = batch.column("tu").to_numpy(zero_copy_only=False).astype(float)
+                pw = batch.column("pw").to_numpy(zero_copy_only=False).astype(float)
+                t = seat(batch.column("n").to_numpy(), filled(w, k, parent, pw), filled(u, k, tables, tu), near.value.keys(u, w), number, s)
+                extra = (t - 1).astype(np.int64)
+                some = extra > 0
+                u, w, extra = u[some], w[some], extra[some]
+                zero = np.zeros(len(u), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(u, w)), pa.array(np.append(extra, zero)), pa.array(np.append(zero, extra))], names=["id", "contexts", "dishes"])
+
+        out = rows.mapInArrow(run, "id long, contexts long, dishes long")
+        return out.groupBy("id").agg(F.sum("contexts").alias("contexts"), F.sum("dishes").alias("dishes"))
+
+    def _send(self) -> None:
+        s, k, near, model = self.s, self.k, self.near, self.model
+        kept = range(s.burn_in, s.sweeps)
+        shape = {"tu": "array<double>", "pw": "array<double>"}
+        rows = self._repeated(self.far, shape)
+        # the most frequent pairs, as many whole counts as fit
+        most, cut, room = 1 << 16, (1 << 16) + 1, s.sent_pairs
+        for n, size in sorted(self.pairs.where("n > 1").groupBy(F.least("n", F.lit(most))).count().collect(), reverse=True):
+            if size > room:
+                break
+            cut, room = n, room - size
+        tables = self.context.broadcast((np.array([model.tables[i] for i in range(s.sweeps + 1)]), np.array(model.parent)))
+        self.sums = tables
+
+        def frequent(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batch_iter:
+                keys, x = seated_weights(batch, near.value, k, tables.value, s)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(x.astype(np.float32))], names=["key", "x"])
+
+        top = rows.where(F.col("n") >= cut).mapInArrow(frequent, "key long, x float").toArrow()
+        keys = top.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        top = keys[order], top.column("x").to_numpy()[order]
+        bits = s.bits
+
+        def marks(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batch_iter:
-                out = []
-                for u, ws, ns in zip(batch.column("u").to_pylist(), batch.column("ws"), batch.column("ns")):
-                    ws, ns = ws.values.to_numpy(), ns.values.to_numpy()
-                    order = np.argsort(ws)
-                    ws, ns = ws[order], ns[order]
-                    t = seat(ns, parent[ws], before.get(u, len(ws)), s.discount, s.strength, np.random.default_rng([s.seed, number, u]))
-                    out.append((u, ws.astype("<i4").tobytes(), ns.astype("<i8").tobytes(), t.astype("<f8").tobytes()))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["u", "ws", "ns", "ts"])
-
-        got = rows.select("u", "ws", "ns").mapInArrow(run, "u int, ws binary, ns binary, ts binary").toArrow()
-        return [(u, np.frombuffer(w, "<i4"), np.frombuffer(n, "<i8"), np.frombuffer(t, "<f8")) for u, w, n, t in zip(*[got.column(i).to_pylist() for i in range(4)])]
-
-    average = np.zeros((s.contexts, s.dishes))
-    for number in range(s.sweeps):
-        seated = sweep(number, parent, tables)
-        guests = np.zeros(s.dishes)
-        for u, ws, _, ts in seated:
-            guests[ws] += ts
-            tables[u] = float(ts.sum())
-        own = seat(guests.astype(np.int64), np.full(s.dishes, 1 / s.dishes), history[-1] if history else float((guests > 0).sum()), s.discount, s.strength, rng)
-        history.append(float(own.sum()))
-        parent = (np.maximum(guests - s.discount * own, 0) + (s.strength + s.discount * own.sum()) / s.dishes) / (s.strength + guests.sum())
-        if number >= s.burn_in:
-            average += parent
-            for u, ws, ns, ts in seated:
-                back = (s.strength + s.discount * ts.sum()) / (s.strength + ns.sum())
-                average[u] += (back - 1) * parent
-                average[u, ws] += (ns - s.discount * ts) / (s.strength + ns.sum())
-    return (average / (s.sweeps - s.burn_in)).astype(np.float32)
+                if batch.num_rows:
+                    at = np.unique(near.value.keys(batch.column("u").to_numpy(), batch.column("w").to_numpy()) & np.uint64(bits - 1))
+                    word = at >> np.uint64(6)
+                    first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+                    mask = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first)
+                    yield pa.RecordBatch.from_arrays([pa.array(word[first].view(np.int64)), pa.array(mask.view(np.int64))], names=["at", "mask"])
+
+        marked = self.pairs.where((F.col("n") > 1) & (F.col("n") < cut)).select("u", "w").mapInArrow(marks, "at long, mask long")
+        marked = marked.groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
+        bloom = np.zeros(bits // 64, np.uint64)
+        bloom[marked.column("at").to_numpy()] = marked.column("mask").to_numpy().view(np.uint64)
+        n = self.near_counts.astype(np.float64)
+        back = np.array([(s.strength + s.discount * model.tables[i + 1]) / (s.strength + n) for i in kept])
+        rare = [[model.rare(i, c, s) for i in kept] for c in (0, 1)]
+        self.sent = self.context.broadcast(Sent(
+            k, self.near_counts, (1 / (s.strength + n)), back.astype(np.float32), np.array([model.parent[i] for i in kept], np.float32),
+            np.array(rare), top[0], top[1], bloom, self.multi, s,
+        ))
+
+
+def seated_weights(batch: pa.RecordBatch, near: Near, k: int, sums: tuple[np.ndarray, np.ndarray], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(key, customers less the discount of their tables, averaged over the sweeps that count) of each pair."""
+    u, w, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("u", "w", "n"))
+    keys, total = near.keys(u, w), np.zeros(len(u))
+    tu, pw = numbers(batch, "tu", s.sweeps + 1), numbers(batch, "pw", s.sweeps)
+    for i in range(s.burn_in, s.sweeps):
+        parent, tables = filled(w, k, sums[1][i], pw[i]), filled(u, k, sums[0][i], tu[i])
+        total += n - s.discount * seat(n, np.nan_to_num(parent), np.nan_to_num(tables, nan=1.0), keys, i, s)
+    return keys, total / (s.sweeps - s.burn_in)
+
+
+@dataclass
+class Sent:
+    """What every task has for scoring; see the module's bounds."""
+
+    k: int
+    count: np.ndarray
+    inverse: np.ndarray
+    back: np.ndarray
+    parent: np.ndarray
+    rare: np.ndarray
+    pair_keys: np.ndarray
+    pair_weights: np.ndarray
+    bloom: np.ndarray
+    multi: bool
+    s: Settings
+
+    def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether the pair is sent, its weight)."""
+        if not len(self.pair_keys):
+            return np.zeros(len(keys), bool), np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        found = self.pair_keys[at] == keys
+        return found, np.where(found, self.pair_weights[at], 0.0)
+
+    def marked(self, keys: np.ndarray) -> np.ndarray:
+        at = keys & np.uint64(self.s.bits - 1)
+        return (self.bloom[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+
+    def log(self, weight: np.ndarray, u: np.ndarray, w: np.ndarray, far: dict | None = None) -> np.ndarray:
+        """log10 probability of each pair. Words that are not sent occur once, but as ``far`` has them."""
+        s, one = self.s, np.ones(len(u))
+        inverse = filled(u, self.k, self.inverse, one / (s.strength + 1) if far is None else far["inverse"])
+        p = weight * inverse
+        for i in range(len(self.parent)):
+            back = filled(u, self.k, self.back[i], (s.strength + s.discount) / (s.strength + 1) * one if far is None else far["back"][i])
+            p = p + back * filled(w, self.k, self.parent[i], self.rare[1][i] * one if far is None else far["parent"][i]) / len(self.parent)
+        return np.log10(p)
 
 
 def score(docs: DataFrame, held_out: Column, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) per row.
 
-    Learns from the rows that are not held out. Null text is empty and has its end as the only token. Rows that repeat a
-    doc_id are scored each (as one text would: their sums are kept per row). An empty table gives no rows; without
-    training rows every word is unknown.
+    Learns from the rows whose ``held_out`` is false; where it is null (as for a null doc_id) the row is scored only.
+    Null text is empty and has its end as the only token. Rows that repeat a doc_id are scored each. An empty table
+    gives no rows; without training rows every word is unknown.
     """
     s = settings or Settings()
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
-    train = source.where(~F.col("held_out"))
-    spark = docs.sparkSession
-    counts = stored(word_counts(train), "words")
-    top = counts.orderBy(F.desc("n"), "h").limit(s.sent).toArrow()
-    by_rank = top.column("h").to_numpy()
-    order = np.argsort(by_rank)
-    words = spark.sparkContext.broadcast(Words(by_rank[order], order.astype(np.int64), top.column("n").to_numpy()[order]))
-    matrix = spark.sparkContext.broadcast(np.log10(np.maximum(sample(pair_counts(train, words, s.contexts, s.dishes), s), 1e-30)))
-    texts = train.count()
-    # words outside the dishes share a dish; below it, a restaurant over all words with one table for each seen
-    named = by_rank[: s.dishes - 2]
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    tokens, kinds = total["n"] + texts, total["v"] + (1 if texts else 0)
-    rare_tokens = total["n"] - int(top.column("n").to_numpy()[: len(named)].sum())
-    rare_kinds = total["v"] - len(named)
-    base_low = np.log10(tokens + (kinds + 1))
-
-    def rare_log(c):
-        """log10 probability of a word with c training tokens, given that it is none of the dishes."""
-        fresh = (s.strength + s.discount * rare_kinds) / (s.strength + rare_tokens) / (kinds + 1)
-        return np.log10(np.maximum(c - s.discount, 0) / (s.strength + rare_tokens) + fresh)
+    made = Model(source.where(~F.col("held_out")), s)
+    near, sent, sums, k, texts = made.near, made.sent, made.sums, made.k, made.texts
+    low = float(np.log10(made.tokens + (made.kinds + 1)))
 
     def local(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_words, table = words.value, matrix.value
+        m, words = sent.value, near.value
         for whole in batch_iter:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 rows = []
-                for text in raw_texts(batch, "text"):
-                    h = hashes(text)
-                    known, place = known_words.find(h)
-                    u, w = steps(known_words, h, s.contexts, s.dishes)
-                    c = np.where(known, known_words.count[place] if len(known_words.count) else 0, 0)
-                    mine = known & (w[:-1] == s.dishes - 2)
-                    value = float(table[u, w].sum(dtype=np.float64)) + float(rare_log(c[mine]).sum())
-                    base = float(np.log10(c[known] + 1.0).sum() + np.log10(texts + 1.0)) - (len(h) + 1) * base_low
-                    asked, n = np.unique(h[~known], return_counts=True)
-                    rows.append((len(h) + 1, int(known.sum()) + (texts > 0), base, value, asked, n))
-                n_tokens, n_known, base, value, asked, n = zip(*rows) if rows else [()] * 6
+                for text, held in zip(raw_texts(batch, "text"), batch.column("held_out").to_pylist()):
+                    u, w = steps(words, text)
+                    tokens, keys = len(u), words.keys(u, w)
+                    keys, first, times = np.unique(keys, return_index=True, return_counts=True)
+                    u, w = u[first], w[first]
+                    here = (w >= 0) & (w <= k)
+                    far = ~(here & (u >= 0) & (u <= k))
+                    found, weight = m.look(keys)
+                    if held is False:  # its pairs occur, and once unless sent or marked
+                        ask = (far & m.multi) | (~found & m.marked(keys))
+                        weight = np.where(found, weight, 1 - s.discount)
+                    else:
+                        ask = far | ~found
+                    mine = ~ask
+                    value = float((times[mine] * m.log(weight[mine], u[mine], w[mine])).sum())
+                    c = np.where(here, m.count[np.where(here, w, k)], 1)
+                    settled = here | mine
+                    base = float((times[settled] * np.log10(c[settled] + 1.0)).sum()) - tokens * low
+                    known = int(times[settled & (c > 0)].sum())
+                    rows.append((tokens, known, base, value, u[ask], w[ask], times[ask].astype(np.int32)))
+                n_tokens, n_known, base, value, us, ws, ms = zip(*rows) if rows else [()] * 7
+                lists = [pa.array(us, pa.list_(pa.int64())), pa.array(ws, pa.list_(pa.int64())), pa.array(ms, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(value, pa.float64()), pa.array(asked, pa.list_(pa.int64())), pa.array(n, pa.list_(pa.int32()))],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "base", "value", "asked", "n_asked"],
+                    [batch.column("doc_id"), batch.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(value, pa.float64()), *lists],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "base", "value", "u", "w", "m"],
                 )
 
-    out = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, value double, asked array<long>, n_asked array<int>"
-    first = source.mapInArrow(local, out).withColumn("row", F.monotonically_increasing_id())
-    first = stored(first, "scores")
-    asked = first.select("row", F.explode(F.arrays_zip("asked", "n_asked")).alias("x")).select("row", F.col("x.asked").alias("h"), F.col("x.n_asked").alias("m"))
-    fresh = (s.strength + s.discount * rare_kinds) / (s.strength + rare_tokens) / (kinds + 1)
-    c = F.coalesce("n", F.lit(0))
-    later = asked.join(counts, "h", "left").groupBy("row").agg(
-        F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("known"),
-        F.sum(F.col("m") * F.log10(c + 1.0)).alias("base_more"),
-        F.sum(F.col("m") * F.log10(F.greatest(c - s.discount, F.lit(0.0)) / (s.strength + rare_tokens) + fresh)).alias("more"),
-    )
-    done = first.drop("asked", "n_asked").join(later, "row", "left")
+    out = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, value double, u array<long>, w array<long>, m array<int>"
+    first = stored(source.mapInArrow(local, out).withColumn("row", F.monotonically_increasing_id()), "scores")
+    asked = first.select("row", F.explode(F.arrays_zip("u", "w", "m")).alias("x")).select("row", "x.u", "x.w", "x.m")
+    inside, none = is_near("u", k) & is_near("w", k), F.lit(None)
+    shape = [none.cast("array<double>").alias("tu"), none.cast("array<double>").alias("pw")]
+    nearby = asked.where(inside).join(made.pairs, ["u", "w"], "left").select("row", "u", "w", "m", "n", none.cast("long").alias("nu"), none.cast("long").alias("nw"), *shape)
+    words = made.rest.withColumns({"t": shape[0], "p": shape[1]}) if made.far is None else made.rest.join(made.far.select("id", "t", "p"), "id", "left")
+    side_u = words.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("t").alias("tu"))
+    side_w = words.select(F.col("id").alias("w"), F.col("n").alias("nw"), F.col("p").alias("pw"))
+    others = asked.where(~inside).join(made.pairs, ["u", "w"], "left").join(side_u, "u", "left").join(side_w, "w", "left").select("row", "u", "w", "m", "n", "nu", "nw", "tu", "pw")
+
+    def answer(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, words = sent.value, near.value
+        for batch in batch_iter:
+            plain = {c: batch.column(c).fill_null(0) for c in ("n", "nu", "nw")}
+            for c, column in plain.items():
+                batch = batch.set_column(batch.schema.get_field_index(c), c, column)
+            u, w, times = batch.column("u").to_numpy(), batch.column("w").to_numpy(), batch.column("m").to_numpy()
+            nu, nw = plain["nu"].to_numpy(), plain["nw"].to_numpy()
+            _, weight = seated_weights(batch, words, k, sums.value, s)
+            tu, pw = numbers(batch, "tu", s.sweeps + 1), numbers(batch, "pw", s.sweeps)
+            kept = range(s.burn_in, s.sweeps)
+            rare = m.rare[np.minimum(nw, 1)].T
+            far = {
+                "inverse": 1 / (s.strength + nu),
+                "back": [(s.strength + s.discount * np.where(np.isnan(tu[i + 1]), np.minimum(nu, 1), tu[i + 1])) / (s.strength + nu) for i in kept],
+                "parent": [np.where(np.isnan(pw[i]), rare[j], pw[i]) for j, i in enumerate(kept)],
+            }
+            value = times * m.log(weight, u, w, far)
+            away = ~((w >= 0) & (w <= k))
+            known, base = np.where(away & (nw > 0), times, 0), np.where(away, times * np.log10(nw + 1.0), 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(known, pa.int64()), pa.array(base), pa.array(value)], names=["row", "known", "base_more", "more"])
+
+    later = nearby.unionByName(others).mapInArrow(answer, "row long, known long, base_more double, more double")
+    later = later.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("known", "base_more", "more")])
+    done = first.drop("u", "w", "m").join(later, "row", "left")
     result = F.col("value") + F.coalesce("more", F.lit(0.0))
     return done.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(made.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("base_more", F.lit(0.0))).alias("base_score"), result.alias("score"), F.pow(F.lit(10.0), -result / F.col("n_tokens")).alias("perplexity"),
     )
