@@ -18,13 +18,15 @@ these leave open is found by joins. In a training text an open pair that is not
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import raw_texts, stored
 
@@ -35,7 +37,7 @@ FAR = 1 << 40  # set in every word's hash, so that a hash is never a rank
 @dataclass
 class Settings:
     sent: int = 1_000_000
-    sent_pairs: int = 3_000_000
+    sent_pairs: int = 2_000_000
     bits: int = 1 << 28
     sweeps: int = 4
     burn_in: int = 2
@@ -109,7 +111,20 @@ class Near:
 
     sorted_hashes: np.ndarray
     rank: np.ndarray
-    by_rank: np.ndarray
+
+    @cached_property
+    def by_rank(self) -> np.ndarray:
+        out = np.empty_like(self.sorted_hashes)
+        out[self.rank] = self.sorted_hashes
+        return out
+
+    @cached_property
+    def with_start(self) -> np.ndarray:
+        return np.append(self.by_rank, START)
+
+    @cached_property
+    def with_end(self) -> np.ndarray:
+        return np.append(self.by_rank, END)
 
     def ids(self, h: np.ndarray) -> np.ndarray:
         """The rank of each word, or its hash."""
@@ -119,17 +134,13 @@ class Near:
         return np.where(self.sorted_hashes[at] == h, self.rank[at], h)
 
     def keys(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
-        k = len(self.by_rank)
-        return pair_keys(self._hash(u, k, START), self._hash(w, k, END))
-
-    def _hash(self, ids: np.ndarray, k: int, special: int) -> np.ndarray:
-        near = (ids >= 0) & (ids <= k)
-        return np.where(near, np.append(self.by_rank, special)[np.where(near, ids, k)], ids)
+        k = len(self.rank)
+        return pair_keys(filled(u, k, self.with_start, u), filled(w, k, self.with_end, w))
 
 
 def steps(near: Near, text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(context, dish) of each token of a text, its end included."""
-    ids, k = near.ids(hashes(text)), len(near.by_rank)
+    ids, k = near.ids(hashes(text)), len(near.rank)
     return np.concatenate(([k], ids)), np.append(ids, k)
 
 
@@ -193,19 +204,52 @@ def by_word(pairs: DataFrame, k: int, wanted: Column | None) -> DataFrame:
 
 
 @dataclass
-class Sampled:
-    """Restaurants' sums by sweep. ``tables[s]`` are those before sweep s, ``parent[s]`` the dishes' probabilities in it."""
+class Base:
+    """Of the most frequent words: in how many pairs each is the context, and in how many the dish. Sums that follow
+    from these and from the sweeps' further tables are computed where they are needed, and held in ``made``."""
+
+    contexts: np.ndarray
+    dishes: np.ndarray
+    made: dict = field(default_factory=dict)
+
+    def tables(self, sweeps: list[Sweep], number: int) -> np.ndarray:
+        """Each context's tables before the sweep of this number."""
+        if ("t", number) not in self.made:
+            self.made["t", number] = self._with(self.contexts, sweeps[number - 1].contexts if number else None, sweeps, number)
+        return self.made["t", number]
+
+    def customers(self, sweeps: list[Sweep], number: int) -> np.ndarray:
+        """Each dish's customers in the parent restaurant before the sweep of this number."""
+        return self._with(self.dishes, sweeps[number - 1].dishes if number else None, sweeps, number)
+
+    def _with(self, first: np.ndarray, more: np.ndarray | None, sweeps: list[Sweep], number: int) -> np.ndarray:
+        out = first.astype(np.int64)
+        if number:
+            out[sweeps[number - 1].ids] += more
+        return out
+
+    def parent(self, near: Near, sweeps: list[Sweep], root: Root, own_sum: float, s: Settings) -> np.ndarray:
+        """The parent's probability of each dish in a sweep."""
+        if ("p", root.sweep) not in self.made:
+            c = self.customers(sweeps, root.sweep)
+            self.made["p", root.sweep] = root.probability(c, root.seated(c, near.with_end, s), own_sum, s)
+        return self.made["p", root.sweep]
 
-    k: int
-    tables: list[np.ndarray]
-    parent: list[np.ndarray]
-    roots: list[Root]
-    own: list[float]
 
-    def rare(self, sweep: int, c: int, s: Settings) -> float:
+@dataclass
+class Sweep:
+    """One sweep: its parent restaurant, that one's tables, and the words' tables beyond one a pair."""
+
+    root: Root
+    own: float
+    ids: np.ndarray | None = None
+    contexts: np.ndarray | None = None
+    dishes: np.ndarray | None = None
+
+    def rare(self, c: int, s: Settings) -> float:
         """The parent's probability of a dish with c = 0 or 1 customers, which has as many tables."""
         one = np.array([float(c)])
-        return float(self.roots[sweep].probability(one, one, self.own[sweep], s)[0])
+        return float(self.root.probability(one, one, self.own, s)[0])
 
 
 def is_near(column: str, k: int) -> Column:
@@ -217,14 +261,13 @@ def filled(ids: np.ndarray, k: int, near: np.ndarray, far: np.ndarray) -> np.nda
     return np.where(inside, near[np.where(inside, ids, k)], far)
 
 
-def numbers(batch: pa.RecordBatch, name: str, size: int) -> np.ndarray:
-    """A column of lists of ``size`` numbers as a matrix with one column per row; null lists become NaN."""
-    column = batch.column(name)
-    out = np.full((size, len(column)), np.nan)
-    there = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
-    if len(there):
-        out[:, there] = column.drop_null().flatten().to_numpy().reshape(-1, size).T
-    return out
+def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    """A column of numbers; null becomes NaN."""
+    return batch.column(name).to_numpy(zero_copy_only=False).astype(np.float64)
+
+
+def small(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.min_scalar_type(x.max(initial=0)))
 
 
 class Model:
@@ -240,7 +283,7 @@ class Model:
         by_rank, self.near_counts = top.column("h").to_numpy(), np.append(top.column("n").to_numpy(), self.texts)
         order = np.argsort(by_rank)
         self.k = len(by_rank)
-        self.near = self.context.broadcast(Near(by_rank[order], order.astype(np.int32), by_rank))
+        self.near = self.context.broadcast(Near(by_rank[order], order.astype(np.int32)))
         last = (int(by_rank[-1]), int(self.near_counts[-2])) if self.k else (0, 1 << 62)
         self.rest = self.counts.where((F.col("n") < last[1]) | ((F.col("n") == last[1]) & (F.col("h") > last[0]))).select(F.col("h").alias("id"), "n")
         #: whether a word that is not sent may occur more than once
@@ -249,16 +292,13 @@ class Model:
         self._sample()
         self._send()
 
-    def _repeated(self, far: DataFrame | None, columns: dict[str, str]) -> DataFrame:
-        """Pairs that occur twice or more, with these columns (u's, w's) of the words that are not sent."""
+    def _repeated(self, far: DataFrame | None, of_u: list[str], of_w: list[str]) -> DataFrame:
+        """Pairs that occur twice or more, with these columns of their words where these are not sent."""
         rows, both = self.pairs.where("n > 1"), is_near("u", self.k) & is_near("w", self.k)
-        none = [F.lit(None).cast(kind).alias(name) for name, kind in columns.items()]
+        none = [F.lit(None).cast("double").alias(c) for c in of_u + of_w]
         if far is None:
             return rows.select("u", "w", "n", *none)
-        first, second = columns
-        u = far.select(F.col("id").alias("u"), F.col("t").alias(first))
-        w = far.select(F.col("id").alias("w"), F.col("p").alias(second))
-        joined = rows.where(~both).join(u, "u", "left").join(w, "w", "left").select("u", "w", "n", first, second)
+        joined = rows.where(~both).join(far.select(F.col("id").alias("u"), *of_u), "u", "left").join(far.select(F.col("id").alias("w"), *of_w), "w", "left")
         return rows.where(both).select("u", "w", "n", *none).unionByName(joined)
 
     def _sample(self) -> None:
@@ -269,47 +309,37 @@ class Model:
         contexts, dishes = np.zeros(k + 1, np.int64), np.zeros(k + 1, np.int64)
         got = first.where(is_near("id", k)).toArrow()
         contexts[got["id"].to_numpy()], dishes[got["id"].to_numpy()] = got["contexts"].to_numpy(), got["dishes"].to_numpy()
+        base = Base(small(contexts), small(dishes))
+        self.base = self.context.broadcast(base)
         far = None
         if self.multi:
-            far = self.rest.where("n > 1").join(first, "id").select(
-                "id", "n", "contexts", "dishes", F.col("contexts").cast("double").alias("t"), F.col("dishes").alias("c"),
-                F.expr("cast(array() as array<double>)").alias("ts"), F.expr("cast(array() as array<double>)").alias("ps"),
-            )
+            far = self.rest.where("n > 1").join(first, "id").select("id", "contexts", "dishes", F.col("contexts").cast("double").alias("t0"), F.col("dishes").alias("c"))
             far = stored(far, "far")
         ones = self.rest.where("n = 1").count()
-        word = np.append(near.value.by_rank, END)
-        model = Sampled(k, [contexts.astype(np.float64)], [], [], [])
-        c, root_tables = dishes.copy(), float(self.kinds)
+        root_tables, sweeps = float(self.kinds), []
         for number in range(s.sweeps):
+            c = base.customers(sweeps, number)
             held = far.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0] if self.multi else 0
             root = Root(float(c.sum() + held + ones), root_tables, self.kinds, number)
-            own = root.seated(c, word, s)
-            root_tables = float(own.sum() + ones)
+            root_tables = float(root.seated(c, near.value.with_end, s).sum() + ones)
+            t, p = f"t{number}", f"p{number}"
             if self.multi:
                 far = stored(self._seat_far(far, root), "far")
                 root_tables += far.agg(F.coalesce(F.sum("own"), F.lit(0.0))).first()[0]
-                p = (F.greatest(F.col("c") - s.discount * F.col("own"), F.lit(0.0)) + (s.strength + s.discount * root_tables) / (self.kinds + 1)) / (s.strength + root.customers)
-                far = far.withColumn("p", p)
-            parent = root.probability(c, own, root_tables, s)
-            model.parent.append(parent)
-            model.roots.append(root)
-            model.own.append(root_tables)
-            more = self._sweep(self._repeated(far, {"tu": "double", "pw": "double"}), parent, model.tables[-1], number)
+                share = (F.greatest(F.col("c") - s.discount * F.col("own"), F.lit(0.0)) + (s.strength + s.discount * root_tables) / (self.kinds + 1)) / (s.strength + root.customers)
+                far = far.withColumn(p, share)
+            sweeps.append(Sweep(root, root_tables))
+            more = self._sweep(self._repeated(far, [t], [p]), sweeps)
             if self.multi:
                 more = stored(more, "more")
             got = more.where(is_near("id", k)).toArrow()
-            extra = np.zeros((2, k + 1), np.int64)
-            extra[0, got["id"].to_numpy()], extra[1, got["id"].to_numpy()] = got["contexts"].to_numpy(), got["dishes"].to_numpy()
-            model.tables.append((contexts + extra[0]).astype(np.float64))
-            c = dishes + extra[1]
+            sweeps[-1].ids, sweeps[-1].contexts, sweeps[-1].dishes = (got[c].to_numpy() for c in ("id", "contexts", "dishes"))
             if self.multi:
                 added = more.where(~is_near("id", k)).select("id", F.col("contexts").alias("mc"), F.col("dishes").alias("md"))
-                far = stored(far.join(added, "id", "left").select(
-                    "id", "n", "contexts", "dishes", (F.col("contexts") + F.coalesce("mc", F.lit(0))).cast("double").alias("t"),
-                    (F.col("dishes") + F.coalesce("md", F.lit(0))).alias("c"), F.concat("ts", F.array("t")).alias("ts"), F.concat("ps", F.array("p")).alias("ps"),
-                ), "far")
-        self.model = model
-        self.far = far.select("id", "n", F.concat("ts", F.array("t")).alias("t"), F.col("ps").alias("p")) if self.multi else None
+                far = stored(far.drop("own").join(added, "id", "left").withColumns({
+                    f"t{number + 1}": (F.col("contexts") + F.coalesce("mc", F.lit(0))).cast("double"), "c": F.col("dishes") + F.coalesce("md", F.lit(0)),
+                }).drop("mc", "md"), "far")
+        self.sweeps, self.far = sweeps, far
 
     def _seat_far(self, far: DataFrame, root: Root) -> DataFrame:
         s = self.s
@@ -319,21 +349,21 @@ class Model:
                 own = root.seated(batch.column("c").to_numpy(), batch.column("id").to_numpy(), s)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own)], names=[*batch.schema.names, "own"])
 
-        return far.mapInArrow(run, "id long, n long, contexts long, dishes long, t double, c long, ts array<double>, ps array<double>, own double")
+        return far.mapInArrow(run, T.StructType([*far.schema.fields, T.StructField("own", T.DoubleType())]))
 
-    def _sweep(self, rows: DataFrame, parent: np.ndarray, tables: np.ndarray, number: int) -> DataFrame:
+    def _sweep(self, rows: DataFrame, sweeps: list[Sweep]) -> DataFrame:
         """(id, contexts, dishes): a word's tables beyond one a pair, as the context and as the dish."""
-        s, k, near = self.s, self.k, self.near
-        sent = self.context.broadcast((parent, tables))
+        s, k, near, base = self.s, self.k, self.near, self.base
+        sent = self.context.broadcast(sweeps)
 
         def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            parent, tables = sent.value
+            sweeps = sent.value
+            last, number = sweeps[-1], len(sweeps) - 1
+            parent, tables = base.value.parent(near.value, sweeps, last.root, last.own, s), base.value.tables(sweeps, number)
             for batch in batch_iter:
                 u, w = batch.column("u").to_numpy(), batch.column("w").to_numpy()
-                tu = batch.column("tu").to_numpy(zero_copy_only=False).astype(float)
-                pw = batch.column("pw").to_numpy(zero_copy_only=False).astype(float)
-                t = seat(batch.column("n").to_numpy(), filled(w, k, parent, pw), filled(u, k, tables, tu), near.value.keys(u, w), number, s)
-                extra = (t - 1).astype(np.int64)
+                pw, tu = filled(w, k, parent, column(batch, f"p{number}")), filled(u, k, tables, column(batch, f"t{number}"))
+                extra = (seat(batch.column("n").to_numpy(), pw, tu, near.value.keys(u, w), number, s) - 1).astype(np.int64)
                 some = extra > 0
                 u, w, extra = u[some], w[some], extra[some]
                 zero = np.zeros(len(u), np.int64)
@@ -343,29 +373,28 @@ class Model:
         return out.groupBy("id").agg(F.sum("contexts").alias("contexts"), F.sum("dishes").alias("dishes"))
 
     def _send(self) -> None:
-        s, k, near, model = self.s, self.k, self.near, self.model
+        s, k, near, base = self.s, self.k, self.near, self.base
         kept = range(s.burn_in, s.sweeps)
-        shape = {"tu": "array<double>", "pw": "array<double>"}
-        rows = self._repeated(self.far, shape)
+        rows = self._repeated(self.far, [f"t{i}" for i in kept], [f"p{i}" for i in kept])
         # the most frequent pairs, as many whole counts as fit
         most, cut, room = 1 << 16, (1 << 16) + 1, s.sent_pairs
         for n, size in sorted(self.pairs.where("n > 1").groupBy(F.least("n", F.lit(most))).count().collect(), reverse=True):
             if size > room:
                 break
             cut, room = n, room - size
-        tables = self.context.broadcast((np.array([model.tables[i] for i in range(s.sweeps + 1)]), np.array(model.parent)))
-        self.sums = tables
+        sweeps = self.context.broadcast(self.sweeps)
 
         def frequent(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batch_iter:
-                keys, x = seated_weights(batch, near.value, k, tables.value, s)
+                keys, x = seated_weights(batch, near.value, base.value, sweeps.value, s)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(x.astype(np.float32))], names=["key", "x"])
 
         top = rows.where(F.col("n") >= cut).mapInArrow(frequent, "key long, x float").toArrow()
         keys = top.column("key").to_numpy().view(np.uint64)
         order = np.argsort(keys)
         top = keys[order], top.column("x").to_numpy()[order]
-        bits = s.bits
+        left = self.pairs.where((F.col("n") > 1) & (F.col("n") < cut)).count()
+        bits = min(s.bits, max(64, 1 << (16 * left).bit_length()))
 
         def marks(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batch_iter:
@@ -380,22 +409,17 @@ class Model:
         marked = marked.groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
         bloom = np.zeros(bits // 64, np.uint64)
         bloom[marked.column("at").to_numpy()] = marked.column("mask").to_numpy().view(np.uint64)
-        n = self.near_counts.astype(np.float64)
-        back = np.array([(s.strength + s.discount * model.tables[i + 1]) / (s.strength + n) for i in kept])
-        rare = [[model.rare(i, c, s) for i in kept] for c in (0, 1)]
-        self.sent = self.context.broadcast(Sent(
-            k, self.near_counts, (1 / (s.strength + n)), back.astype(np.float32), np.array([model.parent[i] for i in kept], np.float32),
-            np.array(rare), top[0], top[1], bloom, self.multi, s,
-        ))
+        kinds, run = np.unique(self.near_counts[:-1], return_counts=True)
+        self.sent = self.context.broadcast(Sent(k, kinds[::-1], run[::-1], self.texts, self.sweeps, top[0], top[1], bloom, self.multi, s))
 
 
-def seated_weights(batch: pa.RecordBatch, near: Near, k: int, sums: tuple[np.ndarray, np.ndarray], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+def seated_weights(batch: pa.RecordBatch, near: Near, base: Base, sweeps: list[Sweep], s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """(key, customers less the discount of their tables, averaged over the sweeps that count) of each pair."""
     u, w, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("u", "w", "n"))
-    keys, total = near.keys(u, w), np.zeros(len(u))
-    tu, pw = numbers(batch, "tu", s.sweeps + 1), numbers(batch, "pw", s.sweeps)
+    keys, total, k = near.keys(u, w), np.zeros(len(u)), len(near.rank)
     for i in range(s.burn_in, s.sweeps):
-        parent, tables = filled(w, k, sums[1][i], pw[i]), filled(u, k, sums[0][i], tu[i])
+        parent = filled(w, k, base.parent(near, sweeps, sweeps[i].root, sweeps[i].own, s), column(batch, f"p{i}"))
+        tables = filled(u, k, base.tables(sweeps, i), column(batch, f"t{i}"))
         total += n - s.discount * seat(n, np.nan_to_num(parent), np.nan_to_num(tables, nan=1.0), keys, i, s)
     return keys, total / (s.sweeps - s.burn_in)
 
@@ -405,16 +429,28 @@ class Sent:
     """What every task has for scoring; see the module's bounds."""
 
     k: int
-    count: np.ndarray
-    inverse: np.ndarray
-    back: np.ndarray
-    parent: np.ndarray
-    rare: np.ndarray
+    kinds: np.ndarray
+    runs: np.ndarray
+    texts: int
+    sweeps: list[Sweep]
     pair_keys: np.ndarray
     pair_weights: np.ndarray
     bloom: np.ndarray
     multi: bool
     s: Settings
+    ready: bool = False
+
+    def prepare(self, near: Near, base: Base) -> Sent:
+        """Computes the sums of the words that are sent, once a process."""
+        if not self.ready:
+            s, kept = self.s, range(self.s.burn_in, self.s.sweeps)
+            self.count = np.append(np.repeat(self.kinds, self.runs), self.texts)
+            self.inverse = 1 / (s.strength + self.count)
+            self.back = [(s.strength + s.discount * base.tables(self.sweeps, i + 1)) * self.inverse for i in kept]
+            self.parent = [base.parent(near, self.sweeps, self.sweeps[i].root, self.sweeps[i].own, s) for i in kept]
+            self.rare = np.array([[self.sweeps[i].rare(c, s) for i in kept] for c in (0, 1)])
+            self.ready = True
+        return self
 
     def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(whether the pair is sent, its weight)."""
@@ -425,7 +461,7 @@ class Sent:
         return found, np.where(found, self.pair_weights[at], 0.0)
 
     def marked(self, keys: np.ndarray) -> np.ndarray:
-        at = keys & np.uint64(self.s.bits - 1)
+        at = keys & np.uint64(len(self.bloom) * 64 - 1)
         return (self.bloom[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
     def log(self, weight: np.ndarray, u: np.ndarray, w: np.ndarray, far: dict | None = None) -> np.ndarray:
@@ -449,11 +485,11 @@ def score(docs: DataFrame, held_out: Column, settings: Settings | None = None, i
     s = settings or Settings()
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
     made = Model(source.where(~F.col("held_out")), s)
-    near, sent, sums, k, texts = made.near, made.sent, made.sums, made.k, made.texts
+    near, sent, sums, k = made.near, made.sent, made.base, made.k
     low = float(np.log10(made.tokens + (made.kinds + 1)))
 
     def local(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, words = sent.value, near.value
+        m, words = sent.value.prepare(near.value, sums.value), near.value
         for whole in batch_iter:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
@@ -488,30 +524,29 @@ def score(docs: DataFrame, held_out: Column, settings: Settings | None = None, i
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, value double, u array<long>, w array<long>, m array<int>"
     first = stored(source.mapInArrow(local, out).withColumn("row", F.monotonically_increasing_id()), "scores")
     asked = first.select("row", F.explode(F.arrays_zip("u", "w", "m")).alias("x")).select("row", "x.u", "x.w", "x.m")
-    inside, none = is_near("u", k) & is_near("w", k), F.lit(None)
-    shape = [none.cast("array<double>").alias("tu"), none.cast("array<double>").alias("pw")]
-    nearby = asked.where(inside).join(made.pairs, ["u", "w"], "left").select("row", "u", "w", "m", "n", none.cast("long").alias("nu"), none.cast("long").alias("nw"), *shape)
-    words = made.rest.withColumns({"t": shape[0], "p": shape[1]}) if made.far is None else made.rest.join(made.far.select("id", "t", "p"), "id", "left")
-    side_u = words.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("t").alias("tu"))
-    side_w = words.select(F.col("id").alias("w"), F.col("n").alias("nw"), F.col("p").alias("pw"))
-    others = asked.where(~inside).join(made.pairs, ["u", "w"], "left").join(side_u, "u", "left").join(side_w, "w", "left").select("row", "u", "w", "m", "n", "nu", "nw", "tu", "pw")
+    inside, kept = is_near("u", k) & is_near("w", k), range(s.burn_in, s.sweeps)
+    of_u, of_w = [f"t{i}" for i in range(s.burn_in, s.sweeps + 1)], [f"p{i}" for i in kept]
+    shape = {c: F.lit(None).cast("double") for c in of_u + of_w}
+    nearby = asked.where(inside).join(made.pairs, ["u", "w"], "left").select("row", "u", "w", "m", "n", F.lit(0).cast("long").alias("nu"), F.lit(0).cast("long").alias("nw"), *[c.alias(x) for x, c in shape.items()])
+    words = made.rest.withColumns(shape) if made.far is None else made.rest.join(made.far.select("id", *of_u, *of_w), "id", "left")
+    side_u = words.select(F.col("id").alias("u"), F.col("n").alias("nu"), *of_u)
+    side_w = words.select(F.col("id").alias("w"), F.col("n").alias("nw"), *of_w)
+    others = asked.where(~inside).join(made.pairs, ["u", "w"], "left").join(side_u, "u", "left").join(side_w, "w", "left").select("row", "u", "w", "m", "n", "nu", "nw", *of_u, *of_w)
 
     def answer(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, words = sent.value, near.value
+        m, words = sent.value.prepare(near.value, sums.value), near.value
         for batch in batch_iter:
             plain = {c: batch.column(c).fill_null(0) for c in ("n", "nu", "nw")}
-            for c, column in plain.items():
-                batch = batch.set_column(batch.schema.get_field_index(c), c, column)
+            for c, values in plain.items():
+                batch = batch.set_column(batch.schema.get_field_index(c), c, values)
             u, w, times = batch.column("u").to_numpy(), batch.column("w").to_numpy(), batch.column("m").to_numpy()
             nu, nw = plain["nu"].to_numpy(), plain["nw"].to_numpy()
-            _, weight = seated_weights(batch, words, k, sums.value, s)
-            tu, pw = numbers(batch, "tu", s.sweeps + 1), numbers(batch, "pw", s.sweeps)
-            kept = range(s.burn_in, s.sweeps)
-            rare = m.rare[np.minimum(nw, 1)].T
+            _, weight = seated_weights(batch, words, sums.value, m.sweeps, s)
+            rare, t = m.rare[np.minimum(nw, 1)].T, {i: column(batch, f"t{i + 1}") for i in kept}
             far = {
                 "inverse": 1 / (s.strength + nu),
-                "back": [(s.strength + s.discount * np.where(np.isnan(tu[i + 1]), np.minimum(nu, 1), tu[i + 1])) / (s.strength + nu) for i in kept],
-                "parent": [np.where(np.isnan(pw[i]), rare[j], pw[i]) for j, i in enumerate(kept)],
+                "back": [(s.strength + s.discount * np.where(np.isnan(t[i]), np.minimum(nu, 1), t[i])) / (s.strength + nu) for i in kept],
+                "parent": [np.where(np.isnan(p), rare[j], p) for j, p in enumerate(column(batch, c) for c in of_w)],
             }
             value = times * m.log(weight, u, w, far)
             away = ~((w >= 0) & (w <= k))
