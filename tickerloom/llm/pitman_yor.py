@@ -11,8 +11,8 @@ returns tables beyond the first. Draws are functions of words and sweep: a lost
 need not be kept.
 
 Sent to tasks, each with a bound: the ``sent`` most frequent words with their restaurants' sums, at most ``sent_pairs``
-of the most frequent pairs, and a Bloom filter of ``bits`` bits of the remaining pairs that occur twice or more. What
-these leave open is found by joins. In a training text an open pair that is not in the filter occurs once.
+of the most frequent pairs, and a Bloom filter of ``bits`` bits of the remaining pairs and words that occur twice or
+more. In a training text a pair or word that is neither sent nor in the filter occurs once. All else is joined.
 """
 
 from __future__ import annotations
@@ -387,30 +387,34 @@ class Model:
         def frequent(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batch_iter:
                 keys, x = seated_weights(batch, near.value, base.value, sweeps.value, s)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(x.astype(np.float32))], names=["key", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array([keys.tobytes()]), pa.array([x.astype(np.float32).tobytes()])], names=["keys", "xs"])
 
-        top = rows.where(F.col("n") >= cut).mapInArrow(frequent, "key long, x float").toArrow()
-        keys = top.column("key").to_numpy().view(np.uint64)
+        top = rows.where(F.col("n") >= cut).mapInArrow(frequent, "keys binary, xs binary").toArrow()
+        keys, x = (np.frombuffer(b"".join(top.column(c).to_pylist()), kind) for c, kind in (("keys", np.uint64), ("xs", np.float32)))
         order = np.argsort(keys)
-        top = keys[order], top.column("x").to_numpy()[order]
-        left = self.pairs.where((F.col("n") > 1) & (F.col("n") < cut)).count()
-        bits = min(s.bits, max(64, 1 << (16 * left).bit_length()))
+        top = keys[order], x[order]
+        left = self.pairs.where((F.col("n") > 1) & (F.col("n") < cut)).select("u", "w")
+        if self.multi:  # and the words that are not sent and occur twice or more
+            left = left.unionByName(self.rest.where("n > 1").select(F.col("id").alias("u"), F.lit(None).cast("long").alias("w")))
+        bits = min(s.bits, max(64, 1 << (16 * left.count()).bit_length()))
 
         def marks(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batch_iter:
                 if batch.num_rows:
-                    at = np.unique(near.value.keys(batch.column("u").to_numpy(), batch.column("w").to_numpy()) & np.uint64(bits - 1))
+                    u, w = batch.column("u").to_numpy(), batch.column("w").fill_null(0).to_numpy()
+                    word = batch.column("w").is_null().to_numpy(zero_copy_only=False)
+                    at = np.unique(np.where(word, root_keys(u), near.value.keys(u, w)) & np.uint64(bits - 1))
                     word = at >> np.uint64(6)
                     first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
                     mask = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first)
                     yield pa.RecordBatch.from_arrays([pa.array(word[first].view(np.int64)), pa.array(mask.view(np.int64))], names=["at", "mask"])
 
-        marked = self.pairs.where((F.col("n") > 1) & (F.col("n") < cut)).select("u", "w").mapInArrow(marks, "at long, mask long")
+        marked = left.mapInArrow(marks, "at long, mask long")
         marked = marked.groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
         bloom = np.zeros(bits // 64, np.uint64)
         bloom[marked.column("at").to_numpy()] = marked.column("mask").to_numpy().view(np.uint64)
         kinds, run = np.unique(self.near_counts[:-1], return_counts=True)
-        self.sent = self.context.broadcast(Sent(k, kinds[::-1], run[::-1], self.texts, self.sweeps, top[0], top[1], bloom, self.multi, s))
+        self.sent = self.context.broadcast(Sent(k, kinds[::-1], run[::-1], self.texts, self.sweeps, top[0], top[1], bloom, s))
 
 
 def seated_weights(batch: pa.RecordBatch, near: Near, base: Base, sweeps: list[Sweep], s: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -436,7 +440,6 @@ class Sent:
     pair_keys: np.ndarray
     pair_weights: np.ndarray
     bloom: np.ndarray
-    multi: bool
     s: Settings
     ready: bool = False
 
@@ -502,8 +505,9 @@ def score(docs: DataFrame, held_out: Column, settings: Settings | None = None, i
                     here = (w >= 0) & (w <= k)
                     far = ~(here & (u >= 0) & (u <= k))
                     found, weight = m.look(keys)
-                    if held is False:  # its pairs occur, and once unless sent or marked
-                        ask = (far & m.multi) | (~found & m.marked(keys))
+                    if held is False:  # its pairs and words occur, and once unless sent or marked
+                        again = (m.marked(root_keys(u)) & ~((u >= 0) & (u <= k))) | (m.marked(root_keys(w)) & ~here)
+                        ask = (again & far) | (~found & m.marked(keys))
                         weight = np.where(found, weight, 1 - s.discount)
                     else:
                         ask = far | ~found
@@ -527,11 +531,11 @@ def score(docs: DataFrame, held_out: Column, settings: Settings | None = None, i
     inside, kept = is_near("u", k) & is_near("w", k), range(s.burn_in, s.sweeps)
     of_u, of_w = [f"t{i}" for i in range(s.burn_in, s.sweeps + 1)], [f"p{i}" for i in kept]
     shape = {c: F.lit(None).cast("double") for c in of_u + of_w}
-    nearby = asked.where(inside).join(made.pairs, ["u", "w"], "left").select("row", "u", "w", "m", "n", F.lit(0).cast("long").alias("nu"), F.lit(0).cast("long").alias("nw"), *[c.alias(x) for x, c in shape.items()])
+    nearby = asked.where(inside).join(made.pairs.where(inside), ["u", "w"], "left").select("row", "u", "w", "m", "n", F.lit(0).cast("long").alias("nu"), F.lit(0).cast("long").alias("nw"), *[c.alias(x) for x, c in shape.items()])
     words = made.rest.withColumns(shape) if made.far is None else made.rest.join(made.far.select("id", *of_u, *of_w), "id", "left")
     side_u = words.select(F.col("id").alias("u"), F.col("n").alias("nu"), *of_u)
     side_w = words.select(F.col("id").alias("w"), F.col("n").alias("nw"), *of_w)
-    others = asked.where(~inside).join(made.pairs, ["u", "w"], "left").join(side_u, "u", "left").join(side_w, "w", "left").select("row", "u", "w", "m", "n", "nu", "nw", *of_u, *of_w)
+    others = asked.where(~inside).join(made.pairs.where(~inside), ["u", "w"], "left").join(side_u, "u", "left").join(side_w, "w", "left").select("row", "u", "w", "m", "n", "nu", "nw", *of_u, *of_w)
 
     def answer(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, words = sent.value.prepare(near.value, sums.value), near.value
