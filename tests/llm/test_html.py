@@ -70,3 +70,98 @@ def test_longer_comments_are_still_not_the_article():
 def test_formulas_belong_to_the_article():
     page = f"<article><p>{P1}<p>The sum is <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math>, as shown, above.</article>"
     assert html_text.main_text(page) == f"{P1}\nThe sum is x=2, as shown, above."
+
+
+def test_lists_and_tables_that_belong_to_the_article():
+    refs = "<ol><li><a href=1>Smith, J. On paragraphs. Journal of Texts.</a></li><li><a href=2>Doe, K. On commas.</a></li></ol>"
+    want = f"{WANT}\nSmith, J. On paragraphs. Journal of Texts.\nDoe, K. On commas."
+    assert html_text.main_text(f"<article>{ARTICLE}{refs}</article>") == want
+    table = "<table><tr><td><a href=1>Cell one</a></td><td>2</td></tr></table>"
+    assert html_text.main_text(f"<article>{ARTICLE}{table}</article>") == f"{WANT}\nCell one\n2"
+    links = "<ul><li><a href=1>one</a></li><li><a href=2>two</a></li></ul>"
+    assert html_text.main_text(f"<article>{ARTICLE}<p>The parts are:</p>{links}</article>") == f"{WANT}\nThe parts are:\none\ntwo"
+    assert html_text.main_text(f"<article>{ARTICLE}<ul><li>note <ul><li><a href=1>one</a></li></ul></li></ul></article>") == f"{WANT}\nnote"
+
+
+def test_names_on_paragraphs_and_attributes_of_other_names():
+    assert html_text.main_text(f"<article>{ARTICLE}<p class=advert>Buy this, now, it is cheap, and good, really.</p></article>") == WANT
+    assert html_text.main_text(f"<article><h2 id=privacy>Title</h2><p id=survey>{P1}<p title='a hidden gem' data-hidden=1>{P2}</article>") == WANT
+    assert html_text.main_text(f"<p class=notice>{P1}</p>") == P1
+
+
+@pytest.mark.parametrize(
+    "part",
+    ["<b>", "</i>", "<div>word word, ", "<b><i><p>one, two", '<a ">"', "<ul><li><a>x", "<table><tr><td>x", "<div class=menu><main>", "<!-- x ", "<p class='", "</p>", "<h1>x", "&", "<"],
+)
+def test_broken_markup_takes_time_by_length(part):
+    import time
+
+    start = time.process_time()
+    html_text.main_text("<b>" * 50_000 + part * (600_000 // len(part)) + "</i>" * 50_000)
+    assert time.process_time() - start < 10
+
+
+def test_parser_and_sums_against_a_plain_tree():
+    """Trees of random elements: html.parser reads them, and every block walks all its ancestors."""
+    import random
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.tags, self.up, self.stack, self.lines, self.held = ["#"], [-1], [0], [], []
+
+        def end_line(self):
+            line = " ".join("".join(t for _, t in self.held).split())
+            if line:
+                self.lines.append((next(n for n, t in self.held if t.strip()), line, sum(len(t) for n, t in self.held if self.linked(n))))
+            self.held = []
+
+        def linked(self, n):
+            return n > 0 and (self.tags[n] == "a" or self.linked(self.up[n]))
+
+        def handle_starttag(self, tag, attrs):
+            if tag in html_text.BLOCK:
+                self.end_line()
+            self.tags.append(tag)
+            self.up.append(self.stack[-1])
+            self.stack.append(len(self.tags) - 1)
+
+        def handle_endtag(self, tag):
+            assert self.tags[self.stack.pop()] == tag
+            if tag in html_text.BLOCK:
+                self.end_line()
+
+        def handle_data(self, data):
+            self.held.append((self.stack[-1], data))
+
+    def tree(rng, depth):
+        out = ""
+        for _ in range(rng.randint(1, 4)):
+            tag = rng.choice(["div", "section", "span", "a", "em"]) if depth else None
+            out += f"<{tag}>{tree(rng, depth - 1)}</{tag}>" if tag else rng.choice(["<p>{}</p>", "{}", "<a>{}</a>"]).format(rng.choice(["short ", P1, P2, "a, b, c, d, "]))
+        return out
+
+    for seed in range(60):
+        source = tree(random.Random(seed), 5)
+        page, plain = html_text.Page(source), Plain()
+        plain.feed(source)
+        plain.close()
+        plain.end_line()
+        assert list(page.blocks()) == plain.lines and page.tag == plain.tags and page.up == plain.up
+        letters, points = [0] * len(plain.tags), [0.0] * len(plain.tags)
+        for n, line, linked in plain.lines:
+            while n and plain.tags[n] not in html_text.BLOCK:
+                n = plain.up[n]
+            above = [n]
+            while above[-1] >= 0:
+                above.append(plain.up[above[-1]])
+            for x in above[:-1]:
+                letters[x] += len(line)
+            if len(line) >= 25:
+                worth = (1 + line.count(",") + min(len(line) / 100, 3)) * (1 - min(linked, len(line)) / len(line))
+                from_ = above[1:-1] if plain.tags[n] == "p" else above[:-1]
+                for share, x in zip([1, 1 / 2, 1 / 6, 1 / 9, 1 / 12], from_):
+                    points[x] += worth * share
+        score, counted, _, _ = html_text.scores(page, 25, 5)
+        assert counted == letters and score == pytest.approx(points)

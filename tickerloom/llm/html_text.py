@@ -3,7 +3,12 @@
 Text blocks pass points for their length and commas to the elements around them, less with each level and
 discounted by the share of link text. The best container is kept with those siblings that read like text.
 Names that pages give to what is not the article lower the points of what stands inside; such an element goes
-only after that, and stays where it holds the best container together with the article or most of the text.
+only after that, and stays where it holds the best container together with the article or most of the text. Lists of bare
+links are left out of the article; a list with an item that reads as text, or that a colon announces, and every table stays.
+
+The time grows with the length of the page, whatever its markup: an end tag finds its element by the places of the
+open elements of that name, and sums over ancestors are taken in one pass from the last element to the first. From
+the place where quotes in tags no longer close, tags end at the next ``>``.
 """
 
 from __future__ import annotations
@@ -45,11 +50,15 @@ NAMES = frozenset(
 )
 PAGE_HEAD = frozenset({"header", "head", "top", "hdr"})
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*+>|[^>]*>|[^>]*\Z)|<[!?/][^>]*(?:>|\Z)", re.S
-)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?(?=[\s/>\"']|$)", re.I)
+_TAG = re.compile(r"<!--(?:-?>|.*?(?:-->|\Z))|<(/?)([a-zA-Z][^\s/>]*)|<[!?/][^>]*(?:>|\Z)", re.S)
+_QUOTED_REST = re.compile(r"(?:\"[^\"]*\"|'[^']*'|[^\"'>])*+>")
+_PLAIN_REST = re.compile(r"[^>]*(?:>|\Z)")
+_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: End tags of these look beyond the cell they stand in.
+_FAR = frozenset("table tr tbody thead tfoot td th body html article main div section".split())
+_CELL = frozenset({"td", "th", "table"})
+_LISTS = frozenset({"ul", "ol", "dl"})
 
 
 class Page:
@@ -59,8 +68,11 @@ class Page:
         self.tag, self.up, self.off, self.first, self.last = ["#"], [-1], [False], [0], [0]
         self.in_article = [False]
         self.doubtful, self.depth = [False], [0]  # by its name not the article; how many such elements it stands in
+        self.block = [0]  # nearest block around or at the element
         self.events: list[tuple[int, str]] = []  # (element, text); the text of a break is ""
         self.stack = [0]
+        self.places: dict[str, list[int]] = {}  # places on the stack of the open elements of a name
+        self.blocks_open = [0]  # and of the open blocks
         self.build(source)
         self.hard = self.off
 
@@ -83,13 +95,17 @@ class Page:
         self.depth.append(self.depth[up] + self.doubtful[n])
         self.first.append(len(self.events))
         self.last.append(-1)
+        self.places.setdefault(tag, []).append(len(self.stack))
         if tag in BLOCK:
             self.events.append((n, ""))
+            self.blocks_open.append(len(self.stack))
+        self.block.append(n if tag in BLOCK else self.block[up])
         self.stack.append(n)
 
     def unwanted(self, tag: str, attrs: str, inside: bool) -> tuple[bool, bool]:
         """(whether the element is hidden or has another role, whether it has the name of such a one)."""
         doubt = False
+        heading = tag in HEADINGS
         for name, a, b, c in _ATTR.findall(attrs):
             name, value = name.lower(), a or b or c
             if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
@@ -101,31 +117,33 @@ class Page:
             elif name == "style":
                 if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                     return True, doubt
-            elif tag not in ("html", "body", "article", "main", "p") and tag not in HEADINGS:
+            elif name == "class" or (name == "id" and tag != "p" and not heading):  # the id of a heading tells its subject
+                if tag in ("html", "body", "article", "main", "h1"):
+                    continue
                 parts = {x.lower() for x in _NAME.findall(value)}
-                if parts & NAMES or (not inside and parts & PAGE_HEAD and not parts & {"article", "entry", "post", "story", "content"}):
+                page_head = not inside and not heading and tag != "p" and parts & PAGE_HEAD
+                if parts & NAMES or (page_head and not parts & {"article", "entry", "post", "story", "content"}):
                     doubt = True
         return False, doubt
 
     def close(self, depth: int) -> None:
         """Close all elements from ``depth`` of the stack upwards."""
         for n in reversed(self.stack[depth:]):
+            self.places[self.tag[n]].pop()
             if self.tag[n] in BLOCK:
+                self.blocks_open.pop()
                 self.events.append((n, ""))
             self.last[n] = len(self.events)
         del self.stack[depth:]
 
-    def nearest(self, wanted: frozenset | set, stop: frozenset | set) -> int:
-        for depth in range(len(self.stack) - 1, 0, -1):
-            tag = self.tag[self.stack[depth]]
-            if tag in wanted:
-                return depth
-            if tag in stop:
-                return 0
-        return 0
+    def nearest(self, wanted: frozenset | set, stop: frozenset | set = frozenset()) -> int:
+        """Place of the innermost open element of ``wanted``, 0 if there is none or one of ``stop`` stands inside it."""
+        place = max((at[-1] for tag in wanted if (at := self.places.get(tag))), default=0)
+        return place if place and all(at[-1] <= place for tag in stop if (at := self.places.get(tag))) else 0
 
     def build(self, source: str) -> None:
         at, end, open_tags = 0, len(source), self.stack
+        rest = _QUOTED_REST
         while at < end:
             found = _TAG.search(source, at)
             stop = found.start() if found else end
@@ -138,17 +156,21 @@ class Page:
             name = found[2]
             if not name:
                 continue
-            tag, attrs = name.lower(), found[3]
+            over = rest.match(source, at)
+            if over is None:  # no tag from here on closes its quotes
+                rest = _PLAIN_REST
+                over = rest.match(source, at)
+            tag, attrs, at = name.lower(), over[0], over.end()
             if found[1]:
                 if tag == "br":
                     self.events.append((open_tags[-1], " "))
-                elif depth := self.nearest({tag}, frozenset({"td", "th", "table"}) if tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "body", "html", "article", "main", "div", "section") else frozenset()):
+                elif depth := self.nearest((tag,), () if tag in _FAR else _CELL):
                     self.close(depth)
                 continue
             if tag not in HEAD_ONLY and len(open_tags) > 1 and self.tag[open_tags[-1]] == "head":
                 self.close(len(open_tags) - 1)
-            if tag in BLOCK and tag != "html" and (depth := self.nearest({"p"}, BLOCK)):
-                self.close(depth)
+            if tag in BLOCK and tag != "html" and self.tag[open_tags[self.blocks_open[-1]]] == "p":
+                self.close(self.blocks_open[-1])
             if tag in IMPLIED and (depth := self.nearest(*IMPLIED[tag])):
                 self.close(depth)
             if tag in HEADINGS and self.tag[open_tags[-1]] in HEADINGS:
@@ -192,11 +214,6 @@ class Page:
             self._links = links
         return self._links
 
-    def block_element(self, n: int) -> int:
-        while n > 0 and self.tag[n] not in BLOCK:
-            n = self.up[n]
-        return n
-
 
 def scores(page: Page, min_block: int, levels: int) -> tuple[list[float], list[int], list[int], list[float]]:
     """(score, letters, letters in links, text) of every element, from the blocks that are not off; ``text`` counts
@@ -204,16 +221,13 @@ def scores(page: Page, min_block: int, levels: int) -> tuple[list[float], list[i
     size = len(page.tag)
     score, letters, linked, text = [0.0] * size, [0] * size, [0] * size, [0] * size
     for n, line, in_links in page.blocks():
-        element = page.block_element(n)
+        element = page.block[n]
         in_links = min(in_links, len(line))
-        x = element
-        while x >= 0:
-            letters[x] += len(line)
-            linked[x] += in_links
-            text[x] += len(line) - in_links if len(line) >= min_block else 0
-            x = page.up[x]
+        letters[element] += len(line)
+        linked[element] += in_links
         if len(line) < min_block:
             continue
+        text[element] += len(line) - in_links
         points = (1 + sum(map(line.count, ",،、，")) + min(len(line) / 100, 3)) * (1 - in_links / len(line)) * 0.5 ** page.depth[element]
         x, share = page.up[element] if page.tag[element] in LEAF_BLOCKS else element, 1.0
         for level in range(levels):
@@ -222,6 +236,11 @@ def scores(page: Page, min_block: int, levels: int) -> tuple[list[float], list[i
             score[x] += points * share
             share = 1 / (2 if level == 0 else 3 * (level + 1))
             x = page.up[x]
+    for n in range(size - 1, 0, -1):  # an element comes after those around it
+        up = page.up[n]
+        letters[up] += letters[n]
+        linked[up] += linked[n]
+        text[up] += text[n]
     return score, letters, linked, text
 
 
@@ -248,7 +267,7 @@ def main_text(source: str, min_block: int = 25, levels: int = 5) -> str:
     longest = max((x for x in whole if page.tag[x] == "article"), key=lambda x: (text[x], -x), default=-1)
     holders = set()
     for x in [longest, *(x for x in whole if page.tag[x] == "main")]:
-        while x > 0:
+        while x > 0 and x not in holders:
             holders.add(x)
             x = page.up[x]
     keep, x = set(), best
@@ -294,19 +313,34 @@ def chosen_text(page: Page, min_block: int, levels: int) -> str:
                     chosen.add(x)
     out = []
     for x in sorted(chosen):
-        for n, line, in_links in page.blocks(page.first[x], page.last[x]):
-            if not menu(page, n, letters, linked, x):
-                out.append(line)
+        lines = list(page.blocks(page.first[x], page.last[x]))
+        skip = menus(page, lines, x)
+        out += [line for n, line, _ in lines if n not in skip]
     return "\n".join(out)
 
 
-def menu(page: Page, n: int, letters: list[int], linked: list[int], container: int) -> bool:
-    """Whether a block stands in a list that is links almost only."""
-    while n > container:
-        if page.tag[n] in ("ul", "ol", "dl", "table") and letters[n] and linked[n] >= 0.8 * letters[n]:
-            return True
-        n = page.up[n]
-    return False
+def menus(page: Page, lines: list[tuple[int, str, int]], container: int) -> set[int]:
+    """Elements inside ``container`` that stand in a list of bare links. A list is more than that if more of an item
+    than a mark is no link, if an item has a full stop, a comma or 60 letters, or if the block before ends with a colon."""
+    end = container + 1
+    while end < len(page.tag) and page.up[end] >= container:
+        end += 1
+    reads, first = [False] * (end - container), [len(lines)] * (end - container)
+    for at, (n, line, in_links) in enumerate(lines):
+        n -= container
+        reads[n] = reads[n] or in_links < len(line) - 2 or len(line) >= 60 or any(c in line for c in ".,،、，。")
+        first[n] = min(first[n], at)
+    for n in range(end - 1, container, -1):
+        up, n = page.up[n] - container, n - container
+        reads[up] = reads[up] or reads[n]
+        first[up] = min(first[up], first[n])
+    out: set[int] = set()
+    for n in range(container + 1, end):
+        at = first[n - container]
+        bare = page.tag[n] in _LISTS and not reads[n - container] and 0 <= at < len(lines)
+        if page.up[n] in out or (bare and not (at > 0 and lines[at - 1][1].endswith(":"))):
+            out.add(n)
+    return out
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
