@@ -22,8 +22,12 @@ def frame(before: int, to: int = 0):
 
 
 def dedup_daily(daily: DataFrame) -> DataFrame:
-    """Newest row per (ticker, session)."""
-    return latest_by(daily, ["ticker", "session_date"], [F.col("updated_at").desc()])
+    """Newest row per (ticker, session).
+
+    Rows are sent by ticker, which the windows over a ticker's sessions that follow need anyway: neither they nor this
+    step shuffle or sort them again.
+    """
+    return latest_by(daily.repartition("ticker"), ["ticker", "session_date"], [F.col("updated_at").desc()])
 
 
 def indicators(daily: DataFrame) -> DataFrame:

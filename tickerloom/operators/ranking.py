@@ -153,48 +153,68 @@ def top_n_portfolios(ranking: DataFrame, sizes: tuple[int, ...] = (3, 5, 10)) ->
     )
 
 
-def ranking_performance(ranking: DataFrame) -> DataFrame:
-    """Top-n returns against the day's universe mean, and decile monotonicity."""
-    known = ranking.where("forward_return_5d IS NOT NULL")
-    day_mean = known.groupBy("reference_date").agg(F.avg("forward_return_5d").alias("_mean"))
-    ret = F.col("avg_forward_return_5d")
-    top = (
-        top_n_portfolios(ranking)
-        .where(ret.isNotNull())
-        .join(day_mean, "reference_date", "left")
-        .groupBy(*MODEL, "top_n")
+def ranking_performance(ranking: DataFrame, sizes: tuple[int, ...] = (3, 5, 10)) -> DataFrame:
+    """Top-n returns against the day's universe mean, and decile monotonicity.
+
+    Counts and sums per (model, day, decile) carry the deciles and the top-n portfolios alike; one window over the day
+    adds the universe mean, and each model is summed up from its few rows per day.
+    """
+    ret = F.col("forward_return_5d")
+    picked = {n: F.when(F.col("ranking_position") <= n, ret) for n in sizes}
+    deciles = (
+        ranking.where(ret.isNotNull())
+        .groupBy(*MODEL, "reference_date", "ranking_decile")
         .agg(
-            F.count(F.lit(1)).alias("portfolio_days"),
-            F.avg(ret).alias("avg_top_n_return_5d"),
-            F.stddev_pop(ret).alias("volatility_top_n_return_5d"),
-            F.count_if(ret > 0).alias("positive_days"),
-            F.avg(ret - F.col("_mean")).alias("avg_excess_vs_random_5d"),
+            F.sum(ret).alias("_s"), F.count(ret).alias("_n"),
+            *[f(x).alias(f"{name}{n}") for n, x in picked.items() for f, name in ((F.sum, "_s"), (F.count, "_n"))],
         )
+    )
+    day, own = W.partitionBy("reference_date"), W.partitionBy("reference_date", *MODEL)
+    first = F.row_number().over(own.orderBy("ranking_decile")) == 1  # the row that speaks for the day
+    rows = deciles.select(
+        *MODEL,
+        "ranking_decile",
+        safe_div("_s", "_n").alias("_r"),
+        safe_div(F.sum("_s").over(day), F.sum("_n").over(day)).alias("_mean"),
+        *[F.when(first, safe_div(F.sum(f"_s{n}").over(own), F.sum(f"_n{n}").over(own))).alias(f"_top{n}") for n in sizes],
     )
-    deciles = (
-        known.groupBy(*MODEL, "reference_date", "ranking_decile")
-        .agg(F.avg("forward_return_5d").alias("_r"))
-        .groupBy(*MODEL)
+
+    def portfolio(n: int) -> Column:
+        top = F.col(f"_top{n}")
+        return F.struct(
+            F.lit(n).alias("top_n"),
+            F.count(top).alias("portfolio_days"),
+            F.avg(top).alias("avg_top_n_return_5d"),
+            F.stddev_pop(top).alias("volatility_top_n_return_5d"),
+            F.count_if(top > 0).alias("positive_days"),
+            F.avg(top - F.col("_mean")).alias("avg_excess_vs_random_5d"),
+        )
+
+    corr, excess = F.col("decile_return_correlation"), F.col("avg_excess_vs_random_5d")
+    return (
+        rows.groupBy(*MODEL)
         .agg(
+            F.array(*[portfolio(n) for n in sizes]).alias("_portfolios"),
             F.corr((11 - F.col("ranking_decile")).cast("double"), "_r").alias("decile_return_correlation"),
             avg_if(F.col("ranking_decile") == 1, "_r").alias("top_decile_return_5d"),
             avg_if(F.col("ranking_decile") == 10, "_r").alias("bottom_decile_return_5d"),
         )
-    )
-    corr, excess = F.col("decile_return_correlation"), F.col("avg_excess_vs_random_5d")
-    return top.join(F.broadcast(deciles), MODEL, "left").withColumns(
-        {
-            "positive_day_rate": safe_div("positive_days", "portfolio_days"),
-            "top_minus_bottom_decile_return_5d": F.col("top_decile_return_5d") - F.col("bottom_decile_return_5d"),
-            "ranking_status": status_chain(
-                [
-                    (F.col("portfolio_days") < 60, "amostra_insuficiente"),
-                    ((corr > 0.25) & (excess > 0), "monotonicidade_promissora"),
-                    (corr <= 0, "sem_monotonicidade"),
-                ],
-                "em_observacao",
-            ),
-        }
+        .select(*MODEL, F.inline("_portfolios"), "decile_return_correlation", "top_decile_return_5d", "bottom_decile_return_5d")
+        .where("portfolio_days > 0")
+        .withColumns(
+            {
+                "positive_day_rate": safe_div("positive_days", "portfolio_days"),
+                "top_minus_bottom_decile_return_5d": F.col("top_decile_return_5d") - F.col("bottom_decile_return_5d"),
+                "ranking_status": status_chain(
+                    [
+                        (F.col("portfolio_days") < 60, "amostra_insuficiente"),
+                        ((corr > 0.25) & (excess > 0), "monotonicidade_promissora"),
+                        (corr <= 0, "sem_monotonicidade"),
+                    ],
+                    "em_observacao",
+                ),
+            }
+        )
     )
 
 

@@ -33,6 +33,36 @@ def _summary() -> list[Column]:
     ]
 
 
+def window_status(trades: Column, mean: Column, factor: Column) -> Column:
+    return status_chain(
+        [
+            (trades < 20, "amostra_insuficiente"),
+            ((mean > 0) & (factor >= 1.2), "janela_favoravel"),
+            (mean > 0, "janela_positiva_fraca"),
+        ],
+        "janela_negativa",
+    )
+
+
+def cost_status(trades: Column, normal: Column, stressed: Column) -> Column:
+    return status_chain(
+        [
+            (trades < 30, "amostra_insuficiente"),
+            (stressed > 0, "robusto_a_custos"),
+            ((normal > 0) & (stressed <= 0), "sensivel_a_custos"),
+        ],
+        "sem_expectativa_liquida",
+    )
+
+
+def random_status() -> Column:
+    above = (F.col("excess_expectancy_vs_random_pct") > 0) & (F.col("pct_days_above_random") >= 0.55)
+    return status_chain(
+        [(F.col("compared_days") < 20, "amostra_insuficiente"), (above, "supera_aleatorizacao")],
+        "nao_supera_aleatorizacao",
+    )
+
+
 def oos_splits(trades: DataFrame, policies: DataFrame) -> DataFrame:
     """Train / validation / test by position of the trade within its strategy.
 
@@ -111,14 +141,7 @@ def walk_forward(trades: DataFrame) -> DataFrame:
         {
             "rolling_expectancy_6m": F.avg(mean).over(w6),
             "positive_windows_6m": F.count_if(mean > 0).over(w6),
-            "walk_forward_status": status_chain(
-                [
-                    (F.col("trades") < 20, "amostra_insuficiente"),
-                    ((mean > 0) & (F.col("profit_factor") >= 1.2), "janela_favoravel"),
-                    (mean > 0, "janela_positiva_fraca"),
-                ],
-                "janela_negativa",
-            ),
+            "walk_forward_status": window_status(F.col("trades"), mean, F.col("profit_factor")),
         }
     )
 
@@ -159,17 +182,7 @@ def cost_stress(trades: DataFrame, policies: DataFrame) -> DataFrame:
             F.avg(gross - cost - more_slip).alias("expectancy_stressed_slippage_pct"),
             F.avg(gross - more_cost - more_slip).alias("expectancy_stressed_total_pct"),
         )
-        .withColumn(
-            "cost_stress_status",
-            status_chain(
-                [
-                    (F.col("trades") < 30, "amostra_insuficiente"),
-                    (total > 0, "robusto_a_custos"),
-                    ((F.col("expectancy_normal_cost_pct") > 0) & (total <= 0), "sensivel_a_custos"),
-                ],
-                "sem_expectativa_liquida",
-            ),
-        )
+        .withColumn("cost_stress_status", cost_status(F.col("trades"), F.col("expectancy_normal_cost_pct"), total))
     )
 
 
@@ -188,7 +201,6 @@ def randomization_benchmark(trades: DataFrame) -> DataFrame:
         safe_div("_s", "_n").alias("own"),
         safe_div(F.sum("_s").over(same_day), F.sum("_n").over(same_day)).alias("all_"),
     )
-    excess = F.col("excess_expectancy_vs_random_pct")
     return (
         days.groupBy(*STRATEGY)
         .agg(
@@ -198,16 +210,7 @@ def randomization_benchmark(trades: DataFrame) -> DataFrame:
             F.avg(F.col("own") - F.col("all_")).alias("excess_expectancy_vs_random_pct"),
             share_of(F.col("own") > F.col("all_")).alias("pct_days_above_random"),
         )
-        .withColumn(
-            "randomization_status",
-            status_chain(
-                [
-                    (F.col("compared_days") < 20, "amostra_insuficiente"),
-                    ((excess > 0) & (F.col("pct_days_above_random") >= 0.55), "supera_aleatorizacao"),
-                ],
-                "nao_supera_aleatorizacao",
-            ),
-        )
+        .withColumn("randomization_status", random_status())
     )
 
 
@@ -238,19 +241,83 @@ def parameter_sensitivity(config: DataFrame, metrics: DataFrame) -> DataFrame:
     )
 
 
-def robustness_dashboard(oos: DataFrame, windows: DataFrame, costs: DataFrame, rand: DataFrame) -> DataFrame:
-    """One row per strategy: all tests, a 0-100 score and the alerts."""
-    positive = F.col("walk_forward_status").isin("janela_favoravel", "janela_positiva_fraca")
-    wf = windows.groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("walk_forward_windows"),
-        share_of(positive).alias("pct_positive_walk_forward_windows"),
-        F.avg("expectancy_net_pct").alias("avg_walk_forward_expectancy_net_pct"),
+def trade_tests(trades: DataFrame, policies: DataFrame) -> DataFrame:
+    """Walk-forward, cost stress and randomisation of each strategy version from one pass over the trades.
+
+    Counts and sums per (strategy version, day) are all that the three tests need: a window over the day compares with
+    all strategies, months and strategies add the days up. Only these sums are shuffled, never the trades, and the
+    tests need no join with each other. A strategy version has one family.
+    """
+    net, gross, cost, slip = (F.col(c) for c in ("net_pnl_pct", "gross_pnl_pct", "estimated_cost_pct", "slippage_pct"))
+    priced = gross.isNotNull() & cost.isNotNull() & slip.isNotNull()
+    days = trades.groupBy(*KEY, "reference_date").agg(
+        F.count(net).alias("n"),
+        F.sum(net).alias("s"),
+        F.coalesce(F.sum(F.when(net > 0, net)), F.lit(0.0)).alias("gain"),
+        F.coalesce(F.sum(F.when(net < 0, net)), F.lit(0.0)).alias("loss"),
+        F.count(gross).alias("gross_n"),
+        F.sum(gross).alias("gross"),
+        F.count_if(priced).alias("priced_n"),
+        F.sum(F.when(priced, gross)).alias("priced"),
+        F.sum(F.when(priced, cost)).alias("cost"),
+        F.sum(F.when(priced, slip)).alias("slip"),
+    )
+    same_day = W.partitionBy("reference_date")
+    compared = days.withColumns(
+        {
+            "own": safe_div("s", "n"),
+            "others": safe_div(F.sum("s").over(same_day), F.sum("n").over(same_day)),
+        }
+    )
+    added = ("n", "s", "gain", "loss", "gross_n", "gross", "priced_n", "priced", "cost", "slip")
+    months = compared.groupBy(*KEY, F.trunc("reference_date", "month").alias("month")).agg(
+        *[F.sum(c).alias(c) for c in added],
+        F.count("own").alias("days"),
+        F.sum(F.col("own") - F.col("others")).alias("excess"),
+        F.count_if(F.col("own") > F.col("others")).alias("above"),
+    )
+    mean = safe_div("s", "n")
+    favourable = window_status(F.col("n"), mean, safe_div("gain", F.abs("loss"))).isin("janela_favoravel", "janela_positiva_fraca")
+    traded = F.col("n") > 0
+    totals = months.groupBy(*KEY).agg(
+        F.count_if(traded).alias("walk_forward_windows"),
+        safe_div(F.count_if(traded & favourable), F.count_if(traded)).alias("pct_positive_walk_forward_windows"),
+        F.avg(mean).alias("avg_walk_forward_expectancy_net_pct"),
+        *[F.sum(c).alias(c) for c in ("gross_n", "gross", "priced_n", "priced", "cost", "slip", "days", "excess", "above")],
     )
-    costs = costs.select(
-        *KEY, "expectancy_without_cost_pct", "expectancy_normal_cost_pct", "expectancy_stressed_total_pct",
-        "cost_stress_status",
+    policy = active_policy(policies).select("stressed_cost_multiplier", "stressed_slippage_multiplier")
+
+    def after(cost_factor: Column | int, slip_factor: Column | int) -> Column:
+        return safe_div(F.col("priced") - F.col("cost") * cost_factor - F.col("slip") * slip_factor, "priced_n")
+
+    stressed = after(F.col("stressed_cost_multiplier"), F.col("stressed_slippage_multiplier"))
+    return (
+        with_one_row(totals, policy)
+        .withColumns(
+            {
+                "expectancy_without_cost_pct": safe_div("gross", "gross_n"),
+                "expectancy_normal_cost_pct": after(1, 1),
+                "expectancy_stressed_total_pct": stressed,
+                "compared_days": F.col("days"),
+                "excess_expectancy_vs_random_pct": safe_div("excess", "days"),
+                "pct_days_above_random": safe_div("above", "days"),
+            }
+        )
+        .select(
+            *KEY, "walk_forward_windows", "pct_positive_walk_forward_windows", "avg_walk_forward_expectancy_net_pct",
+            "expectancy_without_cost_pct", "expectancy_normal_cost_pct", "expectancy_stressed_total_pct",
+            F.when(
+                F.col("gross_n") > 0,
+                cost_status(F.col("gross_n"), F.col("expectancy_normal_cost_pct"), F.col("expectancy_stressed_total_pct")),
+            ).alias("cost_stress_status"),
+            "excess_expectancy_vs_random_pct", "pct_days_above_random",
+            F.when(F.col("days") > 0, random_status()).alias("randomization_status"),
+        )
     )
-    rand = rand.select(*KEY, "excess_expectancy_vs_random_pct", "pct_days_above_random", "randomization_status")
+
+
+def robustness_dashboard(oos: DataFrame, tests: DataFrame) -> DataFrame:
+    """One row per strategy of ``oos_summary``: the tests of ``trade_tests``, a 0-100 score and the alerts."""
     share = F.coalesce("pct_positive_walk_forward_windows", F.lit(0.0))
 
     def points(ok: Column, n: float) -> Column:
@@ -271,9 +338,7 @@ def robustness_dashboard(oos: DataFrame, windows: DataFrame, costs: DataFrame, r
         ]
     )
     return (
-        oos.join(wf, KEY, "left")
-        .join(costs, KEY, "left")
-        .join(rand, KEY, "left")
+        oos.join(tests, KEY, "left")
         .withColumns(
             {
                 "robustness_score": F.least(F.lit(100.0), F.greatest(F.lit(0.0), score)),
