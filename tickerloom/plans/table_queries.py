@@ -125,7 +125,7 @@ def _kline_batches(t: Tables):
     """Klines of two exchanges and two intervals in two batches that overlap, the second one replayed."""
     kinds = F.array(*[F.struct(F.lit(e).alias("exchange"), F.lit(i).alias("interval")) for e, i in (("X", "1d"), ("X", "1h"), ("Y", "1d"))])
     day = F.timestamp_millis(F.get(F.from_json("kline", "array<string>"), F.lit(0)).cast("long")).cast("date")
-    rows = klines(t).withColumns({"kind": F.explode(kinds), "day": day}).select("symbol", "kline", "kind.*", "day")
+    rows = io.cut(klines(t), "klines").withColumns({"kind": F.explode(kinds), "day": day}).select("symbol", "kline", "kind.*", "day")
     path = new_path(t, "klines")
     for n, part in enumerate([rows, *[rows.where("day >= DATE'2024-07-01'")] * 2]):
         now = dt.datetime(2024, 11, 1 + min(n, 1))
