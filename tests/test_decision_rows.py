@@ -4,6 +4,7 @@ import datetime as dt
 
 import __spark_entry__  # noqa: F401
 from tickerloom.operators import dataset as ds
+from tickerloom.plans import catalog, table_queries
 from tickerloom.plans import learning_queries as lq
 from tickerloom.plans.signal_queries import trades_of
 from tickerloom.plans.tables import Tables, stored
@@ -45,3 +46,25 @@ def test_daily_rows_are_derived_from_the_line_items_once(spark):
     assert "l_suppkey" not in plan
     assert stored(t).daily.columns == t.daily.columns and stored(t).daily.exceptAll(t.daily).isEmpty()
     assert "l_suppkey" not in lq.budgeted(t)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_daily_evaluation_reads_stored_daily_rows(spark):
+    plan = catalog.QUERIES["daily_evaluation"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_suppkey" not in plan
+
+
+def test_kline_batches_read_stored_klines(spark, monkeypatch):
+    plans, real = [], table_queries.sq.upsert_klines
+
+    def watched(path, now, **stamps):
+        handle = real(path, now, **stamps)
+
+        def both(batch, no):
+            plans.append(batch._jdf.queryExecution().optimizedPlan().toString())
+            handle(batch, no)
+
+        return both
+
+    monkeypatch.setattr(table_queries.sq, "upsert_klines", watched)
+    table_queries._kline_batches(Tables(spark, SF))
+    assert len(plans) == 3 and not any("l_suppkey" in p for p in plans)
