@@ -124,3 +124,11 @@ def test_daily_growth_gives_the_drawdown_of_the_path(spark):
     path = frames.equity_path(df, ["k"], "day", ["ticker"], "r").agg(F.max((F.col("peak") - F.col("equity")) / F.col("peak"))).first()[0]
     days = frames.daily_growth(df, ["k"], "day", ["ticker"], "r").agg(F.max("max_drawdown")).first()[0]
     assert abs(path - days) < 1e-12
+
+
+def test_fold_rows_are_dealt_out_before_they_are_sorted(spark):
+    rows = spark.createDataFrame([("t1", "f", 1), ("t1", "f", 2), ("", "g", 3), (None, "g", 3), (None, "h", 3)], "trial_id string, fold_id string, trades long")
+    out = gv.merge_fold_rows(rows, rows.where("trades = 1").withColumn("trades", F.lit(9).cast("long")))
+    assert sorted((r.trial_id or "", r.fold_id, r.trades) for r in out.collect()) == [("", "g", 3), ("", "g", 3), ("", "h", 3), ("t1", "f", 9)]
+    below = out._jdf.queryExecution().executedPlan().toString().split("REPARTITION_BY_COL")[-1]
+    assert "Sort" not in below and "WindowGroupLimit" not in below
