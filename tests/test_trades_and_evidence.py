@@ -185,3 +185,34 @@ def test_backtest_metrics_grouping_sets(spark):
     assert (everyone.signals, everyone.fills, everyone.win_rate) == (2, 2, 0.5)
     assert everyone.profit_factor == pytest.approx(2.0) and everyone.avg_days_in_trade == 1.5
     assert out.count() == 1 + 2 + 1 + 2
+
+
+def test_trade_budget_and_drawdown_stop_do_not_shuffle_the_rows(spark):
+    day = dt.date(2024, 1, 1)
+    rows = [
+        (seed, day + dt.timedelta(i // 3), f"T{i % 3}", 0.5, 0.1 + (i % 5) / 100, 0.4, ["up", "down", "neutral", None][i % 4], -0.05, 0.02, i)
+        for seed in (1, 2, None) for i in range(60)
+    ]
+    df = spark.createDataFrame(
+        rows, "seed int, reference_date date, ticker string, prob_down double, prob_neutral double, prob_up double, predicted_label string,"
+        " buy_net_return double, sell_net_return double, no int",
+    )
+    kept = ev.fold_trade_budget(df, ["seed"], 7)
+    assert kept.columns == df.columns
+    for seed in (1, 2, None):
+        order = sorted((r for r in rows if r[0] == seed and r[6] in ("up", "down")), key=lambda r: (r[4] - r[3], r[1], r[2]))
+        want = {r[9]: r[6] for r in order[:7]}
+        got = {r.no: r.predicted_label for r in kept.where(F.col("seed").eqNullSafe(F.lit(seed))).collect()}
+        assert got == {i: want.get(i, "neutral") for i in range(60)}
+    stop = ev.fold_drawdown_stop(df.where("seed IS NOT NULL"), ["seed"], 0.2)
+    equity, peak, hit, want = 1.0, 1.0, False, []
+    for r in rows[:60]:
+        want.append("neutral" if hit else r[6])
+        equity *= 1 + {"up": -0.05, "down": 0.02}.get(r[6], 0.0)
+        peak = max(peak, equity)
+        hit = hit or (peak - equity) / peak >= 0.2
+    assert hit and [r.predicted_label for r in stop.where("seed = 2").orderBy("no").collect()] == want
+    for out in (kept, stop):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        left = plan.split("BroadcastExchange")[0]
+        assert "BroadcastHashJoin" in left and "Exchange hashpartitioning" not in left
