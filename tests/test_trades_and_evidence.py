@@ -216,3 +216,10 @@ def test_trade_budget_and_drawdown_stop_do_not_shuffle_the_rows(spark):
         plan = out._jdf.queryExecution().executedPlan().toString()
         left = plan.split("BroadcastExchange")[0]
         assert "BroadcastHashJoin" in left and "Exchange hashpartitioning" not in left
+
+
+def test_drawdown_of_a_trial_that_starts_without_a_trade(spark):
+    df = folds(spark, ["neutral", "up", "up", "neutral", "up"], [0.5, -0.1, -0.1, 0.3, 0.05], [0.0] * 5)
+    assert abs(ev.fold_economics(df, ["fold"]).first().max_drawdown - 0.19) < 1e-12
+    late = folds(spark, ["up", "neutral", "up"], [-0.1, 0.0, -0.1], [0.0] * 3)
+    assert abs(ev.fold_economics(late, ["fold"]).first().max_drawdown - 0.1) < 1e-12
