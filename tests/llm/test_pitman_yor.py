@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -139,3 +140,36 @@ def test_awkward_tables(spark):
     got = pitman_yor.score(cases.documents(spark, [(1, None), (1, "a b"), (1, "a b"), (None, "c")]), held).collect()
     assert sorted(r.n_tokens for r in got) == [1, 2, 3, 3] and all(r.n_known == 0 and math.isfinite(r.score) and r.train_tokens == 0 for r in got)
     assert pitman_yor.score(cases.documents(spark, []), held).count() == 0
+
+
+def test_broadcasts_of_finished_sweeps_are_removed(spark, monkeypatch):
+    sent, real = [], type(spark.sparkContext).broadcast
+
+    def watched(self, value):
+        sent.append((value, real(self, value)))
+        return sent[-1][1]
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", watched)
+    monkeypatch.setattr(pitman_yor, "MOST_TOKENS", 20)
+    rows = list(enumerate(grammar(20, 1)))
+    got = pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 3 == 0).collect()
+    want, _ = plain_scores(rows, lambda d: d % 3 == 0, pitman_yor.Settings())
+    assert all(math.isclose(r.score, want[r.doc_id], rel_tol=1e-5) for r in got)
+    sweeps = [(value, x) for value, x in sent if isinstance(value, list)]
+    assert len(sweeps) == 5 and all(not os.path.exists(x._path) for _, x in sweeps)
+    assert all(sum(x.ids is not None for x in value) <= 3 for value, _ in sweeps)
+
+
+def test_joins_get_only_pairs_that_are_asked_for(spark, monkeypatch):
+    seen, real = [], pitman_yor._asked_pairs
+
+    def watched(made, asked, n):
+        pairs = real(made, asked, n)
+        seen.append((pairs(F.lit(True)).count(), made.pairs.count(), asked.select("u", "w").distinct().join(made.pairs, ["u", "w"]).count(), asked.count() == n))
+        return pairs
+
+    monkeypatch.setattr(pitman_yor, "_asked_pairs", watched)
+    rows = [(i, " ".join(f"w{i * 7 + j}" for j in range(20))) for i in range(40)]
+    pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 4 == 1, pitman_yor.Settings(sent_pairs=0)).collect()
+    joined, stored, asked, counted = seen[0]
+    assert counted and 0 < asked <= joined < stored

@@ -12,12 +12,13 @@ need not be kept.
 
 Sent to tasks, each with a bound: the ``sent`` most frequent words with their restaurants' sums, at most ``sent_pairs``
 of the most frequent pairs, and a Bloom filter of ``bits`` bits of the remaining pairs and words that occur twice or
-more. In a training text a pair or word that is neither sent nor in the filter occurs once. All else is joined.
+more. In a training text a pair or word that is neither sent nor in the filter occurs once. All else is joined, with
+the pairs that a second such filter finds among those asked for.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -28,10 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import raw_texts, stored
+from .shared import raw_texts, stored, swept
 
 START, END = 11, 13  # what stands for a text's start among contexts, and for its end among dishes
 FAR = 1 << 40  # set in every word's hash, so that a hash is never a rank
+MOST_TOKENS = 200_000  # texts are scored together up to so many tokens; a longer one by itself
 
 
 @dataclass
@@ -246,6 +248,9 @@ class Sweep:
     contexts: np.ndarray | None = None
     dishes: np.ndarray | None = None
 
+    def without_words(self) -> Sweep:
+        return Sweep(self.root, self.own)
+
     def rare(self, c: int, s: Settings) -> float:
         """The parent's probability of a dish with c = 0 or 1 customers, which has as many tables."""
         one = np.array([float(c)])
@@ -329,17 +334,20 @@ class Model:
                 share = (F.greatest(F.col("c") - s.discount * F.col("own"), F.lit(0.0)) + (s.strength + s.discount * root_tables) / (self.kinds + 1)) / (s.strength + root.customers)
                 far = far.withColumn(p, share)
             sweeps.append(Sweep(root, root_tables))
-            more = self._sweep(self._repeated(far, [t], [p]), sweeps)
+            sent = self.context.broadcast([x.without_words() for x in sweeps[:-2]] + sweeps[-2:])
+            more = self._sweep(self._repeated(far, [t], [p]), sent)
             if self.multi:
                 more = stored(more, "more")
             got = more.where(is_near("id", k)).toArrow()
-            sweeps[-1].ids, sweeps[-1].contexts, sweeps[-1].dishes = (got[c].to_numpy() for c in ("id", "contexts", "dishes"))
+            sent.destroy()  # what was made with it is stored or here
+            sweeps[-1].ids, sweeps[-1].contexts, sweeps[-1].dishes = (small(got[c].to_numpy()) for c in ("id", "contexts", "dishes"))
             if self.multi:
                 added = more.where(~is_near("id", k)).select("id", F.col("contexts").alias("mc"), F.col("dishes").alias("md"))
                 far = stored(far.drop("own").join(added, "id", "left").withColumns({
                     f"t{number + 1}": (F.col("contexts") + F.coalesce("mc", F.lit(0))).cast("double"), "c": F.col("dishes") + F.coalesce("md", F.lit(0)),
                 }).drop("mc", "md"), "far")
-        self.sweeps, self.far = sweeps, far
+        # the sweeps that count start from the tables of the one before
+        self.sweeps, self.far = [x.without_words() if i < s.burn_in - 1 else x for i, x in enumerate(sweeps)], far
 
     def _seat_far(self, far: DataFrame, root: Root) -> DataFrame:
         s = self.s
@@ -351,10 +359,9 @@ class Model:
 
         return far.mapInArrow(run, T.StructType([*far.schema.fields, T.StructField("own", T.DoubleType())]))
 
-    def _sweep(self, rows: DataFrame, sweeps: list[Sweep]) -> DataFrame:
+    def _sweep(self, rows: DataFrame, sent) -> DataFrame:
         """(id, contexts, dishes): a word's tables beyond one a pair, as the context and as the dish."""
         s, k, near, base = self.s, self.k, self.near, self.base
-        sent = self.context.broadcast(sweeps)
 
         def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sweeps = sent.value
@@ -383,6 +390,7 @@ class Model:
                 break
             cut, room = n, room - size
         sweeps = self.context.broadcast(self.sweeps)
+        swept(self.pairs.sparkSession)
 
         def frequent(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batch_iter:
@@ -391,30 +399,48 @@ class Model:
 
         top = rows.where(F.col("n") >= cut).mapInArrow(frequent, "keys binary, xs binary").toArrow()
         keys, x = (np.frombuffer(b"".join(top.column(c).to_pylist()), kind) for c, kind in (("keys", np.uint64), ("xs", np.float32)))
+        sweeps.destroy()
         order = np.argsort(keys)
         top = keys[order], x[order]
         left = self.pairs.where((F.col("n") > 1) & (F.col("n") < cut)).select("u", "w")
         if self.multi:  # and the words that are not sent and occur twice or more
             left = left.unionByName(self.rest.where("n > 1").select(F.col("id").alias("u"), F.lit(None).cast("long").alias("w")))
-        bits = min(s.bits, max(64, 1 << (16 * left.count()).bit_length()))
-
-        def marks(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batch_iter:
-                if batch.num_rows:
-                    u, w = batch.column("u").to_numpy(), batch.column("w").fill_null(0).to_numpy()
-                    word = batch.column("w").is_null().to_numpy(zero_copy_only=False)
-                    at = np.unique(np.where(word, root_keys(u), near.value.keys(u, w)) & np.uint64(bits - 1))
-                    word = at >> np.uint64(6)
-                    first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-                    mask = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first)
-                    yield pa.RecordBatch.from_arrays([pa.array(word[first].view(np.int64)), pa.array(mask.view(np.int64))], names=["at", "mask"])
-
-        marked = left.mapInArrow(marks, "at long, mask long")
-        marked = marked.groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
-        bloom = np.zeros(bits // 64, np.uint64)
-        bloom[marked.column("at").to_numpy()] = marked.column("mask").to_numpy().view(np.uint64)
+        bloom = bloom_of(left, near, fitting_bits(left.count(), s))
         kinds, run = np.unique(self.near_counts[:-1], return_counts=True)
         self.sent = self.context.broadcast(Sent(k, kinds[::-1], run[::-1], self.texts, self.sweeps, top[0], top[1], bloom, s))
+        del self.sweeps, self.near_counts  # the driver does not need them again
+        swept(self.pairs.sparkSession)
+
+
+def fitting_bits(n: int, s: Settings) -> int:
+    return min(s.bits, max(64, 1 << (16 * n).bit_length()))
+
+
+def bloom_of(rows: DataFrame, near, bits: int) -> np.ndarray:
+    """A Bloom filter of the pairs (u, w), and of the words u where w is null."""
+
+    def marks(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batch_iter:
+            if batch.num_rows:
+                u, w = batch.column("u").to_numpy(), batch.column("w").fill_null(0).to_numpy()
+                word = batch.column("w").is_null().to_numpy(zero_copy_only=False)
+                at = np.unique(np.where(word, root_keys(u), near.value.keys(u, w)) & np.uint64(bits - 1))
+                word = at >> np.uint64(6)
+                first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+                mask = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first)
+                yield pa.RecordBatch.from_arrays([pa.array(word[first].view(np.int64)), pa.array(mask.view(np.int64))], names=["at", "mask"])
+
+    marked = rows.mapInArrow(marks, "at long, mask long")
+    marked = marked.groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
+    bloom = np.zeros(bits // 64, np.uint64)
+    for batch in marked.to_batches():
+        bloom[batch.column("at").to_numpy()] = batch.column("mask").to_numpy().view(np.uint64)
+    return bloom
+
+
+def in_bloom(bloom: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & np.uint64(len(bloom) * 64 - 1)
+    return (bloom[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
 def seated_weights(batch: pa.RecordBatch, near: Near, base: Base, sweeps: list[Sweep], s: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -464,8 +490,7 @@ class Sent:
         return found, np.where(found, self.pair_weights[at], 0.0)
 
     def marked(self, keys: np.ndarray) -> np.ndarray:
-        at = keys & np.uint64(len(self.bloom) * 64 - 1)
-        return (self.bloom[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+        return in_bloom(self.bloom, keys)
 
     def log(self, weight: np.ndarray, u: np.ndarray, w: np.ndarray, far: dict | None = None) -> np.ndarray:
         """log10 probability of each pair. Words that are not sent occur once, but as ``far`` has them."""
@@ -478,6 +503,22 @@ class Sent:
         return np.log10(p)
 
 
+def _asked_pairs(made: Model, asked: DataFrame, n: int) -> Callable[[Column], DataFrame]:
+    """Pairs that fulfil a condition, less those that nobody asks for where a filter can tell; joins get the others."""
+    near, bits = made.near, max(64, min(fitting_bits(n, made.s), made.s.bits >> 3))
+    if n > bits:  # nearly every pair would pass
+        return made.pairs.where
+    wanted = made.context.broadcast(bloom_of(asked.select("u", "w"), near, bits))
+    swept(asked.sparkSession)
+
+    def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batch_iter:
+            keys = near.value.keys(batch.column("u").to_numpy(), batch.column("w").to_numpy())
+            yield batch.filter(pa.array(in_bloom(wanted.value, keys)))
+
+    return lambda condition: made.pairs.where(condition).mapInArrow(run, made.pairs.schema)
+
+
 def score(docs: DataFrame, held_out: Column, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) per row.
 
@@ -491,39 +532,48 @@ def score(docs: DataFrame, held_out: Column, settings: Settings | None = None, i
     near, sent, sums, k = made.near, made.sent, made.base, made.k
     low = float(np.log10(made.tokens + (made.kinds + 1)))
 
+    def scored(batch: pa.RecordBatch, found: list[tuple[np.ndarray, np.ndarray]], m: Sent, words: Near) -> pa.RecordBatch:
+        """Rows with what is known here, and the lists of pairs left open. Each pair is looked up once for all texts."""
+        texts, tokens = len(found), np.array([len(u) for u, _ in found])
+        u, w = (np.concatenate(x) for x in zip(*found))
+        doc = np.repeat(np.arange(texts), tokens)
+        keys, first, pair = np.unique(words.keys(u, w), return_index=True, return_inverse=True)
+        u, w = u[first], w[first]
+        here = (w >= 0) & (w <= k)
+        far = ~(here & (u >= 0) & (u <= k))
+        sent_pair, weight = m.look(keys)
+        # a training text's pairs and words occur, and once unless sent or marked
+        again = (m.marked(root_keys(u)) & ~((u >= 0) & (u <= k))) | (m.marked(root_keys(w)) & ~here)
+        learned = np.array([x is False for x in batch.column("held_out").to_pylist()])
+        ask = np.where(learned[doc], ((again & far) | (~sent_pair & m.marked(keys)))[pair], (far | ~sent_pair)[pair])
+        value = m.log(np.where(sent_pair, weight, 1 - s.discount), u, w)[pair]
+        c = np.where(here, m.count[np.where(here, w, k)], 1)
+        settled = here[pair] | ~ask
+
+        def per_text(x: np.ndarray) -> np.ndarray:
+            return np.bincount(doc, x, texts)
+
+        known = per_text(settled & (c > 0)[pair]).astype(np.int64)
+        base = per_text(np.where(settled, np.log10(c + 1.0)[pair], 0.0)) - tokens * low
+        left, times = np.unique(doc[ask] * len(keys) + pair[ask], return_counts=True)
+        left_doc, left_pair = np.divmod(left, len(keys))
+        ends = pa.array(np.searchsorted(left_doc, np.arange(texts + 1)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (u[left_pair], w[left_pair], times.astype(np.int32))]
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("held_out"), pa.array(tokens), pa.array(known), pa.array(base), pa.array(per_text(np.where(ask, 0.0, value))), *lists],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "base", "value", "u", "w", "m"],
+        )
+
     def local(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, words = sent.value.prepare(near.value, sums.value), near.value
-        for whole in batch_iter:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                rows = []
-                for text, held in zip(raw_texts(batch, "text"), batch.column("held_out").to_pylist()):
-                    u, w = steps(words, text)
-                    tokens, keys = len(u), words.keys(u, w)
-                    keys, first, times = np.unique(keys, return_index=True, return_counts=True)
-                    u, w = u[first], w[first]
-                    here = (w >= 0) & (w <= k)
-                    far = ~(here & (u >= 0) & (u <= k))
-                    found, weight = m.look(keys)
-                    if held is False:  # its pairs and words occur, and once unless sent or marked
-                        again = (m.marked(root_keys(u)) & ~((u >= 0) & (u <= k))) | (m.marked(root_keys(w)) & ~here)
-                        ask = (again & far) | (~found & m.marked(keys))
-                        weight = np.where(found, weight, 1 - s.discount)
-                    else:
-                        ask = far | ~found
-                    mine = ~ask
-                    value = float((times[mine] * m.log(weight[mine], u[mine], w[mine])).sum())
-                    c = np.where(here, m.count[np.where(here, w, k)], 1)
-                    settled = here | mine
-                    base = float((times[settled] * np.log10(c[settled] + 1.0)).sum()) - tokens * low
-                    known = int(times[settled & (c > 0)].sum())
-                    rows.append((tokens, known, base, value, u[ask], w[ask], times[ask].astype(np.int32)))
-                n_tokens, n_known, base, value, us, ws, ms = zip(*rows) if rows else [()] * 7
-                lists = [pa.array(us, pa.list_(pa.int64())), pa.array(ws, pa.list_(pa.int64())), pa.array(ms, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("held_out"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(value, pa.float64()), *lists],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "base", "value", "u", "w", "m"],
-                )
+        for batch in batch_iter:
+            start, found, held = 0, [], 0
+            for no, text in enumerate(raw_texts(batch, "text"), 1):
+                found.append(steps(words, text))
+                held += len(found[-1][0])
+                if held > MOST_TOKENS or no == batch.num_rows:
+                    yield scored(batch.slice(start, no - start), found, m, words)
+                    start, found, held = no, [], 0
 
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, value double, u array<long>, w array<long>, m array<int>"
     first = stored(source.mapInArrow(local, out).withColumn("row", F.monotonically_increasing_id()), "scores")
@@ -531,11 +581,12 @@ def score(docs: DataFrame, held_out: Column, settings: Settings | None = None, i
     inside, kept = is_near("u", k) & is_near("w", k), range(s.burn_in, s.sweeps)
     of_u, of_w = [f"t{i}" for i in range(s.burn_in, s.sweeps + 1)], [f"p{i}" for i in kept]
     shape = {c: F.lit(None).cast("double") for c in of_u + of_w}
-    nearby = asked.where(inside).join(made.pairs.where(inside), ["u", "w"], "left").select("row", "u", "w", "m", "n", F.lit(0).cast("long").alias("nu"), F.lit(0).cast("long").alias("nw"), *[c.alias(x) for x, c in shape.items()])
+    pairs = _asked_pairs(made, asked, first.agg(F.coalesce(F.sum(F.size("u")), F.lit(0))).first()[0])
+    nearby = asked.where(inside).join(pairs(inside), ["u", "w"], "left").select("row", "u", "w", "m", "n", F.lit(0).cast("long").alias("nu"), F.lit(0).cast("long").alias("nw"), *[c.alias(x) for x, c in shape.items()])
     words = made.rest.withColumns(shape) if made.far is None else made.rest.join(made.far.select("id", *of_u, *of_w), "id", "left")
     side_u = words.select(F.col("id").alias("u"), F.col("n").alias("nu"), *of_u)
     side_w = words.select(F.col("id").alias("w"), F.col("n").alias("nw"), *of_w)
-    others = asked.where(~inside).join(made.pairs.where(~inside), ["u", "w"], "left").join(side_u, "u", "left").join(side_w, "w", "left").select("row", "u", "w", "m", "n", "nu", "nw", *of_u, *of_w)
+    others = asked.where(~inside).join(pairs(~inside), ["u", "w"], "left").join(side_u, "u", "left").join(side_w, "w", "left").select("row", "u", "w", "m", "n", "nu", "nw", *of_u, *of_w)
 
     def answer(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, words = sent.value.prepare(near.value, sums.value), near.value

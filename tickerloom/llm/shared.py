@@ -22,6 +22,11 @@ def stored(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def swept(spark: SparkSession) -> None:
+    """Collect the driver's garbage: only then does Spark delete the shuffle files and broadcasts of finished stages."""
+    spark._jvm.System.gc()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
