@@ -173,3 +173,29 @@ def test_joins_get_only_pairs_that_are_asked_for(spark, monkeypatch):
     pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 4 == 1, pitman_yor.Settings(sent_pairs=0)).collect()
     joined, stored, asked, counted = seen[0]
     assert counted and 0 < asked <= joined < stored
+
+
+@pytest.mark.parametrize("kind", [np.int64, np.uint64])
+@pytest.mark.parametrize("n", [1, 2, 5, 3000])
+def test_hashes_are_found_by_their_first_bits(n, kind):
+    rng = np.random.default_rng(n)
+    some = lambda m: rng.integers(0, 2**64, m, dtype=np.uint64).view(kind)
+    there = np.unique(some(n))
+    x = np.concatenate([rng.choice(there, 50), some(50), there[:1], there[-1:]])
+    at, found = pitman_yor.Places(there).find(x)
+    assert (found == np.isin(x, there)).all() and (there[at[found]] == x[found]).all()
+
+
+def test_sweeps_read_pairs_that_occur_again(spark, capsys):
+    """Numbers of pairs follow from the words' counts and the pairs that occur twice or more, which lie apart."""
+    rows = list(enumerate(grammar(20, 3) + ["once0 w1 once1", "w1"]))
+    made = pitman_yor.Model(spark.createDataFrame(rows, "doc_id long, text string"), pitman_yor.Settings(sent=10, sent_pairs=0))
+    made.again.explain()
+    plan = capsys.readouterr().out
+    assert "again" in plan[plan.index("PartitionFilters"):plan.index("PushedFilters")]
+    pairs = [(r.u, r.w, r.n) for r in made.pairs.collect()]
+    assert made.again.count() == sum(n > 1 for *_, n in pairs) and min(r.n for r in made.again.collect()) == 2
+    u, w = Counter(u for u, _, _ in pairs), Counter(w for _, w, _ in pairs)
+    base = made.base.value
+    assert [base.contexts[i] for i in range(11)] == [u[i] for i in range(11)] and [base.dishes[i] for i in range(11)] == [w[i] for i in range(11)]
+    assert all((r.contexts, r.dishes) == (u[r.id], w[r.id]) for r in made.far.select("id", F.col("t0").alias("contexts"), "dishes").collect())

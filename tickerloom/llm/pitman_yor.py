@@ -18,7 +18,8 @@ the pairs that a second such filter finds among those asked for.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -50,7 +51,11 @@ class Settings:
 
 def hashes(text: bytes) -> np.ndarray:
     """64-bit hashes of the words, A-Z lower-cased."""
-    return np.array(list(map(xxhash.xxh3_64_intdigest, text.lower().split())), np.uint64).view(np.int64) | FAR
+    return hashed(text.lower().split())
+
+
+def hashed(words: Iterable[bytes]) -> np.ndarray:
+    return np.array(list(map(xxhash.xxh3_64_intdigest, words)), np.uint64).view(np.int64) | FAR
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -107,6 +112,37 @@ class Root:
         return (np.maximum(c - s.discount * own, 0) + (s.strength + s.discount * own_sum) / (self.kinds + 1)) / (s.strength + self.customers)
 
 
+@dataclass
+class Places:
+    """Where numbers stand in a sorted list of hashes: their first bits name a place from which it is a few steps."""
+
+    hashes: np.ndarray
+
+    @cached_property
+    def bits(self) -> int:
+        return min(max(len(self.hashes).bit_length(), 1), 21)
+
+    @cached_property
+    def starts(self) -> np.ndarray:
+        return np.searchsorted(self._first_bits(self.hashes), np.arange(1 << self.bits)).astype(np.int32)
+
+    def _first_bits(self, x: np.ndarray) -> np.ndarray:
+        sign = np.uint64(1 << 63 if x.dtype == np.int64 else 0)
+        return ((x.view(np.uint64) ^ sign) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, whether it holds the number) of each number; the list is not empty."""
+        last = len(self.hashes) - 1
+        at = np.minimum(self.starts[self._first_bits(x)], last)
+        here = self.hashes[at]
+        behind = np.flatnonzero((here < x) & (at < last))
+        while len(behind):
+            at[behind] += 1
+            here[behind] = self.hashes[at[behind]]
+            behind = behind[(here[behind] < x[behind]) & (at[behind] < last)]
+        return at, here == x
+
+
 @dataclass
 class Near:
     """The most frequent words by rank, and after them the start (as a context) or the end (as a dish)."""
@@ -114,6 +150,10 @@ class Near:
     sorted_hashes: np.ndarray
     rank: np.ndarray
 
+    @cached_property
+    def places(self) -> Places:
+        return Places(self.sorted_hashes)
+
     @cached_property
     def by_rank(self) -> np.ndarray:
         out = np.empty_like(self.sorted_hashes)
@@ -132,8 +172,8 @@ class Near:
         """The rank of each word, or its hash."""
         if not len(self.rank):
             return h
-        at = np.minimum(np.searchsorted(self.sorted_hashes, h), len(self.rank) - 1)
-        return np.where(self.sorted_hashes[at] == h, self.rank[at], h)
+        at, found = self.places.find(h)
+        return np.where(found, self.rank[at], h)
 
     def keys(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
         k = len(self.rank)
@@ -151,8 +191,10 @@ def word_counts(train: DataFrame) -> DataFrame:
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batch_iter:
-            h, n = np.unique(np.concatenate([np.zeros(0, np.int64), *map(hashes, raw_texts(batch, "text"))]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["h", "n"])
+            found = Counter()
+            for text in raw_texts(batch, "text"):
+                found.update(text.lower().split())
+            yield pa.RecordBatch.from_arrays([pa.array(hashed(found)), pa.array(found.values(), pa.int64())], names=["h", "n"])
 
     return train.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
@@ -161,12 +203,16 @@ def pair_counts(train: DataFrame, near) -> DataFrame:
     """(u, w, n): how often dish w follows context u in training texts, for all pairs."""
 
     def counted(us: list, ws: list) -> pa.RecordBatch:
-        u, w = np.concatenate(us), np.concatenate(ws)
-        order = np.lexsort((w, u))
-        u, w = u[order], w[order]
-        first = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])))
-        n = np.diff(np.append(first, len(u)))
-        return pa.RecordBatch.from_arrays([pa.array(u[first]), pa.array(w[first]), pa.array(n)], names=["u", "w", "n"])
+        u, w, k = np.concatenate(us), np.concatenate(ws), len(near.value.rank)
+        inside = both_near(u, w, k)
+        # two ranks make one number, which is sorted sooner
+        code, n = np.unique(u[inside] * (k + 1) + w[inside], return_counts=True)
+        far_u, far_w = u[~inside], w[~inside]
+        order = np.lexsort((far_w, far_u))
+        far_u, far_w = far_u[order], far_w[order]
+        first = np.flatnonzero(np.append(True, (far_u[1:] != far_u[:-1]) | (far_w[1:] != far_w[:-1]))[:len(far_u)])
+        columns = np.append(code // (k + 1), far_u[first]), np.append(code % (k + 1), far_w[first]), np.append(n, np.diff(np.append(first, len(far_u))))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["u", "w", "n"])
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         us, ws, held = [], [], 0
@@ -185,24 +231,45 @@ def pair_counts(train: DataFrame, near) -> DataFrame:
     return train.select("text").mapInArrow(run, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n"))
 
 
-def by_word(pairs: DataFrame, k: int, wanted: Column | None) -> DataFrame:
-    """(id, contexts, dishes): in how many pairs a word is the context, and in how many the dish."""
+class Tally:
+    """Sums by word, as the context and as the dish of pairs: frequent words are added up here, others are given on."""
+
+    def __init__(self, k: int):
+        self.near = np.zeros((2, k + 1), np.int64)
+
+    def add(self, u: np.ndarray, w: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for side, ids in enumerate((u, w)):
+            inside = (ids >= 0) & (ids < self.near.shape[1])
+            np.add.at(self.near[side], ids[inside], n[inside])
+            if not inside.all():
+                far, zero = ids[~inside], np.zeros(len(ids) - inside.sum(), np.int64)
+                yield self._rows(far, zero if side else n[~inside], n[~inside] if side else zero)
+
+    def rest(self) -> pa.RecordBatch:
+        found = np.flatnonzero(self.near.any(0))
+        return self._rows(found, *self.near[:, found])
+
+    def _rows(self, *columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["id", "contexts", "dishes"])
+
+
+def by_word(rows: DataFrame, run: Callable) -> DataFrame:
+    """(id, contexts, dishes) of what a function gives of rows by a tally."""
+    return rows.mapInArrow(run, "id long, contexts long, dishes long").groupBy("id").agg(F.sum("contexts").alias("contexts"), F.sum("dishes").alias("dishes"))
+
+
+def repeats_by_word(again: DataFrame, k: int) -> DataFrame:
+    """(id, contexts, dishes): over the pairs in which a word is the context, and in which it is the dish, how often
+    they occur beyond once. A word's own count less this is its number of pairs."""
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near = np.zeros((2, k + 1), np.int64)
+        tally = Tally(k)
         for batch in batch_iter:
-            for side, name in enumerate(("u", "w")):
-                ids = batch.column(name).to_numpy()
-                inside = (ids >= 0) & (ids <= k)
-                near[side] += np.bincount(ids[inside], minlength=k + 1)
-                far, n = np.unique(ids[~inside], return_counts=True)
-                zero = np.zeros(len(far), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(far), pa.array(zero if side else n), pa.array(n if side else zero)], names=["id", "contexts", "dishes"])
-        found = np.flatnonzero(near.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(near[0, found]), pa.array(near[1, found])], names=["id", "contexts", "dishes"])
+            u, w, n = (batch.column(c).to_numpy() for c in ("u", "w", "n"))
+            yield from tally.add(u, w, n - 1)
+        yield tally.rest()
 
-    rows = pairs.select("u", "w").mapInArrow(run, "id long, contexts long, dishes long")
-    return (rows if wanted is None else rows.where(wanted)).groupBy("id").agg(F.sum("contexts").alias("contexts"), F.sum("dishes").alias("dishes"))
+    return by_word(again.select("u", "w", "n"), run)
 
 
 @dataclass
@@ -261,6 +328,10 @@ def is_near(column: str, k: int) -> Column:
     return F.col(column).between(0, k)
 
 
+def both_near(u: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
+    return (u >= 0) & (u <= k) & (w >= 0) & (w <= k)
+
+
 def filled(ids: np.ndarray, k: int, near: np.ndarray, far: np.ndarray) -> np.ndarray:
     inside = (ids >= 0) & (ids <= k)
     return np.where(inside, near[np.where(inside, ids, k)], far)
@@ -293,13 +364,15 @@ class Model:
         self.rest = self.counts.where((F.col("n") < last[1]) | ((F.col("n") == last[1]) & (F.col("h") > last[0]))).select(F.col("h").alias("id"), "n")
         #: whether a word that is not sent may occur more than once
         self.multi = not self.rest.where("n > 1").limit(1).isEmpty()
-        self.pairs = stored(pair_counts(train, self.near), "pairs")
+        #: pairs that occur again lie apart from those that occur once, which the sweeps do not read
+        self.pairs = stored(pair_counts(train, self.near).withColumn("again", F.col("n") > 1), "pairs", by="again")
+        self.again, self.once = self.pairs.where("again").drop("again"), self.pairs.where("NOT again").drop("again")
         self._sample()
         self._send()
 
     def _repeated(self, far: DataFrame | None, of_u: list[str], of_w: list[str]) -> DataFrame:
         """Pairs that occur twice or more, with these columns of their words where these are not sent."""
-        rows, both = self.pairs.where("n > 1"), is_near("u", self.k) & is_near("w", self.k)
+        rows, both = self.again, is_near("u", self.k) & is_near("w", self.k)
         none = [F.lit(None).cast("double").alias(c) for c in of_u + of_w]
         if far is None:
             return rows.select("u", "w", "n", *none)
@@ -308,17 +381,18 @@ class Model:
 
     def _sample(self) -> None:
         s, k, near = self.s, self.k, self.near
-        # a word that occurs once is in one pair on either side
-        wanted = None if self.multi else is_near("id", k)
-        first = stored(by_word(self.pairs, k, wanted), "by-word")
-        contexts, dishes = np.zeros(k + 1, np.int64), np.zeros(k + 1, np.int64)
+        first = stored(repeats_by_word(self.again, k), "by-word")
+        contexts, dishes = self.near_counts.astype(np.int64), self.near_counts.astype(np.int64)
         got = first.where(is_near("id", k)).toArrow()
-        contexts[got["id"].to_numpy()], dishes[got["id"].to_numpy()] = got["contexts"].to_numpy(), got["dishes"].to_numpy()
+        contexts[got["id"].to_numpy()] -= got["contexts"].to_numpy()
+        dishes[got["id"].to_numpy()] -= got["dishes"].to_numpy()
         base = Base(small(contexts), small(dishes))
         self.base = self.context.broadcast(base)
         far = None
         if self.multi:
-            far = self.rest.where("n > 1").join(first, "id").select("id", "contexts", "dishes", F.col("contexts").cast("double").alias("t0"), F.col("dishes").alias("c"))
+            pairs = {c: F.col("n") - F.coalesce(c, F.lit(0)) for c in ("contexts", "dishes")}
+            far = self.rest.where("n > 1").join(first, "id", "left").withColumns(pairs)
+            far = far.select("id", "contexts", "dishes", F.col("contexts").cast("double").alias("t0"), F.col("dishes").alias("c"))
             far = stored(far, "far")
         ones = self.rest.where("n = 1").count()
         root_tables, sweeps = float(self.kinds), []
@@ -367,17 +441,16 @@ class Model:
             sweeps = sent.value
             last, number = sweeps[-1], len(sweeps) - 1
             parent, tables = base.value.parent(near.value, sweeps, last.root, last.own, s), base.value.tables(sweeps, number)
+            tally = Tally(k)
             for batch in batch_iter:
                 u, w = batch.column("u").to_numpy(), batch.column("w").to_numpy()
                 pw, tu = filled(w, k, parent, column(batch, f"p{number}")), filled(u, k, tables, column(batch, f"t{number}"))
                 extra = (seat(batch.column("n").to_numpy(), pw, tu, near.value.keys(u, w), number, s) - 1).astype(np.int64)
                 some = extra > 0
-                u, w, extra = u[some], w[some], extra[some]
-                zero = np.zeros(len(u), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(u, w)), pa.array(np.append(extra, zero)), pa.array(np.append(zero, extra))], names=["id", "contexts", "dishes"])
+                yield from tally.add(u[some], w[some], extra[some])
+            yield tally.rest()
 
-        out = rows.mapInArrow(run, "id long, contexts long, dishes long")
-        return out.groupBy("id").agg(F.sum("contexts").alias("contexts"), F.sum("dishes").alias("dishes"))
+        return by_word(rows, run)
 
     def _send(self) -> None:
         s, k, near, base = self.s, self.k, self.near, self.base
@@ -385,7 +458,7 @@ class Model:
         rows = self._repeated(self.far, [f"t{i}" for i in kept], [f"p{i}" for i in kept])
         # the most frequent pairs, as many whole counts as fit
         most, cut, room = 1 << 16, (1 << 16) + 1, s.sent_pairs
-        for n, size in sorted(self.pairs.where("n > 1").groupBy(F.least("n", F.lit(most))).count().collect(), reverse=True):
+        for n, size in sorted(self.again.groupBy(F.least("n", F.lit(most))).count().collect(), reverse=True):
             if size > room:
                 break
             cut, room = n, room - size
@@ -397,12 +470,13 @@ class Model:
                 keys, x = seated_weights(batch, near.value, base.value, sweeps.value, s)
                 yield pa.RecordBatch.from_arrays([pa.array([keys.tobytes()]), pa.array([x.astype(np.float32).tobytes()])], names=["keys", "xs"])
 
+        self.cut = cut
         top = rows.where(F.col("n") >= cut).mapInArrow(frequent, "keys binary, xs binary").toArrow()
         keys, x = (np.frombuffer(b"".join(top.column(c).to_pylist()), kind) for c, kind in (("keys", np.uint64), ("xs", np.float32)))
         sweeps.destroy()
         order = np.argsort(keys)
         top = keys[order], x[order]
-        left = self.pairs.where((F.col("n") > 1) & (F.col("n") < cut)).select("u", "w")
+        left = self.again.where(F.col("n") < cut).select("u", "w")
         if self.multi:  # and the words that are not sent and occur twice or more
             left = left.unionByName(self.rest.where("n > 1").select(F.col("id").alias("u"), F.lit(None).cast("long").alias("w")))
         bloom = bloom_of(left, near, fitting_bits(left.count(), s))
@@ -474,10 +548,16 @@ class Sent:
         if not self.ready:
             s, kept = self.s, range(self.s.burn_in, self.s.sweeps)
             self.count = np.append(np.repeat(self.kinds, self.runs), self.texts)
-            self.inverse = 1 / (s.strength + self.count)
-            self.back = [(s.strength + s.discount * base.tables(self.sweeps, i + 1)) * self.inverse for i in kept]
-            self.parent = [base.parent(near, self.sweeps, self.sweeps[i].root, self.sweeps[i].own, s) for i in kept]
+            self.log_count = np.log10(self.count + 1.0)
+            inverse = 1 / (s.strength + self.count)
+            back = [(s.strength + s.discount * base.tables(self.sweeps, i + 1)) * inverse for i in kept]
+            parent = [base.parent(near, self.sweeps, self.sweeps[i].root, self.sweeps[i].own, s) / len(kept) for i in kept]
             self.rare = np.array([[self.sweeps[i].rare(c, s) for i in kept] for c in (0, 1)])
+            # a word's numbers lie side by side; the last row is for words that are not sent, which occur once
+            one = [1 / (s.strength + 1), *[(s.strength + s.discount) / (s.strength + 1) for _ in kept]]
+            self.of_u = np.vstack([np.column_stack([inverse, *back]), one])
+            self.of_w = np.vstack([np.column_stack(parent), self.rare[1] / len(kept)])
+            self.places = Places(self.pair_keys)
             self.ready = True
         return self
 
@@ -485,8 +565,7 @@ class Sent:
         """(whether the pair is sent, its weight)."""
         if not len(self.pair_keys):
             return np.zeros(len(keys), bool), np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-        found = self.pair_keys[at] == keys
+        at, found = self.places.find(keys)
         return found, np.where(found, self.pair_weights[at], 0.0)
 
     def marked(self, keys: np.ndarray) -> np.ndarray:
@@ -494,18 +573,18 @@ class Sent:
 
     def log(self, weight: np.ndarray, u: np.ndarray, w: np.ndarray, far: dict | None = None) -> np.ndarray:
         """log10 probability of each pair. Words that are not sent occur once, but as ``far`` has them."""
-        s, one = self.s, np.ones(len(u))
-        inverse = filled(u, self.k, self.inverse, one / (s.strength + 1) if far is None else far["inverse"])
-        p = weight * inverse
-        for i in range(len(self.parent)):
-            back = filled(u, self.k, self.back[i], (s.strength + s.discount) / (s.strength + 1) * one if far is None else far["back"][i])
-            p = p + back * filled(w, self.k, self.parent[i], self.rare[1][i] * one if far is None else far["parent"][i]) / len(self.parent)
+        if far is None:
+            of_u, of_w = (x[np.where((ids >= 0) & (ids <= self.k), ids, self.k + 1)] for x, ids in ((self.of_u, u), (self.of_w, w)))
+            return np.log10(weight * of_u[:, 0] + np.einsum("ij,ij->i", of_u[:, 1:], of_w))
+        p = weight * filled(u, self.k, self.of_u[:, 0], far["inverse"])
+        for i, (back, parent) in enumerate(zip(far["back"], far["parent"])):
+            p = p + filled(u, self.k, self.of_u[:, i + 1], back) * filled(w, self.k, self.of_w[:, i], parent / len(far["parent"]))
         return np.log10(p)
 
 
 def _asked_pairs(made: Model, asked: DataFrame, n: int) -> Callable[[Column], DataFrame]:
     """Pairs that fulfil a condition, less those that nobody asks for where a filter can tell; joins get the others."""
-    near, bits = made.near, max(64, min(fitting_bits(n, made.s), made.s.bits >> 3))
+    near, bits = made.near, max(64, min(fitting_bits(n, made.s), made.s.bits >> 2))
     if n > bits:  # nearly every pair would pass
         return made.pairs.where
     wanted = made.context.broadcast(bloom_of(asked.select("u", "w"), near, bits))
@@ -519,6 +598,39 @@ def _asked_pairs(made: Model, asked: DataFrame, n: int) -> Callable[[Column], Da
     return lambda condition: made.pairs.where(condition).mapInArrow(run, made.pairs.schema)
 
 
+def _deltas(made: Model, once: DataFrame) -> DataFrame:
+    """(key, learned, unseen) of pairs of words that are sent: by how much log10 of their probability differs from what
+    a training text takes for a pair that it does not find, and from what another text does."""
+    s, k, near, sent, sums = made.s, made.k, made.near, made.sent, made.base
+    kept = range(s.burn_in, s.sweeps)
+    none = [F.lit(None).cast("double").alias(c) for i in kept for c in (f"t{i}", f"p{i}")]
+    inside = is_near("u", k) & is_near("w", k)
+    again = made.again.where(inside & (F.col("n") < made.cut)).select("u", "w", "n", *none)
+
+    def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, words = sent.value.prepare(near.value, sums.value), near.value
+        for batch in batch_iter:
+            u, w = batch.column("u").to_numpy(), batch.column("w").to_numpy()
+            _, weight = seated_weights(batch, words, sums.value, m.sweeps, s)
+            value, one = m.log(weight, u, w), np.ones(len(u))
+            learned, unseen = (value - m.log(x * one, u, w) for x in (1 - s.discount, 0))
+            yield rows(u, w, learned, unseen)
+
+    def run_once(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value.prepare(near.value, sums.value)
+        for batch in batch_iter:
+            u, w = batch.column("u").to_numpy(), batch.column("w").to_numpy()
+            one = np.ones(len(u))
+            yield rows(u, w, 0 * one, m.log((1 - s.discount) * one, u, w) - m.log(0 * one, u, w))
+
+    def rows(u: np.ndarray, w: np.ndarray, learned: np.ndarray, unseen: np.ndarray) -> pa.RecordBatch:
+        columns = u * (k + 1) + w, learned.astype(np.float32), unseen.astype(np.float32)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "learned", "unseen"])
+
+    out = "key long, learned float, unseen float"
+    return again.mapInArrow(run, out).unionByName(once.select("u", "w").mapInArrow(run_once, out))
+
+
 def score(docs: DataFrame, held_out: Column, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) per row.
 
@@ -537,30 +649,47 @@ def score(docs: DataFrame, held_out: Column, settings: Settings | None = None, i
         texts, tokens = len(found), np.array([len(u) for u, _ in found])
         u, w = (np.concatenate(x) for x in zip(*found))
         doc = np.repeat(np.arange(texts), tokens)
-        keys, first, pair = np.unique(words.keys(u, w), return_index=True, return_inverse=True)
+        code, far = u * (k + 1) + w, np.flatnonzero(~both_near(u, w, k))
+        code[far] = words.keys(u[far], w[far]).view(np.int64) | 1 << 62  # beyond what ranks can make
+        order = np.argsort(code)
+        new = np.append(True, np.diff(code[order]) != 0)
+        first, pair = order[new], np.empty(len(code), np.int64)
+        pair[order] = np.cumsum(new) - 1
         u, w = u[first], w[first]
+        keys = words.keys(u, w)
         here = (w >= 0) & (w <= k)
-        far = ~(here & (u >= 0) & (u <= k))
+        far = ~both_near(u, w, k)
         sent_pair, weight = m.look(keys)
         # a training text's pairs and words occur, and once unless sent or marked
-        again = (m.marked(root_keys(u)) & ~((u >= 0) & (u <= k))) | (m.marked(root_keys(w)) & ~here)
-        learned = np.array([x is False for x in batch.column("held_out").to_pylist()])
-        ask = np.where(learned[doc], ((again & far) | (~sent_pair & m.marked(keys)))[pair], (far | ~sent_pair)[pair])
-        value = m.log(np.where(sent_pair, weight, 1 - s.discount), u, w)[pair]
-        c = np.where(here, m.count[np.where(here, w, k)], 1)
+        again = np.zeros(len(keys), bool)
+        for ids in (u, w):
+            beyond = np.flatnonzero((ids < 0) | (ids > k))
+            again[beyond] |= m.marked(root_keys(ids[beyond]))
+        learned = np.array([x is False for x in batch.column("held_out").to_pylist()])[doc]
+        ask = np.where(learned, ((again & far) | (~sent_pair & m.marked(keys)))[pair], (far | ~sent_pair)[pair])
+        # what a pair of words that are sent has if the joins do not find it
+        unseen, value = np.zeros(len(keys), bool), m.log(np.where(sent_pair, weight, 1 - s.discount), u, w)
+        unseen[pair[~learned]] = True
+        unseen &= ~sent_pair & ~far
+        absent = value.copy()
+        absent[unseen] = m.log(np.zeros(unseen.sum()), u[unseen], w[unseen])
+        value = np.where(learned, value[pair], absent[pair])
+        at = np.where(here, w, k)
+        c, log_count = np.where(here, m.count[at], 1), np.where(here, m.log_count[at], np.log10(2.0))
         settled = here[pair] | ~ask
 
         def per_text(x: np.ndarray) -> np.ndarray:
             return np.bincount(doc, x, texts)
 
         known = per_text(settled & (c > 0)[pair]).astype(np.int64)
-        base = per_text(np.where(settled, np.log10(c + 1.0)[pair], 0.0)) - tokens * low
+        base = per_text(np.where(settled, log_count[pair], 0.0)) - tokens * low
         left, times = np.unique(doc[ask] * len(keys) + pair[ask], return_counts=True)
+        value[ask & far[pair]] = 0.0
         left_doc, left_pair = np.divmod(left, len(keys))
         ends = pa.array(np.searchsorted(left_doc, np.arange(texts + 1)).astype(np.int32))
         lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (u[left_pair], w[left_pair], times.astype(np.int32))]
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("held_out"), pa.array(tokens), pa.array(known), pa.array(base), pa.array(per_text(np.where(ask, 0.0, value))), *lists],
+            [batch.column("doc_id"), batch.column("held_out"), pa.array(tokens), pa.array(known), pa.array(base), pa.array(per_text(value)), *lists],
             names=["doc_id", "held_out", "n_tokens", "n_known", "base", "value", "u", "w", "m"],
         )
 
@@ -577,16 +706,21 @@ def score(docs: DataFrame, held_out: Column, settings: Settings | None = None, i
 
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, value double, u array<long>, w array<long>, m array<int>"
     first = stored(source.mapInArrow(local, out).withColumn("row", F.monotonically_increasing_id()), "scores")
-    asked = first.select("row", F.explode(F.arrays_zip("u", "w", "m")).alias("x")).select("row", "x.u", "x.w", "x.m")
-    inside, kept = is_near("u", k) & is_near("w", k), range(s.burn_in, s.sweeps)
+    learned, inside, kept = ~F.coalesce("held_out", F.lit(True)), is_near("u", k) & is_near("w", k), range(s.burn_in, s.sweeps)
+    asked = first.select("row", learned.alias("known"), F.explode(F.arrays_zip("u", "w", "m")).alias("x")).select("row", "known", "x.u", "x.w", "x.m")
     of_u, of_w = [f"t{i}" for i in range(s.burn_in, s.sweeps + 1)], [f"p{i}" for i in kept]
     shape = {c: F.lit(None).cast("double") for c in of_u + of_w}
-    pairs = _asked_pairs(made, asked, first.agg(F.coalesce(F.sum(F.size("u")), F.lit(0))).first()[0])
-    nearby = asked.where(inside).join(pairs(inside), ["u", "w"], "left").select("row", "u", "w", "m", "n", F.lit(0).cast("long").alias("nu"), F.lit(0).cast("long").alias("nw"), *[c.alias(x) for x, c in shape.items()])
+    # what a training text asks for and does not find occurs once, so pairs that occur once are for the other texts
+    pairs = _asked_pairs(made, asked.where("NOT known"), first.where(~learned).agg(F.coalesce(F.sum(F.size("u")), F.lit(0))).first()[0])
+    once = ~F.col("again")
+    found = asked.where(inside).select("row", "known", (F.col("u") * (k + 1) + F.col("w")).alias("key"), "m").join(_deltas(made, pairs(once & inside)), "key")
+    nearby = found.groupBy("row").agg(F.sum(F.col("m") * F.when(F.col("known"), F.col("learned")).otherwise(F.col("unseen"))).alias("more"))
     words = made.rest.withColumns(shape) if made.far is None else made.rest.join(made.far.select("id", *of_u, *of_w), "id", "left")
     side_u = words.select(F.col("id").alias("u"), F.col("n").alias("nu"), *of_u)
     side_w = words.select(F.col("id").alias("w"), F.col("n").alias("nw"), *of_w)
-    others = asked.where(~inside).join(pairs(~inside), ["u", "w"], "left").join(side_u, "u", "left").join(side_w, "w", "left").select("row", "u", "w", "m", "n", "nu", "nw", *of_u, *of_w)
+    far_pairs = made.again.where(~inside).unionByName(pairs(once & ~inside).drop("again"))
+    others = asked.where(~inside).join(far_pairs, ["u", "w"], "left").withColumn("n", F.coalesce("n", F.col("known").cast("long")))
+    others = others.join(side_u, "u", "left").join(side_w, "w", "left").select("row", "u", "w", "m", "n", "nu", "nw", *of_u, *of_w)
 
     def answer(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, words = sent.value.prepare(near.value, sums.value), near.value
@@ -608,8 +742,9 @@ def score(docs: DataFrame, held_out: Column, settings: Settings | None = None, i
             known, base = np.where(away & (nw > 0), times, 0), np.where(away, times * np.log10(nw + 1.0), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(known, pa.int64()), pa.array(base), pa.array(value)], names=["row", "known", "base_more", "more"])
 
-    later = nearby.unionByName(others).mapInArrow(answer, "row long, known long, base_more double, more double")
-    later = later.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("known", "base_more", "more")])
+    later = others.mapInArrow(answer, "row long, known long, base_more double, more double")
+    nothing = {"known": F.lit(0).cast("long"), "base_more": F.lit(0.0)}
+    later = later.unionByName(nearby.withColumns(nothing)).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("known", "base_more", "more")])
     done = first.drop("u", "w", "m").join(later, "row", "left")
     result = F.col("value") + F.coalesce("more", F.lit(0.0))
     return done.select(

@@ -15,10 +15,13 @@ from ..sources.io import checkpoint_dir as shared_folder
 GAP = r"[\x20\x09-\x0D]+"
 
 
-def stored(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
-    """Write to the shared folder and read back: the lineage ends here, and a lost executor costs a re-read."""
+def stored(df: DataFrame, name: str, options: dict | None = None, by: str | None = None) -> DataFrame:
+    """Write to the shared folder and read back: the lineage ends here, and a lost executor costs a re-read.
+
+    Rows lie apart ``by`` a column, if one is named.
+    """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").options(**(options or {})).parquet(path)
+    df.write.option("compression", "zstd").options(**(options or {})).partitionBy(*[by] if by else []).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
