@@ -73,3 +73,9 @@ def test_decisions_read_what_they_need(spark):
     for name in ("fold_trade_budget", "champion_overlap"):
         plan = plan_of(catalog.QUERIES[name](spark, sf))
         assert "l_suppkey" not in plan, name
+
+
+def test_decisions_make_bars_once(spark):
+    """Rows are stored before they are split, so the dates of the splits do not make the bars a second time."""
+    for name in ("ticker_blocklist", "classification_metrics", "regime_liquidity_filter", "neutral_extreme_event_filter", "directional_labels"):
+        assert "l_suppkey" not in plan_of(catalog.QUERIES[name](spark, "/root/testdata/sf0.001")), name
