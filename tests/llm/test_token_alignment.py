@@ -3,11 +3,13 @@ import hashlib
 from collections import Counter, defaultdict
 
 import cases
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tickerloom.llm import queries, token_alignment
+from tickerloom.llm import queries, shared, token_alignment
 
 tokenizers = pytest.importorskip("tokenizers")
 sentencepiece = pytest.importorskip("sentencepiece")
@@ -120,3 +122,36 @@ def test_memory_may_start_anew(voc, monkeypatch):
         docs = [(1, t.encode()), (2, b"two")]
         assert token_alignment.block_row(memory, docs, counted[0])[1:] == token_alignment.block_row(token_alignment.Memory(voc), docs, counted[1])[1:] or len(memory.groups) > 3
     assert (counted[0] == counted[1]).all()
+
+
+def test_each_block_is_a_row_group(spark, monkeypatch):
+    folders = {}
+
+    def stored(df, name, *options):
+        folders[name] = shared.stored(df, name, *options)
+        return folders[name]
+
+    monkeypatch.setattr(token_alignment, "stored", stored)
+    texts = [(i, f"{i} and some words " * 20) for i in range(40)]
+    got, _ = token_alignment.align_documents(cases.documents(spark, texts).coalesce(1), A, B, block_docs=4)
+    assert {r.doc_id: r.n_groups > 0 for r in got.collect()} == dict.fromkeys(range(40), True)
+    metadata = [pq.read_metadata(f.removeprefix("file://")) for f in folders["aligned"].inputFiles()]
+    assert [m.row_group(i).num_rows for m in metadata for i in range(m.num_row_groups)] == [1] * 11  # ten blocks and the vector
+
+
+@pytest.mark.parametrize("top", [0, 255, 256, 65535, 65536, 2**32 - 1, 2**32, 2**62])
+def test_packed_numbers(top):
+    numbers = np.array([0, 1, top, 7], np.int64)
+    raw = token_alignment.packed(numbers)
+    assert (token_alignment.unpacked(raw) == numbers).all() and len(raw) == 1 + 4 * raw[0]
+    assert raw[0] == next(n for n in (1, 2, 4, 8) if max(top, 7) < 256**n)
+    assert not len(token_alignment.unpacked(token_alignment.packed(numbers[:0])))
+
+
+def test_stored_block_is_small(voc):
+    """Per occurrence of a unit 4 bytes and a fraction, per pair of a unit some 3 bytes."""
+    docs = [(i, " ".join(f"w{i}x{k}" for k in range(2000)).encode()) for i in range(20)]
+    row = token_alignment.block_row(token_alignment.Memory(voc), docs, voc.same * 0)
+    parts = dict(zip(token_alignment.BLOCKS.names, row))
+    units, pairs = (len(token_alignment.unpacked(parts[c])) for c in ("units", "places"))
+    assert sum(len(parts[c]) for c in ("units", "times", "unit_sizes", "places", "weights")) < 6.5 * units + 3.5 * pairs

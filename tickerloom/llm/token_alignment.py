@@ -10,6 +10,9 @@ feed between other characters (checked against B's vocabulary), so each distinct
 and aligned once, and a text is a sequence of units. A block stores its documents' digests, how often each document
 holds each unit, and the pairs of each unit. Once corpus-wide counts are known, sums of a unit are computed once
 and weighed by its occurrences. Within a group ids are made distinct, with multiplicities, before pairs are formed.
+
+A stored block is a row of some MB. Spark reads and writes Parquet a row group at a time, so each block is a row group
+of its own: a task then holds one block, however many blocks its file has.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from .shared import stored
 BLOCK_BYTES, BLOCK_DOCS, UNITS_KEPT, CHARS_KEPT = 4 << 20, 4096, 200_000, 16 << 20
 #: Documents of a block that are looked at together.
 STEP_DOCS = 256
+#: Parquet looks at sizes after 100 rows only, unless told the number of rows of a row group.
+ROW_GROUPS = {"parquet.block.row.count.limit": 1, "parquet.enable.dictionary": "false"}
 #: White space beside white space or at the end: there the places of the units are looked at one by one.
 ODD = re.compile(r"\s\s|\s$")
 _open: dict = {}
@@ -261,6 +266,16 @@ def _distinct(first: np.ndarray, second: np.ndarray, weight: np.ndarray | None =
     return (first[at], second[at]), total
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Numbers from 0 on in as few bytes each as the largest needs; the first byte says how many."""
+    kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if not len(x) or int(x.max()) <= np.iinfo(k).max)
+    return bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
 def block_row(memory: Memory, docs: list[tuple], counted: np.ndarray) -> tuple:
     """The stored row of a block of (doc_id, text bytes); adds its documents with identical pairs to ``counted``."""
     voc = memory.voc
@@ -316,8 +331,8 @@ def block_row(memory: Memory, docs: list[tuple], counted: np.ndarray) -> tuple:
     odd = np.flatnonzero(~identical)
     pairs = [{"at": i, "code": c, "docs": n} for i, c, n in zip(odd.tolist(), distinct[odd].tolist(), n_docs[odd].tolist())]
     docs_out = [dict(zip(("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"), r)) for r in rows]
-    four = lambda x: x.astype("<u4").tobytes()
-    return (uuid.uuid4().hex, docs_out, four(doc_sizes), four(local), four(np.concatenate(times)), four(per_unit), four(places), weights[take].astype("<i8").tobytes(), distinct.astype("<i8").tobytes(), pairs, None)
+    numbers = (doc_sizes, local, np.concatenate(times), per_unit, places, weights[take], distinct)
+    return (uuid.uuid4().hex, docs_out, *map(packed, numbers), pairs, None)
 
 
 def _blocks(path_a: str, path_b: str, block_bytes: int, block_docs: int):
@@ -363,13 +378,13 @@ def _results(same: np.ndarray, best: np.ndarray, partner: np.ndarray):
     def results(blocks: pa.Table, counts: pa.Table) -> pa.Table:
         if not len(blocks):
             return RESULT.empty_table()
-        get = lambda c, kind: np.frombuffer(blocks.column(c)[0].as_py(), kind).astype(np.int64)
-        codes = get("codes", "<i8")
+        get = lambda c: unpacked(blocks.column(c)[0].as_py())
+        codes = get("codes")
         a = codes >> 32
         n = np.where(partner[a] == (codes & 0xFFFFFFFF), same[a], 0)
         n[counts.column("at").to_numpy()] = counts.column("n").to_numpy()
-        places, weights, per_unit = get("places", "<u4"), get("weights", "<i8"), get("unit_sizes", "<u4")
-        units, times, doc_sizes = get("units", "<u4"), get("times", "<u4"), get("doc_sizes", "<u4")
+        places, weights, per_unit = get("places"), get("weights"), get("unit_sizes")
+        units, times, doc_sizes = get("units"), get("times"), get("doc_sizes")
         unit_of, doc_of = np.repeat(np.arange(len(per_unit)), per_unit), np.repeat(np.arange(len(doc_sizes)), doc_sizes)
 
         def per_doc(value: np.ndarray) -> np.ndarray:
@@ -397,7 +412,7 @@ def align_documents(
     ``groups_sha256``. Null and repeated ids are kept row by row; a repeated row counts as a document of its own.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kept = stored(source.mapInArrow(_blocks(path_a, path_b, block_bytes, block_docs), BLOCKS_DDL), "aligned", {"parquet.block.size": 16 << 20})
+    kept = stored(source.mapInArrow(_blocks(path_a, path_b, block_bytes, block_docs), BLOCKS_DDL), "aligned", ROW_GROUPS)
     blocks = kept.where("block IS NOT NULL")
     odd = blocks.select("block", F.explode("pairs").alias("p")).select("block", "p.at", "p.code", "p.docs")
     counts = stored(odd.groupBy("code").agg(F.sum("docs").alias("n")), "pairs")
